@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash_dedup
+from . import quality_rank, simhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_quality_bradley_terry": quality_rank.op5_quality_bradley_terry,
     "op4_simhash_near_dedup": simhash_dedup.op4_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}
