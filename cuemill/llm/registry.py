@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rank, simhash_dedup
+from . import quality_rank, simhash_dedup, toxicity_pu
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_bradley_terry": quality_rank.op5_quality_bradley_terry,
+    "op1_toxicity_pu": toxicity_pu.op1_toxicity_pu,
     "op4_simhash_near_dedup": simhash_dedup.op4_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}
