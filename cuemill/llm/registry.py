@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing_tree, packing_hist, quality_rank, simhash_dedup, toxicity_pu
+from . import (
+    mixing_tree,
+    packing_hist,
+    quality_rank,
+    simhash_dedup,
+    toxicity_pu,
+    webp_lossless,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_bradley_terry": quality_rank.op5_quality_bradley_terry,
     "op1_toxicity_pu": toxicity_pu.op1_toxicity_pu,
     "op6_packing_histogram": packing_hist.op6_packing_histogram,
     "op9_mixing_tree": mixing_tree.op9_mixing_tree,
+    "op2_media_webp_lossless": webp_lossless.op2_media_webp_lossless,
     "op4_simhash_near_dedup": simhash_dedup.op4_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}
