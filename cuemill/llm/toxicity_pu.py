@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,32 +52,22 @@ def nn_pu_gradient(p: np.ndarray, u: np.ndarray, w: np.ndarray, prior: float, ag
 
 
 def fit_toxicity(
-    positives: list[set[str]], unlabelled: list[set[str]], prior: float, models: int = 2, steps: int = 1200, decay: float = 1e-6, seed: int = 11
+    chosen: list[str], share: list[float], positives: list[list[int]], unlabelled: list[list[int]], prior: float,
+    models: int = 2, steps: int = 1200, decay: float = 1e-6, seed: int = 11,
 ) -> ToxicityModel:
-    """Classifiers of different seeds, averaged, over the terms that are most in excess among positives,
-    against unlabelled texts. Without positives, or with a prior of 0, every text scores 0."""
-    if not positives or not unlabelled or prior <= 0:
+    """Classifiers of different seeds, averaged. chosen: the terms; share: the share of the texts that have each;
+    positives, unlabelled: the places of each text's terms among the chosen. Without positives or terms, or with a
+    prior of 0, every text scores 0."""
+    if not positives or not unlabelled or not chosen or prior <= 0:
         return ToxicityModel({}, -30.0)
-    in_p, in_u = Counter(), Counter()
-    for out, sets in ((in_p, positives), (in_u, unlabelled)):
-        for s in sets:
-            out.update(s)
     n_p, n_u = len(positives), len(unlabelled)
+    rarity = np.array([*(np.log(1 + 1 / s) for s in share), 1.0], np.float32)
 
-    def contrast(t: str) -> float:
-        share = (in_p[t] + in_u[t]) / (n_p + n_u)
-        return (in_p[t] / n_p - in_u[t] / n_u) / np.sqrt((share * (1 - share) + 1e-6) * (1 / n_p + 1 / n_u))
-
-    ranked = {t: contrast(t) for t in in_p | in_u if in_p[t] + in_u[t] >= LEAST_DOCS}
-    chosen = sorted((t for t in ranked if ranked[t] >= LEAST_CONTRAST), key=lambda t: (-ranked[t], t))[:TERMS]
-    place = {t: i for i, t in enumerate(chosen)}
-    rarity = np.array([*(np.log(1 + (n_p + n_u) / (in_p[t] + in_u[t])) for t in chosen), 1.0], np.float32)
-
-    def rows(sets: list[set[str]]) -> np.ndarray:
-        x = np.zeros((len(sets), len(chosen) + 1), np.float32)
+    def rows(texts: list[list[int]]) -> np.ndarray:
+        x = np.zeros((len(texts), len(chosen) + 1), np.float32)
         x[:, -1] = 1
-        for i, s in enumerate(sets):
-            x[i, [place[t] for t in place.keys() & s]] = 1
+        for i, places in enumerate(texts):
+            x[i, places] = 1
         return x * rarity
 
     p, u = rows(positives), rows(unlabelled)
@@ -97,7 +86,7 @@ def fit_toxicity(
             if t > steps // 2:
                 mean += w / (steps - steps // 2)
         total += rarity * mean / models
-    return ToxicityModel({t: float(total[i]) for t, i in place.items()}, float(total[-1]))
+    return ToxicityModel({t: float(total[i]) for i, t in enumerate(chosen)}, float(total[-1]))
 
 
 def learn_toxicity(
@@ -124,20 +113,36 @@ def learn_toxicity(
     def start():
         return lambda texts: {"terms": ["\x00".join(sorted(terms_of(t))) for t in texts]}
 
-    got = common.add_by_text(known.select("doc_id", "p", "u", "text"), start, "text", "terms string")
-    got = _frequent(got.select("doc_id", "p", "u", "terms")).toPandas().sort_values("doc_id")
-    sets = [set(t.split("\x00")) - {""} for t in got["terms"]]
+    rows = common.cut(common.add_by_text(known.select("doc_id", "p", "u", "text"), start, "text", "terms string"))
+    top = contrasting_terms(rows)
+    chosen = [r["term"] for r in top]
+    terms = F.array(*[F.lit(t) for t in chosen]) if chosen else F.array().cast("array<string>")
+    has = F.transform(F.array_intersect(F.split("terms", "\x00"), terms), lambda t: F.array_position(terms, t) - 1)
+    got = rows.select("doc_id", "p", "u", has.alias("places")).orderBy("doc_id").collect()
     return fit_toxicity(
-        [s for s, p in zip(sets, got["p"], strict=True) if p], [s for s, u in zip(sets, got["u"], strict=True) if not u], prior
+        chosen,
+        [r["share"] for r in top],
+        [r["places"] for r in got if r["p"]],
+        [r["places"] for r in got if not r["u"]],
+        prior,
     )
 
 
-def _frequent(rows: DataFrame) -> DataFrame:
-    """The sampled rows without terms that fewer than LEAST_DOCS of them have."""
-    one = rows.withColumn("term", F.explode(F.split("terms", "\x00")))
-    often = one.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS).select("term")
-    kept = one.join(often, "term").groupBy("doc_id").agg(F.array_join(F.collect_list("term"), "\x00").alias("terms"))
-    return rows.select("doc_id", "p", "u").join(kept, "doc_id", "left").withColumn("terms", F.coalesce("terms", F.lit("")))
+def contrasting_terms(rows: DataFrame) -> list:
+    """At most TERMS rows (term, share): the terms whose share among the positives of rows(p, u, terms) is most above
+    that among the unlabelled, in standard errors."""
+    sizes = rows.agg(F.sum("p").alias("np"), F.sum(1 - F.col("u")).alias("nu")).first()
+    n_p, n_u = sizes["np"] or 0, sizes["nu"] or 0
+    if not n_p or not n_u:
+        return []
+    one = rows.select("p", "u", F.explode(F.split("terms", "\x00")).alias("term")).where("term <> ''")
+    counts = one.groupBy("term").agg(F.sum("p").alias("a"), F.sum(1 - F.col("u")).alias("b"))
+    share = (F.col("a") + F.col("b")) / (n_p + n_u)
+    error = F.sqrt((share * (1 - share) + 1e-6) * (1 / n_p + 1 / n_u))
+    counts = counts.where(F.col("a") + F.col("b") >= LEAST_DOCS).withColumn("share", F.least(share, F.lit(1.0)))
+    ranked = counts.withColumn("contrast", (F.col("a") / n_p - F.col("b") / n_u) / error)
+    ranked = ranked.where(F.col("contrast") >= LEAST_CONTRAST).orderBy(F.desc("contrast"), "term").limit(TERMS)
+    return ranked.select("term", "share").collect()
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "score") -> DataFrame:
