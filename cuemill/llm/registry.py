@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
+    attention_lm,
+    chat_schema,
     mixing_tree,
     packing_hist,
     quality_rank,
     simhash_dedup,
+    topk_nra,
     toxicity_pu,
     webp_lossless,
 )
@@ -21,6 +24,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing_histogram": packing_hist.op6_packing_histogram,
     "op9_mixing_tree": mixing_tree.op9_mixing_tree,
     "op2_media_webp_lossless": webp_lossless.op2_media_webp_lossless,
+    "op3_chat_schema_fingerprint": chat_schema.op3_chat_schema_fingerprint,
+    "op7_topk_no_random_access": topk_nra.op7_topk_no_random_access,
+    "op8_lm_attention": attention_lm.op8_lm_attention,
     "op4_simhash_near_dedup": simhash_dedup.op4_simhash_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_topk_no_random_access": topk_nra.ORACLE,
+}
