@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import (
     attention_lm,
     chat_schema,
+    license_scan,
     mixing_tree,
     packing_hist,
     quality_rank,
@@ -27,8 +28,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_schema_fingerprint": chat_schema.op3_chat_schema_fingerprint,
     "op7_topk_no_random_access": topk_nra.op7_topk_no_random_access,
     "op8_lm_attention": attention_lm.op8_lm_attention,
+    "op10_license_scan": license_scan.op10_license_scan,
     "op4_simhash_near_dedup": simhash_dedup.op4_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {
     "op7_topk_no_random_access": topk_nra.ORACLE,
+    "op10_license_scan": license_scan.ORACLE,
 }
