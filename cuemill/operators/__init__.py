@@ -1,0 +1 @@
+"""Operators of the transcript, feed and release library."""

@@ -1,0 +1 @@
+"""Sources of the transcript, feed and release library."""

@@ -1,0 +1 @@
+"""Streaming of the transcript, feed and release library."""
