@@ -40,24 +40,28 @@ def hidden_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """mapInArrow where fn gives the output columns of a batch, None for none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield pa.RecordBatch.from_pydict(out, schema=arrow)
-
-    arrow = arrow_schema(schema)
-    return df.mapInArrow(run, schema)
-
-
 def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(T.StructType.fromDDL(ddl))
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """batch in parts whose texts (or binaries) in a column have about `size` bytes, one row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    values = batch.column(column)
+    if not (pa.types.is_string(values.type) or pa.types.is_binary(values.type)):
+        yield batch
+        return
+    part = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // size
+    edges = [0, *(np.nonzero(np.diff(part))[0] + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+
+
 def add_by_text(df: DataFrame, fn: Callable[[], Callable[[list], dict]], text: str, new: str) -> DataFrame:
     """df with columns worked out from whole texts. fn is called once a task and gives a function from a list of
     texts (None for null) to the new columns, whose types the DDL string new holds. A new column takes the place of
@@ -72,9 +76,7 @@ def add_by_text(df: DataFrame, fn: Callable[[], Callable[[list], dict]], text: s
         from pyspark.sql.pandas.types import to_arrow_type
 
         score = fn()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in slices(whole, whole.num_columns - 1)):
             out = score(batch.column(batch.num_columns - 1).to_pylist())
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             columns += [pa.array(out[f.name], to_arrow_type(f.dataType)) for f in added]

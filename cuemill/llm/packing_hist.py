@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import heapq
+import itertools
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,49 +20,83 @@ LIMIT = 4096
 END = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a task remembers at once.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
+#: Marks that are split from the end of a word before it is looked up.
+MARKS = b".,;:!?%$&*#|"
 #: Parts that each length's pieces are ranked in, so that a very frequent length is no single task.
 BUCKETS = 256
 
 
 class WordEncoder:
-    """Ids of whole texts, word by word. No pre-token of these tokenizers spans ASCII white space, so a text's ids are
-    those of its words one after another; each word's ids, as bytes, are remembered."""
+    """Ids of whole texts, word by word. No pre-token of this tokenizer spans ASCII white space, so a text's ids are
+    those of its words one after another. Nor does one span a letter or digit and the marks after it, so a word's ids
+    are those of its stem and of its closing marks. Ids of words are remembered, as bytes; case is folded by the
+    tokenizer, and that of A-Z before."""
 
     def __init__(self, name: str = TOKENIZER):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name) if "/" not in name else name)
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        path = public_tokenizers.path(name) if "/" not in name else name
+        self.whole = Tokenizer.from_file(path)
+        # For words that are lower-case letters in composed form, which the normalizer and splitter leave alone.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[bytes, bytes] = {}
 
-    def learn(self, missing: list[bytes]) -> None:
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
-        for w, e in zip(missing, found, strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian 32-bit numbers."""
-        words = (text or "").encode().split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
-        out = []
-        for at in range(0, len(words), REMEMBERED // 2):
-            part = words[at : at + REMEMBERED // 2]
-            distinct = set(part)
-            missing = sorted(distinct.difference(self.known))
-            self.learn(missing)
-            if not self.known.keys() >= distinct:  # the memory was cleared
-                self.learn(sorted(distinct.difference(self.known)))
-            out.append(b"".join(map(self.known.__getitem__, part)))
-        return b"".join(out)
+    def learn(self, words: set[bytes]) -> None:
+        parts, needed = {}, set()
+        for w in words:
+            stem = w.rstrip(MARKS)
+            if stem and len(stem) < len(w) and (
+                stem[-1:].isalnum() or unicodedata.normalize("NFC", stem.decode()).lower()[-1].isalnum()
+            ):
+                parts[w] = (stem, w[len(stem) :])
+                needed.update(parts[w])
+            else:
+                needed.add(w)
+        plain, whole = [], []
+        for w in needed.difference(self.known):
+            t = w.decode()
+            if w.isascii():
+                simple = w.isalpha() and w.islower()
+            else:
+                simple = t.isalpha() and t == t.lower() and unicodedata.is_normalized("NFC", t)
+            (plain if simple else whole).append((w, t))
+        for tokenizer, texts in ((self.plain, plain), (self.whole, whole)):
+            for at in range(0, len(texts), 20_000):
+                some = texts[at : at + 20_000]
+                found = tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)
+                for (w, _), e in zip(some, found, strict=True):
+                    self.known[w] = array("I", e.ids).tobytes()
+        for w, (stem, marks) in parts.items():
+            self.known[w] = self.known[stem] + self.known[marks]
+
+    def encode_all(self, texts: list) -> Iterator[bytes]:
+        """Each text's ids as little-endian 32-bit numbers; null is empty."""
+        for rows in self._runs(texts):
+            if len(self.known) > REMEMBERED:  # those learnt first stay: they are the most frequent
+                self.known = dict(itertools.islice(self.known.items(), REMEMBERED // 4))
+            self.learn(set().union(*rows).difference(self.known))
+            for r in rows:
+                yield b"".join(map(self.known.__getitem__, r))
+
+    @staticmethod
+    def _runs(texts: list, size: int = 8 << 20) -> Iterator[list[list[bytes]]]:
+        rows, total = [], 0
+        for t in texts:
+            raw = (t or "").encode()
+            rows.append((raw if b"<|" in raw else raw.lower()).split())  # special tokens heed case
+            total += len(raw)
+            if total >= size:
+                yield rows
+                rows, total = [], 0
+        if rows:
+            yield rows
 
 
 def token_pieces(
@@ -76,10 +113,11 @@ def token_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer)
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.slices(whole, 1)):
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = encoder.encode(text) + tail
+            encoded = encoder.encode_all(batch.column(1).to_pylist())
+            for doc, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                raw = ids + tail
                 n = len(raw) // 4
                 for at in range(0, n, limit):
                     part = raw[4 * at : 4 * (at + limit)]
