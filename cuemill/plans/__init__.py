@@ -3,6 +3,6 @@
 
 def registered():
     """The catalog, with all queries of the library entered."""
-    from . import catalog, column_queries, feed_queries, release_queries, transcript_queries  # noqa: F401
+    from . import catalog, column_queries, feed_queries, flagship, release_queries, transcript_queries  # noqa: F401
 
     return catalog
