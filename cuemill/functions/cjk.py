@@ -76,19 +76,22 @@ def chinese_number(s: str) -> float | None:
     if not s:
         return None
     whole, _, part = s.partition("点")
-    total = section = digit = 0
+    total = wan = section = digit = 0
     for ch in whole:
         if ch in _DIGITS:
             digit = _DIGITS[ch]
         elif ch in _UNITS:
             section += (digit or 1) * _UNITS[ch]
             digit = 0
-        elif ch in "万亿":
-            total = (total + section + digit) * (10_000 if ch == "万" else 100_000_000)
+        elif ch == "万":
+            wan += (section + digit) * 10_000
             section = digit = 0
+        elif ch == "亿":
+            total += (wan + section + digit) * 100_000_000
+            wan = section = digit = 0
         else:
             return None
-    value = float(total + section + digit)
+    value = float(total + wan + section + digit)
     if part:
         if any(ch not in _DIGITS for ch in part):
             return None
@@ -135,17 +138,21 @@ def strip_tokens(title: pd.Series, bad: pd.Series) -> pd.Series:
     return pd.Series([one(t, b) for t, b in zip(title, bad, strict=True)], dtype=object)
 
 
-def finalize_title(title: Column, speaker: Column, source: Column, suggestion: Column, safe: str, n: int = 24) -> Column:
-    """The speaker first if absent; numbers that the source lacks taken out if what is left reads as a title, else the
-    suggestion, else speaker and the safe phrase; then n characters of whole words."""
+def finalize_titles(rows: DataFrame, safe: str, n: int = 24) -> DataFrame:
+    """rows(title, speaker, source, suggestion) with final_title: the speaker first if absent; numbers that the source
+    lacks taken out if what is left reads as a title, else the suggestion, else speaker and the safe phrase; then n
+    characters of whole words."""
     from cuemill.functions import text as X
 
-    full = F.when(X.title_has_speaker(title, speaker), title).otherwise(F.concat(speaker, F.lit("："), title))
-    bad = F.array_except(number_tokens_cjk(full), number_tokens_cjk(source))
-    stripped = strip_tokens(full, bad)
-    ok = X.title_residue_ok(stripped, X.title_has_speaker(stripped, speaker))
-    other = F.coalesce(X.blank_to_null(suggestion), F.concat(speaker, F.lit("："), F.lit(safe)))
-    return X.truncate_words(F.when(F.size(bad) == 0, full).when(ok, stripped).otherwise(other), n)
+    speaker = F.col("speaker")
+    full = F.when(X.title_has_speaker(F.col("title"), speaker), F.col("title")).otherwise(F.concat(speaker, F.lit("："), "title"))
+    r = rows.withColumn("__full", full)
+    r = r.withColumn("__bad", F.array_except(number_tokens_cjk("__full"), number_tokens_cjk("source")))
+    r = r.withColumn("__cut", strip_tokens("__full", "__bad"))
+    ok = X.title_residue_ok(F.col("__cut"), X.title_has_speaker(F.col("__cut"), speaker))
+    other = F.coalesce(X.blank_to_null(F.col("suggestion")), F.concat(speaker, F.lit("："), F.lit(safe)))
+    best = F.when(F.size("__bad") == 0, F.col("__full")).when(ok, F.col("__cut")).otherwise(other)
+    return r.withColumn("__best", best).withColumn("final_title", X.truncate_words(F.col("__best"), n)).drop("__full", "__bad", "__cut", "__best")
 
 
 def split_text(t: str, n: int = 24) -> list[str]:

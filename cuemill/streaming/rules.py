@@ -65,7 +65,7 @@ def activity_sessions(events: DataFrame, key: str, gap: str = "3 seconds", water
 
 def freshness_alerts(events: DataFrame, hours: int = 48, watermark: str = "1 hour") -> DataFrame:
     """Counts of each source in sliding windows; a source without a row in its last window is stale."""
-    w = F.window("ts", f"{hours} hours", f"{hours // 2} hours").alias("w")
+    w = F.window("ts", f"{hours * 60} minutes", f"{hours * 30} minutes").alias("w")
     return events.withWatermark("ts", watermark).groupBy("source", w).agg(F.count("*").alias("n")).select("source", F.col("w.end").alias("until"), "n")
 
 
