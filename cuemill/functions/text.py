@@ -339,3 +339,16 @@ def normalize_episode(title: Column, status: Column, tags: Column, day: Column)
         kept.alias("tags"),
         F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), day).alias("date"),
     )
+
+
+def copy_reply(raw: Column) -> Column:
+    """(title, descr, tags) of a JSON object in a reply; if it doesn't read, by the names of the next keys. Null without a
+    title."""
+    blob = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
+    strict = F.from_json(blob, "struct<title:string,desc:string,tags:array<string>>")
+    reads = F.try_parse_json(blob).isNotNull()
+    field = lambda a, b: F.trim(F.regexp_extract(blob, rf'(?s)"{a}"\s*:\s*"(.*?)"\s*,\s*"{b}"\s*:', 1))
+    tags = F.regexp_extract_all(F.regexp_extract(blob, r'(?s)"tags"\s*:\s*\[(.*?)\]', 1), F.lit('"([^"]+)"'), F.lit(1))
+    title = F.when(reads, strict["title"]).otherwise(field("title", "desc"))
+    out = F.struct(title.alias("title"), F.when(reads, strict["desc"]).otherwise(field("desc", "tags")).alias("descr"), F.when(reads, strict["tags"]).otherwise(tags).alias("tags"))
+    return F.when(F.coalesce(title, F.lit("")) != "", out)

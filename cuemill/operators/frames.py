@@ -141,3 +141,48 @@ def best_portrait(frames: DataFrame) -> DataFrame:
     return f.groupBy("video_id").agg(
         F.coalesce(F.max_by("frame_no", F.when(F.col("area_pm") > 0, F.struct(value, -F.col("frame_no")))), F.max(F.when(F.col("r") == F.floor(F.col("n") / 2) + 1, F.col("frame_no")))).alias("frame_no")
     )
+
+
+def row_textness(trans: Column, bright: Column) -> Column:
+    return F.coalesce(trans / F.nullif(bright, F.lit(0)), F.lit(0.0))
+
+
+def scan_band(rows: DataFrame, least_text: float = 0.25, least_white: float = 0.99, most_chroma: float = 8.0) -> DataFrame:
+    """(video_id, frame_no, top, reason) of each frame of rows(video_id, frame_no, y, width, height, bright, trans, white,
+    chroma), one a row of the picture: the top of the lowest believable band of white text in the lower half, or why
+    there is none.
+
+    Rows that are bright over 1 to 90 percent of the width and texty enough are joined over small gaps; bands of some
+    height, not too thick, are tried from the lowest up: they must be white and texty as wholes. A band that begins
+    at or above the middle ends the search."""
+    frame = ["video_id", "frame_no"]
+    low = rows.where(F.col("y") >= F.floor(F.col("height") * 0.5))
+    good = (F.col("bright") / F.col("width")).between(0.01, 0.9)
+    low = low.withColumn("lit", good).withColumn("hit", good & (row_textness(F.col("trans"), F.col("bright")) >= least_text))
+    seen = low.groupBy(*frame).agg(F.max("lit").alias("any_lit"), F.max("hit").alias("any_hit"), F.max("height").alias("h"))
+    gap = F.greatest(F.lit(6), F.floor(F.col("height") * 0.07))
+    w = Window.partitionBy(*frame).orderBy("y")
+    hits = low.where("hit").withColumn("new", F.coalesce((F.col("y") - F.lag("y").over(w) > gap).cast("int"), F.lit(1)))
+    hits = hits.withColumn("band", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    bands = hits.groupBy(*frame, "band").agg(F.min("y").alias("first"), F.max("y").alias("last"), F.count("*").alias("n"), F.max("height").alias("height"))
+    bands = bands.where(F.col("n") >= F.greatest(F.lit(3), F.floor(F.col("height") * 0.01)))
+    bands = bands.withColumn("thin", F.col("last") - F.col("first") + 1 <= F.floor(F.col("height") * 0.2))
+    inside = low.select(*frame, "y", "bright", "trans", "white", "chroma").join(bands.where("thin"), frame).where("y BETWEEN first AND last")
+    b = F.nullif(F.sum("bright"), F.lit(0))
+    whole = inside.groupBy(*frame, "band", "first", "last", "height").agg(
+        F.coalesce(F.sum("white") / b, F.lit(0.0)).alias("w"), F.coalesce(F.sum("chroma") / b, F.lit(0.0)).alias("c"), F.coalesce(F.sum("trans") / b, F.lit(0.0)).alias("t")
+    )
+    verdict = (
+        F.when((F.col("w") < least_white) | (F.col("c") >= most_chroma), "band_not_white").when(F.col("t") < least_text, "band_not_texty")
+        .when(F.col("first") <= F.floor(F.col("height") / 2), "band_above_midline").otherwise("")
+    )
+    whole = whole.withColumn("v", verdict).withColumn("ends", F.col("v").isin("", "band_above_midline"))
+    pick = F.struct((~F.col("ends")).alias("o"), F.when(F.col("ends"), -F.col("last")).otherwise(F.col("last")).alias("k"))
+    best = whole.groupBy(*frame).agg(F.min_by(F.struct("v", "first"), pick).alias("r"))  # the lowest that ends it, else the last tried
+    stat = bands.groupBy(*frame).agg(F.count("*").alias("n_bands"))
+    out = seen.join(stat, frame, "left").join(best, frame, "left")
+    reason = (
+        F.when(~F.col("any_lit"), "no_bright_rows").when(~F.col("any_hit"), "no_text_rows").when(F.col("n_bands").isNull(), "no_band")
+        .when(F.col("r").isNull(), "band_too_thick").otherwise(F.nullif(F.col("r.v"), F.lit("")))
+    )
+    return out.select(*frame, F.when(F.col("r.v") == "", F.col("r.first")).alias("top"), reason.alias("reason"))

@@ -317,3 +317,54 @@ def prompt_rows(rows: DataFrame, keys: list[str], order: str, text: str) -> Data
 
 def drop_fillers(tokens: DataFrame, fillers: list[str], tok: str = "tok") -> DataFrame:
     return tokens.where(~F.lower(F.trim(tok)).isin(fillers))
+
+
+def tokens_to_cues(tokens: DataFrame, least: int = 6, most: int = 18, fillers: str = "嗯啊呃哦唉诶") -> DataFrame:
+    """(video_id, cue, start_ms, end_ms, text) of tokens(video_id, seq, tok, start_ms, end_ms): a cue closes after a token
+    that ends in a mark, if it has `least` characters, or at `most`. Leading marks go; cues of fillers alone are left
+    out. Tokens are words; there is no Chinese segmenter."""
+    fold = f"""aggregate(c, named_struct('p', 1, 't', '', 'out', CAST(array() AS ARRAY<INT>)), (a, x) ->
+        if((x.tok RLIKE '[。，！？、；,.!?;]$' AND length(a.t) + length(x.tok) >= {least}) OR length(a.t) + length(x.tok) >= {most},
+           named_struct('p', a.p + 1, 't', '', 'out', array_append(a.out, a.p)),
+           named_struct('p', a.p, 't', concat(a.t, x.tok), 'out', array_append(a.out, a.p))), a -> a.out)"""
+    one = _in_order(tokens, ["video_id"], ["seq"], "tok", "start_ms", "end_ms").withColumn("p", F.expr(fold))
+    flat = one.select("video_id", F.explode(F.arrays_zip("c", "p")).alias("z")).select("video_id", "z.c.*", F.col("z.p").alias("cue"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "tok"))), lambda x: x["tok"]), "")
+    cues = flat.groupBy("video_id", "cue").agg(F.min_by("start_ms", "seq").alias("start_ms"), F.max_by("end_ms", "seq").alias("end_ms"), joined.alias("text"))
+    cues = cues.withColumn("text", F.regexp_replace("text", "^[ 。，！？、；,.!?;]+", ""))
+    return cues.where((F.col("text") != "") & ~F.col("text").rlike(f"^[{fillers}]+$"))
+
+
+def split_long_cue(cues: DataFrame, n: int = 24) -> DataFrame:
+    """(video_id, cue_index, part, start_ms, end_ms, text): texts over n characters cut after sentence marks; neighbours
+    joined again while they fit n; time shared by characters."""
+    pieces = F.regexp_extract_all("text", F.lit(r"([^.!?。！？]*[.!?。！？]+|[^.!?。！？]+$)"), F.lit(1))
+    merged = F.aggregate(
+        pieces,
+        F.array().cast("array<string>"),
+        lambda a, x: F.when((F.size(a) > 0) & (F.length(F.element_at(a, -1)) + F.length(x) <= n), F.array_append(F.slice(a, 1, F.size(a) - 1), F.concat(F.element_at(a, -1), x))).otherwise(F.array_append(a, x)),
+    )
+    parts = F.when((F.length("text") <= n) | (F.size(pieces) == 0), F.array("text")).otherwise(merged)
+    p = cues.withColumn("p", parts).select("*", F.posexplode("p").alias("part", "piece"))
+    before = F.aggregate(F.slice("p", 1, F.col("part")), F.lit(0), lambda a, x: a + F.length(x))
+    whole = F.greatest(F.aggregate("p", F.lit(0), lambda a, x: a + F.length(x)), F.lit(1))
+    span = F.col("end_ms") - F.col("start_ms")
+    lo = F.col("start_ms") + F.floor(span * before / whole)
+    hi = F.col("start_ms") + F.floor(span * (before + F.length("piece")) / whole)
+    return p.select("video_id", "cue_index", "part", lo.alias("s"), hi.alias("e"), F.col("piece").alias("text")).withColumnsRenamed({"s": "start_ms", "e": "end_ms"})
+
+
+def chunk_time_allocation(chunks: DataFrame, chunk_ms: int = 60000, least_ms: int = 500) -> DataFrame:
+    """(video_id, n, start_ms, end_ms, text) of chunks(video_id, chunk, text, total_ms): each chunk's sentences share its
+    time by characters, half a second at least, never past the chunk's end; numbered over the video. Once a chunk's
+    end is reached, later sentences have no length, so running sums cut at the end are right."""
+    s = F.filter(F.regexp_extract_all("text", F.lit(r"([^.!?。！？]*[.!?。！？]+|[^.!?。！？]+$)"), F.lit(1)), lambda x: F.length(F.trim(x)) > 0)
+    c = chunks.withColumn("lo", F.col("chunk") * chunk_ms).withColumn("hi", F.least((F.col("chunk") + 1) * chunk_ms, "total_ms"))
+    c = c.withColumn("s", s).withColumn("chars", F.aggregate("s", F.lit(0), lambda a, x: a + F.length(x)))
+    one = c.select("video_id", "chunk", "lo", "hi", "chars", F.posexplode("s").alias("i", "x"))
+    d = F.greatest(F.lit(least_ms), F.floor((F.col("hi") - F.col("lo")) * F.length("x") / F.col("chars")))
+    w = Window.partitionBy("video_id", "chunk").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    one = one.withColumn("d", d).withColumn("end_ms", F.least(F.col("lo") + F.sum("d").over(w), "hi"))
+    start = F.least(F.col("lo") + F.sum("d").over(w) - F.col("d"), "hi")
+    n = F.row_number().over(Window.partitionBy("video_id").orderBy("chunk", "i"))
+    return one.select("video_id", n.alias("n"), start.alias("start_ms"), "end_ms", F.trim("x").alias("text"))
