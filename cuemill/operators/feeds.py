@@ -19,8 +19,17 @@ def unify_items(*sources: DataFrame) -> DataFrame:
     return out
 
 
+def _pick_row(rows: DataFrame, key: Column, chosen: Column) -> DataFrame:
+    """One row a key; an aggregate, so that a frequent key is reduced before it is shuffled."""
+    return rows.groupBy(key.alias("__k")).agg(chosen.alias("__r")).select("__r.*")
+
+
 def last_wins(batch: DataFrame, key: str, order: str) -> DataFrame:
-    return batch.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("__r = 1").drop("__r")
+    return _pick_row(batch, F.col(key), F.max_by(F.struct(*batch.columns), order))
+
+
+def first_wins(batch: DataFrame, key: Column, order: str) -> DataFrame:
+    return _pick_row(batch, key, F.min_by(F.struct(*batch.columns), order))
 
 
 def upsert_items(items: DataFrame, batch: DataFrame, now: Column, order: str = "pos") -> DataFrame:
@@ -39,8 +48,7 @@ def upsert_items(items: DataFrame, batch: DataFrame, now: Column, order: str = "
 
 def new_items(batch: DataFrame, items: DataFrame, order: str = "pos") -> DataFrame:
     """First occurrences of the batch's ids that items do not have."""
-    first = batch.withColumn("__r", F.row_number().over(Window.partitionBy("id").orderBy(order))).where("__r = 1").drop("__r")
-    return first.join(items.select("id"), "id", "left_anti")
+    return first_wins(batch, F.col("id"), order).join(items.select("id"), "id", "left_anti")
 
 
 def update_extra(items: DataFrame, patch: DataFrame, now: Column) -> DataFrame:
@@ -61,9 +69,13 @@ def merge_seeds(pool: DataFrame, raw: DataFrame) -> DataFrame:
     else added."""
     sid = X.blank_to_null(F.regexp_extract(F.regexp_replace("line", "['\"]", ""), r"(\d{15,25})", 1))
     known = pool.select(F.col("seed_id"), F.lit(True).alias("known")).distinct()
-    r = raw.withColumn("seed_id", sid).join(known, "seed_id", "left")
-    seen = F.row_number().over(Window.partitionBy("seed_id").orderBy("pos")) > 1
-    return r.withColumn("outcome", F.when(F.col("seed_id").isNull(), "invalid").when(F.col("known") | seen, "skipped").otherwise("added")).drop("known")
+    r = raw.withColumn("seed_id", sid)
+    good = r.where("seed_id IS NOT NULL")
+    first = good.groupBy("seed_id").agg(F.min("pos").alias("first"))
+    j = good.join(first, "seed_id").join(known, "seed_id", "left")
+    outcome = F.when(F.col("known") | (F.col("pos") > F.col("first")), "skipped").otherwise("added")
+    judged = j.withColumn("outcome", outcome).select(*r.columns, "outcome")
+    return judged.unionByName(r.where("seed_id IS NULL").withColumn("outcome", F.lit("invalid")))
 
 
 def seed_stats(pool: DataFrame) -> DataFrame:
@@ -121,8 +133,7 @@ def exclude_handled(cands: DataFrame, dispatched: DataFrame, rejected: DataFrame
 
 
 def prefix_dedupe(rows: DataFrame, n: int = 12, order: str = "pos") -> DataFrame:
-    w = Window.partitionBy(F.substring("title", 1, n)).orderBy(order)
-    return rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    return first_wins(rows, F.substring("title", 1, n), order)
 
 
 def title_repeat_flag(rows: DataFrame, batch: str = "batch", order: str = "pos") -> DataFrame:

@@ -5,7 +5,7 @@ items; bad_batches() lists them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuemill.functions import text as X
@@ -26,8 +26,8 @@ def _item(df: DataFrame, id_: Column, source: str, title: Column, url: Column, p
 
 
 def _first(df: DataFrame, key: Column, *order: str) -> DataFrame:
-    w = Window.partitionBy("__k").orderBy(*order)
-    return df.withColumn("__k", key).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__k", "__n")
+    """The first row of each key; an aggregate, so that a frequent key is reduced before it is shuffled."""
+    return df.groupBy(key.alias("__k")).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("__r")).select("__r.*")
 
 
 def bad_batches(raw: DataFrame) -> DataFrame:
