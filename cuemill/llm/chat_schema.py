@@ -227,3 +227,20 @@ def op3_chat_schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = rows.select("conv_id", record.alias("record")).unionByName(extra)
     turns = canonical_turns(records).where("role is not null").select("conv_id", "turn", "role", "text")
     return read_back(format_turns(turns))
+
+
+_ESCAPES = r"len(regexp_extract_all({0}, '\\|###|</turn>{1}'))"
+ORACLE = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(OPEN) + len(END_OF_ROLE) + len(CLOSE) + 1} + length(role) + length(text)
+    + {_ESCAPES.format("role", "|:")} + {_ESCAPES.format("text", "")}) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""

@@ -32,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": simhash_dedup.op4_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op3_chat_schema_fingerprint": chat_schema.ORACLE,
     "op7_topk_no_random_access": topk_nra.ORACLE,
     "op10_license_scan": license_scan.ORACLE,
 }
