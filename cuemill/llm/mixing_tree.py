@@ -84,9 +84,12 @@ def draw_mix(
     blocks are a source's exact quota; the splitting tree deals all quotas out among the shards, and each shard takes
     the next blocks of the permutation. `at` lists the shard of each draw.
 
-    docs needs `source`, `size`, `doc_id`; other columns pass through. Null sources are a source of their own, the
+    docs needs `source`, `size`, `doc_id`; other columns pass through, unless a new one has their name. Null sources are a source of their own, the
     last. Documents of size 0 are drawn as their place says. Repeated rows are drawn one by one in a fixed order of
     equal rows. An empty table gives an empty mix."""
+    others = [c for c in docs.columns if c.lower() not in ("doc_id", "source", "size")]
+    rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None)
+    docs = docs.select("doc_id", "source", "size", rest.alias("__rest"))
     targets = source_targets(docs, share, most, weights)
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block_docs).cast("int"))
     placed = (
@@ -115,9 +118,10 @@ def draw_mix(
     )
     drawn = drawn.withColumn("passes", whole + F.col("__more").cast("int"))
     dealt = _deal(drawn, shards, seed)
-    return drawn.join(dealt, ["rank", "__block"], "left").withColumn(
-        "at", F.when(F.col("__more"), F.col("all_at")).otherwise(F.slice("all_at", 1, F.greatest(whole, F.lit(0))))
-    ).drop("rank", "n", "__h", "__block", "__place", "__before", "__more", "all_at")
+    some = F.slice("all_at", 1, F.greatest(whole, F.lit(0)))
+    out = drawn.join(dealt, ["rank", "__block"], "left").withColumn("at", F.when(F.col("__more"), F.col("all_at")).otherwise(some))
+    new = ["source_size", "target", "passes", "at"]
+    return out.select("doc_id", "source", "size", *[F.col(f"__rest.`{c}`") for c in others if c.lower() not in new], *new)
 
 
 def _deal(drawn: DataFrame, shards: int, seed: int) -> DataFrame:

@@ -112,6 +112,10 @@ def test_mix_near_targets_and_reruns(spark):
 
 
 def test_mix_edges(spark):
+    clash = spark.createDataFrame([(1, "a", 3, 7, 8, "x"), (2, None, 0, 7, 8, "y"), (2, None, 0, 7, 8, "y")], "doc_id int, source string, size bigint, rank int, target int, text string")
+    got = mixing_tree.draw_mix(clash)
+    assert got.columns == ["doc_id", "source", "size", "rank", "text", "source_size", "target", "passes", "at"]
+    assert sorted(map(tuple, got.select("doc_id", "rank", "text", "target", "passes").collect())) == [(1, 7, "x", 4.5, 2), (2, 7, "y", 0.0, 0), (2, 7, "y", 0.0, 0)]
     assert mixing_tree.mix_documents(empty(spark)).count() == 0
     out = mixing_tree.mix_documents(documents(spark))
     assert out.columns == documents(spark).columns and out.count() >= 1
