@@ -25,6 +25,13 @@ def use_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts have 2,000 rows, not Spark's default of 10,000, unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder."""
     use_checkpoints(df.sparkSession)
@@ -62,21 +69,22 @@ def slices(batch: pa.RecordBatch, column: int, size: int = 8 << 20) -> Iterator[
             yield batch.slice(lo, hi - lo)
 
 
-def add_by_text(df: DataFrame, fn: Callable[[], Callable[[list], dict]], text: str, new: str) -> DataFrame:
+def add_by_text(df: DataFrame, fn: Callable[[], Callable[[list], dict]], text: str, new: str, size: int = 8 << 20) -> DataFrame:
     """df with columns worked out from whole texts. fn is called once a task and gives a function from a list of
-    texts (None for null) to the new columns, whose types the DDL string new holds. A new column takes the place of
-    one of the same name."""
+    texts (None for null) to the new columns, whose types the DDL string new holds; it gets texts of about `size` bytes
+    at once. A new column takes the place of one of the same name."""
     added = T.StructType.fromDDL(new)
     names = {f.name.lower() for f in added}
     kept = [f for f in df.schema if f.name.lower() not in names]
     schema = T.StructType([*kept, *added.fields])
     source = hidden_name(df, "text")
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
         score = fn()
-        for batch in (part for whole in batches for part in slices(whole, whole.num_columns - 1)):
+        for batch in (part for whole in batches for part in slices(whole, whole.num_columns - 1, size)):
             out = score(batch.column(batch.num_columns - 1).to_pylist())
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             columns += [pa.array(out[f.name], to_arrow_type(f.dataType)) for f in added]

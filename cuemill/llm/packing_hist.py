@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import sys
 import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ LIMIT = 4096
 END = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a task remembers at once.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Marks that are split from the end of a word before it is looked up.
 MARKS = b".,;:!?%$&*#|"
 #: Parts that each length's pieces are ranked in, so that a very frequent length is no single task.
@@ -45,7 +47,9 @@ class WordEncoder:
         # For words that are lower-case letters in composed form, which the normalizer and splitter leave alone.
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
@@ -59,20 +63,27 @@ class WordEncoder:
                 needed.update(parts[w])
             else:
                 needed.add(w)
-        plain, whole = [], []
+        plain: list[bytes] = []
+        whole: list[bytes] = []
         for w in needed.difference(self.known):
-            t = w.decode()
             if w.isascii():
-                simple = w.isalpha() and w.islower()
+                (plain if w.isalpha() and w.islower() else whole).append(w)
             else:
+                t = w.decode()
                 simple = t.isalpha() and t == t.lower() and unicodedata.is_normalized("NFC", t)
-            (plain if simple else whole).append((w, t))
-        for tokenizer, texts in ((self.plain, plain), (self.whole, whole)):
-            for at in range(0, len(texts), 20_000):
-                some = texts[at : at + 20_000]
-                found = tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)
-                for (w, _), e in zip(some, found, strict=True):
-                    self.known[w] = array("I", e.ids).tobytes()
+                (plain if simple else whole).append(w)
+        for at in range(0, len(plain), 5000):  # words side by side: one encoding, cut by the words its ids belong to
+            some = plain[at : at + 5000]
+            found = self.plain.encode(b" ".join(some).decode(), add_special_tokens=False)
+            own = np.array(found.word_ids)
+            starts = [0, *(4 * (np.nonzero(np.diff(own))[0] + 1)).tolist(), 4 * len(own)]
+            raw = array("I", found.ids).tobytes()
+            self.known.update(zip(some, [raw[a:b] for a, b in zip(starts, starts[1:])], strict=True))
+        for at in range(0, len(whole), 20_000):
+            some = whole[at : at + 20_000]
+            found = self.whole.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            for w, e in zip(some, found, strict=True):
+                self.known[w] = array("I", e.ids).tobytes()
         for w, (stem, marks) in parts.items():
             self.known[w] = self.known[stem] + self.known[marks]
 
@@ -89,7 +100,7 @@ class WordEncoder:
     def _runs(texts: list, size: int = 8 << 20) -> Iterator[list[list[bytes]]]:
         rows, total = [], 0
         for t in texts:
-            raw = (t or "").encode()
+            raw = t.encode() if isinstance(t, str) else t or b""
             rows.append((raw if b"<|" in raw else raw.lower()).split())  # special tokens heed case
             total += len(raw)
             if total >= size:
@@ -99,6 +110,15 @@ class WordEncoder:
             yield rows
 
 
+def word_encoder(name: str = TOKENIZER) -> WordEncoder:
+    """The encoder of this process: a worker keeps what its tasks before have learnt. Results do not depend on it."""
+    memory = sys.modules.setdefault("cuemill_worker_memory", ModuleType("cuemill_worker_memory"))
+    encoders = memory.__dict__.setdefault("encoders", {})
+    if name not in encoders:
+        encoders[name] = WordEncoder(name)
+    return encoders[name]
+
+
 def token_pieces(
     docs: DataFrame, limit: int = LIMIT, tokenizer: str = TOKENIZER, end: int = END, keep_ids: bool = False
 ) -> DataFrame:
@@ -110,12 +130,13 @@ def token_pieces(
     schema += ", ids binary" if keep_ids else ""
     arrow = common.arrow_schema(schema)
     tail = np.array([end], "<u4").tobytes()
+    common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         for batch in (part for whole in batches for part in common.slices(whole, 1)):
             rows: list[tuple] = []
-            encoded = encoder.encode_all(batch.column(1).to_pylist())
+            encoded = encoder.encode_all(batch.column(1).cast(pa.binary()).to_pylist())
             for doc, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 raw = ids + tail
                 n = len(raw) // 4
