@@ -108,7 +108,7 @@ def canonical_turns(records: DataFrame, id_column: str = "conv_id", json_column:
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return records.select(F.col(id_column).cast("bigint"), json_column).mapInArrow(run, schema)
+    return records.select(F.col(id_column).cast("bigint"), json_column).mapInArrow(common.lean(run), schema)
 
 
 # ---- the template
@@ -213,7 +213,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             yield flush()
 
     sorted_ = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return sorted_.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, schema)
+    return sorted_.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(common.lean(run), schema)
 
 
 def op3_chat_schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,6 +69,21 @@ def slices(batch: pa.RecordBatch, column: int, size: int = 8 << 20) -> Iterator[
             yield batch.slice(lo, hi - lo)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, after which a task's memory goes back to the system: Python workers live on for other tasks,
+    and what their allocators keep would add up beside the JVM."""
+
+    def outer(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        import ctypes
+
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return outer
+
+
 def add_by_text(df: DataFrame, fn: Callable[[], Callable[[list], dict]], text: str, new: str, size: int = 8 << 20) -> DataFrame:
     """df with columns worked out from whole texts. fn is called once a task and gives a function from a list of
     texts (None for null) to the new columns, whose types the DDL string new holds; it gets texts of about `size` bytes
@@ -90,7 +105,7 @@ def add_by_text(df: DataFrame, fn: Callable[[], Callable[[list], dict]], text: s
             columns += [pa.array(out[f.name], to_arrow_type(f.dataType)) for f in added]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
-    return df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").alias(source)).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").alias(source)).mapInArrow(lean(run), schema)
 
 
 def fold(column: str, folds: int = 5):

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import heapq
 import itertools
-import sys
 import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
-from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -110,15 +108,6 @@ class WordEncoder:
             yield rows
 
 
-def word_encoder(name: str = TOKENIZER) -> WordEncoder:
-    """The encoder of this process: a worker keeps what its tasks before have learnt. Results do not depend on it."""
-    memory = sys.modules.setdefault("cuemill_worker_memory", ModuleType("cuemill_worker_memory"))
-    encoders = memory.__dict__.setdefault("encoders", {})
-    if name not in encoders:
-        encoders[name] = WordEncoder(name)
-    return encoders[name]
-
-
 def token_pieces(
     docs: DataFrame, limit: int = LIMIT, tokenizer: str = TOKENIZER, end: int = END, keep_ids: bool = False
 ) -> DataFrame:
@@ -133,7 +122,7 @@ def token_pieces(
     common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(tokenizer)
+        encoder = WordEncoder(tokenizer)
         for batch in (part for whole in batches for part in common.slices(whole, 1)):
             rows: list[tuple] = []
             encoded = encoder.encode_all(batch.column(1).cast(pa.binary()).to_pylist())
@@ -147,7 +136,7 @@ def token_pieces(
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(common.lean(run), schema)
 
 
 def shortest_pack_first(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[tuple[int, ...], int]]:
@@ -232,7 +221,7 @@ def pack_pieces(pieces: DataFrame, limit: int = LIMIT, buckets: int = BUCKETS) -
     from pyspark.sql import types as T
 
     out = T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.select(*kept, F.col("length").alias("__l"), F.col("__rank").alias("__r")).mapInArrow(run, out)
+    return ranked.select(*kept, F.col("length").alias("__l"), F.col("__rank").alias("__r")).mapInArrow(common.lean(run), out)
 
 
 def pack_documents(docs: DataFrame, limit: int = LIMIT, tokenizer: str = TOKENIZER, keep_ids: bool = False) -> DataFrame:

@@ -184,7 +184,7 @@ def fingerprint_links(classes: DataFrame, budget: int = 2) -> DataFrame:
                 h = hung[s : s + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(at[h]), pa.array(at[parent[h]])], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return dealt.mapInArrow(common.lean(run), "a bigint, b bigint")
 
 
 def near_duplicate_classes(marked: DataFrame, budget: int = 2, doc_id: str = "doc_id", fp: str = "fp") -> DataFrame:
