@@ -129,9 +129,10 @@ def query(name: str, sql: str | None = None, ctes: str = ""):
     return add
 
 
-def columns(name: str, view: str, keys: str, cols: dict, sql: str):
-    """Register a projection: keys and computed columns of a view; sql is the select list of the computed ones."""
+def columns(name: str, view: str, keys: str, cols: Callable[[], dict], sql: str):
+    """Register a projection: keys and computed columns of a view; sql is the select list of the computed ones. cols is
+    called when the query runs: columns need a session, names don't."""
     names = keys.split()
     query(name, f"SELECT {', '.join(names)}, {sql} FROM {view}")(
-        lambda v: getattr(v, view).select(*names, *[c.alias(k) for k, c in (cols() if callable(cols) else cols).items()])
+        lambda v: getattr(v, view).select(*names, *[c.alias(k) for k, c in cols().items()])
     )

@@ -16,7 +16,7 @@ HMS_D = "concat(lpad(CAST(start_ms//3600000 AS STRING),2,'0'),':',lpad(CAST((sta
 query("p01_hms_to_ms", "SELECT video_id, cue_index, start_ms AS ms FROM cues")(
     lambda v: v.cues.select("video_id", "cue_index", T.hms_to_ms(T.ms_to_srt(c("start_ms"))).alias("ms"))
 )
-columns("p02_ms_to_srt", "cues", "video_id cue_index", {"hms": T.ms_to_hms(c("start_ms")), "srt": T.ms_to_srt(c("start_ms"))},
+columns("p02_ms_to_srt", "cues", "video_id cue_index", lambda: {"hms": T.ms_to_hms(c("start_ms")), "srt": T.ms_to_srt(c("start_ms"))},
         f"{HMS_D}) AS hms, {HMS_D},',',lpad(CAST(start_ms%1000 AS STRING),3,'0')) AS srt")
 query("p03_duration_to_sec", "SELECT event_id, CAST(CASE key % 4 WHEN 0 THEN duration WHEN 1 THEN duration % 60 WHEN 2 THEN duration + 3600 ELSE 0 END AS BIGINT) AS sec FROM items")(
     lambda v: v.items.select("event_id", T.duration_to_sec(
@@ -24,7 +24,7 @@ query("p03_duration_to_sec", "SELECT event_id, CAST(CASE key % 4 WHEN 0 THEN dur
         .when(c("key") % 4 == 1, (c("duration") % 60).cast("string"))
         .when(c("key") % 4 == 2, F.format_string("%d:%02d:%02d", (c("duration") / 3600).cast("int") + 1, (c("duration") / 60).cast("int") % 60, c("duration") % 60))
         .otherwise(F.lit("n/a"))).alias("sec")))
-columns("p04_fmt_duration", "items", "event_id", {"d": T.fmt_duration(c("duration")), "page": T.fmt_duration_page(c("duration"))},
+columns("p04_fmt_duration", "items", "event_id", lambda: {"d": T.fmt_duration(c("duration")), "page": T.fmt_duration_page(c("duration"))},
         "CASE WHEN duration <= 0 THEN '—' ELSE concat(CAST(duration//60 AS STRING),':',lpad(CAST(duration%60 AS STRING),2,'0')) END AS d, "
         "CASE WHEN duration >= 3600 THEN concat(CAST(duration//3600 AS STRING),':',lpad(CAST((duration//60)%60 AS STRING),2,'0'),':',lpad(CAST(duration%60 AS STRING),2,'0')) "
         "ELSE concat(lpad(CAST(duration//60 AS STRING),2,'0'),':',lpad(CAST(duration%60 AS STRING),2,'0')) END AS page")
@@ -36,23 +36,23 @@ query("p06_resolve_relative_date",
     lambda v: v.items.select("event_id", T.resolve_relative_date(
         F.when(c("key") % 4 == 0, F.lit("今天")).when(c("key") % 4 == 1, F.lit("昨天")).when(c("key") % 4 == 2, F.lit("2-05")).otherwise(F.lit("2023-11-07")),
         F.lit("2024-03-10").cast("date")).alias("day")))
-columns("p07_strip_tags", "urls", "page_id", {"text_sha": F.sha2(X.strip_tags(c("html")), 256)}, "sha256(regexp_replace(html, '<[^>]+>', '', 'g')) AS text_sha")
-columns("p08_extract_id", "urls", "page_id", {"bv": X.extract_id(c("media_url"), "bv"), "video": X.extract_id(c("media_url"), "video")},
+columns("p07_strip_tags", "urls", "page_id", lambda: {"text_sha": F.sha2(X.strip_tags(c("html")), 256)}, "sha256(regexp_replace(html, '<[^>]+>', '', 'g')) AS text_sha")
+columns("p08_extract_id", "urls", "page_id", lambda: {"bv": X.extract_id(c("media_url"), "bv"), "video": X.extract_id(c("media_url"), "video")},
         "nullif(regexp_extract(media_url, '(BV\\w+)', 1), '') AS bv, nullif(regexp_extract(media_url, '/video/([^/?#]+)', 1), '') AS video")
-columns("p09_video_id_of", "urls", "page_id", {"vid": X.video_id_of(F.when(c("page_id") % 2 == 0, c("media_url")), F.when(c("page_id") % 3 == 0, c("url")), c("page_id").cast("string"))},
+columns("p09_video_id_of", "urls", "page_id", lambda: {"vid": X.video_id_of(F.when(c("page_id") % 2 == 0, c("media_url")), F.when(c("page_id") % 3 == 0, c("url")), c("page_id").cast("string"))},
         "coalesce(CASE WHEN page_id % 2 = 0 THEN nullif(regexp_extract(media_url, '(BV\\w+)', 1), '') END, CASE WHEN page_id % 3 = 0 THEN split_part(url, '?', 1) END, "
         "CASE WHEN page_id % 2 = 0 THEN media_url END, CAST(page_id AS STRING)) AS vid")
-columns("p10_platform_of", "items", "event_id", {"platform": X.platform_of(F.when(c("key") % 3 == 0, F.lit("Bilibili_Search")).when(c("key") % 3 == 1, F.lit("")).otherwise(c("source")))},
+columns("p10_platform_of", "items", "event_id", lambda: {"platform": X.platform_of(F.when(c("key") % 3 == 0, F.lit("Bilibili_Search")).when(c("key") % 3 == 1, F.lit("")).otherwise(c("source")))},
         "CASE key % 3 WHEN 0 THEN 'bilibili' WHEN 1 THEN 'unknown' ELSE source END AS platform")
-columns("p11_stable_id", "items", "event_id", {"sid": X.stable_id(c("id")), "short": X.stable_id(c("id"), 6)}, "substring(md5(id),1,16) AS sid, substring(md5(id),1,6) AS short")
-columns("p12_make_slug", "urls", "page_id", {"slug": X.make_slug(F.lit("ly"), F.lit("talk"), F.lit("web"), F.when(c("page_id") % 2 == 0, c("media_url")).otherwise(c("url")))},
+columns("p11_stable_id", "items", "event_id", lambda: {"sid": X.stable_id(c("id")), "short": X.stable_id(c("id"), 6)}, "substring(md5(id),1,16) AS sid, substring(md5(id),1,6) AS short")
+columns("p12_make_slug", "urls", "page_id", lambda: {"slug": X.make_slug(F.lit("ly"), F.lit("talk"), F.lit("web"), F.when(c("page_id") % 2 == 0, c("media_url")).otherwise(c("url")))},
         "concat('ly-talk-web-', CASE WHEN page_id % 2 = 0 THEN regexp_extract(media_url, '(BV\\w+)', 1) "
         "WHEN length(regexp_replace(url, '\\D', '', 'g')) >= 10 THEN right(regexp_replace(url, '\\D', '', 'g'), 10) ELSE substring(md5(url),1,8) END) AS slug")
-columns("p13_safe_filename", "titles", "doc_id", {"name": X.safe_filename(F.concat(c("title"), F.lit('?/:*')))},
+columns("p13_safe_filename", "titles", "doc_id", lambda: {"name": X.safe_filename(F.concat(c("title"), F.lit('?/:*')))},
         "coalesce(nullif(trim(substring(trim(regexp_replace(regexp_replace(concat(title, '?/:*'), '[\\\\/:*?\"<>|\\x00-\\x1f]', '', 'g'), '\\s+', ' ', 'g')), 1, 40)), ''), 'video') AS name")
-columns("p15_link_expiry", "urls", "page_id", {"expires": T.link_expiry(c("media_url")), "expired": T.link_expiry(c("media_url")) < 1700300000},
+columns("p15_link_expiry", "urls", "page_id", lambda: {"expires": T.link_expiry(c("media_url")), "expired": T.link_expiry(c("media_url")) < 1700300000},
         "CAST(1700000000 + page_id * 3600 AS BIGINT) AS expires, 1700000000 + page_id * 3600 < 1700300000 AS expired")
-columns("p16_clean_feed_title", "urls", "page_id", {"title": X.clean_feed_title(F.regexp_extract(c("html"), "<title>([^<]*)</title>", 1))},
+columns("p16_clean_feed_title", "urls", "page_id", lambda: {"title": X.clean_feed_title(F.regexp_extract(c("html"), "<title>([^<]*)</title>", 1))},
         "trim(regexp_extract(regexp_extract(html, '<title>([^<]*)</title>', 1), '^[^,_|]*')) AS title")
 query("p18_days_until", "SELECT id, CAST(day - 19800 AS INT) AS days, day - 19800 BETWEEN 0 AND 30 AS upcoming FROM announce")(
     lambda v: v.announce.select("id", T.days_until(F.date_add(F.lit("1970-01-01").cast("date"), c("day").cast("int")), F.date_add(F.lit("1970-01-01").cast("date"), 19800)).alias("days"),
@@ -61,9 +61,9 @@ query("p19_detect_lang", "SELECT video_id, CASE WHEN n >= greatest(4, 0.05 * len
       "(SELECT video_id, CAST(sum(length(regexp_replace(text, '[^éèêàçüöäßñíóáúôîû]', '', 'g'))) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS len FROM cues GROUP BY video_id)")(
     lambda v: v.cues.groupBy("video_id").agg(F.sum(F.length(F.regexp_replace("text", "[^éèêàçüöäßñíóáúôîû]", ""))).alias("n"), F.sum(F.length("text")).alias("len"))
     .select("video_id", F.when(c("n") >= F.greatest(F.lit(4), c("len") * 0.05), "accented").otherwise("plain").alias("lang")))
-columns("p23_fix_terms", "titles", "doc_id", {"fixed": X.fix_terms(c("title"), [("the", "a"), ("er", "ER"), ("a ", "an ")])},
+columns("p23_fix_terms", "titles", "doc_id", lambda: {"fixed": X.fix_terms(c("title"), [("the", "a"), ("er", "ER"), ("a ", "an ")])},
         "replace(replace(replace(title, 'the', 'a'), 'er', 'ER'), 'a ', 'an ') AS fixed")
-columns("p24_clean_reply", "titles", "doc_id", {"reply": X.clean_reply(F.concat(F.lit("<think>hm\nhm</think>\n```json\n"), c("title"), F.lit("\n```")))}, "trim(title) AS reply")
+columns("p24_clean_reply", "titles", "doc_id", lambda: {"reply": X.clean_reply(F.concat(F.lit("<think>hm\nhm</think>\n```json\n"), c("title"), F.lit("\n```")))}, "trim(title) AS reply")
 query("p25_parse_numbered_lines", "SELECT video_id, cue_index AS n, trim(text) AS line FROM cues WHERE length(trim(text)) > 0 AND text NOT LIKE concat('%', chr(10), '%')")(
     lambda v: v.cues.where("length(trim(text)) > 0 AND instr(text, '\n') = 0").groupBy("video_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cue_index", "text"))), lambda x: F.concat(x["cue_index"].cast("string"), F.lit(". "), x["text"])), "\n").alias("reply"))
@@ -79,16 +79,16 @@ query("p28_cache_key", "SELECT event_id, sha256(concat('m', chr(10), 'u', chr(10
 query("p29_number_tokens", "SELECT event_id, CASE WHEN duration % 100 = key % 100 THEN concat('N:', CAST(CAST(duration % 100 AS DOUBLE) AS STRING), '|PCT:', CAST(CAST(key AS DOUBLE) AS STRING)) "
       "ELSE concat('N:', CAST(CAST(duration % 100 AS DOUBLE) AS STRING), '|PCT:', CAST(CAST(key AS DOUBLE) AS STRING)) END AS tokens FROM items")(
     lambda v: v.items.select("event_id", F.array_join(X.number_tokens(F.format_string("up %d%% in %d years", "key", c("duration") % 100)), "|").alias("tokens")))
-columns("p31_title_residue_ok", "titles", "doc_id", {"ok": X.title_residue_ok(F.concat(c("title"), F.when(c("doc_id") % 3 == 0, ",").when(c("doc_id") % 3 == 1, " (x").otherwise("")), F.lit(False))},
+columns("p31_title_residue_ok", "titles", "doc_id", lambda: {"ok": X.title_residue_ok(F.concat(c("title"), F.when(c("doc_id") % 3 == 0, ",").when(c("doc_id") % 3 == 1, " (x").otherwise("")), F.lit(False))},
         "doc_id % 3 = 2 AND NOT regexp_matches(title, '[,，、:：]{2,}|[,，、:：\\-—|｜(（《「]\\s*$|\\(\\s*\\)') AND (length(title) - length(replace(title, '\"', ''))) % 2 = 0 "
         "AND length(replace(title, '(', '')) = length(replace(title, ')', '')) AND length(regexp_replace(title, '[\\s\\p{P}]', '', 'g')) >= 2 AS ok")
-columns("p32_title_has_speaker", "titles", "doc_id", {"has": X.title_has_speaker(c("title"), F.lit("Ray·the"))}, "(title LIKE '%Ray·the%' OR title LIKE '%Ray%' OR title LIKE '%the%') AS has")
+columns("p32_title_has_speaker", "titles", "doc_id", lambda: {"has": X.title_has_speaker(c("title"), F.lit("Ray·the"))}, "(title LIKE '%Ray·the%' OR title LIKE '%Ray%' OR title LIKE '%the%') AS has")
 query("p33_truncate_words", "SELECT doc_id, CASE WHEN length(title) <= 24 THEN title ELSE coalesce(nullif(regexp_replace(f.t, '[\\s,，、:：;；\\-]+$', ''), ''), substring(title, 1, 24)) END AS short FROM titles LEFT JOIN f USING (doc_id)",
       ctes="w AS (SELECT doc_id, unnest(string_split(title, ' ')) AS w, generate_subscripts(string_split(title, ' '), 1) AS i FROM titles), "
       "r AS (SELECT doc_id, i, sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n, w FROM w), "
       "f AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t FROM r WHERE n <= 24 GROUP BY doc_id)")(
     lambda v: v.titles.select("doc_id", X.truncate_words(c("title"), 24).alias("short")))
-columns("p34_clean_title", "titles", "doc_id", {"title2": X.clean_title(F.concat("title", F.lit("  "), "title"))["title"], "warned": F.array_join(X.clean_title(F.concat("title", F.lit("  "), "title"))["warnings"], ",")},
+columns("p34_clean_title", "titles", "doc_id", lambda: {"title2": X.clean_title(F.concat("title", F.lit("  "), "title"))["title"], "warned": F.array_join(X.clean_title(F.concat("title", F.lit("  "), "title"))["warnings"], ",")},
         "substring(trim(regexp_replace(concat(title, '  ', title), '\\s+', ' ', 'g')), 1, 80) AS title2, "
         "CASE WHEN length(trim(regexp_replace(concat(title, '  ', title), '\\s+', ' ', 'g'))) > 80 THEN 'truncated' WHEN length(trim(regexp_replace(concat(title, '  ', title), '\\s+', ' ', 'g'))) > 25 THEN 'long' "
         "WHEN trim(title) = '' THEN 'empty' ELSE '' END AS warned")
@@ -98,36 +98,36 @@ query("p36_build_desc", "SELECT doc_id, concat(CASE WHEN length(title) > 25 THEN
       "CASE WHEN 250 - (CASE WHEN length(title) > 25 THEN length(title) + 2 ELSE 0 END) - length(batch) - 15 - 2 > 0 THEN concat(substring(text, 1, 250 - (CASE WHEN length(title) > 25 THEN length(title) + 2 ELSE 0 END) - length(batch) - 15 - 2), chr(10), chr(10)) ELSE '' END, "
       "'1:00', chr(10), chr(10), batch, chr(10), chr(10), 'no adv.') AS descr FROM titles WHERE text <> ''")(
     lambda v: v.titles.where("text <> ''").select("doc_id", X.build_desc(c("text"), c("batch"), c("title"), F.lit("1:00"), "no adv.").alias("descr")))
-columns("p37_assign_partition", "titles", "doc_id", {"tid": X.assign_partition(F.when(c("doc_id") % 3 == 0, F.lit("芯片")).when(c("doc_id") % 3 == 1, F.lit("科技与股票")), c("lang"))}, "CASE WHEN doc_id % 3 = 0 THEN 188 ELSE 207 END AS tid")
-columns("p38_classify_media", "titles", "doc_id", {"kind": X.classify_media(c("title"), c("doc_id") * 20000, [("ing", "talk"), ("sch", "de")])},
+columns("p37_assign_partition", "titles", "doc_id", lambda: {"tid": X.assign_partition(F.when(c("doc_id") % 3 == 0, F.lit("芯片")).when(c("doc_id") % 3 == 1, F.lit("科技与股票")), c("lang"))}, "CASE WHEN doc_id % 3 = 0 THEN 188 ELSE 207 END AS tid")
+columns("p38_classify_media", "titles", "doc_id", lambda: {"kind": X.classify_media(c("title"), c("doc_id") * 20000, [("ing", "talk"), ("sch", "de")])},
         "CASE WHEN title LIKE '%ing%' THEN 'talk' WHEN title LIKE '%sch%' THEN 'de' WHEN doc_id * 20000 < 5242880 THEN 'short' ELSE 'other' END AS kind")
-columns("p39_ends_sentence", "cues", "video_id cue_index", {"ends": X.ends_sentence(F.concat(c("text"), F.lit('" ')))}, "regexp_matches(regexp_replace(text, '[\"'' )\\]}]+$', ''), '[.!?;。！？；、]$') AS ends")
-columns("p40_human_size", "items", "event_id", {"size": T.human_size(c("key") * 1024)}, "CASE WHEN key = 0 THEN '0.0 B' ELSE concat(CAST(key AS STRING), '.0 KB') END AS size")
-columns("p41_strip_asr_tags", "titles", "doc_id", {"t": X.strip_asr_tags(F.concat(F.lit("<|zh|>"), c("title"), F.lit("<|end|>")))}, "regexp_replace(title, '<\\|[^|]*\\|>', '', 'g') AS t")
-columns("p42_content_hash", "titles", "doc_id", {"h": X.content_hash(F.when(c("doc_id") % 4 > 0, c("text")))}, "CASE WHEN doc_id % 4 > 0 THEN sha256(text) ELSE '' END AS h")
-columns("p43_has_digit_or_percent", "titles", "doc_id", {"d": X.has_digit_or_percent(c("title"))}, "regexp_matches(title, '[0-9%]') AS d")
+columns("p39_ends_sentence", "cues", "video_id cue_index", lambda: {"ends": X.ends_sentence(F.concat(c("text"), F.lit('" ')))}, "regexp_matches(regexp_replace(text, '[\"'' )\\]}]+$', ''), '[.!?;。！？；、]$') AS ends")
+columns("p40_human_size", "items", "event_id", lambda: {"size": T.human_size(c("key") * 1024)}, "CASE WHEN key = 0 THEN '0.0 B' ELSE concat(CAST(key AS STRING), '.0 KB') END AS size")
+columns("p41_strip_asr_tags", "titles", "doc_id", lambda: {"t": X.strip_asr_tags(F.concat(F.lit("<|zh|>"), c("title"), F.lit("<|end|>")))}, "regexp_replace(title, '<\\|[^|]*\\|>', '', 'g') AS t")
+columns("p42_content_hash", "titles", "doc_id", lambda: {"h": X.content_hash(F.when(c("doc_id") % 4 > 0, c("text")))}, "CASE WHEN doc_id % 4 > 0 THEN sha256(text) ELSE '' END AS h")
+columns("p43_has_digit_or_percent", "titles", "doc_id", lambda: {"d": X.has_digit_or_percent(c("title"))}, "regexp_matches(title, '[0-9%]') AS d")
 query("p44_format_provenance", "SELECT batch, count(*) AS n, sha256(string_agg(concat(CAST(doc_id AS STRING), ' ', title), chr(10) ORDER BY doc_id)) AS notes FROM titles GROUP BY batch")(
     lambda v: v.titles.groupBy("batch").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "title"))), lambda x: F.concat(x["doc_id"].cast("string"), F.lit(" "), x["title"])), "\n"), 256).alias("notes")))
 query("p45_normalize_episode", "SELECT event_id, CASE WHEN key % 3 = 0 THEN 'untitled' ELSE id END AS title, CASE WHEN key % 2 = 0 THEN 'pending' ELSE 'done' END AS status, source AS tags, CASE WHEN key % 2 = 0 THEN '2024-01-02' END AS date FROM items")(
     lambda v: v.items.select("event_id", X.normalize_episode(F.when(c("key") % 3 == 0, F.lit("  ")).otherwise(c("id")), F.when(c("key") % 2 == 0, F.lit("")).otherwise(F.lit(" done")), F.array(F.lit(" "), c("source")),
         F.when(c("key") % 2 == 0, F.lit("2024-01-02")).otherwise(F.lit("soon"))).alias("e")).select("event_id", "e.title", "e.status", F.array_join("e.tags", ",").alias("tags"), "e.date"))
-columns("p46_classify_failure", "items", "event_id", {"kind": X.classify_failure(F.when(c("key") % 5 == 0, 404).when(c("key") % 5 == 1, 403).when(c("key") % 5 == 2, 429).cast("int"), F.when(c("key") % 5 == 3, F.lit("please Sign in")))},
+columns("p46_classify_failure", "items", "event_id", lambda: {"kind": X.classify_failure(F.when(c("key") % 5 == 0, 404).when(c("key") % 5 == 1, 403).when(c("key") % 5 == 2, 429).cast("int"), F.when(c("key") % 5 == 3, F.lit("please Sign in")))},
         "CASE key % 5 WHEN 0 THEN 'fatal_gone' WHEN 1 THEN 'fatal_request' WHEN 2 THEN 'retryable' WHEN 3 THEN 'login_wall' ELSE 'retryable_unknown' END AS kind")
 query("p47_redact_record_lines", "SELECT doc_id, concat(title, chr(10), CASE WHEN doc_id % 2 = 0 THEN '[redacted]' ELSE concat('a', chr(9), 'b') END, chr(10), 'z') AS log FROM titles")(
     lambda v: v.titles.select("doc_id", X.redact_record_lines(F.concat(c("title"), F.lit("\n"), F.when(c("doc_id") % 2 == 0, F.lit("k\ta\tb\\tc\td\te")).otherwise(F.lit("a\tb")), F.lit("\nz"))).alias("log")))
-columns("p49_brand_title", "titles", "doc_id", {"t": X.brand_title(c("title"), "Talks")}, "concat(substring(title, 1, 40), '｜Talks') AS t")
+columns("p49_brand_title", "titles", "doc_id", lambda: {"t": X.brand_title(c("title"), "Talks")}, "concat(substring(title, 1, 40), '｜Talks') AS t")
 columns("f15_subtitle_plan", "items", "event_id", lambda: {"action": X.subtitle_plan(c("key") % 2 == 0, c("key") % 3 > 0, c("key") % 5 > 0, F.when(c("key") % 4 == 0, F.array(F.lit("English"))).otherwise(F.array(F.lit("中文"))), c("key") % 7 > 0, F.lit(0.8))["action"]},
         "CASE WHEN key % 2 <> 0 OR key % 3 = 0 OR key % 5 = 0 OR key % 7 = 0 THEN 'burn_bilingual' WHEN key % 4 = 0 THEN 'burn_zh_only' ELSE 'skip_subtitle' END AS action")
-columns("f17_video_compliance", "items", "event_id", {"warn": F.array_join(X.video_compliance(c("duration"), c("key") * 2, F.when(c("key") % 3 > 0, c("key") + 200)), ",")},
+columns("f17_video_compliance", "items", "event_id", lambda: {"warn": F.array_join(X.video_compliance(c("duration"), c("key") * 2, F.when(c("key") % 3 > 0, c("key") + 200)), ",")},
         "concat_ws(',', CASE WHEN duration > 900 THEN 'warn:long' END, CASE WHEN key % 3 = 0 OR key + 200 < 360 THEN 'reject:height' END, "
         "CASE WHEN (key % 3 = 0 AND key * 2 < 720) OR (key % 3 > 0 AND least(key * 2, key + 200) < 720) THEN 'warn:resolution' END) AS warn")
-columns("t03_source_score", "items", "event_id", {"score": X.source_score(F.when(c("key") % 3 == 0, F.lit("xueqiu_a")).when(c("key") % 3 == 1, F.lit("bilibili_search")).otherwise(c("source")))}, "CASE key % 3 WHEN 0 THEN 30 WHEN 1 THEN 15 ELSE 10 END AS score")
-columns("t04_title_score", "titles", "doc_id", {"score": X.title_score(c("title"), "The", ("ing", "tion"), ("en", "ER"), ("sch",))},
+columns("t03_source_score", "items", "event_id", lambda: {"score": X.source_score(F.when(c("key") % 3 == 0, F.lit("xueqiu_a")).when(c("key") % 3 == 1, F.lit("bilibili_search")).otherwise(c("source")))}, "CASE key % 3 WHEN 0 THEN 30 WHEN 1 THEN 15 ELSE 10 END AS score")
+columns("t04_title_score", "titles", "doc_id", lambda: {"score": X.title_score(c("title"), "The", ("ing", "tion"), ("en", "ER"), ("sch",))},
         "CASE WHEN lower(title) LIKE '%ing%' OR lower(title) LIKE '%tion%' THEN 10 ELSE 0 END + CASE WHEN regexp_matches(title, '\\d') THEN 8 ELSE 0 END + CASE WHEN lower(title) LIKE '%en%' THEN 4 ELSE 0 END "
         "+ CASE WHEN lower(title) LIKE '%er%' THEN 4 ELSE 0 END + CASE WHEN lower(title) LIKE 'the%' THEN 5 ELSE 0 END - CASE WHEN lower(title) LIKE '%sch%' THEN 15 ELSE 0 END AS score")
-columns("t05_freshness_score", "items", "event_id", {"score": X.freshness_score(F.when(c("key") % 9 > 0, (F.lit(1706000000) - c("publish_s")) / 3600))},
+columns("t05_freshness_score", "items", "event_id", lambda: {"score": X.freshness_score(F.when(c("key") % 9 > 0, (F.lit(1706000000) - c("publish_s")) / 3600))},
         "CASE WHEN key % 9 = 0 THEN 5 WHEN 1706000000 < publish_s THEN 20 WHEN 1706000000 - publish_s <= 86400 THEN 15 WHEN 1706000000 - publish_s <= 259200 THEN 10 WHEN 1706000000 - publish_s <= 604800 THEN 5 ELSE 0 END AS score")
-columns("t06_duration_score", "items", "event_id", {"score": X.duration_score(c("duration"))},
+columns("t06_duration_score", "items", "event_id", lambda: {"score": X.duration_score(c("duration"))},
         "CASE WHEN duration BETWEEN 120 AND 600 THEN 10 WHEN duration > 600 AND duration <= 1200 THEN 8 WHEN duration >= 60 AND duration < 120 THEN 2 ELSE 0 END AS score")
 query("g03_title_similarity", "SELECT doc_id, round(CASE WHEN a = '' OR b IS NULL OR b = '' THEN 0 ELSE len(list_filter(string_split(a, ''), lambda x: contains(b, x))) / greatest(length(a), length(b)) END, 6) AS sim FROM "
       "(SELECT doc_id, substring(title, 1, 20) AS a, substring(lag(title) OVER (PARTITION BY batch ORDER BY doc_id), 1, 20) AS b FROM titles)")(

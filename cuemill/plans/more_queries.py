@@ -15,11 +15,11 @@ from .transcript_queries import OVER
 
 c = F.col
 
-columns("p14_strip_relative_prefix", "titles", "doc_id", {"t": X.strip_relative_prefix(F.concat(F.lit("abc 5分钟前 "), c("title")))}, "CASE WHEN trim(title) = '' THEN concat('abc 5分钟前 ', title) ELSE trim(title) END AS t")
+columns("p14_strip_relative_prefix", "titles", "doc_id", lambda: {"t": X.strip_relative_prefix(F.concat(F.lit("abc 5分钟前 "), c("title")))}, "CASE WHEN trim(title) = '' THEN concat('abc 5分钟前 ', title) ELSE trim(title) END AS t")
 query("p17_meeting_fields", "SELECT id, CAST(DATE '1970-01-01' + CAST(day AS INTEGER) AS DATE) AS meeting_date, concat('hall ', CAST(id AS STRING)) AS place FROM announce")(
     lambda v: v.announce.withColumn("d", F.date_add(F.lit("1970-01-01").cast("date"), c("day").cast("int"))).select("id", S.meeting_fields(F.concat(F.date_format("d", "yyyy年M月d日"), F.lit(" 会议地点：hall "), c("id").cast("string"))).alias("m"))
     .select("id", "m.meeting_date", "m.place"))
-columns("p20_convert_script", "titles", "doc_id", {"t": cjk.convert_script(c("title"), {"e": "E", "h": "H"}, ("the",))}, "replace(replace(replace(replace(title, 'the', chr(57344)), 'e', 'E'), 'h', 'H'), chr(57344), 'the') AS t")
+columns("p20_convert_script", "titles", "doc_id", lambda: {"t": cjk.convert_script(c("title"), {"e": "E", "h": "H"}, ("the",))}, "replace(replace(replace(replace(title, 'the', chr(57344)), 'e', 'E'), 'h', 'H'), chr(57344), 'the') AS t")
 query("p21_normalize_cjk_punct", "SELECT doc_id, concat('好，', CAST(doc_id AS STRING), '！') AS t FROM titles")(
     lambda v: v.titles.select("doc_id", cjk.normalize_cjk_punct(F.concat(F.lit("好, "), c("doc_id").cast("string"), F.lit(" !!"))).alias("t")))
 query("p22_normalize_cues", "SELECT video_id, cue_index, trim(text, ' ' || chr(10) || chr(9)) AS text, trim(text, ' ' || chr(10) || chr(9)) <> text AS changed FROM cues")(

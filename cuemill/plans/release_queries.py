@@ -43,12 +43,15 @@ def episodes(v):
     return v.queue.select((c("slug") % 20).alias("batch"), "slug", "id", day.alias("date"), (c("status") == "F").alias("published"))
 
 
-TODAY = F.lit("1997-01-01").cast("date")
+def today():
+    return F.lit("1997-01-01").cast("date")
+
+
 HERO = "h AS (SELECT batch, id FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY CASE WHEN date = DATE '1997-01-01' THEN 0 WHEN date > DATE '1997-01-01' THEN 1 WHEN date IS NOT NULL THEN 2 ELSE 3 END, coalesce(abs(date_diff('day', DATE '1997-01-01', date)), 0), id) AS r FROM e WHERE NOT published) WHERE r = 1)"
 query("t12_sort_episodes", "SELECT batch, id, CAST(row_number() OVER (PARTITION BY batch ORDER BY date ASC NULLS LAST, slug, id) AS INTEGER) AS pos FROM e", ctes=EPS)(lambda v: R.sort_episodes(episodes(v)).select("batch", "id", "pos"))
-query("t13_hero_pick", "SELECT batch, id FROM h", ctes=f"{EPS}, {HERO}")(lambda v: R.hero_pick(episodes(v), TODAY))
+query("t13_hero_pick", "SELECT batch, id FROM h", ctes=f"{EPS}, {HERO}")(lambda v: R.hero_pick(episodes(v), today()))
 query("t14_past_upcoming", "SELECT e.batch, e.id, CASE WHEN date < DATE '1997-01-01' THEN 'past' ELSE 'upcoming' END AS part FROM e WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.batch = e.batch AND h.id = e.id)", ctes=f"{EPS}, {HERO}")(
-    lambda v: R.past_upcoming(episodes(v), TODAY, R.hero_pick(episodes(v), TODAY)).select("batch", "id", "part"))
+    lambda v: R.past_upcoming(episodes(v), today(), R.hero_pick(episodes(v), today())).select("batch", "id", "part"))
 
 query("a01_count_by", "SELECT source, lang, count(*) AS n FROM documents GROUP BY ROLLUP (source, lang)")(lambda v: Q.count_by(v.documents, "source", "lang"))
 query("a02_link_health", "SELECT source, count(*) AS total, count(*) FILTER (WHERE key % 3 > 0) AS n_ok, CAST(coalesce(sum(CASE WHEN key % 3 > 0 THEN duration END), 0) AS BIGINT) AS ok_bytes FROM items GROUP BY ROLLUP (source)")(
