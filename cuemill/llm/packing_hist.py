@@ -20,7 +20,7 @@ LIMIT = 4096
 END = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a task remembers at once.
-REMEMBERED = 300_000
+REMEMBERED = 320_000
 #: Marks that are split from the end of a word before it is looked up.
 MARKS = b".,;:!?%$&*#|"
 #: Parts that each length's pieces are ranked in, so that a very frequent length is no single task.
@@ -76,7 +76,7 @@ class WordEncoder:
             own = np.array(found.word_ids)
             starts = [0, *(4 * (np.nonzero(np.diff(own))[0] + 1)).tolist(), 4 * len(own)]
             raw = array("I", found.ids).tobytes()
-            self.known.update(zip(some, [raw[a:b] for a, b in zip(starts, starts[1:])], strict=True))
+            self.known.update(zip(some, (raw[a:b] for a, b in zip(starts, starts[1:])), strict=True))
         for at in range(0, len(whole), 20_000):
             some = whole[at : at + 20_000]
             found = self.whole.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
@@ -89,13 +89,13 @@ class WordEncoder:
         """Each text's ids as little-endian 32-bit numbers; null is empty."""
         for rows in self._runs(texts):
             if len(self.known) > REMEMBERED:  # those learnt first stay: they are the most frequent
-                self.known = dict(itertools.islice(self.known.items(), REMEMBERED // 4))
+                self.known = dict(itertools.islice(self.known.items(), REMEMBERED // 2))
             self.learn(set().union(*rows).difference(self.known))
             for r in rows:
                 yield b"".join(map(self.known.__getitem__, r))
 
     @staticmethod
-    def _runs(texts: list, size: int = 8 << 20) -> Iterator[list[list[bytes]]]:
+    def _runs(texts: list, size: int = 2 << 20) -> Iterator[list[list[bytes]]]:
         rows, total = [], 0
         for t in texts:
             raw = t.encode() if isinstance(t, str) else t or b""
@@ -123,7 +123,7 @@ def token_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer)
-        for batch in (part for whole in batches for part in common.slices(whole, 1)):
+        for batch in (part for whole in batches for part in common.slices(whole, 1, 2 << 20)):
             rows: list[tuple] = []
             encoded = encoder.encode_all(batch.column(1).cast(pa.binary()).to_pylist())
             for doc, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
