@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .packing_hist import TOKENIZER, WordEncoder
@@ -19,11 +20,13 @@ from .packing_hist import TOKENIZER, WordEncoder
 STEP, WIDTH, CLASSES = 8, 16, 32
 #: Ids with rows of their own in the model; the rest share one. One id more stands for the start.
 IDS = 2048
-#: Share of the training documents that the attention weights are trained on, copies trained side by side on shards
-#: of them, and rounds after each of which the copies are averaged.
-RATE, TRAINERS, ROUNDS = 64, 8, 2
-#: Frequent words whose counts every task holds. All others go by shuffles, however many there are.
-FREQUENT = 32768
+#: All training documents train the attention weights: copies trained side by side on shards of them, this many if each
+#: gets some 2 ** 16 ids and more where one would get over TRAINER_IDS, and rounds over all after each of which the
+#: copies are averaged.
+TRAINERS, TRAINER_IDS, ROUNDS = 8, 1 << 22, 2
+#: Frequent words whose counts every task holds, and one in how many training documents they are looked for in, which
+#: bears on speed alone. All others go by shuffles, however many there are.
+FREQUENT, FREQUENT_RATE = 32768, 64
 #: Parts that words are dealt into, at least.
 PARTS = 192
 VOCABULARY = 49408
@@ -204,42 +207,87 @@ def _ids(encoder: WordEncoder, texts: list) -> list[np.ndarray]:
     return [np.frombuffer(raw, "<u4").astype(np.int64) for raw in encoder.encode_all(texts)]
 
 
-def train_attention(sample: DataFrame, tokenizer: str = TOKENIZER, trainers: int = TRAINERS, rounds: int = ROUNDS) -> AttentionModel:
-    """Model trained on all of sample(doc_id, text): counts of ids and of pairs by one pass; then, in each round, every
-    shard trains a copy over its texts and the copies are averaged by ids seen. The driver gets one set of weights of
-    fixed size a shard. An empty sample leaves the model untrained, which is a model all the same."""
-    tables = _id_tables(sample, tokenizer)
+def encode(rows: DataFrame, frequent: list[bytes], tokenizer: str = TOKENIZER) -> DataFrame:
+    """Checkpointed rows(doc_id, key, train, n_tokens, words, ids) of rows(doc_id, text, key, train): each text is
+    tokenized once for all passes. words: numbers of its frequent words; both are little-endian 16-bit numbers."""
+    shared = rows.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(frequent)})
+
+    def start():
+        place, encoder = shared.value.get, WordEncoder(tokenizer)
+
+        def work(texts: list) -> dict:
+            size, some = [], []
+            for t in texts:
+                words = (t or "").encode().lower().split()
+                at = np.fromiter(map(place, words, repeat(-1)), np.int64, len(words))
+                size.append(len(words) + 1)
+                some.append(at[at >= 0].astype("<u2").tobytes())
+            return {"n_tokens": size, "words": some, "ids": [x.astype("<u2").tobytes() for x in _ids(encoder, texts)]}
+
+        return work
+
+    texts = rows.select("doc_id", "key", "train", F.col("text").alias("ids"))
+    return common.cut(common.add_by_text(texts, start, "ids", "n_tokens bigint, words binary, ids binary", 4 << 20))
+
+
+def _numbers(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(raw, "<u2").astype(np.int64) for raw in column.to_pylist()]
+
+
+def train_attention(encoded: DataFrame, trainers: int = TRAINERS, rounds: int = ROUNDS) -> AttentionModel:
+    """Model trained on all of encoded(key, ids): counts of ids and of pairs; then, in each round, every shard trains a
+    copy over its texts and the copies are averaged by ids seen, in tasks: the driver gets one sum of fixed size. The
+    number of shards grows with the ids. Without texts the model is untrained, which is a model all the same."""
+    tables = _id_tables(encoded)
     model = new_model(*tables)
     shape = {k: v.shape for k, v in model.p.items()}
-    spark = sample.sparkSession
-    dealt = common.cut(sample.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(trainers)).alias("shard")))
+    spark = encoded.sparkSession
+    total = int(tables[0].sum())
+    trainers = max(1, min(trainers, total >> 16), -(-total // TRAINER_IDS))
+    dealt = encoded.select(F.pmod(F.xxhash64(F.lit(29), "key"), F.lit(trainers)).alias("shard"), "key", "ids")
+    dealt = dealt.repartition(trainers, "shard").sortWithinPartitions("shard", "key").select("shard", "ids")
+    chunk = 4096
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((model.place, model.kind, model.inside, model.p))
 
+        def sent(trainer: Trainer | None) -> Iterator[pa.RecordBatch]:
+            if trainer is not None and trainer.seen:
+                flat = np.concatenate([trainer.model.p[k].ravel() for k in shape]).astype(np.float64) * trainer.seen
+                cut = [flat[at : at + chunk].tobytes() for at in range(0, len(flat), chunk)]
+                yield pa.RecordBatch.from_pydict({"chunk": list(range(len(cut))), "seen": [trainer.seen] * len(cut), "weights": cut})
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import copy
 
-            copies: dict[int, Trainer] = {}
-            encoder = WordEncoder(tokenizer)
+            trainer, own = None, -1
+            for batch in (part for whole in batches for part in common.slices(whole, 1)):
+                shards, texts = batch.column(0).to_numpy(), _numbers(batch.column(1))
+                edges = [0, *(np.nonzero(np.diff(shards))[0] + 1).tolist(), len(texts)]
+                for lo, hi in zip(edges, edges[1:], strict=False):
+                    if shards[lo] != own:
+                        yield from sent(trainer)
+                        trainer, own = Trainer(AttentionModel(*copy.deepcopy(shared.value))), shards[lo]
+                    for at in range(lo, hi, 256):
+                        trainer.learn(texts[at : min(at + 256, hi)])
+            yield from sent(trainer)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: dict[int, int] = {}
+            total: dict[int, np.ndarray] = {}
             for batch in batches:
-                shards = batch.column(1).to_numpy()
-                for s in np.unique(shards).tolist():
-                    texts = batch.column(0).filter(pa.array(shards == s)).to_pylist()
-                    if s not in copies:
-                        copies[s] = Trainer(AttentionModel(*copy.deepcopy(shared.value)))
-                    for at in range(0, len(texts), 256):
-                        copies[s].learn(_ids(encoder, texts[at : at + 256]))
-            for s, trainer in sorted(copies.items()):
-                flat = np.concatenate([trainer.model.p[k].ravel() for k in shape]).astype("<f4").tobytes()
-                yield pa.RecordBatch.from_pydict({"shard": [s], "seen": [trainer.seen], "weights": [flat]})
-
-        got = dealt.repartition(trainers, "shard").select("text", "shard").mapInArrow(common.lean(run), "shard bigint, seen bigint, weights binary")
-        parts = sorted((r["shard"], r["seen"], bytes(r["weights"])) for r in got.collect() if r["seen"])
+                for c, n, w in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                    seen[c] = seen.get(c, 0) + n
+                    total[c] = total.get(c, 0) + np.frombuffer(w, np.float64)
+            for c in sorted(total):
+                yield pa.RecordBatch.from_pydict({"chunk": [c], "seen": [seen[c]], "weights": [total[c].tobytes()]})
+
+        what = "chunk bigint, seen bigint, weights binary"
+        got = dealt.mapInArrow(common.lean(run), what).repartition(TRAINERS, "chunk").mapInArrow(add, what)
+        parts = sorted((r["chunk"], r["seen"], bytes(r["weights"])) for r in got.collect())
         shared.unpersist()
         if not parts:
             break
-        total = sum(n for _, n, _ in parts)
-        mean = sum(np.frombuffer(w, "<f4").astype(np.float64) * (n / total) for _, n, w in parts)
+        mean = np.concatenate([np.frombuffer(w, np.float64) / n for _, n, w in parts])
         at = 0
         for k, s in shape.items():
             size = int(np.prod(s))
@@ -248,37 +296,31 @@ def train_attention(sample: DataFrame, tokenizer: str = TOKENIZER, trainers: int
     return model
 
 
-def _id_tables(sample: DataFrame, tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of each id, and of the rows after each of the CLASSES - 1 most frequent ids (the last column: others)."""
+def _id_tables(encoded: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of each id, and of the rows after each of the CLASSES - 1 most frequent ids (the last column: others),
+    over all of encoded(ids)."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, total = WordEncoder(tokenizer), np.zeros(VOCABULARY, np.int64)
-        for batch in batches:
-            for ids in (x for part in common.slices(batch, 0) for x in _ids(encoder, part.column(0).to_pylist())):
-                total += np.bincount(ids, minlength=VOCABULARY)
-        some = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_pydict({"id": pa.array(some, pa.int64()), "n": pa.array(total[some], pa.int64())})
-
-    counts = np.zeros(VOCABULARY, np.int64)
-    for r in sample.select("text").mapInArrow(common.lean(count), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        counts[r["id"]] = r["n"]
+    def totals(add: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size, np.int64)
+            for batch in (part for whole in batches for part in common.slices(whole, 0)):
+                texts = _numbers(batch.column(0))
+                total += np.bincount(np.concatenate([add(ids) for ids in texts]), minlength=size)
+            some = np.nonzero(total)[0]
+            yield pa.RecordBatch.from_pydict({"id": pa.array(some, pa.int64()), "n": pa.array(total[some], pa.int64())})
+
+        out = np.zeros(size, np.int64)
+        counted = encoded.select("ids").mapInArrow(common.lean(count), "id bigint, n bigint")
+        for r in counted.groupBy("id").agg(F.sum("n").alias("n")).collect():
+            out[r["id"]] = r["n"]
+        return out
+
+    counts = totals(lambda ids: ids, VOCABULARY)
     order = np.lexsort((np.arange(VOCABULARY), -counts))
     row = np.full(VOCABULARY, IDS, np.int64)
     row[order[:IDS]] = np.arange(IDS)
-
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, total = WordEncoder(tokenizer), np.zeros((IDS + 2) * CLASSES, np.int64)
-        for batch in batches:
-            for ids in (x for part in common.slices(batch, 0) for x in _ids(encoder, part.column(0).to_pylist())):
-                r = row[ids]
-                total += np.bincount(r[1:] * CLASSES + np.minimum(r[:-1], CLASSES - 1), minlength=len(total))
-        some = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_pydict({"id": pa.array(some, pa.int64()), "n": pa.array(total[some], pa.int64())})
-
-    pairs = np.zeros((IDS + 2) * CLASSES)
-    for r in sample.select("text").mapInArrow(common.lean(follow), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        pairs[r["id"]] = r["n"]
-    return counts, pairs.reshape(IDS + 2, CLASSES)
+    pairs = totals(lambda ids: row[ids[1:]] * CLASSES + np.minimum(row[ids[:-1]], CLASSES - 1), (IDS + 2) * CLASSES)
+    return counts, pairs.astype(float).reshape(IDS + 2, CLASSES)
 
 
 # ---- the word base
@@ -426,10 +468,11 @@ def score_corpus(docs: DataFrame, held: int = 1, tokenizer: str = TOKENIZER) ->
     the smoothing gives with V = 0."""
     common.small_batches(docs.sparkSession)
     rows = _keyed(docs, held)
-    sample = common.cut(rows.where("train").where(F.pmod(F.xxhash64(F.lit(17), "key"), F.lit(RATE)) == 0).select("doc_id", "text"))
-    frequent = frequent_words(sample)
+    some = F.pmod(F.xxhash64(F.lit(17), "key"), F.lit(FREQUENT_RATE)) == 0
+    frequent = frequent_words(common.cut(rows.where("train").where(some).select("text")))
     statistics = word_statistics(rows, frequent)
-    model = train_attention(sample, tokenizer)
+    encoded = encode(rows, frequent, tokenizer)
+    model = train_attention(encoded.where("train"))
     counts = np.zeros(len(frequent))
     for r in statistics.where("kind = 1").select("key", "value").collect():  # one row a frequent word
         counts[r["key"]] += r["value"]
@@ -438,33 +481,29 @@ def score_corpus(docs: DataFrame, held: int = 1, tokenizer: str = TOKENIZER) ->
     n = int(counts.sum()) + int(rare["n"] or 0) + ends
     v = int((counts > 0).sum()) + int(rare["v"] or 0) + (ends > 0)
     shared = docs.sparkSession.sparkContext.broadcast(
-        ((model.place, model.kind, model.inside, model.p), {w: i for i, w in enumerate(frequent)}, np.log10(counts + 0.5), (counts > 0).astype(np.int64))
+        ((model.place, model.kind, model.inside, model.p), np.log10(counts + 0.5), (counts > 0).astype(np.int64))
     )
     end_id, end_log = 2, float(np.log10(ends + 0.5))
 
-    def start():
-        parts, place, logs, known = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, logs, known = shared.value
         model = AttentionModel(*parts)
-        encoder = WordEncoder(tokenizer)
-
-        def score(texts: list) -> dict:
-            size, some, part = [], [], []
-            for t in texts:
-                words = (t or "").encode().lower().split()
-                at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
-                at = at[at >= 0]
-                size.append(len(words) + 1)
-                some.append(int(known[at].sum()) + (ends > 0))
-                part.append(float(logs[at].sum()) + end_log)
-            ids = [np.append(x, end_id) for x in _ids(encoder, texts)]
+        for batch in (part for whole in batches for part in common.slices(whole, 5, 2 << 20)):
+            words = _numbers(batch.column(4))
+            ids = [np.append(x, end_id) for x in _numbers(batch.column(5))]
             order = np.argsort([len(x) for x in ids], kind="stable")
             logp = np.zeros(len(ids))
             logp[order] = model.log10_of([ids[i] for i in order])
-            return {"n_tokens": size, "some": some, "part": part, "score": logp}
-
-        return score
+            some = [int(known[w].sum()) + (ends > 0) for w in words]
+            part = [float(logs[w].sum()) + end_log for w in words]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:4], pa.array(some, pa.int64()), pa.array(part, pa.float64()), pa.array(logp, pa.float64())],
+                names=["doc_id", "key", "train", "n_tokens", "some", "part", "score"],
+            )
 
-    scored = common.add_by_text(rows, start, "text", "n_tokens bigint, some bigint, part double, score double", 4 << 20).drop("text")
+    kept = encoded.select("doc_id", "key", "train", "n_tokens", "words", "ids")
+    schema = T.StructType([*kept.schema[:4], *T.StructType.fromDDL("some bigint, part double, score double")])
+    scored = kept.mapInArrow(common.lean(run), schema)
     by_document = statistics.where("kind in (0, 3)").groupBy("key").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("value"))).alias("value"),
         F.sum(F.when(F.col("kind") == 0, F.col("known"))).alias("known"),

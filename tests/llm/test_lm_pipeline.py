@@ -98,6 +98,29 @@ def test_base_score_against_brute_force(spark):
     assert attention_lm.score_corpus(empty(spark)).count() == 0
 
 
+def test_all_training_documents_count_and_train(spark, monkeypatch):
+    texts = [f"alpha beta gamma delta word{i} " * 12 for i in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    seen, new_model = [], attention_lm.new_model
+
+    def spy(counts, pairs):
+        seen.append((counts.copy(), pairs.copy()))
+        return new_model(counts, pairs)
+
+    monkeypatch.setattr(attention_lm, "new_model", spy)
+    got = {r["doc_id"]: r for r in attention_lm.score_corpus(docs).collect()}
+    ids = [np.frombuffer(b, "<u4").astype(int) for b in packing_hist.WordEncoder().encode_all(texts)]
+    train = [x for i, x in enumerate(ids) if not got[i]["held_out"]]
+    assert 100 < len(train) < 150
+    (counts, pairs), *more = seen
+    assert not more and counts.tolist() == np.bincount(np.concatenate(train), minlength=attention_lm.VOCABULARY).tolist()
+    assert pairs.sum() == sum(len(x) - 1 for x in train)
+    untrained = new_model(counts, pairs)
+    held = [i for i in range(150) if got[i]["held_out"]]
+    before = untrained.log10_of([np.append(ids[i], 2) for i in held])
+    assert sum(got[i]["score"] for i in held) > before.sum() * 0.85
+
+
 def test_queries_are_registered():
     numbers = {int(n.split("_")[0][2:]) for n in registry.QUERIES}
     assert numbers == set(range(1, 11)) and len(registry.QUERIES) == 10
