@@ -46,6 +46,16 @@ def test_windows_score_each_id_once():
     assert sorted(own[own >= 0].tolist()) == sorted(k for k, t in enumerate(texts) for _ in t)
 
 
+def test_a_target_depends_on_ids_far_back():
+    model, rng = small_model(), np.random.default_rng(3)
+    ids = rng.integers(0, attention_lm.VOCABULARY, 32)
+    last = lambda t: np.subtract(*model.log10_of([t, t[:-1]]))
+    other = ids.copy()
+    other[8] = np.nonzero(model.place == (model.place[ids[8]] + 1) % attention_lm.IDS)[0][0]
+    assert abs(last(ids) - last(other)) > 1e-4
+    assert len(set(model.kind.tolist())) >= 64
+
+
 def test_it_is_a_probability():
     model = small_model()
     share = 10.0**model.inside
