@@ -1,9 +1,11 @@
-"""Licence scans: sparse TF-IDF cosine of notices and licence files to templates, then inheritance along paths.
+"""Licence scans: sparse TF-IDF cosine of notices (lines and blocks) and licence files to templates, then inheritance along paths.
 
 DataFrame operations only."""
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +31,28 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "Copyright. All rights reserved. No part may be reproduced without permission."),
 )
+#: Notices of several lines and whole texts, (licence, text); those in the folder are added to them. Titles stand for the
+#: licences whose text is not there.
+LONG = (
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    *((f"{short}-{v}.0", f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version.")
+      for short, what, kind, v in (("GPL", "program", "", 2), ("GPL", "program", "", 3), ("LGPL", "library", "Lesser ", 3), ("AGPL", "program", "Affero ", 3))),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+)
+FOLDER = Path(__file__).with_name("licences")
 #: Lines that may be notices.
 NOTICE = r"(?i)licen[cs]e|copyright|spdx|public domain|all rights reserved"
+#: Blocks that may be: besides, opening words of full texts.
+NOTICE_BLOCK = NOTICE + r"|permission\s+is\s+hereby\s+granted|redistribution\s+and\s+use|free\s+software|unencumbered"
+#: What opens a comment's line and closes it.
+COMMENT, CLOSED = r"^\s*(?:#+|//+|/\*+|\*+/?|--+|;+|%+|<!--)", r"(?:\*+/|-->)\s*$"
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: Least cosine of a match; least share of a file's words that makes its notice a licence file's.
 LEAST, FILE_SHARE = 0.6, 0.2
@@ -50,41 +72,66 @@ def _basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def long_templates() -> tuple:
+    """LONG and the full texts of the folder, a BSD-2-Clause without the third clause of BSD-3-Clause among them."""
+    full = tuple((f.stem, f.read_text()) for f in sorted(FOLDER.glob("*.txt")))
+    two = tuple(("BSD-2-Clause", t[: t.index("3. ")] + t[t.index("THIS SOFTWARE IS PROVIDED") :]) for n, t in full if n == "BSD-3-Clause")
+    return (*LONG, *full, *two)
+
+
+def _blocks(text: Column) -> Column:
+    """Blocks of several lines: runs of lines that all are comments or all are not, cut at blank ones, without marks."""
+    lines = F.split(F.regexp_replace(text, "\x01", " "), "\n", -1)
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, COMMENT, ""), CLOSED, "")
+    blank = lambda x: ~bare(x).rlike(r"\S")
+    cut = lambda x, y: blank(x) | blank(y) | (x.rlike(COMMENT) != y.rlike(COMMENT))
+    marked = F.zip_with(lines, F.concat(F.array(F.lit("")), lines), lambda x, y: F.when(x.isNull(), "").when(cut(x, y), F.concat(F.lit("\x01"), bare(x))).otherwise(bare(x)))
+    return F.filter(F.transform(F.split(F.array_join(marked, "\n"), "\x01", -1), lambda b: F.trim(b, F.lit(" \t\r\n"))), lambda b: b.contains("\n"))
+
+
 def notices(files: DataFrame) -> DataFrame:
-    """(path, unit, share) of files(path, text): every distinct line that may be a notice, and of licence files by name
-    the whole text. share: the unit's words over the text's."""
+    """(path, unit, share, long) of files(path, text): every distinct line that may be a notice; long, every block of
+    several lines that may be one, and of licence files by name the whole text and all blocks. share: the unit's words
+    over the text's."""
     text = F.coalesce("text", F.lit(""))
     named = F.coalesce(_basename(F.col("path")).rlike(LICENCE_FILE), F.lit(False))
     lines = F.array_distinct(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(NOTICE)))
-    units = F.when(named, F.array(text)).when(text.rlike(NOTICE), lines)
-    found = files.select("path", text.alias("t"), F.explode(units).alias("unit"))
+    blocks = F.filter(_blocks(text), lambda x: named | x.rlike(NOTICE_BLOCK))
+    unit = lambda a, long: F.transform(a, lambda x: F.struct(x.alias("unit"), F.lit(long).alias("long")))
+    long = F.array_distinct(F.concat(F.when(named, F.array(text)).otherwise(F.array().cast("array<string>")), blocks))
+    units = F.when(named | text.rlike(NOTICE_BLOCK), F.concat(unit(lines, False), unit(long, True)))
+    found = files.select("path", text.alias("t"), F.inline(units))
     count = lambda c: F.regexp_count(c, F.lit(common.WORD))
-    return found.select("path", "unit", (count(F.col("unit")) / F.greatest(count(F.col("t")), F.lit(1))).alias("share"))
+    return found.select("path", "unit", (count(F.col("unit")) / F.greatest(count(F.col("t")), F.lit(1))).alias("share"), "long")
 
 
-def score_notices(units: DataFrame, templates: tuple = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """(unit, licence, score) of the distinct units: the template of the greatest cosine, at least `least`.
+def score_notices(units: DataFrame, templates: tuple = TEMPLATES, least: float = LEAST, longer: tuple = ()) -> DataFrame:
+    """(unit, long, licence, score) of the distinct units(unit, long): the template of the greatest cosine, at least
+    `least`. Long units are held against longer templates besides.
 
-    Weights are tf * idf, idf being ln((1 + n) / (1 + df)) + 1 over all distinct units and templates. Scores are
-    rounded to six places, ties go to the smaller name. Units without terms match nothing."""
+    Weights are tf * idf, idf being ln((1 + n) / (1 + df)) + 1 over all distinct units that are not long and templates;
+    terms in none have df 0. Scores are rounded to six places, ties go to the smaller name. Units without terms match
+    nothing."""
     spark = units.sparkSession
-    distinct = units.select("unit").distinct()
-    wanted = _template_rows(spark, templates)
-    unit_terms = distinct.select("unit", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
-    template_terms = wanted.select("licence", "template", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("licence", "template", "term").agg(F.count("*").alias("tf"))
-    df = unit_terms.select("term").unionByName(template_terms.select("term")).groupBy("term").agg(F.count("*").alias("df"))
-    size = distinct.agg(F.count("*").alias("c")).select((F.col("c") + F.lit(len(templates))).alias("n"))
-    idf = df.join(F.broadcast(size)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    unit_weights = unit_terms.join(idf, "term").select("unit", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    template_weights = template_terms.join(idf, "term").select("licence", "template", "term", (F.col("tf") * F.col("idf")).alias("v"))
-    unit_norms = unit_weights.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("u"))
+    distinct = units.select("unit", "long").distinct()
+    wanted = _template_rows(spark, (*templates, *longer)).withColumn("for_long", F.col("template") >= len(templates))
+    unit_terms = distinct.select("unit", "long", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("unit", "long", "term").agg(F.count("*").alias("tf"))
+    template_terms = wanted.select("licence", "template", "for_long", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("licence", "template", "for_long", "term").agg(F.count("*").alias("tf"))
+    known = unit_terms.where("NOT long").select("term").unionByName(template_terms.where("NOT for_long").select("term"))
+    df = known.groupBy("term").agg(F.count("*").alias("df"))
+    size = distinct.where("NOT long").agg(F.count("*").alias("c")).select((F.col("c") + F.lit(len(templates))).alias("n"))
+    idf = F.log((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))) + 1
+    weighted = lambda t: t.join(df, "term", "left").join(F.broadcast(size)).withColumn("w", F.col("tf") * idf).drop("tf", "df", "n")
+    unit_weights = weighted(unit_terms)
+    template_weights = weighted(template_terms).withColumnRenamed("w", "v")
+    unit_norms = unit_weights.groupBy("unit", "long").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("u"))
     template_norms = template_weights.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("t"))
     # As many rows as the templates have terms, whatever the corpus.
     fixed = F.broadcast(template_weights.join(template_norms, "template"))
-    dots = unit_weights.join(fixed, "term").groupBy("unit", "licence", "template", "t").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    scored = dots.join(unit_norms, "unit").select("unit", "licence", F.round(F.col("dot") / (F.col("u") * F.col("t")), 6).alias("score"))
-    best = scored.groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
-    return best.select("unit", "b.licence", (-F.col("b.s")).alias("score")).where(F.col("score") >= least)
+    dots = unit_weights.join(fixed, "term").where("long OR NOT for_long").groupBy("unit", "long", "licence", "template", "t").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    scored = dots.join(unit_norms, ["unit", "long"]).select("unit", "long", "licence", F.round(F.col("dot") / (F.col("u") * F.col("t")), 6).alias("score"))
+    best = scored.groupBy("unit", "long").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
+    return best.select("unit", "long", "b.licence", (-F.col("b.s")).alias("score")).where(F.col("score") >= least)
 
 
 def ancestors(path: Column) -> Column:
@@ -101,7 +148,7 @@ def scan_licences(files: DataFrame, templates: tuple = TEMPLATES, least: float =
     file_share of its words; of several the best score, then the smaller licence. Others have nulls. Null paths and
     texts match nothing; files that repeat a path are one file with all their notices."""
     found = common.cut(notices(files.where("path is not null")))
-    matched = found.join(score_notices(found, templates, least), "unit")
+    matched = found.join(score_notices(found, templates, least, long_templates()), ["unit", "long"])
     own = matched.groupBy("path").agg(
         F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"), F.max("share").alias("share")
     ).select("path", "b.licence", (-F.col("b.s")).alias("score"), "share")

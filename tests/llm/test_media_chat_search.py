@@ -167,6 +167,23 @@ def test_licences_of_files_and_directories(spark):
     }
 
 
+def test_wrapped_headers_and_full_licence_texts(spark):
+    head = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version."
+    comment = lambda t, mark: "".join(f"{mark} {x}\n" for x in t.split("\n"))
+    mit = "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + license_scan.LONG[0][1].replace(", ", ",\n")
+    files = [
+        ("/g/two.py", comment(head.format(2), "#") + "\n" + "x = 1\n" * 300), ("/g/three.c", "/*\n" + comment(head.format(3), " *") + " */\n" + "int x;\n" * 300),
+        ("/g/wrap.py", "# This work is licensed under the GNU General\n# Public License,\n# version 3.\n" + "y = 2\n" * 300),
+        ("/m/LICENSE", mit), ("/m/a.py", "code"),
+    ]
+    want = {"/g/two.py": "GPL-2.0", "/g/three.c": "GPL-3.0", "/g/wrap.py": "GPL-3.0", "/m/LICENSE": "MIT", "/m/a.py": "MIT"}
+    for f in license_scan.FOLDER.glob("*.txt"):
+        files += [(f"/{f.stem}/COPYING", "Some Project\n\n" + f.read_text()), (f"/{f.stem}/src/x.py", "code")]
+        want |= {f"/{f.stem}/COPYING": f.stem, f"/{f.stem}/src/x.py": f.stem}
+    out = license_scan.scan_licences(spark.createDataFrame(files, "path string, text string"))
+    assert {r["path"]: r["licence"] for r in out.collect()} == want
+
+
 def test_licence_query_matches_its_sql(spark):
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
