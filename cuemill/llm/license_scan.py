@@ -90,9 +90,9 @@ def _blocks(text: Column) -> Column:
 
 
 def notices(files: DataFrame) -> DataFrame:
-    """(path, unit, share, long) of files(path, text): every distinct line that may be a notice; long, every block of
+    """(path, id, unit, share, long) of files(path, text): every distinct line that may be a notice; long, every block of
     several lines that may be one, and of licence files by name the whole text and all blocks. share: the unit's words
-    over the text's."""
+    over the text's. id: SHA-256 of the unit, which stands for it where rows are dealt out by term."""
     text = F.coalesce("text", F.lit(""))
     named = F.coalesce(_basename(F.col("path")).rlike(LICENCE_FILE), F.lit(False))
     lines = F.array_distinct(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(NOTICE)))
@@ -102,20 +102,20 @@ def notices(files: DataFrame) -> DataFrame:
     units = F.when(named | text.rlike(NOTICE_BLOCK), F.concat(unit(lines, False), unit(long, True)))
     found = files.select("path", text.alias("t"), F.inline(units))
     count = lambda c: F.regexp_count(c, F.lit(common.WORD))
-    return found.select("path", "unit", (count(F.col("unit")) / F.greatest(count(F.col("t")), F.lit(1))).alias("share"), "long")
+    return found.select("path", F.sha2("unit", 256).alias("id"), "unit", (count(F.col("unit")) / F.greatest(count(F.col("t")), F.lit(1))).alias("share"), "long")
 
 
 def score_notices(units: DataFrame, templates: tuple = TEMPLATES, least: float = LEAST, longer: tuple = ()) -> DataFrame:
-    """(unit, long, licence, score) of the distinct units(unit, long): the template of the greatest cosine, at least
+    """(id, long, licence, score) of the distinct units(id, unit, long): the template of the greatest cosine, at least
     `least`. Long units are held against longer templates besides.
 
     Weights are tf * idf, idf being ln((1 + n) / (1 + df)) + 1 over all distinct units that are not long and templates;
     terms in none have df 0. Scores are rounded to six places, ties go to the smaller name. Units without terms match
     nothing."""
     spark = units.sparkSession
-    distinct = units.select("unit", "long").distinct()
+    distinct = units.select("id", "long", "unit").dropDuplicates(["id", "long"])
     wanted = _template_rows(spark, (*templates, *longer)).withColumn("for_long", F.col("template") >= len(templates))
-    unit_terms = distinct.select("unit", "long", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("unit", "long", "term").agg(F.count("*").alias("tf"))
+    unit_terms = distinct.select("id", "long", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("id", "long", "term").agg(F.count("*").alias("tf"))
     template_terms = wanted.select("licence", "template", "for_long", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("licence", "template", "for_long", "term").agg(F.count("*").alias("tf"))
     known = unit_terms.where("NOT long").select("term").unionByName(template_terms.where("NOT for_long").select("term"))
     df = known.groupBy("term").agg(F.count("*").alias("df"))
@@ -124,14 +124,14 @@ def score_notices(units: DataFrame, templates: tuple = TEMPLATES, least: float =
     weighted = lambda t: t.join(df, "term", "left").join(F.broadcast(size)).withColumn("w", F.col("tf") * idf).drop("tf", "df", "n")
     unit_weights = weighted(unit_terms)
     template_weights = weighted(template_terms).withColumnRenamed("w", "v")
-    unit_norms = unit_weights.groupBy("unit", "long").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("u"))
+    unit_norms = unit_weights.groupBy("id", "long").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("u"))
     template_norms = template_weights.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("t"))
     # As many rows as the templates have terms, whatever the corpus.
     fixed = F.broadcast(template_weights.join(template_norms, "template"))
-    dots = unit_weights.join(fixed, "term").where("long OR NOT for_long").groupBy("unit", "long", "licence", "template", "t").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    scored = dots.join(unit_norms, ["unit", "long"]).select("unit", "long", "licence", F.round(F.col("dot") / (F.col("u") * F.col("t")), 6).alias("score"))
-    best = scored.groupBy("unit", "long").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
-    return best.select("unit", "long", "b.licence", (-F.col("b.s")).alias("score")).where(F.col("score") >= least)
+    dots = unit_weights.join(fixed, "term").where("long OR NOT for_long").groupBy("id", "long", "licence", "template", "t").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    scored = dots.join(unit_norms, ["id", "long"]).select("id", "long", "licence", F.round(F.col("dot") / (F.col("u") * F.col("t")), 6).alias("score"))
+    best = scored.groupBy("id", "long").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
+    return best.select("id", "long", "b.licence", (-F.col("b.s")).alias("score")).where(F.col("score") >= least)
 
 
 def ancestors(path: Column) -> Column:
@@ -148,7 +148,7 @@ def scan_licences(files: DataFrame, templates: tuple = TEMPLATES, least: float =
     file_share of its words; of several the best score, then the smaller licence. Others have nulls. Null paths and
     texts match nothing; files that repeat a path are one file with all their notices."""
     found = common.cut(notices(files.where("path is not null")))
-    matched = found.join(score_notices(found, templates, least, long_templates()), ["unit", "long"])
+    matched = found.drop("unit").join(score_notices(found, templates, least, long_templates()), ["id", "long"])
     own = matched.groupBy("path").agg(
         F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"), F.max("share").alias("share")
     ).select("path", "b.licence", (-F.col("b.s")).alias("score"), "share")
