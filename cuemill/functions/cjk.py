@@ -1,158 +1,227 @@
-"""Rules for Chinese text that need a stack or numerals: pandas functions over columns."""
+"""Rules for Chinese text. All but the pairing of quotes are columns in the JVM; that one sees the quote marks alone."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_CJK = re.compile(r"[一-鿿]")
-_KEEP = re.compile(r"https?://\S+|[\w.+-]+@[\w-]+\.[\w.]+|\d+(?:[.,:]\d+)+%?|(?!https?://)[A-Za-z][A-Za-z0-9'’-]*(?:\s+(?!https?://)[A-Za-z][A-Za-z0-9'’-]*)*")
-_HALF = {",": "，", "?": "？", "!": "！", ":": "：", ";": "；", "(": "（", ")": "）"}
-_DIGITS = {c: i for i, c in enumerate("零一二三四五六七八九")} | {"〇": 0, "两": 2}
+from cuemill.functions import text as X
+
+# Scripts that count as Chinese context, half-width marks and their full-width forms.
+CJK = "一-鿿㐀-䶿぀-ヿ"
+HALF_TO_FULL = {",": "，", ";": "；", ":": "：", "?": "？", "!": "！", "(": "（", ")": "）"}
+# What punctuation rules leave alone. Links end at Chinese, at full-width marks and before closing marks.
+_LINK = rf"[^\s{CJK}，。！？；：、（）「」『』“”‘’]+(?<![,.;:!?])"
+_SPANS = "|".join(
+    (
+        rf"(?:(?<![a-zA-Z])|\G)[a-zA-Z][a-zA-Z0-9+.\-]*+://{_LINK}",
+        rf"www\.{_LINK}",
+        r"(?:(?<![\w.\-+])|\G)[\w.\-+]++@[\w.\-]+\.\w+",
+        r"(?:(?<!\d)|\G)\d+(?:[,:.]\d+)+%?",
+        r"(?:(?<![A-Za-z])|\G)[A-Za-z]++(?:[,:;?!()][ ]?[A-Za-z]++)+",
+    )
+)
+# Chinese digits, units within ten thousand, and greater units.
+_DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 _UNITS = {"十": 10, "百": 100, "千": 1000}
+_GREAT = {"万": 10_000, "亿": 100_000_000}
+_CORE = rf"(?:\d+(?:\.\d+)?|[{''.join([*_DIGITS, *_UNITS, *_GREAT])}]+)"
+_NUMBER = rf"百分之{_CORE}|{_CORE}(?:%|％|倍|美元|元|万元|块钱|年|岁|次)?"
+_QUOTE = "[“”‘’「」『』]"
+_HAN = re.compile("[一-鿿]")
+#: Stands for one span that is kept while the text around it changes.
+_HOLD = "\ue000"
+
+
+def _woven(free: Column, between: Column) -> Column:
+    """free[0], between[0], free[1], ... as one text; free has one part more."""
+    return F.array_join(F.zip_with(free, F.concat(between, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+
+
+def _around(text: Column, spans: str, change: Callable[[Column], Column]) -> Column:
+    """change(text) but for the matches of `spans`. While it runs, each of them is one placeholder; one that the text has
+    itself is a match too, so any number of spans and any text come back whole."""
+    pattern = f"(?U){_HOLD}|{spans}"
+    return _woven(F.split(change(F.regexp_replace(text, pattern, _HOLD)), _HOLD), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
 
 def convert_script(text: Column, singles: dict[str, str], protect: tuple[str, ...] = ()) -> Column:
     """Characters by the mapping, but for protected terms, longest first."""
-    out = text
-    terms = sorted(protect, key=lambda t: (-len(t), t))
-    for i, t in enumerate(terms):
-        out = F.replace(out, F.lit(t), F.lit(chr(0xE000 + i)))
-    if singles:
-        out = F.translate(out, "".join(singles), "".join(singles.values()))
-    for i, t in enumerate(terms):
-        out = F.replace(out, F.lit(chr(0xE000 + i)), F.lit(t))
-    return out
+    terms = [re.sub(r"([^\w\s])", r"\\\1", t) for t in sorted(protect, key=lambda t: (-len(t), t)) if t]
+    change = (lambda c: F.translate(c, "".join(singles), "".join(singles.values()))) if singles else (lambda c: c)
+    return _around(text, "|".join(terms), change) if terms else change(text)
+
+
+def _paired(marks: list[str]) -> list[str]:
+    """Quote marks of a text in order, curly ones that pair as corner marks, inner pairs double, outermost pairs single."""
+    marks, depth = list(marks), 0
+    for k, q in enumerate(marks):
+        if q == "“":
+            marks[k], depth = "『" if depth else "「", depth + 1
+        elif q == "”" and depth:
+            depth -= 1
+            marks[k] = "』" if depth else "」"
+        elif q in "‘’":
+            marks[k] = "『" if q == "‘" else "』"
+    still_open: list[int] = []
+    for k, q in enumerate(marks):
+        if q in "「『":
+            still_open.append(k)
+        elif q in "」』" and still_open:
+            first = still_open.pop()
+            if not still_open and (marks[first], q) == ("『", "』"):
+                marks[first], marks[k] = "「", "」"
+    return marks
 
 
-def normal_punctuation(t: str | None) -> str | None:
-    """Full-width marks next to Chinese, corner quotes in pairs, a closing mark, runs folded, spaces put right. Links,
-    addresses, numbers and English are left alone. Texts without Chinese are only trimmed."""
-    if t is None:
-        return None
-    if not _CJK.search(t):
-        return t.strip()
-    kept: list[str] = []
-
-    def keep(m: re.Match) -> str:
-        kept.append(m[0])
-        return chr(0xE000 + len(kept) - 1) if len(kept) <= 6000 else m[0]
-
-    t = _KEEP.sub(keep, t)
-    open_ = False
-    chars = []
-    for ch in t:
-        if ch in '"“”':
-            ch = "」" if open_ else "「"
-            open_ = not open_
-        chars.append(_HALF.get(ch, ch))
-    t = "".join(chars)
-    t = re.sub(r"(?<=[一-鿿」）])\.(?=\s|$)", "。", t)
-    t = re.sub(r"([，。！？；：])\1+", r"\1", t)
-    t = re.sub(r"\s+(?=[，。！？；：）」])|(?<=[，。！？；：（「])\s+", "", t)
-    t = re.sub(r"(?<=[一-鿿])\s+(?=[一-鿿])", "", t)
-    if re.search(r"[一-鿿]$", t.strip()) and "。" in t:
-        t = t.strip() + "。"
-    return re.sub("[\ue000-\uf8ff]", lambda m: kept[ord(m[0]) - 0xE000] if ord(m[0]) - 0xE000 < len(kept) else m[0], t).strip()
-
-
-@F.pandas_udf(T.StringType())
-def normalize_cjk_punct(text: pd.Series) -> pd.Series:
-    return text.map(normal_punctuation)
-
-
-def normalize_cues(cues: DataFrame) -> DataFrame:
-    """cues with text put right, and `changed`."""
-    new = normalize_cjk_punct(F.col("text"))
-    return cues.withColumn("new", new).withColumn("changed", ~F.col("new").eqNullSafe(F.col("text"))).withColumn("text", F.col("new")).drop("new")
-
-
-def chinese_number(s: str) -> float | None:
-    """Value of a numeral such as 一百二十三万 or 三点五; null if it is none."""
-    if not s:
-        return None
-    whole, _, part = s.partition("点")
-    total = wan = section = digit = 0
-    for ch in whole:
-        if ch in _DIGITS:
-            digit = _DIGITS[ch]
-        elif ch in _UNITS:
-            section += (digit or 1) * _UNITS[ch]
-            digit = 0
-        elif ch == "万":
-            wan += (section + digit) * 10_000
-            section = digit = 0
-        elif ch == "亿":
-            total += (wan + section + digit) * 100_000_000
-            wan = section = digit = 0
-        else:
-            return None
-    value = float(total + wan + section + digit)
-    if part:
-        if any(ch not in _DIGITS for ch in part):
-            return None
-        value += float("0." + "".join(str(_DIGITS[ch]) for ch in part))
-    return value
-
-
-_NUMERAL = re.compile(r"(百分之)?([零〇一二两三四五六七八九十百千万亿点]+)(倍)?|(\d[\d,]*(?:\.\d+)?)\s*([%％倍]?)([万亿]?)")
-
-
-def tokens_of(t: str | None) -> list[str]:
-    """Distinct PCT:, X: and N: tokens of Arabic and Chinese numbers, sorted; single Chinese digits are none."""
-    out = set()
-    for m in _NUMERAL.finditer(t or ""):
-        if m[2]:
-            if len(m[2]) < 2 and not m[1] and not m[3]:
-                continue
-            value, kind = chinese_number(m[2]), "PCT" if m[1] else "X" if m[3] else "N"
-        else:
-            value = float(m[4].replace(",", "")) * {"万": 1e4, "亿": 1e8}.get(m[6], 1)
-            kind = "PCT" if m[5] in ("%", "％") and m[5] else "X" if m[5] else "N"
-        if value is not None:
-            out.add(f"{kind}:{value:g}")
-    return sorted(out)
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _paired_quotes(marks: pd.Series) -> pd.Series:
+    return marks.map(lambda m: None if m is None else _paired(list(m)) if len(m) else [])
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def number_tokens_cjk(text: pd.Series) -> pd.Series:
-    return text.map(tokens_of)
+def _corner_quotes(t: Column) -> Column:
+    """Straight double quotes in pairs to corner marks, if the text is Chinese and their number is even; then the others."""
+    pieces = F.split(t, '"')
+    turn = F.transform(pieces, lambda x, i: F.concat(F.when(i == 0, "").when(i % 2 == 1, "「").otherwise("」"), x))
+    t = F.when(t.rlike(f"[{CJK}]") & (F.size(pieces) % 2 == 1), F.array_join(turn, "")).otherwise(t)
+    return _woven(F.split(t, _QUOTE), _paired_quotes(F.regexp_extract_all(t, F.lit(_QUOTE), F.lit(0))))
+
+
+def _full_width(t: Column) -> Column:
+    """Marks beside Chinese, and one that ends a text with Chinese."""
+    for half, full in HALF_TO_FULL.items():
+        h = re.escape(half)
+        t = F.regexp_replace(t, f"(?<=[{CJK}]){h}|{h}(?=[{CJK}])", full)
+    chinese, last = t.rlike(f"[{CJK}]"), t
+    for half in ",;:?!":
+        last = F.regexp_replace(last, re.escape(half) + "$", HALF_TO_FULL[half])
+    return F.when(chinese, last).otherwise(t)
+
+
+def _folded(t: Column) -> Column:
+    """Repeated marks: three stops or more are an ellipsis, others are one; of mixed ones the first stays."""
+    for pattern, to in (
+        (r"。{3,}|\.{3,}(?![a-zA-Z0-9/])|、{3,}", "……"), ("…{2,}", "……"), (r"([！？，；：。])\1+", "$1"), ("!{2,}", "！"), (r"\?{2,}", "？"),
+        ("([！？])[！？!?]+", "$1"),
+    ):
+        t = F.regexp_replace(t, pattern, to)
+    return t
+
+
+def _spaced(t: Column) -> Column:
+    """No blanks beside full-width marks, one between scripts; line breaks stay."""
+    for pattern, to in (
+        ("[ \t]+([，。！？；：、）」』])", "$1"), ("([，。！？；：、（「『])[ \t]+", "$1"), (f"(?<=[{CJK}])[ \t]+(?=[A-Za-z0-9])", " "),
+        (f"(?<=[A-Za-z0-9])[ \t]+(?=[{CJK}])", " "), ("[ \t]{2,}", " "),
+    ):
+        t = F.regexp_replace(t, pattern, to)
+    return t
+
+
+def trimmed(t: Column) -> Column:
+    return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+
+
+def normalize_cjk_punct(text: Column) -> Column:
+    """Corner quotes in pairs, full-width marks beside Chinese, runs folded, blanks put right. Links, addresses, numbers and
+    English phrases are left alone, and so is what does not pair. Null stays null."""
+    return trimmed(_around(text, _SPANS, lambda t: _spaced(_folded(_full_width(_corner_quotes(t))))))
+
+
+def normalize_cues(cues: DataFrame, singles: dict[str, str] | None = None, protect: tuple[str, ...] = ()) -> DataFrame:
+    """cues with text in the wanted script and its punctuation put right, and `changed`."""
+    new = normalize_cjk_punct(convert_script(F.col("text"), singles or {}, protect))
+    kept = [F.col(f"`{c}`") for c in cues.columns if c not in ("text", "changed")]
+    place = [new.alias("text") if c == "text" else F.col(f"`{c}`") for c in cues.columns if c != "changed"]
+    return cues.select(*place, (~new.eqNullSafe(F.col("text"))).alias("changed")) if kept else cues.select(*place)
+
+
+def detect_lang(cues: DataFrame, most: int = 20_000) -> DataFrame:
+    """(video_id, lang) by the first `most` characters of each video's cues, lines joined: zh with as many Chinese
+    characters as a twentieth of them and four at least, else en; empty without text."""
+    body = cues.where(F.length(F.trim("text")) > 0).select("video_id", "cue_index", "text")
+    upto = Window.partitionBy("video_id").orderBy("cue_index").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.greatest(F.lit(0), F.lit(most) - F.coalesce(F.sum(F.length("text") + 1).over(upto), F.lit(0)))
+    head = body.withColumn("head", F.substring(F.concat("text", F.lit("\n")), F.lit(1), room.cast("int")))
+    counts = head.groupBy("video_id").agg(F.sum(F.length("head")).alias("n"), F.sum(F.regexp_count("head", F.lit("[一-鿿]"))).alias("zh"))
+    chinese = F.col("zh") >= F.greatest(F.lit(4), (F.col("n") - 1) * 0.05)
+    lang = F.when(F.col("n").isNull(), "").when(chinese, "zh").otherwise("en")
+    return cues.select("video_id").distinct().join(counts, "video_id", "left").select("video_id", lang.alias("lang"))
+
+
+# ---- numbers
+
+
+def _value(core: Column) -> Column:
+    """Value of an Arabic number or a Chinese numeral: digits, tens to thousands by section, greater units over all before."""
+    look = lambda table: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    digit, unit, great = look(_DIGITS), look(_UNITS), look(_GREAT)
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("total", "section", "digit")])
+
+    def step(a: Column, ch: Column) -> Column:
+        state = lambda total, section, d: F.struct(total.alias("total"), section.alias("section"), d.alias("digit"))
+        d, u, g = (F.try_element_at(m, ch).cast("double") for m in (digit, unit, great))
+        none = F.lit(0.0)
+        return (
+            F.when(d.isNotNull(), state(a["total"], a["section"], d))
+            .when(u.isNotNull(), state(a["total"], a["section"] + F.when(a["digit"] == 0, 1.0).otherwise(a["digit"]) * u, none))
+            .otherwise(state(a["total"] + (a["section"] + a["digit"]) * F.coalesce(g, none), none, none))
+        )
+
+    chinese = F.aggregate(F.split(core, ""), zero, step, lambda a: a["total"] + a["section"] + a["digit"])
+    return F.when(core.rlike(r"^\d"), core.try_cast("double")).otherwise(chinese)
+
+
+def _token(span: Column) -> Column:
+    core = F.regexp_extract(span, _CORE, 0)
+    kind = F.when(span.startswith("百分之") | span.rlike("[%％]$"), "PCT:").when(span.endswith("倍"), "X:").otherwise("N:")
+    return F.concat(kind, _value(F.when(span.startswith("百分之"), F.regexp_extract(F.substring(span, 4, 1 << 20), _CORE, 0)).otherwise(core)).cast("string"))
+
+
+def number_tokens(text: Column) -> Column:
+    """Distinct tokens of a text's Arabic and Chinese numbers, sorted: PCT: percentages, X: multiples, N: all others, whose
+    units do not count. Null has none."""
+    spans = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_NUMBER), F.lit(0))
+    return F.array_sort(F.array_distinct(F.transform(spans, _token)))
 
 
-@F.pandas_udf(T.StringType())
-def strip_tokens(title: pd.Series, bad: pd.Series) -> pd.Series:
-    """Titles without the number spans whose tokens are in bad; separators left over are put right."""
+def untraceable_numbers(title: Column, source: Column) -> Column:
+    """Number tokens of a title that its source does not have."""
+    return F.array_except(number_tokens(title), number_tokens(source))
 
-    def one(t: str | None, tokens) -> str | None:
-        if t is None:
-            return None
-        wrong = set(tokens if tokens is not None else ())
-        t = _NUMERAL.sub(lambda m: "" if set(tokens_of(m[0])) & wrong else m[0], t)
-        t = re.sub(r"([，、,:：])[\s，、,:：]+", r"\1", t)
-        return t.strip(" ，、,:：")
 
-    return pd.Series([one(t, b) for t, b in zip(title, bad, strict=True)], dtype=object)
+def strip_tokens(title: Column, bad: Column) -> Column:
+    """title without the numbers whose tokens are in bad; marks and blanks that are left side by side become one comma, and
+    go at the ends."""
+    spans = F.regexp_extract_all(title, F.lit(_NUMBER), F.lit(0))
+    kept = F.transform(spans, lambda s: F.when(F.array_contains(bad, _token(s)), "").otherwise(s))
+    out = F.regexp_replace(_woven(F.split(title, _NUMBER), kept), r"(?U)[，,、\s]{2,}", "，")
+    return F.regexp_replace(out, r"(?U)^[，,、\s]+|[，,、\s]+$", "")
 
 
 def finalize_titles(rows: DataFrame, safe: str, n: int = 24) -> DataFrame:
-    """rows(title, speaker, source, suggestion) with final_title: the speaker first if absent; numbers that the source
-    lacks taken out if what is left reads as a title, else the suggestion, else speaker and the safe phrase; then n
-    characters of whole words."""
-    from cuemill.functions import text as X
-
-    speaker = F.col("speaker")
-    full = F.when(X.title_has_speaker(F.col("title"), speaker), F.col("title")).otherwise(F.concat(speaker, F.lit("："), "title"))
-    r = rows.withColumn("__full", full)
-    r = r.withColumn("__bad", F.array_except(number_tokens_cjk("__full"), number_tokens_cjk("source")))
-    r = r.withColumn("__cut", strip_tokens("__full", "__bad"))
-    ok = X.title_residue_ok(F.col("__cut"), X.title_has_speaker(F.col("__cut"), speaker))
-    other = F.coalesce(X.blank_to_null(F.col("suggestion")), F.concat(speaker, F.lit("："), F.lit(safe)))
-    best = F.when(F.size("__bad") == 0, F.col("__full")).when(ok, F.col("__cut")).otherwise(other)
-    return r.withColumn("__best", best).withColumn("final_title", X.truncate_words(F.col("__best"), n)).drop("__full", "__bad", "__cut", "__best")
+    """rows(title, speaker, source, suggestion) with final_title: the speaker first if absent. With numbers that the source
+    lacks, what is left without them, if that reads as a title; else the suggestion in the same way; else speaker and the
+    safe phrase. Then whole words of n characters."""
+    speaker, blank = F.col("speaker"), F.lit("")
+    has = lambda t: X.title_has_speaker(t, speaker)
+    led = lambda t: F.when(has(t), t).when(t == "", speaker).otherwise(F.concat(speaker, F.lit("："), t))
+    good = lambda t: has(t) & (F.size(untraceable_numbers(t, F.col("source"))) == 0) & X.title_residue_ok(t, speaker)
+    names = [f"__{k}" for k in ("full", "cut", "other", "best")]
+    full, cut, other, best = names
+    r = rows.withColumn(full, led(F.coalesce("title", blank)))
+    r = r.withColumn(cut, strip_tokens(F.col(full), untraceable_numbers(F.col(full), F.col("source"))))
+    r = r.withColumn(other, normalize_cjk_punct(led(F.coalesce("suggestion", blank))))
+    r = r.withColumn(other, led(strip_tokens(F.col(other), untraceable_numbers(F.col(other), F.col("source")))))
+    fallback = F.when(good(F.col(other)), F.col(other)).otherwise(F.concat(speaker, F.lit(safe)))
+    traced = F.size(untraceable_numbers(F.col(full), F.col("source"))) == 0
+    r = r.withColumn(best, F.when(traced, F.col(full)).when(good(F.col(cut)), F.col(cut)).otherwise(fallback))
+    return r.withColumn("final_title", X.truncate_words(F.col(best), n)).drop(*names)
 
 
 def split_text(t: str, n: int = 24) -> list[str]:
@@ -173,7 +242,7 @@ def split_text(t: str, n: int = 24) -> list[str]:
 
 def split_long_cues(cues: DataFrame, n: int = 24) -> DataFrame:
     """cues cut into parts of at most n characters where they hold Chinese; time is shared by characters."""
-    parts = F.pandas_udf(lambda s: s.map(lambda t: split_text(t, n) if t and _CJK.search(t) else [t]), T.ArrayType(T.StringType()))
+    parts = F.pandas_udf(lambda s: s.map(lambda t: split_text(t, n) if t and _HAN.search(t) else [t]), T.ArrayType(T.StringType()))
     p = cues.withColumn("p", parts("text")).select("*", F.posexplode("p").alias("part", "piece"))
     before = F.aggregate(F.slice("p", 1, F.col("part")), F.lit(0), lambda a, x: a + F.length(x))
     span, size = F.col("end_ms") - F.col("start_ms"), F.greatest(F.length("text"), F.lit(1))

@@ -131,38 +131,38 @@ def cache_key(model: Column, url: Column, body: Column) -> Column:
     return F.sha2(F.concat_ws("\n", model, url, canonical), 256)
 
 
-def number_tokens(text: Column) -> Column:
-    """Distinct Arabic numbers of a text, sorted: PCT: with a percent sign, X: with 倍, N: else; commas dropped."""
-    found = F.regexp_extract_all(text, F.lit(r"(\d[\d,]*(?:\.\d+)?\s*[%％倍]?)"), F.lit(1))
-
-    def one(x: Column) -> Column:
-        number = F.regexp_replace(x, r"[,%％倍\s]", "").cast("double").cast("string")
-        kind = F.when(x.rlike("[%％]"), F.lit("PCT:")).when(x.contains("倍"), F.lit("X:")).otherwise(F.lit("N:"))
-        return F.concat(kind, number)
-
-    return F.array_sort(F.array_distinct(F.transform(found, one)))
-
-
 def has_digit_or_percent(t: Column) -> Column:
     return t.rlike(r"[0-9０-９%％]")
 
 
-def title_residue_ok(title: Column, has_speaker: Column) -> Column:
-    """Whether what is left of a title reads as one: no empty or open pair, no odd quotes, no dangling or doubled mark,
-    and two letters at least besides."""
-    count = lambda c: F.regexp_count(title, F.lit(c))
-    empty = title.rlike(r"\(\s*\)|（\s*）|《\s*》|「\s*」|“\s*”")
-    open_ = (count(r"\(") != count(r"\)")) | (count("（") != count("）")) | (count("《") != count("》")) | (count("「") != count("」"))
-    odd = count('"') % 2 != 0
-    dangling = title.rlike(r"[,，、:：\-—|｜(（《「]\s*$")
-    doubled = title.rlike(r"[,，、:：]{2,}")
-    letters = F.length(F.regexp_replace(title, r"[\s\p{P}]", ""))
-    return ~(empty | open_ | odd | dangling | doubled | ((letters < 2) & ~has_speaker))
+# Pairs of marks, words and marks that a title does not end with, and marks that say nothing by themselves.
+_PAIRS = ("「」", "『』", "（）", "()", "《》", "【】", "“”", "‘’")
+_DANGLING = "[的与和及、，,：:；;]$"
+_DOUBLED = r"([，,、；;：:])\1"
+_SILENT = r"(?U)[「」『』（）()《》【】\"'“”‘’，,。.！!？?、；;：:\s]"
+
+
+def title_residue_ok(title: Column, speaker: Column) -> Column:
+    """Whether what is left of a title reads as one: no empty or open pair, no odd or empty straight quotes, no dangling or
+    doubled mark, and two characters at least besides the speaker and marks. Empty titles do not."""
+    title = F.coalesce(title, F.lit(""))
+    count = lambda mark: F.regexp_count(title, F.lit("\\" + mark if mark in "()" else mark))
+    bad = title.rlike(_DANGLING) | title.rlike(_DOUBLED)
+    for pair in _PAIRS:
+        bad = bad | F.contains(title, F.lit(pair)) | (count(pair[0]) != count(pair[1]))
+    for quote in "\"'":
+        bad = bad | F.contains(title, F.lit(2 * quote)) | (count(quote) % 2 != 0)
+    names = F.filter(F.split(speaker, r"(?U)[·・\s]+"), lambda p: F.length(p) > 0)
+    rest = F.aggregate(F.concat(F.array(speaker), names), title, lambda t, name: F.replace(t, name, F.lit("")))
+    rest = F.coalesce(rest, title)  # without a speaker
+    return ~bad & (F.length(F.regexp_replace(rest, _SILENT, "")) >= 2)
 
 
 def title_has_speaker(title: Column, speaker: Column) -> Column:
-    parts = F.filter(F.split(speaker, "[·・ ]"), lambda p: F.length(p) > 0)
-    return title.contains(speaker) | F.exists(parts, lambda p: title.contains(p))
+    """Whether a title names the speaker, or a part of the name. Without a speaker, it does."""
+    speaker = F.coalesce(speaker, F.lit(""))
+    parts = F.filter(F.split(speaker, r"(?U)[·・\s]+"), lambda p: F.length(p) > 0)
+    return F.contains(title, speaker) | F.exists(parts, lambda p: F.contains(title, p))
 
 
 def truncate_words(title: Column, n: int) -> Column:
@@ -181,24 +181,36 @@ def truncate_words(title: Column, n: int) -> Column:
     return F.when(F.length(title) <= n, title).otherwise(F.coalesce(blank_to_null(whole), F.substring(title, 1, n)))
 
 
-def clean_title(title: Column, hard: int = 80, soft: int = 25) -> Column:
-    """(title, warnings): spaces squeezed, cut at the hard limit."""
-    t = F.trim(F.regexp_replace(F.coalesce(title, F.lit("")), r"\s+", " "))
-    warns = F.array_compact(
-        F.array(
-            F.when(F.length(t) > hard, F.lit("truncated")),
-            F.when((F.length(t) <= hard) & (F.length(t) > soft), F.lit("long")),
-            F.when(t == "", F.lit("empty")),
-        )
+def clean_title(title: Column, platform: str = "bilibili", singles: dict[str, str] | None = None, soft: int = 25) -> Column:
+    """(title, warnings): script and punctuation put right, spaces squeezed, cut at the platform's hard limit."""
+    from cuemill.functions import cjk
+
+    hard = 80 if platform == "bilibili" else 55
+    t = cjk.normalize_cjk_punct(cjk.convert_script(cjk.trimmed(F.coalesce(title, F.lit(""))), singles or {}))
+    t = F.regexp_replace(t, r"(?U)\s+", " ")
+    warns = F.array(
+        F.when(F.length(t) > hard, F.lit("truncated")),
+        F.when((F.length(t) <= hard) & (F.length(t) > soft), F.lit("long")) if platform == "bilibili" else F.lit(None).cast("string"),
+        F.when(t == "", F.lit("empty")),
     )
-    return F.struct(F.substring(t, 1, hard).alias("title"), warns.alias("warnings"))
+    return F.struct(F.substring(t, 1, hard).alias("title"), F.array_compact(warns).alias("warnings"))
 
 
-def clean_tags(tags: Column, longest: int = 20, most: int = 10, default: str = "财经") -> Column:
-    """Trimmed, without commas and blanks, cut, distinct in order, the first ten; a default if none is left."""
-    good = F.filter(F.transform(tags, lambda t: F.trim(F.regexp_replace(t, "[,，]", ""))), lambda t: F.length(t) > 0)
-    kept = F.slice(F.array_distinct(F.transform(good, lambda t: F.substring(t, 1, longest))), 1, most)
-    return F.when(F.coalesce(F.size(kept), F.lit(0)) > 0, kept).otherwise(F.array(F.lit(default)))
+def clean_tags(tags: Column, longest: int = 20, most: int = 10, default: str = "财经", singles: dict[str, str] | None = None) -> Column:
+    """(tags, warnings): in the wanted script, trimmed, without commas and blanks, cut, distinct in order, the first ten; a
+    default if none is left."""
+    from cuemill.functions import cjk
+
+    one = lambda t: F.trim(F.regexp_replace(cjk.convert_script(cjk.trimmed(t), singles or {}), "[,，]", ""))
+    good = F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), one), lambda t: F.length(t) > 0)
+    distinct = F.array_distinct(F.transform(good, lambda t: F.substring(t, 1, longest)))
+    warns = F.array(
+        F.when(F.exists(good, lambda t: F.length(t) > longest), F.lit("cut")),
+        F.when(F.size(distinct) > most, F.lit("too_many")),
+        F.when(F.size(distinct) == 0, F.lit("empty")),
+    )
+    kept = F.when(F.size(distinct) > 0, F.slice(distinct, 1, most)).otherwise(F.array(F.lit(default)))
+    return F.struct(kept.alias("tags"), F.array_compact(warns).alias("warnings"))
 
 
 def build_desc(body: Column, source: Column, title: Column, span: Column, disclaimer: str, soft: int = 25, cap: int = 250) -> Column:
@@ -249,7 +261,8 @@ def classify_failure(status: Column, text: Column) -> Column:
 
 def redact_record_lines(text: Column, marker: str = "[redacted]") -> Column:
     r"""Lines with five tab separators or more, tabs or written as \t, replaced by a marker."""
-    return F.regexp_replace(text, r"(?m)^(?:[^\n\t\\]|\\(?!t))*(?:(?:\t|\\t)(?:[^\n\t\\]|\\(?!t))*){5,}$", marker)
+    one = lambda l: F.when(F.regexp_count(l, F.lit(r"\t|\\t")) >= 5, F.lit(marker)).otherwise(l)
+    return F.array_join(F.transform(F.split(text, "\n"), one), "\n")
 
 
 def brand_title(title: Column, suffix: str, n: int = 40) -> Column:

@@ -32,18 +32,19 @@ def first_wins(batch: DataFrame, key: Column, order: str) -> DataFrame:
     return _pick_row(batch, key, F.min_by(F.struct(*batch.columns), order))
 
 
-def upsert_items(items: DataFrame, batch: DataFrame, now: Column, order: str = "pos") -> DataFrame:
-    """items(id, source, title, created_at, updated_at) after batch(id, source, title, pos): known ids take the batch's
-    title and the time, and keep source and created_at; of an id that the batch repeats, the last row counts."""
-    b = last_wins(batch, "id", order).select(F.col("id").alias("bid"), F.col("source").alias("bs"), F.col("title").alias("bt"))
-    j = items.join(b, F.col("id") == F.col("bid"), "full")
-    fresh = F.col("bid").isNotNull()
-    return j.select(
-        F.coalesce("id", "bid").alias("id"), F.when(F.col("id").isNotNull(), F.col("source")).otherwise(F.col("bs")).alias("source"),
-        F.when(fresh, F.col("bt")).otherwise(F.col("title")).alias("title"),
-        F.when(F.col("id").isNotNull(), F.col("created_at")).otherwise(now).alias("created_at"),
-        F.when(fresh, now).otherwise(F.col("updated_at")).alias("updated_at"),
-    )
+def upsert_items(items: DataFrame, batch: DataFrame, now: Column, order: str = "pos") -> tuple[DataFrame, DataFrame]:
+    """(items afterwards, new rows of the batch). items has id, source, created_at, updated_at and any fields besides, which
+    batch(id, source, fields, `order`) has too. Known ids take all of the batch's fields, nulls included, and the time, and keep
+    source and created_at; of an id that the batch repeats, the last row counts, and the first is the one listed as new."""
+    fields = [c for c in items.columns if c not in ("id", "source", "created_at", "updated_at")]
+    last = last_wins(batch.where("id IS NOT NULL"), "id", order).select(F.col("id").alias("__id"), F.struct("source", *fields).alias("__b"))
+    j = items.join(last, F.col("id") == F.col("__id"), "full")
+    fresh, known = F.col("__id").isNotNull(), F.col("id").isNotNull()
+    new = {
+        "id": F.coalesce("id", "__id"), "source": F.when(known, F.col("source")).otherwise(F.col("__b.source")), "created_at": F.when(known, F.col("created_at")).otherwise(now),
+        "updated_at": F.when(fresh, now).otherwise(F.col("updated_at")), **{c: F.when(fresh, F.col(f"__b.{c}")).otherwise(F.col(c)) for c in fields},
+    }
+    return j.select(*[new[c].alias(c) for c in items.columns]), new_items(batch, items, order)
 
 
 def new_items(batch: DataFrame, items: DataFrame, order: str = "pos") -> DataFrame:
@@ -276,6 +277,35 @@ def unique_slug(rows: DataFrame, base: str = "slug", order: str = "pos") -> Data
     return rows.withColumn("__r", r).withColumn("unique_slug", F.when(F.col("__r") == 1, F.col(base)).otherwise(F.concat(base, F.lit("-"), F.col("__r").cast("string")))).drop("__r")
 
 
+def producible(items: DataFrame, handled: DataFrame, least_bytes: int = 8 << 20, least_sec: int = 480) -> DataFrame:
+    """items(id, bytes, duration) large and long enough to be worth producing, of unknown length included, not handled yet."""
+    good = items.where((F.col("bytes") >= least_bytes) & ((F.col("duration") >= least_sec) | (F.coalesce("duration", F.lit(0)) == 0)))
+    return good.join(handled.select("id").distinct(), "id", "left_anti")
+
+
+def select_items(items: DataFrame, source: str | None = None, meetings: bool = False, n: int | None = None, order: str = "pos") -> DataFrame:
+    """Items to fetch: of a source, or notices of meetings, or all; the first n."""
+    if meetings:
+        source = "shareholder_meeting"
+    some = items if source is None else items.where(F.col("source") == source)
+    return some if n is None else some.orderBy(order).limit(n)
+
+
+def production_order(items: DataFrame, group: str = "source") -> DataFrame:
+    """items(priority, bytes, id) with pos within the group: by priority, then size, largest first."""
+    w = Window.partitionBy(group).orderBy("priority", F.desc("bytes"), "id")
+    return items.withColumn("pos", F.row_number().over(w))
+
+
+def min_duration(items: DataFrame, least_sec: int = 1200) -> DataFrame:
+    """items(duration, id) of that length at least, longest first."""
+    return items.where(F.col("duration") >= least_sec).orderBy(F.desc("duration"), "id")
+
+
+def must_contain(text: Column, keyword: str) -> Column:
+    return F.contains(text, F.lit(keyword))
+
+
 def daily_quota(rows: DataFrame, ok_most: int = 5, tried_most: int = 10, day: str = "day", order: str = "pos") -> DataFrame:
     """Attempts of each day that are made: the first tried_most, while fewer than ok_most before them succeeded."""
     w = Window.partitionBy(day).orderBy(order)
@@ -287,10 +317,33 @@ def daily_quota(rows: DataFrame, ok_most: int = 5, tried_most: int = 10, day: st
 
 
 def min_interval(rows: DataFrame, seconds: int, key: str = "source", ts: str = "ts") -> DataFrame:
-    """Rows at least `seconds` after the last accepted one of their key: a fold over the key's times."""
-    one = rows.groupBy(key).agg(F.array_sort(F.collect_set(F.col(ts).cast("bigint"))).alias("t"))
-    kept = F.expr(f"aggregate(t, CAST(array() AS ARRAY<BIGINT>), (a, x) -> if(size(a) = 0 OR x - element_at(a, -1) >= {seconds}, array_append(a, x), a))")
-    return one.select(key, F.explode(kept).alias(ts))
+    """(key, ts) of rows at least `seconds` after the last accepted one of their key; times count once, null times not. Each
+    key's times pass in order, a batch at a time, so a key may be of any length."""
+    import numpy as np
+    import pandas as pd
+
+    one = rows.select(key, F.col(ts).cast("bigint").alias(ts)).where(F.col(ts).isNotNull()).distinct()
+
+    def accept(parts):
+        own, last = None, None
+        for part in parts:
+            keys, times = part[key], part[ts].to_numpy()
+            other = keys.ne(keys.shift()) & ~(keys.isna() & keys.shift().isna())
+            edges = [0, *(np.flatnonzero(other.to_numpy()[1:]) + 1).tolist(), len(times)] if len(times) else [0]
+            taken: list[int] = []
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                k = None if pd.isna(keys.iloc[lo]) else keys.iloc[lo]
+                if lo or last is None or k != own:
+                    own, last = k, None
+                t, at = times[lo:hi], 0
+                while last is None or (at := int(np.searchsorted(t, last + seconds))) < len(t):
+                    taken.append(lo + at)
+                    last = t[at]
+                    if seconds <= 0 and at + 1 == len(t):
+                        break
+            yield part.iloc[taken]
+
+    return one.repartition(key).sortWithinPartitions(key, ts).mapInPandas(accept, one.schema)
 
 
 def retry_state(failures: DataFrame, now_s: int, back_off_s: int = 1800, most: int = 3) -> DataFrame:

@@ -98,8 +98,16 @@ def glossary_flatten(groups: DataFrame) -> DataFrame:
     return flat.withColumn("pos", F.row_number().over(Window.orderBy(F.desc(F.length("en")), "en")))
 
 
-def untraceable_numbers(titles: Column, source: Column) -> Column:
-    """Number tokens of a title that its source does not have."""
-    from cuemill.functions.text import number_tokens
+def token_except(text: Column, other: Column) -> Column:
+    """Distinct words of a text that the other one lacks, in order."""
+    return F.array_except(F.split(text, " "), F.split(other, " "))
 
-    return F.array_except(number_tokens(titles), number_tokens(source))
+
+def ordered_distinct(items: Column) -> Column:
+    """Items of an array, each at its first place."""
+    return F.array_distinct(items)
+
+
+def coverage_intersect(theirs: DataFrame, ours: DataFrame, key: str = "id") -> DataFrame:
+    """Distinct keys that both have."""
+    return theirs.select(key).intersect(ours.select(key))

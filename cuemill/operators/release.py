@@ -29,17 +29,30 @@ def plan_assets(queue: DataFrame) -> DataFrame:
     return queue.select("slug", "id", F.inline(parts)).select("slug", "id", "kind", F.concat(F.col("slug").cast("string"), F.lit("-"), F.col("id").cast("string"), "ext").alias("asset"))
 
 
-def merge_index(index: DataFrame, queue: DataFrame) -> DataFrame:
-    """index with the queue's episodes replaced or appended by (slug, id). Both have the same columns."""
-    return index.join(queue, ["slug", "id"], "left_anti").unionByName(queue)
+def _required(c: str, what: str) -> Column:
+    return F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", F.raise_error(F.lit(what))).otherwise(F.col(c))
+
+
+def merge_index(index: DataFrame, queue: DataFrame, prefix: str = "produce-") -> DataFrame:
+    """index with the queue's episodes put in by (slug, id). queue(slug, speaker, generated_at, id, fields of an episode) has
+    a row an episode; each becomes a row with batch_at, of generated_at, and release_tag. A queue without slug or
+    generated_at is an error; an index row that lacks a field has null there."""
+    new = queue.withColumn("slug", _required("slug", "the queue has no slug")).withColumn("batch_at", _required("generated_at", "the queue has no generated_at"))
+    new = new.drop("generated_at").withColumn("release_tag", F.concat(F.lit(prefix), F.col("slug").cast("string")))
+    if "speaker" in new.columns:
+        new = new.withColumn("speaker", F.coalesce("speaker", F.lit("")))
+    return index.join(new.select("slug", "id"), ["slug", "id"], "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def batch_recency(index: DataFrame) -> DataFrame:
-    return index.groupBy("slug").agg(F.max(F.coalesce(F.col("batch_at"), F.lit(0))).alias("batch_at"))
+    return index.groupBy("slug").agg(F.max("batch_at").alias("batch_at"))
 
 
 def prune_batches(index: DataFrame, keep: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped): whole batches, the newest `keep` by last batch_at and slug."""
+    """(kept, dropped): whole batches, the newest `keep` by last batch_at and slug. A row without a slug is an error."""
+    if keep < 1:
+        raise ValueError(f"at least one batch is kept, not {keep}")
+    index = index.withColumn("slug", _required("slug", "an index row has no slug"))
     newest = batch_recency(index).orderBy(F.desc("batch_at"), F.desc("slug")).limit(keep).select("slug")
     return index.join(newest, "slug", "left_semi"), index.join(newest, "slug", "left_anti")
 
@@ -112,3 +125,22 @@ def build_upload_list(manifest: DataFrame, media: DataFrame) -> DataFrame:
         "video_id", "rank", "file", t["title"].alias("upload_title"), t["warnings"].alias("warnings"), X.assign_partition(F.col("title"), F.lit("")).alias("tid"),
         F.concat(F.col("rank").cast("string"), F.lit(". "), t["title"]).alias("line"),
     )
+
+
+def release_notes(episodes: DataFrame) -> DataFrame:
+    """(slug, notes) of episodes(slug, speaker, generated_at, commit, pos, id, title, duration_sec, scheduled_date, video,
+    cover_16x9, cover_9x16): a heading, then each episode's title, length, day and links in order."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    sec = F.bround(F.coalesce(F.col("duration_sec").cast("double"), F.lit(0.0))).cast("bigint")
+    lines = F.concat_ws(
+        "\n", F.concat(F.lit("## "), text("id"), F.lit(" "), text("title")), F.concat(F.lit("- 时长："), F.format_string("%d 分 %02d 秒", F.floor(sec / 60), sec % 60)),
+        F.concat(F.lit("- 建议发布日："), text("scheduled_date")), F.concat(F.lit("- 视频："), text("video")), F.concat(F.lit("- 封面 16:9："), text("cover_16x9")),
+        F.concat(F.lit("- 封面 9:16："), text("cover_9x16")), F.lit(""),
+    )
+    parts = episodes.select("slug", *[text(c).alias(c) for c in ("speaker", "generated_at", "commit")], "pos", lines.alias("l"))
+    one = parts.groupBy("slug").agg(*[F.first(c).alias(c) for c in ("speaker", "generated_at", "commit")], F.array_sort(F.collect_list(F.struct("pos", "l"))).alias("e"))
+    head = F.concat_ws(
+        "\n", F.concat(F.lit("# "), "speaker", F.lit(" · "), F.col("slug").cast("string")), F.lit(""),
+        F.concat(F.lit("共 "), F.size("e").cast("string"), F.lit(" 集，生成于 "), "generated_at", F.lit("，commit `"), "commit", F.lit("`。")), F.lit(""),
+    )
+    return one.select("slug", F.concat_ws("\n", head, F.array_join("e.l", "\n")).alias("notes"))

@@ -70,29 +70,67 @@ def boundaries(cues: DataFrame) -> DataFrame:
 
 def snap_to_nearest(chapters: DataFrame, cues: DataFrame, least_ms: int = 30000) -> DataFrame:
     """(video_id, para_id, start_ms, end_ms) of chapters at their nearest boundaries, ties to the smaller; an end not
-    after its start becomes start + least_ms, within the video."""
+    after its start becomes start + least_ms, within the video. Times and boundaries are sorted together, and each time
+    looks at the boundary before it and the one after."""
     b = boundaries(cues)
-    near = lambda t: F.min_by("t", F.struct(F.abs(F.col(t) - F.col("t")), F.col("t")))
-    out = chapters.select("video_id", "para_id", F.col("start_ms").alias("s"), F.col("end_ms").alias("e")).join(b, "video_id")
-    out = out.groupBy("video_id", "para_id").agg(near("s").alias("start_ms"), near("e").alias("e2"), F.max("total").alias("total"))
+    bound = b.select("video_id", "t", F.col("t").alias("b"), F.lit(None).cast("bigint").alias("para_id"), F.lit(None).cast("int").alias("which"))
+    times = chapters.select("video_id", F.col("para_id").cast("bigint").alias("para_id"), F.posexplode(F.array("start_ms", "end_ms")).alias("which", "t"))
+    both = bound.unionByName(times.withColumn("b", F.lit(None).cast("bigint")))
+    order = Window.partitionBy("video_id").orderBy("t", F.col("b").isNull())
+    back = F.last("b", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    down = Window.partitionBy("video_id").orderBy(F.desc("t"), F.col("b").isNull())
+    on = F.last("b", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("lo", back).withColumn("hi", on).where("which IS NOT NULL")
+    near = F.when(F.col("lo").isNull() | (F.col("hi") - F.col("t") < F.col("t") - F.col("lo")), F.col("hi")).otherwise(F.col("lo"))
+    at = lambda i: F.max(F.when(F.col("which") == i, near))
+    out = found.groupBy("video_id", "para_id").agg(at(0).alias("start_ms"), at(1).alias("e2")).join(b.select("video_id", "total").distinct(), "video_id")
     end = F.when(F.col("e2") <= F.col("start_ms"), F.least("total", F.col("start_ms") + least_ms)).otherwise(F.col("e2"))
-    return out.select("video_id", "para_id", "start_ms", end.alias("end_ms"))
+    return out.select("video_id", F.col("para_id").cast(chapters.schema["para_id"].dataType).alias("para_id"), "start_ms", end.alias("end_ms"))
 
 
 def attach_translation(cues: DataFrame, bi: DataFrame, within_ms: int = 2000) -> DataFrame:
     """cues with zh: of the same index, else of the same start in tenths of a second, else of the nearest start less
-    than within_ms away."""
+    than within_ms away, which is sought in the bucket of that length and the two beside it."""
     tenth = lambda t: F.floor((F.col(t) + 50) / 100)
     by_index = bi.groupBy("video_id", "cue_index").agg(F.max("zh").alias("z1"))
     by_time = bi.groupBy("video_id", tenth("start_ms").alias("tenth")).agg(F.max_by("zh", "cue_index").alias("z2"))
-    times = bi.select(F.col("video_id").alias("v"), F.col("start_ms").alias("bs"), "zh")
-    on = (F.col("video_id") == F.col("v")) & (F.abs(F.col("bs") - F.col("start_ms")) < within_ms)
-    nearest = cues.join(times, on).groupBy("video_id", "cue_index").agg(F.min_by("zh", F.struct(F.abs(F.col("bs") - F.col("start_ms")), "bs")).alias("z3"))
+    bucket = F.floor(F.col("start_ms") / within_ms)
+    times = bi.select("video_id", F.col("start_ms").alias("bs"), "zh", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
+    off = F.abs(F.col("bs") - F.col("start_ms"))
+    close = cues.select("video_id", "cue_index", "start_ms", bucket.alias("bucket")).join(times, ["video_id", "bucket"]).where(off < within_ms)
+    nearest = close.groupBy("video_id", "cue_index").agg(F.min_by("zh", F.struct(off, "bs")).alias("z3"))
     out = cues.withColumn("tenth", tenth("start_ms")).join(by_index, ["video_id", "cue_index"], "left").join(by_time, ["video_id", "tenth"], "left").join(nearest, ["video_id", "cue_index"], "left")
     some = lambda c: F.nullif(F.col(c), F.lit(""))
     return out.withColumn("zh", F.coalesce(some("z1"), some("z2"), some("z3"), F.lit(""))).drop("tenth", "z1", "z2", "z3")
 
 
+def missing_lines(expected: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Rows of expected(video_id, cue_index) without a translation zh that has text: those to ask for again."""
+    return expected.join(parsed.where(F.trim("zh") != "").select("video_id", "cue_index"), ["video_id", "cue_index"], "left_anti")
+
+
+def overlaps_any(clips: DataFrame) -> DataFrame:
+    """clips(video_id, para_id, start_ms, end_ms) with hit: whether another clip of the video, of some length, overlaps it.
+    Clips in the order of their starts: an earlier one that ends after the start, or a later one that starts before the end."""
+    order = Window.partitionBy("video_id").orderBy("start_ms", "end_ms", "para_id")
+    before = F.max("end_ms").over(order.rowsBetween(Window.unboundedPreceding, -1)) > F.col("start_ms")
+    after = F.lead("start_ms").over(order) < F.col("end_ms")
+    return clips.withColumn("hit", F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False)))
+
+
+def min_quote(clips: DataFrame, least_ms: int = 15000) -> DataFrame:
+    return clips.where(F.col("end_ms") - F.col("start_ms") >= least_ms)
+
+
+def parse_numbered_lines(replies: DataFrame, key: str, reply: str = "reply") -> DataFrame:
+    """(key, n, line) of replies whose lines read `n. text`, `n、text` or `n) text`; of a number that is repeated, the last."""
+    form = r"^\s*(\d+)[.、)]\s*(.+)"
+    lines = replies.select(key, F.posexplode(F.split(reply, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")).alias("pos", "l")).where(F.col("l").rlike(form))
+    part = lambda i: F.regexp_extract("l", form, i)
+    numbered = lines.select(key, part(1).try_cast("int").alias("n"), F.trim(part(2)).alias("line"), "pos").where("n IS NOT NULL")
+    return numbered.groupBy(key, "n").agg(F.max_by("line", "pos").alias("line"))
+
+
 def zh_by_index(cues: DataFrame, bi: DataFrame) -> DataFrame:
     return cues.join(bi.select("video_id", "cue_index", "zh"), ["video_id", "cue_index"], "left").withColumn("zh", F.coalesce("zh", F.lit("")))
 
@@ -319,10 +357,16 @@ def drop_fillers(tokens: DataFrame, fillers: list[str], tok: str = "tok") -> Dat
     return tokens.where(~F.lower(F.trim(tok)).isin(fillers))
 
 
-def tokens_to_cues(tokens: DataFrame, least: int = 6, most: int = 18, fillers: str = "嗯啊呃哦唉诶") -> DataFrame:
+# Words of one character that say nothing.
+FILLERS = "啊呀呐呢吧嘛哦噢哎唉哼嗯呃哈呵嘿"
+
+
+def tokens_to_cues(tokens: DataFrame, least: int = 6, most: int = 18, fillers: str = FILLERS, terms: list[tuple[str, str]] | None = None) -> DataFrame:
     """(video_id, cue, start_ms, end_ms, text) of tokens(video_id, seq, tok, start_ms, end_ms): a cue closes after a token
-    that ends in a mark, if it has `least` characters, or at `most`. Leading marks go; cues of fillers alone are left
-    out. Tokens are words; there is no Chinese segmenter."""
+    that ends in a mark, if it has `least` characters, or at `most`. Leading marks go, terms are put right in order; cues of
+    fillers alone are left out. Tokens are words; there is no Chinese segmenter."""
+    from cuemill.functions.text import fix_terms
+
     fold = f"""aggregate(c, named_struct('p', 1, 't', '', 'out', CAST(array() AS ARRAY<INT>)), (a, x) ->
         if((x.tok RLIKE '[。，！？、；,.!?;]$' AND length(a.t) + length(x.tok) >= {least}) OR length(a.t) + length(x.tok) >= {most},
            named_struct('p', a.p + 1, 't', '', 'out', array_append(a.out, a.p)),
@@ -331,7 +375,7 @@ def tokens_to_cues(tokens: DataFrame, least: int = 6, most: int = 18, fillers: s
     flat = one.select("video_id", F.explode(F.arrays_zip("c", "p")).alias("z")).select("video_id", "z.c.*", F.col("z.p").alias("cue"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "tok"))), lambda x: x["tok"]), "")
     cues = flat.groupBy("video_id", "cue").agg(F.min_by("start_ms", "seq").alias("start_ms"), F.max_by("end_ms", "seq").alias("end_ms"), joined.alias("text"))
-    cues = cues.withColumn("text", F.regexp_replace("text", "^[ 。，！？、；,.!?;]+", ""))
+    cues = cues.withColumn("text", fix_terms(F.regexp_replace("text", "^[ 。，！？、；,.!?;]+", ""), terms or []))
     return cues.where((F.col("text") != "") & ~F.col("text").rlike(f"^[{fillers}]+$"))
 
 

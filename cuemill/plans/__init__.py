@@ -3,6 +3,6 @@
 
 def registered():
     """The catalog, with all queries of the library entered."""
-    from . import catalog, column_queries, feed_queries, flagship, more_queries, release_queries, time_queries, transcript_queries  # noqa: F401
+    from . import catalog, column_queries, feed_queries, flagship, more_queries, release_queries, text_queries, time_queries, transcript_queries  # noqa: F401
 
     return catalog

@@ -13,6 +13,13 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
+
+
+def _chinese(text: str) -> str:
+    marked = f"replace(replace(replace({text}, '@', '#'), ', the', ',, \"the\"'), '. ', '... ')"
+    return f"translate({marked}, 'abcdefghijklmnopqrstuvwxyz', '的一是了我不人在他有这个上们来到时大地为子中你说生国')"
+
+
 VIEWS: dict[str, str] = {
     # A conversation is a video, a turn a cue; two cues in three lose their full stop.
     "cue_base": """SELECT conv_id AS video_id, CAST(turn AS INT) + 1 AS cue_index, turn, role, text AS raw,
@@ -33,6 +40,16 @@ VIEWS: dict[str, str] = {
         CAST(event_id % 700 AS BIGINT) AS key FROM events""",
     "titles": """SELECT doc_id, source AS batch, regexp_replace(substring(text, 1, 60), '\\s+', ' ') AS title, text,
         lang FROM documents""",
+    # Whole texts with small letters made Chinese characters, doubled marks, quotes and dots.
+    "zh": f"""SELECT doc_id, source AS batch, {_chinese('text')} AS text FROM documents""",
+    "zcues": f"""SELECT video_id, cue_index, {_chinese('text')} AS text FROM cues""",
+    # Numbers in Chinese.
+    "numerals": """SELECT event_id, key, duration, CASE WHEN key = 0 THEN '零' ELSE concat(
+        CASE WHEN key >= 100 THEN concat(substring('零一二三四五六七八九', CAST(floor(key / 100) AS INT) + 1, 1), '百') ELSE '' END,
+        CASE WHEN key % 100 = 0 THEN '' WHEN key % 100 < 10
+        THEN concat(CASE WHEN key >= 100 THEN '零' ELSE '' END, substring('零一二三四五六七八九', CAST(key % 10 AS INT) + 1, 1))
+        ELSE concat(CASE WHEN key < 20 THEN '' ELSE substring('零一二三四五六七八九', CAST(floor(key % 100 / 10) AS INT) + 1, 1) END, '十',
+        CASE WHEN key % 10 = 0 THEN '' ELSE substring('零一二三四五六七八九', CAST(key % 10 AS INT) + 1, 1) END) END) END AS cn FROM items""",
     "urls": """SELECT page_id, url, concat(url, '/video/BV', CAST(page_id * 7919 AS STRING), 'x?from=a&Expires=',
         CAST(1700000000 + page_id * 3600 AS STRING)) AS media_url, html FROM pages""",
     "announce": """SELECT o_orderkey AS id, CAST(floor(S(o_orderdate) / 86400) AS BIGINT) AS day FROM orders""",

@@ -57,43 +57,18 @@ columns("p16_clean_feed_title", "urls", "page_id", lambda: {"title": X.clean_fee
 query("p18_days_until", "SELECT id, CAST(day - 19800 AS INT) AS days, day - 19800 BETWEEN 0 AND 30 AS upcoming FROM announce")(
     lambda v: v.announce.select("id", T.days_until(F.date_add(F.lit("1970-01-01").cast("date"), c("day").cast("int")), F.date_add(F.lit("1970-01-01").cast("date"), 19800)).alias("days"),
                                 T.is_upcoming(F.date_add(F.lit("1970-01-01").cast("date"), c("day").cast("int")), F.date_add(F.lit("1970-01-01").cast("date"), 19800)).alias("upcoming")))
-query("p19_detect_lang", "SELECT video_id, CASE WHEN n >= greatest(4, 0.05 * len) THEN 'accented' ELSE 'plain' END AS lang FROM "
-      "(SELECT video_id, CAST(sum(length(regexp_replace(text, '[^éèêàçüöäßñíóáúôîû]', '', 'g'))) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS len FROM cues GROUP BY video_id)")(
-    lambda v: v.cues.groupBy("video_id").agg(F.sum(F.length(F.regexp_replace("text", "[^éèêàçüöäßñíóáúôîû]", ""))).alias("n"), F.sum(F.length("text")).alias("len"))
-    .select("video_id", F.when(c("n") >= F.greatest(F.lit(4), c("len") * 0.05), "accented").otherwise("plain").alias("lang")))
-columns("p23_fix_terms", "titles", "doc_id", lambda: {"fixed": X.fix_terms(c("title"), [("the", "a"), ("er", "ER"), ("a ", "an ")])},
-        "replace(replace(replace(title, 'the', 'a'), 'er', 'ER'), 'a ', 'an ') AS fixed")
-columns("p24_clean_reply", "titles", "doc_id", lambda: {"reply": X.clean_reply(F.concat(F.lit("<think>hm\nhm</think>\n```json\n"), c("title"), F.lit("\n```")))}, "trim(title) AS reply")
-query("p25_parse_numbered_lines", "SELECT video_id, cue_index AS n, trim(text) AS line FROM cues WHERE length(trim(text)) > 0 AND text NOT LIKE concat('%', chr(10), '%')")(
-    lambda v: v.cues.where("length(trim(text)) > 0 AND instr(text, '\n') = 0").groupBy("video_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cue_index", "text"))), lambda x: F.concat(x["cue_index"].cast("string"), F.lit(". "), x["text"])), "\n").alias("reply"))
-    .select("video_id", F.posexplode(F.split("reply", "\n")).alias("pos", "l"))
-    .select("video_id", F.regexp_extract("l", r"^\s*(\d+)[.、)]\s*(.*)$", 1).cast("int").alias("n"), F.trim(F.regexp_extract("l", r"^\s*(\d+)[.、)]\s*(.*)$", 2)).alias("line"), "pos")
-    .groupBy("video_id", "n").agg(F.max_by("line", "pos").alias("line")))
 query("p26_parse_reply_array", "SELECT doc_id, quality AS score, toxic AS ratio FROM labels")(
     lambda v: v.labels.select("doc_id", F.inline(X.reply_array(
         F.when(c("doc_id") % 2 == 0, F.format_string('noise [{"score": %d, "ratio": %d}] end', "quality", "toxic"))
         .otherwise(F.format_string("x [{score: %d, 'ratio': %d,},] y", "quality", "toxic")), "array<struct<score:int,ratio:int>>"))))
 query("p28_cache_key", "SELECT event_id, sha256(concat('m', chr(10), 'u', chr(10), 'a=', id, '&b=', author)) AS k FROM items")(
     lambda v: v.items.select("event_id", X.cache_key(F.lit("m"), F.lit("u"), F.when(c("key") % 2 == 0, F.create_map(F.lit("b"), "author", F.lit("a"), "id")).otherwise(F.create_map(F.lit("a"), "id", F.lit("b"), "author"))).alias("k")))
-query("p29_number_tokens", "SELECT event_id, CASE WHEN duration % 100 = key % 100 THEN concat('N:', CAST(CAST(duration % 100 AS DOUBLE) AS STRING), '|PCT:', CAST(CAST(key AS DOUBLE) AS STRING)) "
-      "ELSE concat('N:', CAST(CAST(duration % 100 AS DOUBLE) AS STRING), '|PCT:', CAST(CAST(key AS DOUBLE) AS STRING)) END AS tokens FROM items")(
-    lambda v: v.items.select("event_id", F.array_join(X.number_tokens(F.format_string("up %d%% in %d years", "key", c("duration") % 100)), "|").alias("tokens")))
-columns("p31_title_residue_ok", "titles", "doc_id", lambda: {"ok": X.title_residue_ok(F.concat(c("title"), F.when(c("doc_id") % 3 == 0, ",").when(c("doc_id") % 3 == 1, " (x").otherwise("")), F.lit(False))},
-        "doc_id % 3 = 2 AND NOT regexp_matches(title, '[,，、:：]{2,}|[,，、:：\\-—|｜(（《「]\\s*$|\\(\\s*\\)') AND (length(title) - length(replace(title, '\"', ''))) % 2 = 0 "
-        "AND length(replace(title, '(', '')) = length(replace(title, ')', '')) AND length(regexp_replace(title, '[\\s\\p{P}]', '', 'g')) >= 2 AS ok")
 columns("p32_title_has_speaker", "titles", "doc_id", lambda: {"has": X.title_has_speaker(c("title"), F.lit("Ray·the"))}, "(title LIKE '%Ray·the%' OR title LIKE '%Ray%' OR title LIKE '%the%') AS has")
 query("p33_truncate_words", "SELECT doc_id, CASE WHEN length(title) <= 24 THEN title ELSE coalesce(nullif(regexp_replace(f.t, '[\\s,，、:：;；\\-]+$', ''), ''), substring(title, 1, 24)) END AS short FROM titles LEFT JOIN f USING (doc_id)",
       ctes="w AS (SELECT doc_id, unnest(string_split(title, ' ')) AS w, generate_subscripts(string_split(title, ' '), 1) AS i FROM titles), "
       "r AS (SELECT doc_id, i, sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n, w FROM w), "
       "f AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t FROM r WHERE n <= 24 GROUP BY doc_id)")(
     lambda v: v.titles.select("doc_id", X.truncate_words(c("title"), 24).alias("short")))
-columns("p34_clean_title", "titles", "doc_id", lambda: {"title2": X.clean_title(F.concat("title", F.lit("  "), "title"))["title"], "warned": F.array_join(X.clean_title(F.concat("title", F.lit("  "), "title"))["warnings"], ",")},
-        "substring(trim(regexp_replace(concat(title, '  ', title), '\\s+', ' ', 'g')), 1, 80) AS title2, "
-        "CASE WHEN length(trim(regexp_replace(concat(title, '  ', title), '\\s+', ' ', 'g'))) > 80 THEN 'truncated' WHEN length(trim(regexp_replace(concat(title, '  ', title), '\\s+', ' ', 'g'))) > 25 THEN 'long' "
-        "WHEN trim(title) = '' THEN 'empty' ELSE '' END AS warned")
-query("p35_clean_tags", "SELECT event_id, CASE WHEN key % 5 = 0 THEN '财经' WHEN source = author THEN source ELSE concat(source, '|', author) END AS tags FROM items")(
-    lambda v: v.items.select("event_id", F.array_join(X.clean_tags(F.when(c("key") % 5 == 0, F.array(F.lit(" "), F.lit(","))).otherwise(F.array(F.concat(F.lit(" "), "source"), F.concat("author", F.lit(",")), "source"))), "|").alias("tags")))
 query("p36_build_desc", "SELECT doc_id, concat(CASE WHEN length(title) > 25 THEN concat(title, chr(10), chr(10)) ELSE '' END, "
       "CASE WHEN 250 - (CASE WHEN length(title) > 25 THEN length(title) + 2 ELSE 0 END) - length(batch) - 15 - 2 > 0 THEN concat(substring(text, 1, 250 - (CASE WHEN length(title) > 25 THEN length(title) + 2 ELSE 0 END) - length(batch) - 15 - 2), chr(10), chr(10)) ELSE '' END, "
       "'1:00', chr(10), chr(10), batch, chr(10), chr(10), 'no adv.') AS descr FROM titles WHERE text <> ''")(
@@ -103,18 +78,13 @@ columns("p38_classify_media", "titles", "doc_id", lambda: {"kind": X.classify_me
         "CASE WHEN title LIKE '%ing%' THEN 'talk' WHEN title LIKE '%sch%' THEN 'de' WHEN doc_id * 20000 < 5242880 THEN 'short' ELSE 'other' END AS kind")
 columns("p39_ends_sentence", "cues", "video_id cue_index", lambda: {"ends": X.ends_sentence(F.concat(c("text"), F.lit('" ')))}, "regexp_matches(regexp_replace(text, '[\"'' )\\]}]+$', ''), '[.!?;。！？；、]$') AS ends")
 columns("p40_human_size", "items", "event_id", lambda: {"size": T.human_size(c("key") * 1024)}, "CASE WHEN key = 0 THEN '0.0 B' ELSE concat(CAST(key AS STRING), '.0 KB') END AS size")
-columns("p41_strip_asr_tags", "titles", "doc_id", lambda: {"t": X.strip_asr_tags(F.concat(F.lit("<|zh|>"), c("title"), F.lit("<|end|>")))}, "regexp_replace(title, '<\\|[^|]*\\|>', '', 'g') AS t")
 columns("p42_content_hash", "titles", "doc_id", lambda: {"h": X.content_hash(F.when(c("doc_id") % 4 > 0, c("text")))}, "CASE WHEN doc_id % 4 > 0 THEN sha256(text) ELSE '' END AS h")
 columns("p43_has_digit_or_percent", "titles", "doc_id", lambda: {"d": X.has_digit_or_percent(c("title"))}, "regexp_matches(title, '[0-9%]') AS d")
-query("p44_format_provenance", "SELECT batch, count(*) AS n, sha256(string_agg(concat(CAST(doc_id AS STRING), ' ', title), chr(10) ORDER BY doc_id)) AS notes FROM titles GROUP BY batch")(
-    lambda v: v.titles.groupBy("batch").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "title"))), lambda x: F.concat(x["doc_id"].cast("string"), F.lit(" "), x["title"])), "\n"), 256).alias("notes")))
 query("p45_normalize_episode", "SELECT event_id, CASE WHEN key % 3 = 0 THEN 'untitled' ELSE id END AS title, CASE WHEN key % 2 = 0 THEN 'pending' ELSE 'done' END AS status, source AS tags, CASE WHEN key % 2 = 0 THEN '2024-01-02' END AS date FROM items")(
     lambda v: v.items.select("event_id", X.normalize_episode(F.when(c("key") % 3 == 0, F.lit("  ")).otherwise(c("id")), F.when(c("key") % 2 == 0, F.lit("")).otherwise(F.lit(" done")), F.array(F.lit(" "), c("source")),
         F.when(c("key") % 2 == 0, F.lit("2024-01-02")).otherwise(F.lit("soon"))).alias("e")).select("event_id", "e.title", "e.status", F.array_join("e.tags", ",").alias("tags"), "e.date"))
 columns("p46_classify_failure", "items", "event_id", lambda: {"kind": X.classify_failure(F.when(c("key") % 5 == 0, 404).when(c("key") % 5 == 1, 403).when(c("key") % 5 == 2, 429).cast("int"), F.when(c("key") % 5 == 3, F.lit("please Sign in")))},
         "CASE key % 5 WHEN 0 THEN 'fatal_gone' WHEN 1 THEN 'fatal_request' WHEN 2 THEN 'retryable' WHEN 3 THEN 'login_wall' ELSE 'retryable_unknown' END AS kind")
-query("p47_redact_record_lines", "SELECT doc_id, concat(title, chr(10), CASE WHEN doc_id % 2 = 0 THEN '[redacted]' ELSE concat('a', chr(9), 'b') END, chr(10), 'z') AS log FROM titles")(
-    lambda v: v.titles.select("doc_id", X.redact_record_lines(F.concat(c("title"), F.lit("\n"), F.when(c("doc_id") % 2 == 0, F.lit("k\ta\tb\\tc\td\te")).otherwise(F.lit("a\tb")), F.lit("\nz"))).alias("log")))
 columns("p49_brand_title", "titles", "doc_id", lambda: {"t": X.brand_title(c("title"), "Talks")}, "concat(substring(title, 1, 40), '｜Talks') AS t")
 columns("f15_subtitle_plan", "items", "event_id", lambda: {"action": X.subtitle_plan(c("key") % 2 == 0, c("key") % 3 > 0, c("key") % 5 > 0, F.when(c("key") % 4 == 0, F.array(F.lit("English"))).otherwise(F.array(F.lit("中文"))), c("key") % 7 > 0, F.lit(0.8))["action"]},
         "CASE WHEN key % 2 <> 0 OR key % 3 = 0 OR key % 5 = 0 OR key % 7 = 0 THEN 'burn_bilingual' WHEN key % 4 = 0 THEN 'burn_zh_only' ELSE 'skip_subtitle' END AS action")

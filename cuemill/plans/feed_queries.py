@@ -11,16 +11,16 @@ from .catalog import query
 
 c = F.col
 NOW = 1706600000
-STORE = "s AS (SELECT id, source, concat('old ', id) AS title, 1 AS created_at, 2 AS updated_at FROM (SELECT DISTINCT id, source FROM items WHERE key < 300))"
-BATCH = "b AS (SELECT id, source, concat('new ', CAST(event_id AS STRING)) AS title, event_id AS pos FROM items WHERE key >= 200)"
+STORE = "s AS (SELECT id, source, concat('old ', id) AS title, 'u' AS url, 7 AS publish_s, id AS author, '{}' AS extra, 1 AS created_at, 2 AS updated_at FROM (SELECT DISTINCT id, source FROM items WHERE key < 300))"
+BATCH = "b AS (SELECT id, source, concat('new ', CAST(event_id AS STRING)) AS title, CASE WHEN event_id % 3 > 0 THEN concat('u', CAST(key AS STRING)) END AS url, publish_s, author, extra, event_id AS pos FROM items WHERE key >= 200)"
 
 
 def store(v):
-    return v.items.where("key < 300").select("id", "source").distinct().select("id", "source", F.concat(F.lit("old "), "id").alias("title"), F.lit(1).alias("created_at"), F.lit(2).alias("updated_at"))
+    return v.items.where("key < 300").select("id", "source").distinct().select("id", "source", F.concat(F.lit("old "), "id").alias("title"), F.lit("u").alias("url"), F.lit(7).cast("bigint").alias("publish_s"), c("id").alias("author"), F.lit("{}").alias("extra"), F.lit(1).alias("created_at"), F.lit(2).alias("updated_at"))
 
 
 def batch(v):
-    return v.items.where("key >= 200").select("id", "source", F.concat(F.lit("new "), c("event_id").cast("string")).alias("title"), c("event_id").alias("pos"))
+    return v.items.where("key >= 200").select("id", "source", F.concat(F.lit("new "), c("event_id").cast("string")).alias("title"), F.when(c("event_id") % 3 > 0, F.concat(F.lit("u"), c("key").cast("string"))).alias("url"), "publish_s", "author", "extra", c("event_id").alias("pos"))
 
 
 def handled(v, kind):
@@ -29,11 +29,7 @@ def handled(v, kind):
 
 query("s14_unify_items", "SELECT id, source, author, NULL::INTEGER AS duration FROM items WHERE source = 'click' UNION ALL SELECT id, source, NULL, duration FROM items WHERE source = 'view'")(
     lambda v: P.unify_items(v.items.where("source = 'click'").select("id", "source", "author"), v.items.where("source = 'view'").select("id", "source", "duration")))
-query("s15_upsert_items", "SELECT coalesce(s.id, l.id) AS id, coalesce(s.source, l.source) AS source, coalesce(l.title, s.title) AS title, coalesce(s.created_at, 9) AS created_at, CASE WHEN l.id IS NOT NULL THEN 9 ELSE s.updated_at END AS updated_at FROM s FULL JOIN l ON s.id = l.id",
-      ctes=f"{STORE}, {BATCH}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos DESC) AS r FROM b) WHERE r = 1)")(lambda v: P.upsert_items(store(v), batch(v), F.lit(9)))
 query("u03_new_items", "SELECT id, min(pos) AS pos FROM b WHERE id NOT IN (SELECT id FROM s) GROUP BY id", ctes=f"{STORE}, {BATCH}")(lambda v: P.new_items(batch(v), store(v)).select("id", "pos"))
-query("s16_update_extra", "SELECT event_id, CASE WHEN key % 3 = 0 THEN '{\"p\":1}' ELSE extra END AS extra, CASE WHEN key % 3 = 0 THEN 9 ELSE 2 END AS updated_at FROM items WHERE event_id < 700")(
-    lambda v: P.update_extra(v.items.where("event_id < 700").select("event_id", "id", "extra", F.lit(2).alias("updated_at")), v.items.where("event_id < 700 AND key % 3 = 0").select("id", F.lit('{"p":1}').alias("extra")), F.lit(9)).select("event_id", "extra", "updated_at"))
 query("s17_export_items", "SELECT event_id, CASE WHEN key % 2 = 0 THEN extra ELSE '{}' END AS extra FROM items")(
     lambda v: P.export_items(v.items.select("event_id", F.when(c("key") % 2 == 0, c("extra")).otherwise(F.lit("{bad")).alias("extra"), "publish_s", c("event_id").alias("created_at"))).select("event_id", "extra"))
 query("s18_merge_seeds", "SELECT event_id AS pos, CASE WHEN key % 5 > 0 THEN concat('1000000000000000', CAST(key AS STRING)) END AS seed_id, CASE WHEN key % 5 = 0 THEN 'invalid' WHEN key < 100 OR row_number() OVER (PARTITION BY key ORDER BY event_id) > 1 THEN 'skipped' ELSE 'added' END AS outcome FROM items")(
@@ -46,15 +42,10 @@ query("s29_catalogue_upsert", "SELECT key, max(source) AS season FROM items GROU
     lambda v: P.catalogue_upsert(v.items.where("event_id % 2 = 0").select("key", c("source").alias("season")), v.items.where("event_id % 2 = 1").select("key", c("source").alias("season"))))
 query("f01_noise_with_rescue", "SELECT doc_id FROM titles WHERE NOT (regexp_matches(title, 'the|der') AND NOT regexp_matches(title, 'ing|sch'))")(lambda v: v.titles.where(P.noise_with_rescue(c("title"), "the|der", "ing|sch")).select("doc_id"))
 query("f02_noise_drop", "SELECT doc_id FROM titles WHERE NOT regexp_matches(title, 'ea') AND NOT regexp_matches(title, '^T.e')")(lambda v: v.titles.where(P.noise_drop(c("title"), "ea", "^T.e")).select("doc_id"))
-query("f03_must_contain", "SELECT doc_id FROM titles WHERE title LIKE '%the%'")(lambda v: v.titles.where(c("title").contains("the")).select("doc_id"))
 query("f04_has_playable", "SELECT event_id, key % 4 IN (0, 1, 2) AS playable FROM items")(
     lambda v: v.items.select("event_id", P.has_playable(F.when(c("key") % 4 == 0, F.lit("http://v")), F.when(c("key") % 4 == 1, F.lit('{"has_video":true}')).otherwise(c("extra")), F.when(c("key") % 4 == 2, F.lit("https://www.bilibili.com/video/BV1"))).alias("playable")))
 query("f05_duration_band", "SELECT event_id FROM items WHERE key % 5 = 0 OR duration = 0 OR duration BETWEEN 60 AND 1800")(
     lambda v: v.items.where(P.duration_band(F.when(c("key") % 5 == 0, F.lit("n/a")).otherwise(c("duration").cast("string")))).select("event_id"))
-query("f10_min_duration", "SELECT event_id, duration FROM items WHERE duration >= 1200")(lambda v: v.items.where("duration >= 1200").orderBy(F.desc("duration"), "event_id").select("event_id", "duration"))
-query("f11_producible", "SELECT event_id FROM items WHERE source NOT IN ('error') AND key * 100000 >= 8388608 AND (duration >= 480 OR duration = 0) AND id NOT IN (SELECT id FROM items WHERE source = 'signup')")(
-    lambda v: v.items.where("source <> 'error' AND key * 100000 >= 8388608 AND (duration >= 480 OR duration = 0)").join(handled(v, "signup").select("id").distinct(), "id", "left_anti").select("event_id"))
-query("f12_select_items", "SELECT event_id FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS r FROM items WHERE source = 'view') WHERE r <= 50")(lambda v: v.items.where("source = 'view'").orderBy("event_id").limit(50).select("event_id"))
 query("f14_within_days", f"SELECT event_id FROM items WHERE publish_s > {NOW} - 3 * 86400")(lambda v: v.items.where(P.within_days(F.when(c("key") % 2 == 0, c("publish_s")), c("publish_s"), NOW, 3)).select("event_id"))
 HAND = "d AS (SELECT key, author AS video_id, publish_s AS ts FROM items WHERE source = 'purchase' AND key < 350), x AS (SELECT key, author AS video_id FROM items WHERE source = 'error' AND key % 9 = 0 AND CAST(author AS INT) < 20), rd AS (SELECT key, author AS video_id FROM items WHERE key % 7 = 0 AND CAST(author AS INT) < 60), pb AS (SELECT author AS video_id FROM items WHERE source = 'signup' AND CAST(author AS INT) < 30)"
 query("j10_exclude_handled", f"SELECT event_id FROM items WHERE key NOT IN (SELECT key FROM (SELECT key FROM d UNION SELECT key FROM x) WHERE key NOT IN (SELECT key FROM rd)) AND author NOT IN (SELECT video_id FROM (SELECT video_id FROM d WHERE {NOW} - ts < 172800 UNION SELECT video_id FROM x) WHERE video_id NOT IN (SELECT video_id FROM rd)) AND author NOT IN (SELECT video_id FROM pb)", ctes=HAND)(
@@ -64,9 +55,6 @@ query("j10_exclude_handled", f"SELECT event_id FROM items WHERE key NOT IN (SELE
 query("w17_prefix_dedupe", "SELECT min(doc_id) AS doc_id FROM titles GROUP BY substring(title, 1, 12)")(lambda v: P.prefix_dedupe(v.titles, 12, "doc_id").select("doc_id"))
 query("w18_title_repeat_flag", "SELECT doc_id, row_number() OVER (PARTITION BY batch, title ORDER BY doc_id) > 1 AS repeats FROM titles")(lambda v: P.title_repeat_flag(v.titles, "batch", "doc_id").select("doc_id", "repeats"))
 query("t21_feed_cap", "SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY event_id) AS r FROM items) WHERE r <= 60")(lambda v: P.feed_cap(v.items, 60, "source", "event_id").select("event_id"))
-query("t09_production_order", "SELECT event_id, CAST(row_number() OVER (PARTITION BY source ORDER BY duration DESC, event_id) AS INTEGER) AS pos FROM items")(
-    lambda v: v.items.selectExpr("event_id", "row_number() OVER (PARTITION BY source ORDER BY duration DESC, event_id) AS pos"))
-query("g02_dedup_titles")(lambda v: P.dedup_titles(v.titles.select(c("batch").alias("block"), c("doc_id").alias("pos"), "title", (c("doc_id") % 3 == 0).alias("has_url"), (c("doc_id") % 50).cast("int").alias("duration")), 0.95).select("pos", "place"))
 query("t07_pick", "SELECT event_id FROM (SELECT event_id, CASE WHEN age < 0 THEN 20 WHEN age <= 86400 THEN 15 WHEN age <= 259200 THEN 10 WHEN age <= 604800 THEN 5 ELSE 0 END + CASE WHEN duration BETWEEN 120 AND 600 THEN 10 WHEN duration > 600 AND duration <= 1200 THEN 8 WHEN duration BETWEEN 60 AND 119 THEN 2 ELSE 0 END AS score FROM "
       f"(SELECT *, {NOW} - publish_s AS age, row_number() OVER (PARTITION BY substring(concat('talk ', id), 1, 12) ORDER BY event_id) AS r FROM items WHERE NOT regexp_matches(id, 'error') AND (duration = 0 OR duration BETWEEN 60 AND 1800) AND key NOT IN (SELECT key FROM items WHERE source = 'purchase' AND key < 600)) WHERE r = 1) ORDER BY score DESC, event_id LIMIT 10")(
     lambda v: P.pick(v.items.select("event_id", c("event_id").alias("pos"), "key", F.concat(F.lit("talk "), "id").alias("title"), "source", "publish_s", "duration"), v.items.where("source = 'purchase' AND key < 600"), "talk", "error", NOW, 10).select("event_id"))
@@ -76,11 +64,11 @@ PUB = "p AS (SELECT doc_id AS slug, CASE WHEN doc_id % 4 = 0 THEN batch ELSE ''
 query("j15_published_guard", "SELECT DISTINCT p.slug FROM p JOIN q ON p.slug <> q.slug AND ((p.source_url <> '' AND p.source_url = q.source_url) OR p.title = q.title OR (length(p.title) >= 15 AND length(q.title) >= 15 AND substring(p.title, 1, 15) = substring(q.title, 1, 15)))", ctes=PUB)(
     lambda v: P.published_guard(v.titles.where("doc_id % 2 = 0").select(c("doc_id").alias("slug"), F.when(c("doc_id") % 4 == 0, c("batch")).otherwise(F.lit("")).alias("source_url"), "title"),
                                 v.titles.where("doc_id % 3 = 0").select(c("doc_id").alias("slug"), F.when(c("doc_id") % 15 == 0, c("batch")).otherwise(F.lit("-")).alias("source_url"), "title")))
-SLOTS = "n AS (SELECT DISTINCT publish_s AS now_s FROM items WHERE event_id % 50 = 0), a AS (SELECT now_s, ((now_s + 28800)//86400 + d) * 86400 + m * 60 - 28800 AS slot_s FROM n, (SELECT unnest([0, 1]) AS d), (SELECT unnest([660, 750, 900, 1080, 1260]) AS m)), f AS (SELECT * FROM a WHERE slot_s > now_s), res AS (SELECT slot_s FROM a WHERE slot_s % 7 < 4)"
+SLOTS = "n AS (SELECT DISTINCT publish_s AS now_s FROM items), a AS (SELECT now_s, ((now_s + 28800)//86400 + d) * 86400 + m * 60 - 28800 AS slot_s FROM n, (SELECT unnest([0, 1]) AS d), (SELECT unnest([660, 750, 900, 1080, 1260]) AS m)), f AS (SELECT * FROM a WHERE slot_s > now_s), res AS (SELECT slot_s FROM a WHERE slot_s % 7 < 4)"
 query("j16_next_free_slot", "SELECT now_s, coalesce(min(CASE WHEN slot_s NOT IN (SELECT slot_s FROM res) THEN slot_s END), min(slot_s)) AS slot_s FROM f GROUP BY now_s", ctes=SLOTS)(
-    lambda v: (lambda n: P.next_free_slot(n, P.slot_times(n.select(F.explode(F.array(*[F.floor((c("now_s") + 28800) / 86400) + d for d in (0, 1)])).alias("day")).distinct()).where("slot_s % 7 < 4").select(c("slot_s").alias("ts"))))(v.items.where("event_id % 50 = 0").select(c("publish_s").alias("now_s")).distinct()))
+    lambda v: (lambda n: P.next_free_slot(n, P.slot_times(n.select(F.explode(F.array(*[F.floor((c("now_s") + 28800) / 86400) + d for d in (0, 1)])).alias("day")).distinct()).where("slot_s % 7 < 4").select(c("slot_s").alias("ts"))))(v.items.select(c("publish_s").alias("now_s")).distinct()))
 query("j17_slot_delay_hours", "SELECT now_s, CAST(greatest(1, least(24, ceil((l[least(3, len(l))] - now_s) / 3600.0))) AS BIGINT) AS hours FROM (SELECT now_s, list(slot_s ORDER BY slot_s) AS l FROM f GROUP BY now_s)", ctes=SLOTS)(
-    lambda v: P.slot_delay_hours(v.items.where("event_id % 50 = 0").select(c("publish_s").alias("now_s")).distinct(), 2))
+    lambda v: P.slot_delay_hours(v.items.select(c("publish_s").alias("now_s")).distinct(), 2))
 query("g05_assign_slots", "SELECT a.event_id, b.slot_s FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY event_id) AS r FROM items WHERE key % 3 = 0) a JOIN (SELECT source, publish_s AS slot_s, row_number() OVER (PARTITION BY source ORDER BY publish_s, event_id) AS r FROM items WHERE key % 3 = 1) b ON a.source = b.source AND a.r = b.r")(
     lambda v: P.assign_slots(v.items.where("key % 3 = 0").select(c("source").alias("batch"), c("event_id").alias("pos"), "event_id"), v.items.where("key % 3 = 1").select(c("source").alias("batch"), c("publish_s").alias("slot_s"))).select("event_id", "slot_s"))
 query("j19_fresh_skip", f"SELECT DISTINCT key FROM items WHERE key NOT IN (SELECT key FROM items WHERE source = 'view' AND {NOW} - publish_s < 604800)")(

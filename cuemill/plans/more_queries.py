@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cuemill.functions import cjk
 from cuemill.functions import text as X
 from cuemill.operators import frames as V
 from cuemill.operators import transcript as P
@@ -16,52 +15,26 @@ from .transcript_queries import OVER
 c = F.col
 
 columns("p14_strip_relative_prefix", "titles", "doc_id", lambda: {"t": X.strip_relative_prefix(F.concat(F.lit("abc 5分钟前 "), c("title")))}, "CASE WHEN trim(title) = '' THEN concat('abc 5分钟前 ', title) ELSE trim(title) END AS t")
-query("p17_meeting_fields", "SELECT id, CAST(DATE '1970-01-01' + CAST(day AS INTEGER) AS DATE) AS meeting_date, concat('hall ', CAST(id AS STRING)) AS place FROM announce")(
-    lambda v: v.announce.withColumn("d", F.date_add(F.lit("1970-01-01").cast("date"), c("day").cast("int"))).select("id", S.meeting_fields(F.concat(F.date_format("d", "yyyy年M月d日"), F.lit(" 会议地点：hall "), c("id").cast("string"))).alias("m"))
-    .select("id", "m.meeting_date", "m.place"))
-columns("p20_convert_script", "titles", "doc_id", lambda: {"t": cjk.convert_script(c("title"), {"e": "E", "h": "H"}, ("the",))}, "replace(replace(replace(replace(title, 'the', chr(57344)), 'e', 'E'), 'h', 'H'), chr(57344), 'the') AS t")
-query("p21_normalize_cjk_punct", "SELECT doc_id, concat('好，', CAST(doc_id AS STRING), '！') AS t FROM titles")(
-    lambda v: v.titles.select("doc_id", cjk.normalize_cjk_punct(F.concat(F.lit("好, "), c("doc_id").cast("string"), F.lit(" !!"))).alias("t")))
-query("p22_normalize_cues", "SELECT video_id, cue_index, trim(text, ' ' || chr(10) || chr(9)) AS text, trim(text, ' ' || chr(10) || chr(9)) <> text AS changed FROM cues")(
-    lambda v: cjk.normalize_cues(v.cues).select("video_id", "cue_index", "text", "changed"))
+query("p17_meeting_fields", "SELECT id, d AS meeting_date, concat(CAST(year(d) AS STRING), '年', CAST(month(d) AS STRING), '月', CAST(day(d) AS STRING), '日14点30分') AS meeting_time, concat('hall', CAST(id AS STRING)) AS place, CASE WHEN id % 2 = 0 THEN '价值在线,视频直播' ELSE '视频直播' END AS platforms, CASE WHEN id % 3 = 0 THEN concat('https://live.x/', CAST(id AS STRING)) ELSE '' END AS urls "
+      "FROM (SELECT id, CAST(DATE '1970-01-01' + CAST(day AS INTEGER) AS DATE) AS d FROM announce)")(
+    lambda v: v.announce.withColumn("d", F.date_add(F.lit("1970-01-01").cast("date"), c("day").cast("int"))).select("id", S.meeting_fields(F.concat(
+        F.date_format("d", "'召开的日期时间：' yyyy年M月d日 '14点' '30分'"), F.lit("\n召开地点： hall "), c("id").cast("string"), F.lit("\n"), F.when(c("id") % 2 == 0, F.lit("价值在线")).otherwise(F.lit("")), F.lit(" 视频直播、视频直播 http://www.sse.com.cn/x "),
+        F.when(c("id") % 3 == 0, F.concat(F.lit("https://live.x/"), c("id").cast("string"))).otherwise(F.lit("https://cninfo.x/1")))).alias("m"))
+    .select("id", "m.meeting_date", "m.meeting_time", "m.place", F.array_join("m.platforms", ",").alias("platforms"), F.array_join("m.live_urls", ",").alias("urls")))
 query("p27_parse_copy_reply", "SELECT doc_id, concat('t', CAST(doc_id AS STRING)) AS title, CASE WHEN doc_id % 2 = 0 THEN 'd' ELSE 'say \"no\"' END AS descr, 'a,b' AS tags FROM titles WHERE doc_id % 5 > 0")(
     lambda v: v.titles.select("doc_id", X.copy_reply(F.concat(F.lit('x {"title": "'), F.when(c("doc_id") % 5 > 0, F.concat(F.lit("t"), c("doc_id").cast("string"))).otherwise(F.lit("")), F.lit('", "desc": "'),
         F.when(c("doc_id") % 2 == 0, F.lit("d")).otherwise(F.lit('say "no"')), F.lit('", "tags": ["a", "b"]} y'))).alias("r")).where("r IS NOT NULL").select("doc_id", "r.title", "r.descr", F.array_join("r.tags", ",").alias("tags")))
-query("p29_number_tokens_cjk", "SELECT event_id, concat('PCT:', CAST(key AS STRING), '|X:3') AS tokens FROM items")(
-    lambda v: v.items.select("event_id", F.array_join(cjk.number_tokens_cjk(F.format_string("%d%%，涨了三倍", "key")), "|").alias("tokens")))
-query("p30_strip_tokens", "SELECT event_id, CASE WHEN key % 2 = 0 THEN '涨了' ELSE concat('涨', CAST(key AS STRING), '%了') END AS t FROM items")(
-    lambda v: v.items.withColumn("t", F.format_string("涨%d%%了", "key")).withColumn("b", F.when(c("key") % 2 == 0, F.array(F.concat(F.lit("PCT:"), c("key").cast("string")))).otherwise(F.array().cast("array<string>"))).select("event_id", cjk.strip_tokens("t", "b").alias("t")))
-query("p48_finalize_title", "SELECT event_id, CASE WHEN key % 2 = 0 THEN concat('Ray：涨', CAST(key AS STRING), '%了') ELSE 'Ray：涨了' END AS final_title FROM items")(
-    lambda v: cjk.finalize_titles(v.items.select("event_id", F.format_string("涨%d%%了", "key").alias("title"), F.lit("Ray").alias("speaker"), F.when(c("key") % 2 == 0, F.format_string("约%d%%", "key")).otherwise(F.lit("")).alias("source"), F.lit("").alias("suggestion")), "谈投资").select("event_id", "final_title"))
-query("s10_video_page", "SELECT page_id, trim(regexp_extract(regexp_extract(html, '<title>([^<]*)</title>', 1), '^[^,]*')) AS title, len(list_distinct(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1))) AS links FROM pages")(
-    lambda v: v.pages.select("page_id", F.trim(F.get(F.split(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1), ","), F.lit(0))).alias("title"), F.size(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1)))).cast("bigint").alias("links")))
-query("s10_items_from_video_page", "SELECT concat('haokan_video:', CAST(page_id AS STRING)) AS id, trim(regexp_extract(regexp_extract(html, '<title>([^<]*)</title>', 1), '^[^,]*')) AS title, 1600000000 + page_id AS publish_s FROM pages")(
-    lambda v: S.from_video_page(v.pages.select(c("page_id").cast("string").alias("vid"), F.concat("html", F.lit('"https://a/hd/1.mp4" "publish_time":"'), (c("page_id") + 1600000000).cast("string"), F.lit('"')).alias("payload"), F.lit(1).cast("bigint").alias("fetched_s"))).select("id", "title", "publish_s"))
 query("s03_items_from_space_api", "SELECT concat('bilibili_api:', id) AS id, publish_s, author FROM items WHERE key % 5 > 0")(
     lambda v: S.from_space_api(v.items.select(F.to_json(F.struct(F.when(c("key") % 5 > 0, 0).otherwise(-1).alias("code"), F.struct(F.struct(F.array(F.struct(c("id").alias("bvid"), c("publish_s").alias("created"), "author")).alias("vlist")).alias("list")).alias("data"))).alias("payload"), F.lit(1).alias("fetched_s"))).select("id", "publish_s", "author"))
-query("s07_items_from_microblog", "SELECT concat('weibo_search:', CAST(doc_id AS STRING)) AS id, substring(trim(title), 1, 300) AS title FROM titles WHERE length(trim(regexp_replace(title, '<[^>]+>', '', 'g'))) >= 5 AND title NOT LIKE '%<%'")(
-    lambda v: S.from_microblog(v.titles.where("title NOT LIKE '%<%'").select(F.to_json(F.struct(F.array(F.struct(c("doc_id").cast("string").alias("mid"), c("title").alias("text"))).alias("statuses"))).alias("payload"), F.lit(1).alias("fetched_s"))).select("id", "title"))
-query("s12_items_from_portal", "SELECT concat('netease_video:V', CAST(doc_id AS STRING)) AS id, regexp_extract(trim(title), '^[^_|]*') AS title FROM titles WHERE title LIKE '%the%' AND title NOT LIKE '%<%'")(
-    lambda v: S.from_portal(v.titles.where("title NOT LIKE '%<%'").select(F.concat(F.lit('<a href="/v/video/V'), c("doc_id").cast("string"), F.lit('.html">'), "title", F.lit("</a>")).alias("payload"), F.lit(1).alias("fetched_s")), "the").select("id", "title"))
 query("t19_best_stream", "SELECT video_id, person AS kind, max(sharpness * 100000 + frame_no) % 100000 AS url FROM frames GROUP BY video_id, person")(
     lambda v: S.best_stream(v.frames.select("video_id", c("person").alias("kind"), c("sharpness").alias("bandwidth"), c("frame_no").alias("url"))))
 query("g04_resolve_overlaps", "SELECT video_id, CAST(para_id AS INTEGER) AS para_id, start2, end2 FROM done", ctes="src AS (SELECT video_id, para_id, start_ms * 2 AS start2, end_ms * 2 + 30000 AS end2 FROM clips), " + OVER.format(m=10000))(
     lambda v: P.resolve_overlaps(v.clips.select("video_id", "para_id", (c("start_ms") * 2).alias("start2"), (c("end_ms") * 2 + 30000).alias("end2")), 5000))
-TOK = "w AS (SELECT video_id, cue_index, unnest(string_split(text, ' ')) AS tok, generate_subscripts(string_split(text, ' '), 1) AS j, start_ms FROM cues), k AS (SELECT video_id, tok, cue_index * 1000 + j AS o, row_number() OVER (PARTITION BY video_id ORDER BY cue_index, j) AS seq FROM w WHERE cue_index <= 2 AND j <= 40), "
-query("w04_tokens_to_cues", "SELECT video_id, p AS cue, min(seq) AS start_ms, max(seq) AS end_ms, regexp_replace(string_agg(tok, '' ORDER BY seq), '^[ 。，！？、；,.!?;]+', '') AS text FROM f GROUP BY video_id, p HAVING regexp_replace(string_agg(tok, '' ORDER BY seq), '^[ 。，！？、；,.!?;]+', '') <> ''",
-      ctes=TOK + "f AS (SELECT video_id, seq, tok, 1 AS p, CASE WHEN (regexp_matches(tok, '[,.!?;]$') AND length(tok) >= 6) OR length(tok) >= 18 THEN '' ELSE tok END AS t, CASE WHEN (regexp_matches(tok, '[,.!?;]$') AND length(tok) >= 6) OR length(tok) >= 18 THEN 2 ELSE 1 END AS nxt FROM k WHERE seq = 1 "
-      "UNION ALL SELECT k.video_id, k.seq, k.tok, f.nxt, CASE WHEN (regexp_matches(k.tok, '[,.!?;]$') AND length(f.t) + length(k.tok) >= 6) OR length(f.t) + length(k.tok) >= 18 THEN '' ELSE concat(f.t, k.tok) END, "
-      "CASE WHEN (regexp_matches(k.tok, '[,.!?;]$') AND length(f.t) + length(k.tok) >= 6) OR length(f.t) + length(k.tok) >= 18 THEN f.nxt + 1 ELSE f.nxt END FROM f JOIN k ON k.video_id = f.video_id AND k.seq = f.seq + 1)")(
-    lambda v: P.tokens_to_cues(v.cues.where("cue_index <= 2").select("video_id", "cue_index", F.posexplode(F.split("text", " ")).alias("j", "tok")).where("j < 40").selectExpr("video_id", "tok", "CAST(row_number() OVER (PARTITION BY video_id ORDER BY cue_index, j) AS BIGINT) AS seq").selectExpr("*", "seq AS start_ms", "seq AS end_ms")))
-query("w06_split_long_cue", "SELECT video_id, cue_index, count(*) AS pieces, CAST(sum(length(p)) AS BIGINT) AS chars FROM (SELECT video_id, cue_index, unnest(regexp_extract_all(text, '[^.!?]*[.!?]+|[^.!?]+$')) AS p FROM cues WHERE length(text) > 0) GROUP BY video_id, cue_index")(
-    lambda v: P.split_long_cue(v.cues.where("length(text) > 0"), 0).groupBy("video_id", "cue_index").agg(F.count("*").alias("pieces"), F.sum(F.length("text")).alias("chars")))
 query("w08_chunk_time_allocation", "SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY chunk, i) AS INTEGER) AS n, least(lo + r - d, hi) AS start_ms, least(lo + r, hi) AS end_ms, trim(x) AS text FROM z",
       ctes="ch AS (SELECT video_id, cue_index - 1 AS chunk, replace(text, chr(10), ' ') AS text, CAST(count(*) OVER (PARTITION BY video_id) * 20000 - 7000 AS BIGINT) AS total FROM cues), "
       "sp AS (SELECT *, list_filter(regexp_extract_all(text, '[^.!?]*[.!?]+|[^.!?]+$'), lambda q: trim(q) <> '') AS l FROM ch), y AS (SELECT video_id, chunk, chunk * 20000 AS lo, least((chunk + 1) * 20000, total) AS hi, CAST(list_sum(list_transform(l, lambda q: length(q))) AS BIGINT) AS chars, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM sp), "
       "u AS (SELECT *, greatest(500, ((hi - lo) * length(x))//chars) AS d FROM y), z AS (SELECT *, CAST(sum(d) OVER (PARTITION BY video_id, chunk ORDER BY i) AS BIGINT) AS r FROM u)")(
     lambda v: P.chunk_time_allocation(v.cues.selectExpr("video_id", "CAST(cue_index - 1 AS BIGINT) AS chunk", "replace(text, '\n', ' ') AS text", "CAST(count(*) OVER (PARTITION BY video_id) * 20000 - 7000 AS BIGINT) AS total_ms"), 20000))
-query("a16_row_textness", "SELECT frame_no, y, round(coalesce((energy % 50) / nullif(energy % 100, 0), 0), 6) AS textness FROM row_profile WHERE y < 8")(
-    lambda v: v.row_profile.where("y < 8").select("frame_no", "y", F.round(V.row_textness(c("energy") % 50, c("energy") % 100), 6).alias("textness")))
 BAND = ("p AS (SELECT video_id, frame_no, y, 200 AS width, 64 AS height, CAST(energy % 40 AS INTEGER) AS bright, CAST(energy % 23 AS INTEGER) AS trans, CAST(energy % 40 AS INTEGER) AS white, CAST((energy % 40) * (frame_no % 3) * 5 AS INTEGER) AS chroma FROM row_profile), "
         "lw AS (SELECT *, bright / 200.0 BETWEEN 0.01 AND 0.9 AS lit FROM p WHERE y >= 32), hi AS (SELECT *, lit AND coalesce(trans / nullif(bright, 0), 0) >= 0.25 AS hit FROM lw), "
         "n1 AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY video_id, frame_no ORDER BY y) <= 6 THEN 0 ELSE 1 END AS new FROM hi WHERE hit), n2 AS (SELECT *, sum(new) OVER (PARTITION BY video_id, frame_no ORDER BY y) AS band FROM n1), "

@@ -28,11 +28,8 @@ query("s31_build_meta", "SELECT video_id, CAST(sum(end_ms - start_ms) AS BIGINT)
     lambda v: R.build_meta(v.clips, "m").select("video_id", "duration_ms", "n_segments", F.array_join(F.transform("segments", lambda s: s["start_ms"].cast("string")), ",").alias("starts")))
 query("s30_build_upload_list", "SELECT doc_id AS rank, concat(CAST(doc_id AS STRING), '. ', trim(title)) AS line, CASE WHEN length(trim(title)) > 25 THEN 'long' WHEN trim(title) = '' THEN 'empty' ELSE '' END AS warned FROM titles WHERE doc_id % 3 = 0")(
     lambda v: R.build_upload_list(v.titles.select(c("batch").alias("video_id"), c("doc_id").alias("rank"), c("doc_id").cast("string").alias("file"), "title"), v.titles.where("doc_id % 3 = 0").select(c("doc_id").cast("string").alias("file"))).select("rank", "line", F.array_join("warnings", ",").alias("warned")))
-query("u01_merge_index", "SELECT slug, id, n FROM idx WHERE NOT (id % 4 = 0) UNION ALL SELECT slug, id, n + 100 FROM queue WHERE id % 4 = 0")(lambda v: R.merge_index(v.idx.select("slug", "id", "n"), v.queue.where("id % 4 = 0").select("slug", "id", (c("n") + 100).alias("n"))))
 query("a11_batch_recency", "SELECT slug, max(batch_at) AS batch_at FROM idx GROUP BY slug")(lambda v: R.batch_recency(v.idx))
 query("u02_prune_batches", "SELECT slug, id FROM idx WHERE slug IN (SELECT slug FROM (SELECT slug, max(batch_at) AS m FROM idx GROUP BY slug ORDER BY m DESC, slug DESC LIMIT 30))")(lambda v: R.prune_batches(v.idx, 30)[0].select("slug", "id"))
-query("j11_orphans", "SELECT tag, 'orphan' AS what FROM releases WHERE tag NOT IN (SELECT slug FROM idx) UNION ALL SELECT DISTINCT slug, 'no_release' FROM idx WHERE slug NOT IN (SELECT tag FROM releases WHERE tag % 3 > 0) AND slug % 3 = 0 AND slug < 0")(
-    lambda v: (lambda o: o[1].select("tag", F.lit("orphan").alias("what")).unionByName(o[0].select("tag", F.lit("no_release").alias("what"))))(R.orphans(v.releases, v.idx.select(c("slug").alias("tag")))))
 query("t10_keep_newest_assets", "SELECT tag FROM (SELECT tag, row_number() OVER (PARTITION BY tag % 9 ORDER BY created_at DESC, tag) AS r FROM releases) WHERE r > 10")(
     lambda v: R.keep_newest(v.releases.select("tag", c("tag").alias("id"), (c("tag") % 9).alias("g"), "created_at"), 10, "g").select("tag"))
 EPS = "e AS (SELECT slug % 20 AS batch, slug, id, CASE WHEN n > 0 THEN CAST(DATE '1970-01-01' + CAST(batch_at//86400 AS INTEGER) AS DATE) END AS date, status = 'F' AS published FROM queue)"
@@ -58,8 +55,6 @@ query("a02_link_health", "SELECT source, count(*) AS total, count(*) FILTER (WHE
     lambda v: Q.link_health(v.items.select("source", (c("key") % 3 > 0).alias("ok"), c("duration").alias("bytes"))))
 query("a03_link_status", "SELECT event_id, key % 4 < 2 OR key * 1000 > 200000 AS ok, CAST(key * 1000 AS BIGINT) AS bytes FROM items")(
     lambda v: v.items.select("event_id", Q.link_status(F.when(c("key") % 4 == 0, F.lit("video/mp4")), F.concat(F.lit("bytes 0-1/"), (c("key") * 1000).cast("string")), F.lit(5), F.when(c("key") % 4 == 1, 3)).alias("s")).select("event_id", "s.ok", "s.bytes"))
-query("a04_feed_yield", "SELECT n_name AS feed, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_custkey % 40 = 0) AS n FROM nation")(
-    lambda v: Q.feed_yield(v.customer.where("c_custkey % 40 = 0").join(v.nation, c("c_nationkey") == c("n_nationkey")).select(c("n_name").alias("feed")), v.nation.select(c("n_name").alias("feed"))))
 query("a05_freshness", "SELECT source, (1706800000 - max(publish_s))//3600 AS hours, 1706800000 - max(publish_s) > 172800 AS stale FROM items GROUP BY source")(lambda v: Q.freshness(v.items.select("source", c("publish_s").alias("updated_s")), 1706800000))
 query("a06_capacity", "SELECT CAST(sum(duration) AS BIGINT) AS bytes, sum(duration) > 1000000 AS over FROM items")(lambda v: Q.capacity(v.items.select(c("duration").alias("bytes")), 1000000))
 query("a07_seed_staleness", "SELECT source AS kind, count(*) AS n, 19800 - max(publish_s//86400) > 45 AS stale FROM items GROUP BY source")(lambda v: Q.seed_staleness(v.items.select(c("source").alias("kind"), F.floor(c("publish_s") / 86400).alias("day")), 19800))
@@ -74,25 +69,15 @@ def leads(v):
 
 query("j12_lead_time", "SELECT * FROM l", ctes=LEAD)(leads)
 query("a12_lead_summary", "SELECT count(*) FILTER (WHERE lead > 0) AS wins, count(*) AS n, CAST(sum(lead) AS BIGINT) AS total_lead FROM l", ctes=LEAD)(lambda v: Q.lead_summary(leads(v)))
-query("j13_match_terms", "SELECT doc_id, concat_ws(',', CASE WHEN title LIKE '%the%' THEN 'the' END, CASE WHEN title LIKE '%ing%' THEN 'ing' END, CASE WHEN title LIKE '%sch%' THEN 'sch' END) AS terms FROM titles")(
-    lambda v: Q.match_terms(v.titles, ["the", "ing", "sch"], "title").select("doc_id", F.array_join("terms", ",").alias("terms")))
 query("j14_topic_coverage", "SELECT topic, theirs, ours, ours >= 0.15 * theirs AS ok FROM (SELECT author AS topic, count(*) FILTER (WHERE source <> 'view') AS theirs, count(*) FILTER (WHERE source = 'view' AND key < 200) AS ours FROM items GROUP BY author) WHERE theirs >= 8")(
     lambda v: Q.topic_coverage(v.items.where("source <> 'view'").select(c("author").alias("topic")), v.items.where("source = 'view' AND key < 200").select(c("author").alias("topic"))))
 query("a13_longform_coverage", "SELECT count(DISTINCT CASE WHEN id IN (SELECT id FROM items WHERE key < 100) THEN id END) AS hit, count(DISTINCT id) AS total FROM items WHERE duration >= 1200")(lambda v: Q.longform_coverage(v.items.select("id", c("duration").alias("sec")), v.items.where("key < 100")))
-query("u07_coverage_intersect", "SELECT id FROM items WHERE duration >= 1200 INTERSECT SELECT id FROM items WHERE key < 100")(lambda v: v.items.where("duration >= 1200").select("id").intersect(v.items.where("key < 100").select("id")))
 query("a26_publish_dashboard", "SELECT count(*) FILTER (WHERE source = 'signup') AS published, count(*) FILTER (WHERE source = 'signup' AND 1706800000 - publish_s < 604800) AS recent, 1706800000 - max(CASE WHEN source = 'signup' THEN publish_s END) > 21600 AS quiet, count(*) FILTER (WHERE source = 'purchase') AS pending, "
       "count(*) FILTER (WHERE source = 'purchase' AND 1706800000 - publish_s > 21600) AS stuck, count(*) FILTER (WHERE source = 'purchase' AND 1706800000 - publish_s > 86400) AS alarm FROM items")(
     lambda v: Q.publish_dashboard(v.items.where("source = 'signup'").select(c("publish_s").alias("ts")), v.items.where("source = 'purchase'").select(c("publish_s").alias("ts")), 1706800000))
 query("a30_deliverable_status", "SELECT tag % 50 AS slug, round(CAST(sum(size) AS DOUBLE) / 1048576, 1) AS mb, count(*) AS segments FROM releases GROUP BY tag % 50")(lambda v: Q.deliverable_status(v.releases.select((c("tag") % 50).alias("slug"), c("size").alias("bytes"))))
 query("a29_glossary_flatten", "SELECT en, zh, CAST(row_number() OVER (ORDER BY length(en) DESC, en) AS INTEGER) AS pos FROM (SELECT n_name AS en, arg_max(CAST(s_suppkey AS STRING), s_suppkey) AS zh FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name)")(
     lambda v: Q.glossary_flatten(v.supplier.join(v.nation, c("s_nationkey") == c("n_nationkey")).select(c("s_suppkey").alias("ord"), c("n_name").alias("en"), c("s_suppkey").cast("string").alias("zh"))))
-query("j18_untraceable_numbers", "SELECT event_id, CASE WHEN key % 3 = 0 THEN '' ELSE concat('PCT:', CAST(CAST(key AS DOUBLE) AS STRING)) END AS bad FROM items")(
-    lambda v: v.items.select("event_id", F.array_join(Q.untraceable_numbers(F.format_string("up %d%%", "key"), F.when(c("key") % 3 == 0, F.format_string("it was %d%% then", "key")).otherwise(F.format_string("it was %d", "key"))), ",").alias("bad")))
-query("u04_token_except", "SELECT doc_id, coalesce((SELECT string_agg(w, ' ' ORDER BY w) FROM (SELECT DISTINCT unnest(string_split(title, ' ')) AS w) WHERE w NOT IN (SELECT unnest(string_split(substring(text, 30, 200), ' ')))), '') AS rest FROM titles")(
-    lambda v: v.titles.select("doc_id", F.array_join(F.array_sort(F.array_except(F.split("title", " "), F.split(F.substring("text", 30, 200), " "))), " ").alias("rest")))
-query("u05_ordered_distinct", "SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS words FROM (SELECT doc_id, w, min(i) AS i FROM (SELECT doc_id, unnest(string_split(title, ' ')) AS w, generate_subscripts(string_split(title, ' '), 1) AS i FROM titles) GROUP BY doc_id, w) GROUP BY doc_id")(
-    lambda v: v.titles.select("doc_id", F.array_join(F.array_distinct(F.split("title", " ")), " ").alias("words")))
-
 query("a14_band_stats", "SELECT video_id, y, round(avg(energy), 3) AS mean, round(stddev_pop(energy), 3) AS std FROM row_profile GROUP BY video_id, y")(lambda v: V.band_stats(v.row_profile).select("video_id", "y", F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std")))
 SCORE = "st AS (SELECT video_id, y, avg(energy) AS mean, stddev_pop(energy) AS std FROM row_profile GROUP BY video_id, y), sc AS (SELECT video_id, y, coalesce((mean - min(mean) OVER w) / nullif(max(mean) OVER w - min(mean) OVER w, 0) * ((std - min(std) OVER w) / nullif(max(std) OVER w - min(std) OVER w, 0)), 0) AS score FROM st WINDOW w AS (PARTITION BY video_id))"
 query("a15_locate_band", "SELECT video_id, first AS top, last AS bottom, n FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY n DESC, first DESC) AS k FROM (SELECT video_id, i, min(y) AS first, max(y) AS last, count(*) AS n FROM b GROUP BY video_id, i)) WHERE k = 1 AND first >= 35.2 AND last - first + 1 <= 19.2",

@@ -52,9 +52,9 @@ query("j07_attach_translation", "SELECT video_id, cue_index, coalesce(nullif((SE
     lambda v: P.attach_translation(v.cues, v.bi).select("video_id", "cue_index", "zh"))
 query("j08_zh_by_index", "SELECT c.video_id, c.cue_index, coalesce(b.zh, '') AS zh FROM cues c LEFT JOIN bi b ON b.video_id = c.video_id AND b.cue_index = c.cue_index")(
     lambda v: P.zh_by_index(v.cues, v.bi).select("video_id", "cue_index", "zh"))
-query("j09_scores_to_paragraphs", "SELECT video_id, para_id, coalesce(CASE WHEN score % 4 > 0 THEN score END, 0) AS score, CASE WHEN score % 3 > 0 THEN ratio10 / 10 ELSE 0.5 END AS speaker_ratio FROM clips WHERE para_id < 6")(
+query("j09_scores_to_paragraphs", "SELECT video_id, para_id, coalesce(CASE WHEN score % 4 > 0 THEN score END, 0) AS score, CASE WHEN score % 3 > 0 THEN ratio10 / 10 ELSE 0.5 END AS speaker_ratio FROM clips")(
     lambda v: P.scores_to_paragraphs(v.clips.select("video_id", "para_id"), v.clips.select("video_id", c("para_id") , F.when(c("score") % 4 > 0, c("score")).alias("score"), F.when(c("score") % 3 > 0, c("ratio10") / 10).alias("speaker_ratio"))
-                                     .unionByName(v.clips.selectExpr("video_id", "para_id + 1000 AS para_id", "score", "0.1D AS speaker_ratio"))).where("para_id < 6"))
+                                     .unionByName(v.clips.selectExpr("video_id", "para_id + 100000 AS para_id", "score", "0.1D AS speaker_ratio"))))
 query("w09_chain_chapters", "SELECT video_id, para_id, s AS start_ms, e AS end_ms, e - s AS duration_ms FROM x",
       ctes="tot AS (SELECT video_id, max(end_ms) AS total FROM cues GROUP BY video_id), x AS (SELECT k.video_id, para_id, coalesce(lag(end_ms) OVER w, 0) AS s, CASE WHEN lead(para_id) OVER w IS NULL THEN total ELSE end_ms END AS e FROM clips k JOIN tot USING (video_id) WINDOW w AS (PARTITION BY k.video_id ORDER BY para_id))")(
     lambda v: P.chain_chapters(v.clips, v.cues))
@@ -93,7 +93,6 @@ query("f07_host_filter", "SELECT video_id, para_id FROM (SELECT *, max(ok) OVER
       "z AS (SELECT *, (length(t) - length(replace(t, ' you', '')))//4 + (length(t) - length(replace(t, 'your ', '')))//5 AS you, (length(t) - length(replace(t, ' i ', '')))//3 + (length(t) - length(replace(t, 'my ', '')))//3 AS me FROM y), "
       "x AS (SELECT *, CASE WHEN t LIKE '%welcome to%' OR (t LIKE '%?%' AND you >= 2 AND you > 2 * me) THEN 0 ELSE 1 END AS ok FROM z)")(
     lambda v: P.host_filter(v.clips.withColumn("text", F.concat("text", F.when(c("para_id") % 2 == 0, " your you you?").otherwise(" my "), F.when(c("video_id") % 7 == 0, "welcome to").otherwise("")))).select("video_id", "para_id"))
-query("f08_min_quote_sec", "SELECT video_id, para_id FROM clips WHERE end_ms - start_ms >= 15000")(lambda v: v.clips.where(c("end_ms") - c("start_ms") >= 15000).select("video_id", "para_id"))
 query("f13_drop_fillers", "SELECT video_id, i, tok FROM w WHERE lower(trim(tok)) NOT IN ('the', 'de', 'of', 'und')",
       ctes="w AS (SELECT video_id, cue_index * 1000 + generate_subscripts(string_split(text, ' '), 1) - 1 AS i, unnest(string_split(text, ' ')) AS tok FROM cues)")(
     lambda v: P.drop_fillers(v.cues.select("video_id", "cue_index", F.posexplode(F.split("text", " ")).alias("p", "tok")).select("video_id", (c("cue_index") * 1000 + c("p")).cast("bigint").alias("i"), "tok"), ["the", "de", "of", "und"]))
@@ -112,7 +111,3 @@ query("a25_selected_duration", "SELECT video_id, CAST(sum(end_ms - start_ms) AS
     lambda v: P.selected_duration(v.cues, v.clips.select("video_id", (c("para_id") - 1).alias("a"), (c("para_id") + 1).alias("b"))))
 query("a28_prompt_rows", "SELECT video_id, string_agg(concat(CAST(cue_index AS STRING), '. ', text), chr(10) ORDER BY cue_index) AS prompt FROM cues GROUP BY video_id")(lambda v: P.prompt_rows(v.cues, ["video_id"], "cue_index", "text"))
 query("g01_pack_episodes")(lambda v: P.pack_episodes(P.top_highlights(v.clips, 99), 2, 1, 5000, 5000))
-query("j25_overlaps_any", "SELECT video_id, para_id, EXISTS (SELECT 1 FROM clips o WHERE o.video_id = k.video_id AND o.para_id <> k.para_id AND o.end_ms > k.start_ms AND o.start_ms < k.end_ms) AS hit FROM clips k")(
-    lambda v: v.clips.join(v.clips.groupBy("video_id").agg(F.collect_list(F.struct("para_id", "start_ms", "end_ms")).alias("o")), "video_id").select("video_id", "para_id", F.expr("exists(o, x -> x.para_id <> para_id AND x.end_ms > start_ms AND x.start_ms < end_ms)").alias("hit")))
-query("j24_missing_lines", "SELECT video_id, cue_index FROM cues WHERE cue_index % 4 = 0")(
-    lambda v: v.cues.join(v.bi.where("zh <> ''"), ["video_id", "cue_index"], "left_anti").select("video_id", "cue_index"))

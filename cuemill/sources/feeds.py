@@ -103,17 +103,22 @@ def from_microblog(raw: DataFrame, noise: str = NOISE, signal: str = SIGNAL) ->
 
 
 def from_news(raw: DataFrame, keyword: str, details: DataFrame | None = None, most: int = 30) -> DataFrame:
-    """Articles whose titles hold the keyword, one for each id, `most` in all, with the video details(article_id, vid,
-    duration, published_s) there are."""
-    rows = raw.select("fetched_s", F.from_json("payload", "array<struct<id:string,title:string,url:string,author:string>>").alias("p"))
-    one = rows.select("fetched_s", F.posexplode("p").alias("pos", "v")).where(F.contains("v.title", F.lit(keyword)))
-    one = _first(one.withColumn("article_id", F.col("v.id")), F.col("article_id"), "fetched_s", "pos").orderBy("fetched_s", "pos").limit(most)
+    """Articles whose titles hold the keyword, one for each link, the first `most` of each payload, which is one fetch. The id is
+    the article's, of its link, else of the link's hash; details(article_id, vid, duration, published_s) are joined to it."""
+    rows = raw.select("fetched_s", F.from_json("payload", "array<struct<id:string,title:string,url:string>>").alias("p"))
+    hits = F.filter("p", lambda x: F.contains(x["title"], F.lit(keyword)))
+    one = rows.select("fetched_s", F.posexplode(F.slice(hits, 1, most)).alias("pos", "v"))
+    page = F.concat(F.lit("https://news.qq.com/rain/a/"), X.blank_to_null(F.col("v.id")))
+    link = F.coalesce(X.blank_to_null(F.col("v.url")), page)
+    link = F.when(link.startswith("http"), link).otherwise(F.concat(F.lit("https://news.qq.com"), link))
+    one = _first(one.withColumn("href", link).where("href IS NOT NULL AND coalesce(v.url, '') NOT LIKE 'javascript%'"), F.col("href"), "fetched_s", "pos")
+    one = one.withColumn("article_id", X.blank_to_null(F.regexp_extract("href", r"/rain/a/([A-Za-z0-9]+)", 1)))
     if details is None:
         details = one.sparkSession.createDataFrame([], "article_id string, vid string, duration string, published_s bigint")
     one = one.join(details, "article_id", "left")
     return _item(
-        one, F.concat(F.lit("tencent_search:"), "article_id"), "tencent_search", F.col("v.title"), F.coalesce("v.url", F.lit("")), F.coalesce("published_s", "fetched_s"), F.col("v.author"),
-        vid=F.col("vid"), duration=F.col("duration"), has_video=F.col("vid").isNotNull(),
+        one, F.concat(F.lit("tencent_live:"), F.coalesce("article_id", X.stable_id(F.col("href")))), "tencent_live", F.substring("v.title", 1, 200), F.col("href"), F.coalesce("published_s", "fetched_s"),
+        F.lit("腾讯新闻"), article_url=F.col("href"), vid=F.col("vid"), duration=F.col("duration"), has_video=F.col("vid").isNotNull(),
     )
 
 
@@ -167,15 +172,23 @@ def from_video_page(raw: DataFrame) -> DataFrame:
     )
 
 
+# How notices name the time, place, links and platforms of a meeting.
+MEETING_TIME = r"召开的日期时间[：:\s]*([0-9]{4}\s*年\s*[0-9]{1,2}\s*月\s*[0-9]{1,2}\s*日(?:\s*[0-9]{1,2}\s*点\s*[0-9]{1,2}\s*分)?)"
+MEETING_PLACE = r"召开地点[：:\s]*([^\n]{4,60})"
+MEETING_LINK = r"(https?://[^\s）)。，,]{6,80})"
+MEETING_PLATFORM = "(全景路演|上证路演中心|价值在线|网络文字互动|视频直播|电话会议)"
+
+
 def meeting_fields(text: Column) -> Column:
-    """(meeting_date, place, platforms, live_urls) of a notice."""
-    d = r"(\d{4})年(\d{1,2})月(\d{1,2})日"
-    day = F.try_to_date(F.concat_ws("-", *[F.regexp_extract(text, d, i) for i in (1, 2, 3)]), "yyyy-M-d")
-    place = X.blank_to_null(F.substring(F.regexp_extract(text, r"(?:会议地点|召开地点)[:：]\s*([^\n。；]+)", 1), 1, 60))
-    platforms = F.array_distinct(F.regexp_extract_all(text, F.lit("(腾讯会议|全景网|上证路演中心|价值在线|约调研|进门财经)"), F.lit(1)))
-    urls = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(https?://[\w./?=&%-]+)"), F.lit(1)))
-    urls = F.slice(F.filter(urls, lambda u: ~u.rlike("cninfo|szse")), 1, 3)
-    return F.struct(day.alias("meeting_date"), place.alias("place"), platforms.alias("platforms"), urls.alias("live_urls"))
+    """(meeting_time, meeting_date, place, platforms, live_urls) of a notice; blanks go from time and place."""
+    unblank = lambda c: X.blank_to_null(F.regexp_replace(c, r"(?U)\s+", ""))
+    when = unblank(F.regexp_extract(text, f"(?U){MEETING_TIME}", 1))
+    day = F.try_to_date(F.regexp_replace(F.regexp_extract(when, r"^\d+年\d+月\d+", 0), "[年月]", "-"), "yyyy-M-d")
+    place = F.substring(unblank(F.regexp_extract(text, f"(?U){MEETING_PLACE}", 1)), 1, 60)
+    platforms = F.array_distinct(F.regexp_extract_all(text, F.lit(MEETING_PLATFORM), F.lit(1)))
+    urls = F.filter(F.regexp_extract_all(text, F.lit(f"(?U){MEETING_LINK}"), F.lit(1)), lambda u: ~(u.startswith("http://www.sse") | F.contains(u, F.lit("cninfo"))))
+    live = F.slice(F.array_distinct(urls), 1, 3)
+    return F.struct(when.alias("meeting_time"), day.alias("meeting_date"), place.alias("place"), platforms.alias("platforms"), live.alias("live_urls"))
 
 
 def from_announcements(raw: DataFrame, code: str, name: str) -> DataFrame:

@@ -51,9 +51,15 @@ def load_state(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """By any file system that Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def scan_index(spark: SparkSession, path: str) -> DataFrame:
-    """Episodes of an index; an index without its list of episodes is an error."""
-    doc = spark.read.schema(INDEX).json(path, multiLine=True)
+    """Episodes of an index. A missing file is an empty index; one without its list of episodes is an error."""
+    doc = spark.read.schema(INDEX).json(path, multiLine=True) if _exists(spark, path) else spark.createDataFrame([], INDEX)
     checked = F.when(F.col("episodes").isNull(), F.raise_error(F.lit("the index has no list of episodes"))).otherwise(F.col("episodes"))
     return doc.select(F.inline(checked))
 

@@ -5,43 +5,79 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import TimerValues
 from pyspark.sql.types import LongType, StructField, StructType
 
 
-def stream_items(raw: DataFrame, to_items: Callable[[DataFrame], DataFrame], target: str, checkpoint: str):
-    """Upsert each batch's items into the Parquet table at `target`, in versions: the newest folder v=<batch> is the
-    table. A batch that is run again writes the same version."""
-    from cuemill.operators.feeds import last_wins
+def stream_items(raw: DataFrame, to_items: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, now: Column | None = None, buckets: int = 64):
+    """Upsert each batch's items, by upsert_items(), into the Parquet table at `target`; now is the time that rows are stamped
+    with, in seconds.
+
+    Ids fall into buckets by hash. A batch reads and writes only the buckets that its ids fall into, as v=<batch>/bucket=<k>,
+    and then a list of each bucket's newest batch, list/v=<batch>, which is the table. A batch that is run again writes the
+    same folders. What neither this list nor the one before names is removed."""
+    from cuemill.operators.feeds import upsert_items
+
+    now = F.unix_seconds(F.current_timestamp()) if now is None else now
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = to_items(batch).withColumn("__order", F.struct("publish_s", "title"))
-        new = last_wins(new, "id", "__order").drop("__order")
-        before = [v for v in _versions(spark, target) if v < number]
-        if before:
-            old = spark.read.parquet(f"{target}/v={max(before)}")
-            new = old.join(new.select("id"), "id", "left_anti").unionByName(new)
-        new.write.mode("overwrite").parquet(f"{target}/v={number}")
+        own = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+        touched = [r["k"] for r in new.where("id IS NOT NULL").select(own.alias("k")).distinct().collect()]  # `buckets` rows at most
+        lists = [v for v in _versions(spark, f"{target}/list") if v < number]
+        table = _listed(spark, target, max(lists)) if lists else {}
+        paths = [f"{target}/v={table[k]}/bucket={k}" for k in touched if k in table]
+        fields = [f for f in new.schema if f.name != "__order"]
+        times = [StructField("created_at", LongType()), StructField("updated_at", LongType())]
+        old = spark.read.parquet(*paths) if paths else spark.createDataFrame([], StructType([*fields, *times]))
+        after, _ = upsert_items(old, new, now.cast("bigint"), "__order")
+        after.withColumn("bucket", own).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{target}/v={number}")
+        table |= dict.fromkeys(touched, number)
+        rows = spark.createDataFrame(list(table.items()), "bucket int, batch bigint")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{target}/list/v={number}")
+        kept = {*table.values(), *(_listed(spark, target, max(lists)).values() if lists else ())}
+        _remove(spark, [f"{target}/v={v}" for v in _versions(spark, target) if v < number and v not in kept])
+        _remove(spark, [f"{target}/list/v={v}" for v in sorted(lists)[:-1]])
 
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _file_system(spark, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def _versions(spark, target: str) -> list[int]:
-    """Finished versions of the table, by any file system that Spark knows."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    """Finished versions of a table, by any file system that Spark knows."""
+    fs, path = _file_system(spark, target)
     if not fs.exists(path):
         return []
     found = [s.getPath() for s in fs.listStatus(path)]
-    return [int(p.getName()[2:]) for p in found if p.getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    done = lambda p: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+    return [int(p.getName()[2:]) for p in found if p.getName().startswith("v=") and done(p)]
+
+
+def _remove(spark, paths: list[str]) -> None:
+    for p in paths:
+        fs, at = _file_system(spark, p)
+        fs.delete(at, True)
+
+
+def _listed(spark, target: str, version: int) -> dict[int, int]:
+    return {r["bucket"]: r["batch"] for r in spark.read.parquet(f"{target}/list/v={version}").collect()}
 
 
 def read_items(spark, target: str) -> DataFrame:
+    """The table that stream_items() keeps."""
+    table = _listed(spark, target, max(_versions(spark, f"{target}/list")))
+    return spark.read.parquet(*[f"{target}/v={v}/bucket={k}" for k, v in sorted(table.items())])
+
+
+def read_log(spark, target: str) -> DataFrame:
     return spark.read.parquet(f"{target}/v={max(_versions(spark, target))}")
 
 
@@ -63,10 +99,10 @@ def activity_sessions(events: DataFrame, key: str, gap: str = "3 seconds", water
     return s.agg(F.count("*").alias("n")).select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def freshness_alerts(events: DataFrame, hours: int = 48, watermark: str = "1 hour") -> DataFrame:
-    """Counts of each source in sliding windows; a source without a row in its last window is stale."""
-    w = F.window("ts", f"{hours * 60} minutes", f"{hours * 30} minutes").alias("w")
-    return events.withWatermark("ts", watermark).groupBy("source", w).agg(F.count("*").alias("n")).select("source", F.col("w.end").alias("until"), "n")
+def freshness_alerts(events: DataFrame, hours: float = 48) -> DataFrame:
+    """(key, ts_s, stale_s): sources without a row for `hours` after the one at ts_s, by the watermark. events(key STRING, ts_s
+    BIGINT, ts) has a watermark on ts."""
+    return events.groupBy("key").transformWithStateInPandas(Stale(int(hours * 3600)), "key string, ts_s bigint, stale_s bigint", "Append", "EventTime")
 
 
 def link_expiry_stream(events: DataFrame, ahead_s: int = 600) -> DataFrame:
@@ -81,26 +117,35 @@ OUT = StructType([StructField("key", LongType()), StructField("ts_s", LongType()
 
 
 class AcceptSpaced(StatefulProcessor):
-    """Of each key, rows at least `seconds` after the last accepted one. State: that row's time."""
+    """Of each key, rows at least `seconds` after the last accepted one, whole. State: that row's time, until the watermark is
+    so far beyond it that no row could be refused."""
 
     def __init__(self, seconds: int) -> None:
         self.seconds = seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", StructType([StructField("s", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        times = sorted({int(t) for part in rows for t in part["ts_s"]})
-        last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for t in times:
+        part = pd.concat(list(rows)).sort_values("ts_s", kind="stable")
+        before = last = self.last.get()[0] if self.last.exists() else None
+        taken = []
+        for i, t in enumerate(part["ts_s"].tolist()):
             if last is None or t - last >= self.seconds:
-                out.append(t)
+                taken.append(i)
                 last = t
-        if last is not None:
+        if last is not None and last != before:
+            if before is not None:
+                self.handle.deleteTimer((before + self.seconds) * 1000)
+            self.handle.registerTimer((last + self.seconds) * 1000)
             self.last.update((last,))
-        if out:
-            yield pd.DataFrame({"key": [key[0]] * len(out), "ts_s": out})
+        if taken:
+            yield part.iloc[taken]
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -108,27 +153,65 @@ class AcceptSpaced(StatefulProcessor):
 
 class RetryMachine(StatefulProcessor):
     """Failures (key, ts_s) to retries: one a failure, `back_off_s` after it; at the third the key is rejected, marked
-    by a time of -1. State: failures so far."""
+    by a time of -1. State: failures so far, forgotten `forget_s` after the last one by the watermark."""
 
-    def __init__(self, most: int = 3, back_off_s: int = 1800) -> None:
-        self.most, self.back_off_s = most, back_off_s
+    def __init__(self, most: int = 3, back_off_s: int = 1800, forget_s: int = 30 * 86400) -> None:
+        self.most, self.back_off_s, self.forget_s = most, back_off_s, forget_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", StructType([StructField("n", LongType())]))
+        self.handle = handle
+        self.count = handle.getValueState("count", StructType([StructField("n", LongType()), StructField("last", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        n = self.count.get()[0] if self.count.exists() else 0
+        n, last = self.count.get() if self.count.exists() else (0, None)
+        if last is not None:
+            self.handle.deleteTimer((last + self.forget_s) * 1000)
         out = []
         for t in sorted(int(t) for part in rows for t in part["ts_s"]):
             n += 1
+            last = t if last is None else max(t, last)
             if n < self.most:
                 out.append(t + self.back_off_s)
             elif n == self.most:
                 out.append(-1)
-        self.count.update((n,))
+        self.handle.registerTimer((last + self.forget_s) * 1000)
+        self.count.update((n, last))
         if out:
             yield pd.DataFrame({"key": [key[0]] * len(out), "ts_s": out})
 
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.count.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class Stale(StatefulProcessor):
+    """Keys whose last row lies `seconds` behind the watermark come out once with that row's time. State: that time."""
+
+    def __init__(self, seconds: int) -> None:
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", StructType([StructField("s", LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        newest = max(int(t) for part in rows for t in part["ts_s"])
+        before = self.last.get()[0] if self.last.exists() else None
+        if before is None or newest > before:
+            if before is not None:
+                self.handle.deleteTimer((before + self.seconds) * 1000)
+            self.handle.registerTimer((newest + self.seconds) * 1000)
+            self.last.update((newest,))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0]
+        self.last.clear()
+        yield pd.DataFrame({"key": [key[0]], "ts_s": [last], "stale_s": [last + self.seconds]})
+
     def close(self) -> None:
         pass
 
@@ -167,16 +250,17 @@ class Timeout(StatefulProcessor):
 
 
 def min_interval(events: DataFrame, seconds: int) -> DataFrame:
-    """events(key BIGINT, ts_s BIGINT): accepted ones."""
-    return events.groupBy("key").transformWithStateInPandas(AcceptSpaced(seconds), OUT, "Append", "None")
+    """Accepted rows of events(key, ts_s BIGINT, ts, ...), which has a watermark on ts; all columns."""
+    return events.groupBy("key").transformWithStateInPandas(AcceptSpaced(seconds), events.schema, "Append", "EventTime")
 
 
 def same_video_cooldown(events: DataFrame, seconds: int = 48 * 3600) -> DataFrame:
     return min_interval(events, seconds)
 
 
-def retry_machine(failures: DataFrame, most: int = 3, back_off_s: int = 1800) -> DataFrame:
-    return failures.groupBy("key").transformWithStateInPandas(RetryMachine(most, back_off_s), OUT, "Append", "None")
+def retry_machine(failures: DataFrame, most: int = 3, back_off_s: int = 1800, forget_s: int = 30 * 86400) -> DataFrame:
+    """failures(key BIGINT, ts_s BIGINT, ts), with a watermark on ts."""
+    return failures.groupBy("key").transformWithStateInPandas(RetryMachine(most, back_off_s, forget_s), OUT, "Append", "EventTime")
 
 
 def publish_timeout(events: DataFrame, seconds: int = 43200) -> DataFrame:
@@ -185,13 +269,14 @@ def publish_timeout(events: DataFrame, seconds: int = 43200) -> DataFrame:
 
 
 def log_sink(events: DataFrame, target: str, checkpoint: str, keep: int = 200):
-    """The last `keep` events after each batch, in versions as stream_items()."""
+    """The last `keep` events after each batch, in folders v=<batch>; the newest is the log, and the one before it is kept."""
     from cuemill.operators.feeds import append_log
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = [v for v in _versions(spark, target) if v < number]
-        old = spark.read.parquet(f"{target}/v={max(before)}") if before else batch.limit(0)
+        before = sorted(v for v in _versions(spark, target) if v < number)
+        old = spark.read.parquet(f"{target}/v={before[-1]}") if before else batch.limit(0)
         append_log(old, batch, keep).write.mode("overwrite").parquet(f"{target}/v={number}")
+        _remove(spark, [f"{target}/v={v}" for v in before[:-1]])
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

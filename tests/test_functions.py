@@ -30,11 +30,10 @@ def test_times(spark):
 
 def test_titles(spark):
     v = lambda c: value(spark, c)
-    ok = lambda t: v(X.title_residue_ok(F.lit(t), F.lit(False)))
+    ok = lambda t: v(X.title_residue_ok(F.lit(t), F.lit("")))
     assert ok("巴菲特谈投资") and not ok("他说（）好") and not ok("增长，") and not ok("a") and not ok('he said "hi') and not ok("好，，坏")
     assert v(X.title_has_speaker(F.lit("芒格说"), F.lit("查理·芒格"))) and not v(X.title_has_speaker(F.lit("x"), F.lit("查理·芒格")))
     assert v(X.truncate_words(F.lit("one two three"), 8)) == "one two" and v(X.truncate_words(F.lit("abcdefghij k"), 4)) == "abcd"
-    assert v(X.clean_tags(F.array(F.lit(" a,"), F.lit(""), F.lit("a"), F.lit("b")))) == ["a", "b"] and v(X.clean_tags(F.array().cast("array<string>"))) == ["财经"]
     assert v(X.assign_partition(F.lit("芯片"), F.lit(""))) == 188 and v(X.assign_partition(F.lit("?"), F.lit("AI与股票"))) == 207
     assert v(X.title_similarity(F.lit("abcd"), F.lit("abxy"))) == 0.5 and v(X.title_similarity(F.lit("aab"), F.lit("a"))) == pytest.approx(2 / 3)
     assert v(X.title_score(F.lit("林园最新访谈：2024茅台AI Reaction"), "林园")) == 10 + 8 + 4 + 4 + 5 - 15
@@ -51,7 +50,6 @@ def test_replies(spark):
     for raw in ('x [{"start":1,"end":2}] y', "[{start:1, 'end':2,},]", '[{"start":1,"end:2"}]'.replace('"end:2"', '"end:2')):
         assert [tuple(r) for r in v(X.reply_array(F.lit(raw), schema)) or []] in ([(1, 2)], [])
     assert v(X.reply_array(F.lit("nothing"), schema)) is None
-    assert v(X.number_tokens(F.lit("up 1,200 in 3倍 and 40%"))) == ["N:1200.0", "PCT:40.0", "X:3.0"]
     assert v(X.redact_record_lines(F.lit("ok\na\tb\tc\td\te\tf\nok"))) == "ok\n[redacted]\nok"
     assert v(X.classify_failure(F.lit(503), F.lit(""))) == "retryable" and v(X.classify_failure(F.lit(None).cast("int"), F.lit("Private video"))) == "fatal_unsupported"
 
@@ -70,21 +68,109 @@ def test_subtitle_plan(spark, found, seen, is_subtitle, langs, legible, action,
     assert tuple(got) == (action, avoid)
 
 
-def test_chinese_numbers_and_marks(spark):
-    assert [cjk.chinese_number(s) for s in ("十二", "一百零五", "三千万", "两亿五千万", "三点五", "x")] == [12, 105, 30_000_000, 250_000_000, 3.5, None]
-    assert cjk.tokens_of("百分之四十和三倍，12.5%") == ["PCT:12.5", "PCT:40", "X:3"]
-    assert cjk.normal_punctuation('他说"你好",走了。 好') == "他说「你好」，走了。好。"
-    assert cjk.normal_punctuation("看 https://a.b/c?x=1 吧！！") == "看 https://a.b/c?x=1 吧！"
-    assert cjk.normal_punctuation(" plain, text ") == "plain, text" and cjk.normal_punctuation(None) is None
-    df = spark.createDataFrame([("涨40%了", ["PCT:40"]), (None, None), ("好", [])], "t string, b array<string>")
-    assert [r[0] for r in df.select(cjk.strip_tokens("t", "b")).collect()] == ["涨了", None, "好"]
-    cues = spark.createDataFrame([("v", 1, 0, 3000, "今天天气很好，我们一起去公园散步吧。然后回家吃饭，看电视。"), ("v", 2, 0, 10, "abc")], "video_id string, cue_index int, start_ms bigint, end_ms bigint, text string")
-    parts = cjk.split_long_cues(cues, 14).orderBy("cue_index", "part").collect()
-    assert [p["text"] for p in parts] == ["今天天气很好，", "我们一起去公园散步吧。", "然后回家吃饭，看电视。", "abc"]
-    assert parts[0]["start_ms"] == 0 and parts[2]["end_ms"] == 3000 and parts[0]["end_ms"] == parts[1]["start_ms"]
-    rows = [("涨了40%的投资", "林园", "没有数字", ""), ("林园说40%", "林园", "涨40%", ""), ("40%（）", "林园", "", "备选")]
-    got = cjk.finalize_titles(spark.createDataFrame(rows, "title string, speaker string, source string, suggestion string"), "谈投资")
-    assert [r["final_title"] for r in got.collect()] == ["林园：涨了的投资", "林园说40%", "备选"]
-    assert value(spark, cjk.convert_script(F.lit("後天乾杯乾隆"), {"後": "后", "乾": "干"}, ("乾隆",))) == "后天干杯乾隆"
-    fixed = cjk.normalize_cues(spark.createDataFrame([("你好,世界",), ("ok",)], "text string")).collect()
-    assert [(r["text"], r["changed"]) for r in fixed] == [("你好，世界", True), ("ok", False)]
+PUNCTUATION = [
+    # curly quotes, nested, open, and single
+    ("老师讲“慢就是快”这句话", "老师讲「慢就是快」这句话"), ("他讲“报上写着“破产”两字”", "他讲「报上写着『破产』两字」"), ("后半句”没了", "后半句”没了"), ("人称‘股王’", "人称「股王」"),
+    # straight quotes: pairs beside Chinese, an odd one, English alone
+    ('这叫"能力圈"。', "这叫「能力圈」。"), ('只剩半个"引号', '只剩半个"引号'), ('She said "yes" twice.', 'She said "yes" twice.'),
+    # white brackets: outermost pairs change, inner ones and those that do not pair stay
+    ("他回答『可以』", "他回答「可以」"), ("他讲「父亲常讲『等』」", "他讲「父亲常讲『等』」"), ("『前半』后半『", "「前半」后半『"), ("「甲『乙」丙』", "「甲『乙」丙』"), ("『一』和『二』", "「一」和「二」"),
+    ("「耐心」与『纪律』", "「耐心」与「纪律」"),
+    # width
+    ("先想,再做;行吗?行!", "先想，再做；行吗？行！"), ("芒格(合伙人)讲过", "芒格（合伙人）讲过"), ("要点:少犯错", "要点：少犯错"),
+    # spans that stay
+    ("来源:https://a.example/v?t=9&k=2", "来源：https://a.example/v?t=9&k=2"), ("看 https://a.example/v?t=9&k=2,再读年报", "看 https://a.example/v?t=9&k=2，再读年报"),
+    ("见 www.example.org/p?q=1,多谢", "见 www.example.org/p?q=1，多谢"), ("去 www.example.org 看", "去 www.example.org 看"), ("写信给 a.b+c@example.org 即可", "写信给 a.b+c@example.org 即可"),
+    ("卖了7,654.32元", "卖了7,654.32元"), ("定在18:45见", "定在18:45见"), ("这家 Acme, Ltd 公司", "这家 Acme, Ltd 公司"), ("买了 ABC.D, XYZ 两只", "买了 ABC.D, XYZ 两只"),
+    # repeats
+    ("后来呢。。。", "后来呢……"), ("涨了!!", "涨了！"), ("跌了！！！", "跌了！"), ("当真??", "当真？"), ("怎么？！！", "怎么？"), ("再等………", "再等……"), ("等，，再说", "等，再说"),
+    # blanks and line breaks
+    ("他讲 ，要慢", "他讲，要慢"), ("持有 Acme 十年", "持有 Acme 十年"), ("持有    Acme    十年", "持有 Acme 十年"), ("上段。\n\n下段。", "上段。\n\n下段。"), ("  两边  ", "两边"),
+    # a mark that ends a Chinese text behind a Latin word; English alone; links and numbers at the end
+    ("今年算不算Bubble?", "今年算不算Bubble？"), ("作者Ann Lee,", "作者Ann Lee，"), ("Is it over?", "Is it over?"), ("参见 https://a.example/b?c=1", "参见 https://a.example/b?c=1"), ("涨了 4.5%", "涨了 4.5%"),
+    # the placeholder itself, many spans, nothing
+    ("甲\ue000乙 https://a.example/?x,乙", "甲\ue000乙 https://a.example/?x，乙"), ("价 " + "1,23 " * 7000 + "元,", "价 " + "1,23 " * 7000 + "元，"), ("", ""), (None, None),
+]
+
+
+def test_punctuation(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PUNCTUATION)], "i int, t string")
+    got = {r["i"]: r["n"] for r in rows.select("i", cjk.normalize_cjk_punct(F.col("t")).alias("n")).collect()}
+    assert {PUNCTUATION[i][0]: n for i, n in got.items()} == dict(PUNCTUATION)
+
+
+def test_scripts(spark):
+    v = lambda c: value(spark, c)
+    table = {"說": "说", "書": "书", "後": "后"}
+    assert v(cjk.convert_script(F.lit("他說讀書後\ue000(皇後)後"), table, ("皇後", "(皇"))) == "他说讀书后\ue000(皇后)后"
+    assert v(cjk.convert_script(F.lit("皇後與後"), table, ("皇後",))) == "皇後與后" and v(cjk.convert_script(F.lit("後"), {}, ())) == "後"
+    many = tuple(f"t{i}後" for i in range(7000))
+    assert v(cjk.convert_script(F.lit("t6999後 後 t1後"), table, many)) == "t6999後 后 t1後"
+    cues = spark.createDataFrame([(1, "他說,好", "x"), (2, "plain", "y")], "i int, text string, changed string")
+    assert [tuple(r) for r in cjk.normalize_cues(cues, table).collect()] == [(1, "他说，好", True), (2, "plain", False)]
+
+
+def test_language_of_cues(spark):
+    rows = [(1, 1, "你好世界"), (2, 1, "hello 你好世"), (3, 1, " "), (3, 2, None), (4, 1, "x" * 19_990), (4, 2, "中" * 3000), (5, 1, "x" * 79 + "中" * 4), (6, 1, "x" * 77 + "中" * 4)]
+    cues = spark.createDataFrame(rows, "video_id int, cue_index int, text string")
+    assert {r[0]: r[1] for r in cjk.detect_lang(cues).collect()} == {1: "zh", 2: "en", 3: "", 4: "en", 5: "en", 6: "en"}
+    assert {r[0]: r[1] for r in cjk.detect_lang(cues, 10**6).collect()}[4] == "zh"
+    assert cjk.detect_lang(cues.where("video_id < 0")).count() == 0
+
+
+NUMBERS = [
+    ("收益250%", ["PCT:250.0"]), ("翻5倍", ["X:5.0"]), ("百分之三十五的股份", ["PCT:35.0"]), ("没有数", []), (None, []), ("一", ["N:1.0"]), ("两亿五千万", ["N:2.5E8"]), ("一百零五", ["N:105.0"]),
+    ("十二年", ["N:12.0"]), ("12年", ["N:12.0"]), ("三倍与3倍", ["X:3.0"]), ("卖19.5美元", ["N:19.5"]), ("1,200", ["N:1.0", "N:200.0"]), ("百分之40和40％", ["PCT:40.0"]), ("一千二百三十四", ["N:1234.0"]), ("十万", ["N:100000.0"]),
+]
+
+
+def test_numbers(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NUMBERS)], "i int, t string")
+    got = {r["i"]: r["n"] for r in rows.select("i", cjk.number_tokens(F.col("t")).alias("n")).collect()}
+    assert {NUMBERS[i][0]: n for i, n in got.items()} == dict(NUMBERS)
+    v = lambda c: value(spark, c)
+    assert v(cjk.untraceable_numbers(F.lit("赚了300%"), F.lit("只谈机会"))) == ["PCT:300.0"] and v(cjk.untraceable_numbers(F.lit("占40%"), F.lit("约百分之四十"))) == []
+    bad = lambda *t: F.array(*[F.lit(x) for x in t]).cast("array<string>")
+    assert v(cjk.strip_tokens(F.lit("某人：回报超300%"), bad("PCT:300.0"))) == "某人：回报超"
+    assert v(cjk.strip_tokens(F.lit("3倍，40%，甲，9年"), bad("X:3.0", "PCT:40.0", "N:9.0"))) == "甲"
+    assert v(cjk.strip_tokens(F.lit("三倍与40%"), bad("PCT:40.0"))) == "三倍与" and v(cjk.strip_tokens(F.lit("x"), bad())) == "x"
+
+
+RESIDUES = {
+    True: ["某甲谈投资里的长期心态", "某甲：纪律的用处", "某甲谈投资里的『40%』之例", "某甲谈投资"],
+    False: [
+        *[f"某甲谈投资里的{e}与亏损" for e in ("「」", "『』", "（）", "()", "《》", "【】", '""', "''", "“”", "‘’")], "某甲谈投资里的「亏损", "某甲谈投资里的」亏损", "某甲谈投资（里的亏损", "某甲谈投资里的亏损）",
+        '某甲说"行', "某甲谈投资里的与", "某甲谈投资里的亏损：", "某甲谈投资里的、", "某甲谈投资，，里的亏损", "某甲：", "某甲。", "", None,
+    ],
+}
+
+
+def test_residues_of_titles(spark):
+    rows = [(t, ok) for ok, titles in RESIDUES.items() for t in titles]
+    got = spark.createDataFrame(rows, "t string, ok boolean").select("t", "ok", X.title_residue_ok(F.col("t"), F.lit("某甲")).alias("got")).collect()
+    assert [(r["t"], r["got"]) for r in got] == rows
+    v = lambda c: value(spark, c)
+    assert not v(X.title_residue_ok(F.lit("查理谈"), F.lit("查理·芒格"))) and v(X.title_residue_ok(F.lit("查理谈"), F.lit(None).cast("string")))
+
+
+def test_final_titles(spark):
+    rows = [
+        ("甲谈投资里的『40%』与亏损", "甲", "通篇没有数字", "投资里的亏损", "甲：投资里的亏损"), ("甲谈300%的杠杆与信号", "甲", "谈的是纪律", "", "甲谈的杠杆与信号"),
+        ("谈投资里的「40%」与亏损", "甲", "没有数字", "", "甲谈投资"), ("甲：40%的仓位", "甲", "仓位在百分之四十左右", "", "甲：40%的仓位"), ("甲谈『300%』", "甲", "没有", "「40%』的亏损", "甲谈投资"),
+        ("谈耐心", "甲", "", "", "甲：谈耐心"), (None, "甲", "", "", "甲"), ("甲谈三倍回报", "甲", "拿到3倍", "", "甲谈三倍回报"),
+    ]
+    df = spark.createDataFrame([(i, *r[:4]) for i, r in enumerate(rows)], "i int, title string, speaker string, source string, suggestion string")
+    got = cjk.finalize_titles(df, "谈投资").orderBy("i").collect()
+    assert [r["final_title"] for r in got] == [r[4] for r in rows]
+
+
+def test_titles_and_tags_with_warnings(spark):
+    v = lambda c: tuple(value(spark, c))
+    assert v(X.clean_title(F.lit(" 某甲:“护城河”是什麼? "), singles={"麼": "么"})) == ("某甲：「护城河」是什么？", [])
+    assert v(X.clean_title(F.lit("字" * 81))) == ("字" * 80, ["truncated"]) and v(X.clean_title(F.lit("字" * 56), "douyin")) == ("字" * 55, ["truncated"])
+    assert v(X.clean_title(F.lit("字" * 26))) == ("字" * 26, ["long"]) and v(X.clean_title(F.lit("字" * 26), "douyin")) == ("字" * 26, []) and v(X.clean_title(F.lit(None).cast("string"))) == ("", ["empty"])
+    tags = lambda *t: F.array(*[F.lit(x) for x in t]).cast("array<string>")
+    assert v(X.clean_tags(tags(" 財,經", "财经", "", "b，c"), singles={"財": "财", "經": "经"})) == (["财经", "bc"], [])
+    assert v(X.clean_tags(tags(*[f"t{i}" for i in range(12)], "长" * 21))) == ([f"t{i}" for i in range(10)], ["cut", "too_many"])
+    assert v(X.clean_tags(tags(" ", ","))) == (["财经"], ["empty"]) and v(X.clean_tags(F.lit(None).cast("array<string>"))) == (["财经"], ["empty"])
+

@@ -35,7 +35,12 @@ def test_payloads(spark):
     assert got["extra"] == {"mid": "1", "has_video": True, "video_url": "u?Expires=9", "video_expires_at": 9}
     details = spark.createDataFrame([("a", "v1", "60", 77)], "article_id string, vid string, duration string, published_s bigint")
     got = one(feeds.from_news(raw(spark, [{"id": "a", "title": "林园"}, {"id": "a", "title": "林园2"}, {"id": "b", "title": "x"}]), "林园", details))
-    assert got["publish_s"] == 77 and got["extra"]["vid"] == "v1"
+    assert got["publish_s"] == 77 and got["extra"]["vid"] == "v1" and got["id"] == "tencent_live:a" and got["source"] == "tencent_live" and got["title"] == "林园"
+    many = [[{"id": f"{k}x{i}", "title": "林园"} for i in range(40)] for k in "ab"]
+    assert feeds.from_news(raw(spark, *many), "林园").count() == 60
+    odd = [{"title": "林园", "url": "/rain/b/1"}, {"title": "林园", "url": "javascript:x"}, {"title": "林园"}]
+    got = one(feeds.from_news(raw(spark, odd), "林园"))
+    assert got["url"] == "https://news.qq.com/rain/b/1" and len(got["id"]) == len("tencent_live:") + 16
     item = {"desc": "", "create_time": 3, "video": {"duration": 61499, "play_addr": {"url_list": ["x/playwm/y"]}}}
     got = one(feeds.from_short_video(raw(spark, {"video_id": "9", "loaderData": {"a": None, "b": {"videoInfoRes": {"item_list": [item]}}}})))
     assert got["extra"]["mp4_url"] == "x/play/y" and got["extra"]["duration"] == 61 and got["title"] == "抖音视频 9"
@@ -49,9 +54,12 @@ def test_payloads(spark):
     assert got["publish_s"] == 5 and got["extra"]["is_meeting_notice"] and not got["extra"]["is_resolution"]
     html = '<a href="https://www.163.com/v/video/VAB1.html">林园谈股_网易</a><a href="/v/video/VAB1.html">林园</a><a href="/v/video/VX.html">x</a>'
     assert one(feeds.from_portal(raw(spark, html), "林园"))["title"] == "林园谈股"
-    text = "召开地点：某酒店 会议\n时间2024年5月6日 http://cninfo.com/a https://live.x/1 全景网 全景网"
+    text = "召开的日期时间： 2024 年 5月6 日 14 点 30 分\n召开地点：某 酒店 会议厅\n http://cninfo.com/a http://www.sse.com/b https://live.x/1， https://live.x/1 网络文字互动 价值在线 网络文字互动"
     got = spark.range(1).select(feeds.meeting_fields(F.lit(text)).alias("m")).first()["m"]
-    assert str(got["meeting_date"]) == "2024-05-06" and got["platforms"] == ["全景网"] and got["live_urls"] == ["https://live.x/1"]
+    assert (str(got["meeting_date"]), got["meeting_time"], got["place"]) == ("2024-05-06", "2024年5月6日14点30分", "某酒店会议厅")
+    assert got["platforms"] == ["网络文字互动", "价值在线"] and got["live_urls"] == ["https://live.x/1"]
+    got = spark.range(1).select(feeds.meeting_fields(F.lit("无")).alias("m")).first()["m"]
+    assert got["meeting_date"] is None and got["place"] is None and got["platforms"] == [] == got["live_urls"]
     best = feeds.best_stream(spark.createDataFrame([(1, "v", 5, "a"), (1, "v", 9, "b")], "video_id int, kind string, bandwidth int, url string")).collect()
     assert [r["url"] for r in best] == ["b"]
 
@@ -73,6 +81,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "bad.json").write_text('{"schema": 1}')
     with pytest.raises(Exception, match="no list of episodes"):
         files.scan_index(spark, str(tmp_path / "bad.json")).collect()
+    assert files.scan_index(spark, str(tmp_path / "none.json")).count() == 0
     (tmp_path / "m").mkdir()
     (tmp_path / "m" / "x.mp4").write_bytes(b"\0\0\0\x18ftypmp42" + b"\0" * 20000)
     (tmp_path / "m" / "y.mp4").write_bytes(b"oops")
@@ -120,7 +129,9 @@ PARTS = [[(1, 0, 100), (1, 0, 200), (2, 0, 150)], [(1, 0, 1900), (2, 0, 2000), (
 
 def test_spacing_equals_its_batch_twin(spark, tmp_path):
     stream = events(spark, tmp_path / "e", PARTS)
-    got = run(rules.min_interval(stream.select("key", "ts_s"), 1800), "spaced", tmp_path)
+    got = run(rules.min_interval(stream.withWatermark("ts", "1 day"), 1800), "spaced", tmp_path)
+    assert got.columns == stream.columns and got.where("kind IS NULL OR ts IS NULL").count() == 0
+    got = got.select("key", "ts_s")
     flat = spark.createDataFrame([r for p in PARTS for r in p], "key bigint, kind int, ts_s bigint")
     twin = P.min_interval(flat, 1800, "key", "ts_s")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, twin.collect()))
@@ -128,7 +139,7 @@ def test_spacing_equals_its_batch_twin(spark, tmp_path):
 
 def test_retries_and_timeouts(spark, tmp_path):
     stream = events(spark, tmp_path / "e", PARTS)
-    got = run(rules.retry_machine(stream.select("key", "ts_s")), "retried", tmp_path)
+    got = run(rules.retry_machine(stream.select("key", "ts_s", "ts").withWatermark("ts", "1 day")), "retried", tmp_path)
     assert sorted(map(tuple, got.collect())) == [(1, -1), (1, 1900), (1, 2000), (2, -1), (2, 1950), (2, 3800), (3, 91800)]
     late = rules.publish_timeout(stream.withWatermark("ts", "1 second"), 3600)
     got = run(late, "timed", tmp_path)
@@ -146,8 +157,20 @@ def test_windows_and_dedupe(spark, tmp_path):
     for r in got.orderBy("ts_s").collect():
         times.setdefault(r["key"], []).append(r["ts_s"])
     assert all(b - a >= 600 for t in times.values() for a, b in zip(t, t[1:], strict=False))
-    got = run(rules.freshness_alerts(stream.withColumn("source", F.col("key").cast("string")), 1, "1 second"), "fresh", tmp_path)
-    assert got.where("source = '1'").count() >= 2
+
+
+def test_stale_sources_and_forgotten_state(spark, tmp_path):
+    stream = events(spark, tmp_path / "e", PARTS)
+    stale = rules.freshness_alerts(stream.select(F.col("key").cast("string").alias("key"), "ts_s", "ts").withWatermark("ts", "1 second"), 0.5)
+    got = {tuple(r) for r in run(stale, "stale", tmp_path).collect()}
+    assert ("2", 2100, 3900) in got and ("1", 4100, 5900) in got and not any(k == "3" for k, *_ in got)
+    # A key's failures are forgotten, and its last accepted row too, once the watermark is far beyond them.
+    parts = [[(1, 0, 100), (1, 0, 200)], [(2, 0, 90_000)], [(2, 0, 90_001)], [(1, 0, 91_000)], [(1, 0, 92_000)]]
+    later = events(spark, tmp_path / "f", parts).withWatermark("ts", "1 second")
+    got = run(rules.retry_machine(later.select("key", "ts_s", "ts"), 3, 10, 3600), "again", tmp_path)
+    assert sorted(r["ts_s"] for r in got.collect() if r["key"] == 1) == [110, 210, 91_010, 92_010]
+    got = run(rules.min_interval(later, 1800), "spaced_again", tmp_path)
+    assert sorted(r["ts_s"] for r in got.collect() if r["key"] == 1) == [100, 91_000]
 
 
 def test_upserts_and_log(spark, tmp_path):
@@ -155,11 +178,17 @@ def test_upserts_and_log(spark, tmp_path):
     for i, p in enumerate(payloads):
         raw(spark, p).coalesce(1).write.parquet(str(tmp_path / "raw" / f"f{i}"))
     stream = spark.readStream.schema("payload string, fetched_s bigint").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "raw" / "*"))
-    rules.stream_items(stream, feeds.from_space_api, str(tmp_path / "items"), str(tmp_path / "ck")).awaitTermination()
-    got = {r["id"]: r["title"] for r in rules.read_items(spark, str(tmp_path / "items")).collect()}
-    assert got["bilibili_api:BV1"] == "new" and len(got) == 3
+    rules.stream_items(stream, feeds.from_space_api, str(tmp_path / "items"), str(tmp_path / "ck"), F.lit(77)).awaitTermination()
+    got = {r["id"]: r for r in rules.read_items(spark, str(tmp_path / "items")).collect()}
+    assert got["bilibili_api:BV1"]["title"] == "new" and len(got) == 3 and {r["created_at"] for r in got.values()} == {77}
+    more = raw(spark, {"code": 0, "data": {"list": {"vlist": [{"bvid": "BV5", "title": "y", "created": 9}]}}})
+    more.coalesce(1).write.parquet(str(tmp_path / "raw" / "f2"))
+    rules.stream_items(stream, feeds.from_space_api, str(tmp_path / "items"), str(tmp_path / "ck"), F.lit(99)).awaitTermination()
+    got = {r["id"]: r for r in rules.read_items(spark, str(tmp_path / "items")).collect()}
+    assert len(got) == 3 and (got["bilibili_api:BV5"]["title"], got["bilibili_api:BV5"]["created_at"], got["bilibili_api:BV5"]["updated_at"]) == ("y", 77, 99)
+    assert got["bilibili_api:BV1"]["updated_at"] == 77 and len(list((tmp_path / "items" / "list").glob("v=*"))) == 2
     log = events(spark, tmp_path / "e", PARTS).select("ts_s", F.col("ts_s").alias("seq"), F.lit("k").alias("kind"), F.lit("m").alias("msg"), F.lit("d").alias("detail")).withColumnRenamed("ts_s", "ts")
     rules.log_sink(log, str(tmp_path / "log"), str(tmp_path / "ck2"), 3).awaitTermination()
-    assert sorted(r["ts"] for r in rules.read_items(spark, str(tmp_path / "log")).collect()) == [4000, 4100, 90000]
+    assert sorted(r["ts"] for r in rules.read_log(spark, str(tmp_path / "log")).collect()) == [4000, 4100, 90000]
     links = spark.createDataFrame([("a?Expires=1000",), ("b",)], "url string")
     assert rules.link_expiry_stream(links).count() == 1 and isinstance(pd.DataFrame(), pd.DataFrame)
