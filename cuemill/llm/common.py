@@ -19,17 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; only where that is unset (tests), to a folder of our own."""
+    """Checkpoints go to spark.checkpoint.dir. Only a local session, as in tests, may leave that unset: it gets a folder of
+    our own, which executors on other machines would not see."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of texts have 2,000 rows, not Spark's default of 10,000, unless the session says otherwise."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, "2000")
+    """Arrow batches of texts have 8 MB or so, however long the texts are, unless the session has a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(8 << 20))
 
 
 def cut(df: DataFrame) -> DataFrame:

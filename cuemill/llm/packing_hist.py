@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import itertools
 import unicodedata
 import zlib
 from array import array
@@ -19,19 +18,31 @@ from . import common
 LIMIT = 4096
 END = 2
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a task remembers at once.
-REMEMBERED = 320_000
+#: Words that a worker keeps with their ids, more or less, the longest of them in bytes, and bytes of texts done at once.
+REMEMBERED, LONGEST, RUN = 400_000, 40, 8 << 20
 #: Marks that are split from the end of a word before it is looked up.
-MARKS = b".,;:!?%$&*#|"
+MARKS = ".,;:!?%$&*#|"
 #: Parts that each length's pieces are ranked in, so that a very frequent length is no single task.
 BUCKETS = 256
 
 
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words of an array of texts, told apart: (edges, numbers, words). Text k has the words numbered
+    numbers[edges[k] : edges[k + 1]]; A-Z are lower-cased as in texts, and white space is that of ASCII. A text that begins or
+    ends with white space has an empty word there."""
+    import pyarrow.compute as pc
+
+    split = pc.ascii_split_whitespace(texts)
+    coded = split.flatten().dictionary_encode()
+    edges = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False))])
+    return edges.astype(np.int64), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+
+
 class WordEncoder:
     """Ids of whole texts, word by word. No pre-token of this tokenizer spans ASCII white space, so a text's ids are
     those of its words one after another. Nor does one span a letter or digit and the marks after it, so a word's ids
-    are those of its stem and of its closing marks. Ids of words are remembered, as bytes; case is folded by the
-    tokenizer, and that of A-Z before."""
+    are those of its stem and of its closing marks. Words met are kept with their ids, in Arrow arrays; case is folded by
+    the tokenizer, and that of A-Z before."""
 
     def __init__(self, name: str = TOKENIZER):
         import os
@@ -40,72 +51,127 @@ class WordEncoder:
         import public_tokenizers
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        path = public_tokenizers.path(name) if "/" not in name else name
-        self.whole = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name) if "/" not in name else name)
+        self.whole = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         # For words that are lower-case letters in composed form, which the normalizer and splitter leave alone.
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        self.plain = (
+            normalizers.Sequence([]),
+            pre_tokenizers.Sequence(
+                [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+            ),
         )
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        parts, needed = {}, set()
-        for w in words:
-            stem = w.rstrip(MARKS)
-            if stem and len(stem) < len(w) and (
-                stem[-1:].isalnum() or unicodedata.normalize("NFC", stem.decode()).lower()[-1].isalnum()
-            ):
-                parts[w] = (stem, w[len(stem) :])
-                needed.update(parts[w])
-            else:
-                needed.add(w)
-        plain: list[bytes] = []
-        whole: list[bytes] = []
-        for w in needed.difference(self.known):
-            if w.isascii():
-                (plain if w.isalpha() and w.islower() else whole).append(w)
-            else:
-                t = w.decode()
-                simple = t.isalpha() and t == t.lower() and unicodedata.is_normalized("NFC", t)
-                (plain if simple else whole).append(w)
+        self.words, self.ids = pa.array([""]), _lists(np.zeros(2), np.zeros(0))  # the empty word has no ids
+        self.met, self.clock = np.zeros(1, np.int64), 0
+
+    @classmethod
+    def of_worker(cls, name: str = TOKENIZER) -> WordEncoder:
+        """One that all tasks of a Python worker share, and the words it has met."""
+        if name not in _ENCODERS:
+            _ENCODERS[name] = cls(name)
+        return _ENCODERS[name]
+
+    def _encode(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words by the tokenizer."""
+        import pyarrow.compute as pc
+
+        letters = pc.match_substring_regex(words, "^[a-z]+$").to_numpy(zero_copy_only=False)
+        odd = np.nonzero(~letters & ~pc.string_is_ascii(words).to_numpy(zero_copy_only=False))[0]
+        for i, t in zip(odd.tolist(), words.take(pa.array(odd)).to_pylist(), strict=True):
+            letters[i] = t.isalpha() and t == t.lower() and unicodedata.is_normalized("NFC", t)
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        plain = words.filter(pa.array(letters))
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.plain
         for at in range(0, len(plain), 5000):  # words side by side: one encoding, cut by the words its ids belong to
-            some = plain[at : at + 5000]
-            found = self.plain.encode(b" ".join(some).decode(), add_special_tokens=False)
-            own = np.array(found.word_ids)
-            starts = [0, *(4 * (np.nonzero(np.diff(own))[0] + 1)).tolist(), 4 * len(own)]
-            raw = array("I", found.ids).tobytes()
-            self.known.update(zip(some, (raw[a:b] for a, b in zip(starts, starts[1:])), strict=True))
-        for at in range(0, len(whole), 20_000):
-            some = whole[at : at + 20_000]
-            found = self.whole.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            for w, e in zip(some, found, strict=True):
-                self.known[w] = array("I", e.ids).tobytes()
-        for w, (stem, marks) in parts.items():
-            self.known[w] = self.known[stem] + self.known[marks]
-
-    def encode_all(self, texts: list) -> Iterator[bytes]:
+            some = plain.slice(at, 5000)
+            found = self.tokenizer.encode(" ".join(some.to_pylist()), add_special_tokens=False)
+            ids.append(np.array(found.ids, np.uint32))
+            sizes.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(some)))
+        others = words.filter(pa.array(~letters))
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.whole
+        for at in range(0, len(others), 5000):
+            found = self.tokenizer.encode_batch_fast(others.slice(at, 5000).to_pylist(), add_special_tokens=False)
+            parts = [x.ids for x in found]
+            ids.append(np.array([i for x in parts for i in x], np.uint32))
+            sizes.append(np.array([len(x) for x in parts], np.int64))
+        made = _lists(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(ids))
+        place = np.empty(len(words), np.int64)
+        place[np.concatenate([np.nonzero(letters)[0], np.nonzero(~letters)[0]])] = np.arange(len(words))
+        return made.take(pa.array(place))
+
+    def _keep(self, words: pa.Array, ids: pa.Array) -> None:
+        self.words, self.ids = pa.concat_arrays([self.words, words]), pa.concat_arrays([self.ids, ids])
+        self.met = np.concatenate([self.met, np.full(len(words), self.clock)])
+
+    def _find(self, words: pa.Array) -> np.ndarray:
+        import pyarrow.compute as pc
+
+        return pc.fill_null(pc.index_in(words, self.words), -1).to_numpy().copy()
+
+    def _learn(self, words: pa.Array) -> None:
+        """Keep distinct words that are not kept yet."""
+        import pyarrow.compute as pc
+
+        stems = pc.ascii_rtrim(words, MARKS)
+        size = pc.binary_length(stems).to_numpy()
+        cut = (size < pc.binary_length(words).to_numpy()) & (size > 0)
+        sure = pc.match_substring_regex(stems, "[0-9A-Za-z]$").to_numpy(zero_copy_only=False)
+        for k in np.nonzero(cut & ~sure)[0].tolist():
+            cut[k] = unicodedata.normalize("NFC", stems[k].as_py()).lower()[-1].isalnum()
+        both, stems = words.filter(pa.array(cut)), stems.filter(pa.array(cut))
+        marks = pa.array([w[len(t) :] for w, t in zip(both.to_pylist(), stems.to_pylist(), strict=True)], pa.string())
+        parts = pa.concat_arrays([words.filter(pa.array(~cut)), stems, marks]).unique()
+        parts = parts.filter(pa.array(self._find(parts) < 0))
+        self._keep(parts, self._encode(parts))
+        pairs = self._find(pa.concat_arrays([stems, marks])).reshape(2, -1).T.ravel()
+        joined = self.ids.take(pa.array(pairs))
+        self._keep(both, _lists(joined.offsets.to_numpy()[::2], joined.flatten().to_numpy()))
+
+    def _number(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct words among those kept; words that were met least lately give way."""
+        import pyarrow.compute as pc
+
+        if len(self.words) > REMEMBERED:
+            last = np.sort(self.met)[-REMEMBERED // 2]
+            stays = (self.met > last) & (pc.binary_length(self.words).to_numpy() <= LONGEST)
+            stays[0] = True
+            stays = pa.array(np.nonzero(stays)[0])
+            self.words, self.ids, self.met = self.words.take(stays), self.ids.take(stays), self.met[stays.to_numpy()]
+        self.clock += 1
+        at = self._find(words)
+        new = at < 0
+        if new.any():
+            some = words.filter(pa.array(new))
+            self._learn(some)
+            at[new] = self._find(some)
+        self.met[at] = self.clock
+        return at
+
+    def encode_runs(self, texts: pa.Array, size: int = RUN) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, edges) of runs of texts, of about `size` bytes each: text k of a run has ids[edges[k] : edges[k + 1]]."""
+        import pyarrow.compute as pc
+
+        batch = pa.RecordBatch.from_arrays([texts], names=["t"])
+        for part in common.slices(batch, 0, size):
+            t = pc.fill_null(part.column(0), "")
+            low, special = pc.ascii_lower(t), pc.match_substring(t, "<|")  # special tokens heed case
+            edges, numbers, words = words_of(pc.if_else(special, t, low) if pc.any(special).as_py() else low)
+            at = self._number(words)  # which may replace self.ids
+            taken = self.ids.take(pa.array(at[numbers]))
+            yield taken.flatten().to_numpy(), taken.offsets.to_numpy()[edges]
+
+    def encode_all(self, texts: list | pa.Array) -> Iterator[bytes]:
         """Each text's ids as little-endian 32-bit numbers; null is empty."""
-        for rows in self._runs(texts):
-            if len(self.known) > REMEMBERED:  # those learnt first stay: they are the most frequent
-                self.known = dict(itertools.islice(self.known.items(), REMEMBERED // 2))
-            self.learn(set().union(*rows).difference(self.known))
-            for r in rows:
-                yield b"".join(map(self.known.__getitem__, r))
-
-    @staticmethod
-    def _runs(texts: list, size: int = 2 << 20) -> Iterator[list[list[bytes]]]:
-        rows, total = [], 0
-        for t in texts:
-            raw = t.encode() if isinstance(t, str) else t or b""
-            rows.append((raw if b"<|" in raw else raw.lower()).split())  # special tokens heed case
-            total += len(raw)
-            if total >= size:
-                yield rows
-                rows, total = [], 0
-        if rows:
-            yield rows
+        for ids, edges in self.encode_runs(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())):
+            raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                yield bytes(raw[4 * lo : 4 * hi])
+
+
+def _lists(edges: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.LargeListArray.from_arrays(pa.array(edges.astype(np.int64)), pa.array(values.astype(np.uint32)))
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
 
 
 def token_pieces(
@@ -122,10 +188,10 @@ def token_pieces(
     common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = WordEncoder.of_worker(tokenizer)
         for batch in (part for whole in batches for part in common.slices(whole, 1, 2 << 20)):
             rows: list[tuple] = []
-            encoded = encoder.encode_all(batch.column(1).cast(pa.binary()).to_pylist())
+            encoded = encoder.encode_all(batch.column(1))
             for doc, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 raw = ids + tail
                 n = len(raw) // 4
@@ -188,23 +254,25 @@ def pack_pieces(pieces: DataFrame, limit: int = LIMIT, buckets: int = BUCKETS) -
     """pieces(doc_id, start, length, ids_crc32, ...) with sequence_id and offset.
 
     The histogram of lengths has `limit` rows at most, whatever the corpus; patterns are made of it alone. Pieces of
-    a length are ranked in `buckets` parts by hash, parts after one another, and each finds its slot by its rank.
-    Pieces that are equal in all of doc_id, start and ids_crc32 may change places. An empty table packs to none."""
-    dealt = pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
-    counts = common.cut(dealt.groupBy("length", "__bucket").agg(F.count("*").alias("n")))
+    a length are ranked in `buckets` parts by hash, or in as many as shuffles have partitions if these are more, parts after
+    one another, and each finds its slot by its rank. Pieces that are equal in all of doc_id, start and ids_crc32 may
+    change places. Columns named sequence_id and offset give way to the new ones. An empty table packs to none."""
+    from pyspark.sql import types as T
+
+    new = ("sequence_id", "offset")
+    pieces = pieces.select(*[F.col(f"`{c}`") for c in pieces.columns if c.lower() not in new])
+    bucket, inside, before = (common.hidden_name(pieces, n) for n in ("bucket", "inside", "before"))
+    buckets = max(buckets, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = pieces.withColumn(bucket, F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
+    counts = common.cut(dealt.groupBy("length", bucket).agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = pattern_slots(shortest_pack_first(histogram, limit))
-    by_bucket = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
-    base = counts.select("length", "__bucket", (F.sum("n").over(by_bucket) - F.col("n")).alias("__base"))
-    inside = Window.partitionBy("length", "__bucket").orderBy("doc_id", "start", "ids_crc32")
-    ranked = (
-        dealt.withColumn("__in", F.row_number().over(inside))
-        .join(base, ["length", "__bucket"])
-        .withColumn("__rank", F.col("__base") + F.col("__in") - 1)
-    )
+    by_bucket = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
+    base = counts.select("length", bucket, (F.sum("n").over(by_bucket) - F.col("n")).alias(before))
+    order = Window.partitionBy("length", bucket).orderBy("doc_id", "start", "ids_crc32")
+    ranked = dealt.withColumn(inside, F.row_number().over(order)).join(base, ["length", bucket])
     shared = pieces.sparkSession.sparkContext.broadcast(slots)
-    kept = [F.col(f"`{c}`") for c in pieces.columns]
-    fields = [*pieces.schema.fields]
+    out = T.StructType([*pieces.schema.fields, *[T.StructField(n, T.LongType()) for n in new]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -218,14 +286,14 @@ def pack_pieces(pieces: DataFrame, limit: int = LIMIT, buckets: int = BUCKETS) -
             columns = [batch.column(i) for i in range(n)] + [pa.array(sequence), pa.array(found[:, 3])]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in out])
 
-    from pyspark.sql import types as T
-
-    out = T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.select(*kept, F.col("length").alias("__l"), F.col("__rank").alias("__r")).mapInArrow(common.lean(run), out)
+    rank = F.col(before) + F.col(inside) - 1
+    kept = [F.col(f"`{c}`") for c in pieces.columns]
+    return ranked.select(*kept, F.col("length").alias(bucket), rank.alias(inside)).mapInArrow(common.lean(run), out)
 
 
 def pack_documents(docs: DataFrame, limit: int = LIMIT, tokenizer: str = TOKENIZER, keep_ids: bool = False) -> DataFrame:
-    """One row for each piece of docs(doc_id, text), with its place in a sequence of at most `limit` ids."""
+    """One row for each piece of docs(doc_id, text), with its place in a sequence of at most `limit` ids. Null and empty
+    texts are one piece of one id; repeated rows are packed one by one; other columns are not read; see pack_pieces()."""
     return pack_pieces(common.cut(token_pieces(docs, limit, tokenizer, keep_ids=keep_ids)), limit)
 
 
@@ -238,4 +306,5 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def op6_packing_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces and their places; see pack_documents()."""
     return pack_documents(common.table(spark, sf_dir, "documents"))
