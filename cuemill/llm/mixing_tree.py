@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -12,6 +15,10 @@ from . import common
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Documents that a block holds on average.
 BLOCK_DOCS = 256
+#: Blocks of a shard that are shuffled among one another.
+PIECE_BLOCKS = 16
+#: Sources of a mix at most, and bounds of shards that are broadcast at most: sources times shards.
+MOST_SOURCES, MOST_BOUNDS = 1 << 18, 1 << 22
 
 
 def water_fill(sizes: list[int], weights: list[float], budget: float, most: float) -> list[float]:
@@ -55,116 +62,178 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def source_targets(docs: DataFrame, share: float, most: float, weights: tuple = WEIGHTS) -> DataFrame:
-    """(source, n, source_size, target) of docs(source, size). The list of sources, not of documents, is worked out
-    on the driver: it is the configuration of the mix."""
-    rows = docs.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size")).collect()
-    rows.sort(key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""]))
-    sizes = [r["source_size"] for r in rows]
-    goal = water_fill(sizes, [weights[i % len(weights)] for i in range(len(rows))], share * sum(sizes), most)
-    out = [(r["source"], i, r["n"], r["source_size"], float(g)) for i, (r, g) in enumerate(zip(rows, goal, strict=True))]
-    return docs.sparkSession.createDataFrame(out, "source string, rank int, n bigint, source_size bigint, target double")
+@dataclass(frozen=True)
+class MixPlan:
+    """One row a source (table), and the seed and shards that the rows were made for."""
+
+    table: DataFrame
+    seed: int
+    shards: int
+    pieces: int
+
+
+def _hash(seed: int, key: list[str]) -> Column:
+    return F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in key])
 
 
-def draw_mix(
-    docs: DataFrame,
+def _block(h: Column, p: str) -> Column:
+    return F.pmod(h, F.col(f"{p}.blocks"))
+
+
+def _place(block: Column, p: str) -> Column:
+    """Place of a block in its source's permutation: mul and blocks have no common divisor."""
+    return (F.col(f"{p}.mul") * block + F.col(f"{p}.add")) % F.col(f"{p}.blocks")
+
+
+def plan_mix(
+    sized: DataFrame,
     share: float = 1.5,
     most: float = 2.0,
-    shards: int = 16,
+    shards: int | None = None,
     seed: int = 9,
     block_docs: int = BLOCK_DOCS,
     weights: tuple = WEIGHTS,
-) -> DataFrame:
-    """Draw a mix of docs(key, source, size): (key..., source_size, target, passes, shards array).
-
-    Each source's documents are dealt into blocks by a seeded hash and the blocks permuted by another. A source is
-    gone through whole as often as its target holds its size; of the last pass the first blocks of the permutation
-    are drawn, and of the block that the target falls into the first documents of a hash order, so that the words
-    drawn differ from the target by half a document at most. `passes` is how often a document is drawn. The drawn
-    blocks are a source's exact quota; the splitting tree deals all quotas out among the shards, and each shard takes
-    the next blocks of the permutation. `at` lists the shard of each draw.
-
-    docs needs `source`, `size`, `doc_id`; other columns pass through, unless a new one has their name. Null sources are a source of their own, the
-    last. Documents of size 0 are drawn as their place says. Repeated rows are drawn one by one in a fixed order of
-    equal rows. An empty table gives an empty mix."""
-    others = [c for c in docs.columns if c.lower() not in ("doc_id", "source", "size")]
-    rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None)
-    docs = docs.select("doc_id", "source", "size", rest.alias("__rest"))
-    targets = source_targets(docs, share, most, weights)
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block_docs).cast("int"))
-    placed = (
-        docs.join(F.broadcast(targets), docs.source.eqNullSafe(targets.source)).drop(targets.source)
-        .withColumn("__h", F.xxhash64(F.lit(seed), "doc_id", "size"))
-        .withColumn("__block", F.pmod("__h", blocks))
-    )
-    per_block = placed.groupBy("rank", "__block").agg(
-        F.sum("size").alias("w"),
-        F.first("source_size").alias("s"),
-        F.first("target").alias("t"),
-    )
-    ordered = Window.partitionBy("rank").orderBy(F.xxhash64(F.lit(seed + 1), "rank", "__block"), "__block")
-    spans = per_block.select(
-        "rank", "__block",
-        (F.row_number().over(ordered) - 1).alias("__place"),
-        (F.sum("w").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("w")).alias("__before"),
-    )
-    within = Window.partitionBy("rank", "__block").orderBy("__h", "doc_id", "size")
-    whole = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).cast("int")
-    rest = F.col("target") - whole * F.col("source_size")
-    reach = F.col("__before") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0))
-    # Drawn once more if at least half of it lies before the target.
-    drawn = placed.join(spans, ["rank", "__block"]).withColumn(
-        "__more", (reach - F.col("size") / 2.0 <= rest) & (F.col("size") > 0) & (rest > 0)
-    )
-    drawn = drawn.withColumn("passes", whole + F.col("__more").cast("int"))
-    dealt = _deal(drawn, shards, seed)
-    some = F.slice("all_at", 1, F.greatest(whole, F.lit(0)))
-    out = drawn.join(dealt, ["rank", "__block"], "left").withColumn("at", F.when(F.col("__more"), F.col("all_at")).otherwise(some))
+    key: tuple = ("doc_id", "size"),
+) -> MixPlan:
+    """What is drawn of sized(source, size, key...), which is read four times: give a table that is written.
+
+    A source's documents fall into blocks by a seeded hash of the key columns, and the blocks have a seeded permutation. A
+    source is gone through whole as often as its target holds its size; of the last pass the first blocks of the
+    permutation are drawn, and of the block that the target falls into the first documents in the order of their hashes, so
+    that the words drawn differ from the target by half a document at most. That place is sought by sums of runs of
+    blocks, then of the run's blocks, then of the block's documents: no step orders a whole source. The drawn blocks are a
+    source's exact quota; the splitting tree deals all quotas out among the shards.
+
+    Only a row a source comes to the driver, as the mix's configuration; over MOST_SOURCES of them it raises. `shards` grows
+    with the drawn blocks if it is None."""
+    rows = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("s")).limit(MOST_SOURCES + 1).collect()
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"a mix has {MOST_SOURCES} sources at most")
+    rows.sort(key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""]))
+    sizes = [r["s"] or 0 for r in rows]
+    goal = water_fill(sizes, [weights[i % len(weights)] for i in range(len(rows))], share * sum(sizes), most)
+    rng = np.random.default_rng(seed)
+    plan = []
+    for i, (r, size, target) in enumerate(zip(rows, sizes, goal, strict=True)):
+        blocks = max(1, -(-r["n"] // block_docs))
+        mul = int(rng.integers(1, blocks + 1))
+        while math.gcd(mul, blocks) > 1:
+            mul = int(rng.integers(1, blocks + 1))
+        whole = int(target // max(size, 1))
+        plan.append((r["source"], i, size, float(target), blocks, mul, int(rng.integers(0, blocks)), whole, target - whole * size))
+    names = "source string, rank int, source_size bigint, target double, blocks bigint, mul bigint, add bigint, whole int, rest double"
+    spark = sized.sparkSession
+    edges = _edges(sized, spark.createDataFrame(plan, names), seed, list(key))
+    # (place of the block that the target falls into, the last hash that is drawn of it)
+    last = [edges.get(p[1], (p[4], None) if p[8] > 0 else (0, None)) for p in plan]
+    more = [place + (h is not None) for place, h in last]
+    quotas = [p[4] * p[7] + m for p, m in zip(plan, more, strict=True)]
+    if shards is None:
+        shards = 1 << min(10, max(4, (sum(quotas) // 64).bit_length() - 1))
+    shards = max(1, min(shards, MOST_BOUNDS // max(1, len(plan))))
+    table = split_quotas(np.array(quotas, np.int64), shards, seed)
+    ends = np.cumsum(table, axis=0)
+    full = [
+        (*p, place, h, m, ends[:, i].tolist()) for i, (p, (place, h), m) in enumerate(zip(plan, last, more, strict=True))
+    ]
+    pieces = max(1, -(-sum(quotas) // (shards * PIECE_BLOCKS)))
+    names += ", edge_place bigint, edge_hash bigint, more bigint, ends array<bigint>"
+    return MixPlan(spark.createDataFrame(full, names), seed, shards, pieces)
+
+
+def _planned(docs: DataFrame, table: DataFrame, p: str) -> DataFrame:
+    """docs with the row of their source as struct p. The table has a row a source, bounded by MOST_SOURCES."""
+    side = table.select(F.col("source").alias(f"{p}_source"), F.struct(*table.columns).alias(p))
+    return docs.join(F.broadcast(side), docs.source.eqNullSafe(side[f"{p}_source"])).drop(f"{p}_source")
+
+
+def _edges(sized: DataFrame, table: DataFrame, seed: int, key: list[str]) -> dict[int, tuple[int, int | None]]:
+    """By rank of a source with a last pass: the place of the block that it ends in, and the hash of the last document that
+    is drawn of that block, None if none is."""
+    p = common.hidden_name(sized, "plan")
+    h, place, run = (common.hidden_name(sized, n) for n in ("hash", "place", "run"))
+    docs = _planned(sized.where("size > 0"), table.where("rest > 0"), p).withColumn(h, _hash(seed, key))
+    docs = docs.withColumn(place, _place(_block(F.col(h), p), p))
+    docs = docs.withColumn(run, F.floor(F.col(place) / F.ceil(F.sqrt(f"{p}.blocks"))))
+    docs = docs.select(F.col(f"{p}.rank").alias("rank"), F.col(f"{p}.rest").alias("rest"), "size", *[F.col(c).alias(n) for c, n in ((h, "h"), (place, "place"), (run, "run"))])
+
+    def end(rows: DataFrame, by: str) -> dict[int, tuple]:
+        """By rank: the value of `by` at which the sum of sizes passes `rest`, and the sum before it."""
+        sums = rows.groupBy("rank", by).agg(F.sum("size").alias("w"), F.first("rest").alias("rest"))
+        upto = F.sum("w").over(Window.partitionBy("rank").orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+        at = sums.withColumn("b", upto - F.col("w")).where((F.col("b") <= F.col("rest")) & (F.col("b") + F.col("w") > F.col("rest")))
+        return {r["rank"]: (r[by], r["b"]) for r in at.collect()}
+
+    def within(by: str, found: dict[int, tuple]) -> DataFrame:
+        side = docs.sparkSession.createDataFrame([(k, v, float(b)) for k, (v, b) in found.items()], f"rank int, {by} bigint, b double")
+        return docs.join(F.broadcast(side), ["rank", by]).withColumn("rest", F.col("rest") - F.col("b")).drop("b")
+
+    out: dict[int, tuple[int, int | None]] = {}
+    runs = end(docs, "run")
+    if not runs:
+        return out
+    places = {k: (v, b + runs[k][1]) for k, (v, b) in end(within("run", runs), "place").items()}
+    rows = within("place", places)
+    sums = rows.groupBy("rank", "h").agg(F.sum("size").alias("w"), F.first("rest").alias("rest"))
+    upto = F.sum("w").over(Window.partitionBy("rank").orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
+    drawn = sums.withColumn("mid", upto - F.col("w") / 2.0).where("mid <= rest").groupBy("rank").agg(F.max("h").alias("h"))
+    last = {r["rank"]: r["h"] for r in drawn.collect()}
+    return {k: (v, last.get(k)) for k, (v, _) in places.items()}
+
+
+def _draws(plan: MixPlan, p: str, h: Column) -> tuple[Column, Column]:
+    """(passes, at): how often a document is drawn, and the shard of each draw."""
+    place = _place(_block(h, p), p)
+    edge = (place == F.col(f"{p}.edge_place")) & (h <= F.col(f"{p}.edge_hash"))
+    extra = F.coalesce((F.col(f"{p}.rest") > 0) & ((place < F.col(f"{p}.edge_place")) | edge), F.lit(False))
+    passes = F.col(f"{p}.whole") + extra.cast("int")
+    first = place * F.col(f"{p}.whole") + F.least(place, F.col(f"{p}.more"))
+    draws = F.when(passes > 0, F.sequence(first, first + passes - 1)).otherwise(F.array().cast("array<bigint>"))
+    return passes, F.transform(draws, lambda d: F.size(F.filter(F.col(f"{p}.ends"), lambda e: e <= d)))
+
+
+def draw_mix(docs: DataFrame, key: tuple = ("doc_id", "size"), **how) -> DataFrame:
+    """Draw a mix of docs(doc_id, source, size): its rows with source_size, target, passes (how often a row is drawn) and
+    at (the shard of each draw). See plan_mix(), which takes the other parameters.
+
+    key: columns whose hash deals documents into blocks; rows that are alike in them are drawn alike. Other columns pass
+    through, unless a new one has their name. Null sources are a source of their own, the last; a source of size 0 gives
+    nothing. Repeated rows are drawn alike. An empty table gives an empty mix."""
+    plan = plan_mix(docs, key=key, **how)
+    p = common.hidden_name(docs, "plan")
+    passes, at = _draws(plan, p, _hash(plan.seed, list(key)))
     new = ["source_size", "target", "passes", "at"]
-    return out.select("doc_id", "source", "size", *[F.col(f"__rest.`{c}`") for c in others if c.lower() not in new], *new)
-
-
-def _deal(drawn: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(rank, __block, all_at): the shard of each pass over each block. The tree sees the sources' block quotas only."""
-    passes = drawn.groupBy("rank", "__block", "__place").agg(F.max("passes").alias("p"))
-    quotas = sorted((r["rank"], r["q"]) for r in passes.groupBy("rank").agg(F.sum("p").alias("q")).collect())
-    table = split_quotas(np.array([q for _, q in quotas], np.int64), shards, seed) if quotas else np.zeros((shards, 0))
-    ends = [(r, np.cumsum(table[:, i]).tolist()) for i, (r, _) in enumerate(quotas)]
-    spark = drawn.sparkSession
-    bounds = spark.createDataFrame(ends, "rank int, ends array<bigint>")
-    running = Window.partitionBy("rank").orderBy("__place")
-    first = F.sum("p").over(running.rowsBetween(Window.unboundedPreceding, 0)) - F.col("p")
-    return (
-        passes.withColumn("__first", first)
-        .join(F.broadcast(bounds), "rank")
-        .withColumn(
-            "all_at",
-            F.expr(
-                "transform(if(p > 0, sequence(__first, __first + p - 1), array()),"
-                " d -> size(filter(ends, e -> e <= d)))"
-            ),
-        )
-        .select("rank", "__block", "all_at")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
+    return _planned(docs, plan.table, p).select(
+        *kept, F.col(f"{p}.source_size").alias("source_size"), F.col(f"{p}.target").alias("target"), passes.alias("passes"), at.alias("at")
     )
 
 
-def mix_documents(docs: DataFrame, share: float = 1.5, most: float = 2.0, shards: int = 16, seed: int = 9) -> DataFrame:
-    """The mix itself: docs' columns and rows, each as often as drawn, dealt out by shard and shuffled within."""
-    size, shard = common.hidden_name(docs, "size"), common.hidden_name(docs, "shard")
-    body = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    flat = docs.select("doc_id", "source", F.regexp_count("text", F.lit(common.WORD)).alias(size), body.alias("__doc"))
-    flat = flat.select("doc_id", "source", F.coalesce(size, F.lit(0)).cast("bigint").alias("size"), "__doc")
-    out = draw_mix(flat, share, most, shards, seed).withColumn(shard, F.explode("at"))
-    out = out.repartition(shards, shard).sortWithinPartitions(
-        shard, F.xxhash64(F.lit(seed + 2), "doc_id", shard), "doc_id"
-    )
-    return out.select("__doc.*")
+def _sized(docs: DataFrame) -> DataFrame:
+    """Written (doc_id, source, size, key) of docs; key tells texts of one or no doc_id apart."""
+    size = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("bigint")
+    return common.cut(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "text").alias("key")))
+
+
+def mix_documents(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: docs' columns and rows, each as often as drawn, dealt out by shard and shuffled within pieces of it.
+
+    Draws are worked out on ids and sizes; the texts are shuffled once, to their places. Null texts have size 0."""
+    plan = plan_mix(_sized(docs), key=("key",), **how)
+    p, key, shard, piece = (common.hidden_name(docs, n) for n in ("plan", "key", "shard", "piece"))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    h = _hash(plan.seed, [key])
+    out = _planned(keyed, plan.table, p).withColumn(shard, F.explode(_draws(plan, p, h)[1]))
+    # A piece of a shard takes some of its blocks of every source.
+    dealt = F.pmod(F.xxhash64(F.lit(plan.seed + 1), F.col(f"{p}.rank"), _block(h, p)), F.lit(plan.pieces))
+    out = out.withColumn(piece, dealt).select(*[F.col(f"`{c}`") for c in docs.columns], key, shard, piece)
+    out = out.repartition(F.col(shard), F.col(piece)).sortWithinPartitions(shard, piece, F.xxhash64(F.lit(plan.seed + 2), key, shard))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
-    size = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("bigint")
-    sized = common.cut(docs.select("doc_id", "source", size.alias("size")))
-    return draw_mix(sized).select(
+    """The mix of all documents as (doc_id, size, source_size, target, taken, at); see draw_mix()."""
+    mixed = draw_mix(_sized(common.table(spark, sf_dir, "documents")), key=("key",))
+    return mixed.select(
         "doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size")).alias("taken"), "at"
     )

@@ -111,6 +111,32 @@ def test_mix_near_targets_and_reruns(spark):
         assert abs(taken[s] - g) <= 60
 
 
+def test_draws_against_a_walk_over_each_source(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, "abc"[min(2, i % 5)] if i % 11 else None, int(rng.integers(0, 90))) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint")
+    plan = mixing_tree.plan_mix(docs, shards=4, block_docs=16)
+    of = {r["source"]: r for r in plan.table.collect()}
+    hashed = docs.select("*", mixing_tree._hash(plan.seed, ["doc_id", "size"]).alias("h")).collect()
+    got = {r["doc_id"]: (r["passes"], r["at"]) for r in mixing_tree.draw_mix(docs, shards=4, block_docs=16).collect()}
+    dealt = Counter()
+    for source, p in of.items():
+        own = [(p["mul"] * (r["h"] % p["blocks"]) + p["add"]) % p["blocks"] for r in hashed if r["source"] == source]
+        assert len(set(own)) == p["blocks"]  # a permutation
+        rest, reach, blocks = p["target"] - p["whole"] * p["source_size"], 0, {}
+        for place, h, i, size in sorted(zip(own, *zip(*[(r["h"], r["doc_id"], r["size"]) for r in hashed if r["source"] == source]))):
+            more = size > 0 and reach + size / 2 <= rest and rest > 0
+            reach += size
+            assert size == 0 or got[i][0] == p["whole"] + more, (i, got[i], place, p)
+            blocks.setdefault(place, []).append(got[i])
+        for place, docs_ in blocks.items():
+            longest = max(at for _, at in docs_)
+            assert all(at == longest[:n] for n, at in docs_)
+            dealt.update((source, s) for s in longest)
+    for source, p in of.items():
+        assert [sum(dealt[source, s] for s in range(k + 1)) for k in range(4)] == p["ends"]
+
+
 def test_mix_edges(spark):
     clash = spark.createDataFrame([(1, "a", 3, 7, 8, "x"), (2, None, 0, 7, 8, "y"), (2, None, 0, 7, 8, "y")], "doc_id int, source string, size bigint, rank int, target int, text string")
     got = mixing_tree.draw_mix(clash)
