@@ -13,6 +13,8 @@ from . import common
 from .components import connected_components
 
 BITS = 64
+#: Ids, 8 bytes each, that are sent to every executor at most.
+BROADCAST_IDS = 1 << 20
 
 
 def fingerprint_bytes(text: bytes, words: int) -> int:
@@ -214,10 +216,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFra
 
 def drop_near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame:
     """docs without the documents whose group holds a smaller doc_id; columns as before. Rows without a doc_id stay,
-    and all rows that repeat the id that stays."""
+    and all rows that repeat the id that stays. Ids to drop are broadcast while they are BROADCAST_IDS at most, so that
+    texts are not shuffled; more of them are joined by a shuffle."""
     gone = near_duplicates(docs, words, budget).where("doc_id <> component_id")
     name = common.hidden_name(docs, "gone")
-    dropped = gone.select(F.col("doc_id").alias(name)).distinct()
+    dropped = common.cut(gone.select(F.col("doc_id").cast("bigint").alias(name)).distinct())
+    if dropped.count() <= BROADCAST_IDS:
+        dropped = F.broadcast(dropped)
     return docs.join(dropped, F.col("doc_id") == F.col(name), "left_anti")
 
 
