@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 from .components import connected_components
 
 BITS = 64
+#: Fingerprints that agree in one block and are still one task's work.
+CROWD = 1 << 17
 #: Ids, 8 bytes each, that are sent to every executor at most.
 BROADCAST_IDS = 1 << 20
 
@@ -147,40 +150,75 @@ def join_up(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
-def fingerprint_links(classes: DataFrame, budget: int = 2) -> DataFrame:
+def _thirds(bits: int, blocks: int) -> list[tuple[int, int]]:
+    """(start, size) of each of the blocks that so many bits are cut into."""
+    size = [bits // blocks + (k < bits % blocks) for k in range(blocks)]
+    return [(sum(size[:k]), size[k]) for k in range(blocks)]
+
+
+def _lead(fp: Column, start: int, size: int) -> Column:
+    """The bits [start, start + size) of fp, from the highest."""
+    return F.shiftrightunsigned(fp, BITS - start - size).bitwiseAND(F.lit((1 << size) - 1))
+
+
+def _pick(which: Column, choices: list[Column]) -> Column:
+    out = F.lit(None).cast("bigint")
+    for k, c in enumerate(choices):
+        out = F.when(which == k, c).otherwise(out)
+    return out
+
+
+def _turned(fp: np.ndarray, k: int, j: int, blocks: int) -> tuple[np.ndarray, int]:
+    """fp with block k first and, where j is not negative, block j of the other bits second; and how many bits lead."""
+    start, size = _thirds(BITS, blocks)[k]
+    fp = _rotate(fp, start)
+    if j < 0:
+        return fp, size
+    rest = BITS - size
+    at, more = _thirds(rest, blocks)[j]
+    low = fp & np.uint64((1 << rest) - 1)
+    low = ((low << np.uint64(at)) | (low >> np.uint64(rest - at))) & np.uint64((1 << rest) - 1)
+    return (fp & ~np.uint64((1 << rest) - 1)) | low, size + more
+
+
+def fingerprint_links(classes: DataFrame, budget: int = 2, crowd: int = CROWD) -> DataFrame:
     """Edges (a, b) of a spanning forest of all links between the rows (fp, rep) of distinct fingerprints.
 
     The bits are cut into budget + 1 blocks. Two fingerprints within the budget agree in one block at least, so the
     trie is laid out once with each block first; its subtries under a whole block are dealt out by the block's value
-    and joined with themselves. Links within a task are united there, so a task gives no more rows than it read."""
+    and joined with themselves. A subtrie of over `crowd` fingerprints is dealt out once more: its other bits are cut in
+    the same way, and it is laid out once with each of these blocks next. Links within a task are united there, so a task
+    gives no more rows than it read. Crowded blocks are 1 / crowd of the rows at most, and are broadcast."""
     blocks = budget + 1
-    size = [BITS // blocks + (k < BITS % blocks) for k in range(blocks)]
-    start = [sum(size[:k]) for k in range(blocks)]
-    piece = F.lit(None).cast("bigint")
-    for k in range(blocks):
-        mask = (1 << size[k]) - 1
-        shifted = F.shiftrightunsigned("fp", BITS - start[k] - size[k]).bitwiseAND(F.lit(mask))
-        piece = F.when(F.col("k") == k, shifted).otherwise(piece)
-    dealt = (
-        classes.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(blocks)])))
-        .withColumn("block", piece)
-        .repartition("k", "block")
-        .select("k", "fp", "rep")
-    )
+    cuts = _thirds(BITS, blocks)
+    spread = classes.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(blocks)])))
+    spread = spread.withColumn("block", _pick(F.col("k"), [_lead(F.col("fp"), *c) for c in cuts]))
+    full = common.cut(spread.groupBy("k", "block").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("k", "block", F.lit(True).alias("full")))
+    spread = spread.join(F.broadcast(full), ["k", "block"], "left")
+    j = F.explode(F.when(F.col("full"), F.array(*[F.lit(j) for j in range(blocks)])).otherwise(F.array(F.lit(-1))))
+    spread = spread.select("k", "block", "fp", "rep", j.alias("j"))
+
+    def second(k: int) -> Column:  # block j of the bits besides block k, which follow it in a ring
+        start, size = cuts[k]
+        ring = F.col("fp") if not start else F.shiftleft("fp", start).bitwiseOR(F.shiftrightunsigned("fp", BITS - start))
+        return _pick(F.col("j"), [_lead(ring, size + at, more) for at, more in _thirds(BITS - size, blocks)])
+
+    spread = spread.withColumn("block2", _pick(F.col("k"), [second(k) for k in range(blocks)]))
+    dealt = spread.repartition("k", "block", "j", "block2").select("k", "j", "fp", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
+        read = [[b.column(i).to_numpy() for i in range(4)] for b in batches]
         if not read:
             return
-        which, fp, rep = (np.concatenate(x) for x in zip(*read, strict=True))
-        for k in range(blocks):
-            own = which == k
-            keys, at = _rotate(fp[own].view(np.uint64), start[k]), rep[own]
-            order = np.argsort(keys, kind="stable")
+        which, then, fp, rep = (np.concatenate(x) for x in zip(*read, strict=True))
+        for k, j in itertools.product(range(blocks), range(-1, blocks)):
+            own = (which == k) & (then == j)
+            keys, lead = _turned(fp[own].view(np.uint64), k, j, blocks)
+            at, order = rep[own], np.argsort(keys, kind="stable")
             keys, at = keys[order], at[order]
             parent = np.arange(len(keys))
-            for i, j in trie_links(keys, size[k], budget):
-                join_up(parent, i, j)
+            for i, j_ in trie_links(keys, lead, budget):
+                join_up(parent, i, j_)
             hung = np.nonzero(parent != np.arange(len(keys)))[0]
             for s in range(0, len(hung), 1 << 16):
                 h = hung[s : s + (1 << 16)]
@@ -227,4 +265,5 @@ def drop_near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2) -> Da
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their fingerprints and components; see near_duplicates()."""
     return near_duplicates(common.table(spark, sf_dir, "documents"))

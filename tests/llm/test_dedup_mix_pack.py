@@ -60,6 +60,36 @@ def test_trie_join_finds_all_links_and_no_more():
     assert list(simhash_dedup.trie_links(keys[:1], 0, 2)) == []
 
 
+def test_crowded_blocks_are_dealt_out_again(spark):
+    rng = np.random.default_rng(5)
+    heads = [0, 0xABCDE, 0x1FFFFF]
+    keys = {(h << 43) ^ int(x) for h in heads for x in rng.integers(0, 2**43, 40)} | {0, 2**64 - 1, 1}
+    for x in list(keys):
+        for n in (1, 2, 2, 3):
+            y = x
+            for bit in rng.choice(64, n, replace=False):
+                y ^= 1 << int(bit)
+            keys.add(y)
+    keys = sorted(keys)
+    signed = [x - 2**64 if x >= 2**63 else x for x in keys]
+    classes = spark.createDataFrame([(f, i) for i, f in enumerate(signed)], "fp bigint, rep bigint")
+    parent = list(range(len(keys)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, x in enumerate(keys):
+        for j in range(i):
+            if (x ^ keys[j]).bit_count() <= 2:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    for crowd in (1 << 17, 30, 2):
+        linked = {r["node"]: r["component"] for r in connected_components(simhash_dedup.fingerprint_links(classes, 2, crowd)).collect()}
+        assert [linked.get(i, i) for i in range(len(keys))] == [root(i) for i in range(len(keys))]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5), (101, 100)], "a bigint, b bigint")
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
