@@ -34,6 +34,10 @@ FAST_BITS = 12
 _REVERSED = np.array([int(f"{i:0{FAST_BITS}b}"[::-1], 2) for i in range(1 << FAST_BITS)])
 
 
+#: Samples of an image at most: an image 64 wide holds them exactly.
+PART = 64 * 16384
+
+
 class BadImage(ValueError):
     """The bytes are no lossless WebP image."""
 
@@ -178,12 +182,8 @@ def container(data: bytes) -> bytes:
 
 
 def shape_of(samples: int) -> tuple[int, int]:
-    """Width and height of an image with room for so many samples: 64 wide, beyond 2**20 samples as wide as can be."""
-    width = 64 if samples <= 64 * 16384 else 16384
-    height = max(1, -(-samples // width))
-    if height > 16384:
-        raise ValueError(f"{samples} samples fit no image")
-    return width, height
+    """Width and height of the image of so many samples, PART at most: 64 wide."""
+    return 64, max(1, -(-samples // 64))
 
 
 def padded(payload: bytes) -> bytes:
@@ -192,35 +192,122 @@ def padded(payload: bytes) -> bytes:
 
 
 def write_gray(samples: bytes) -> bytes:
-    """A lossless WebP image whose red, green and blue are the samples: green alone is coded, by a prefix code of its
-    own, and the subtract-green transform makes the others of it. Zeros fill the last row."""
-    width, height = shape_of(len(samples))
-    samples += b"\0" * (width * height - len(samples))
+    """A lossless WebP image whose red, green and blue are the samples, of a positive multiple of 64 up to PART: green alone is
+    coded, by a prefix code of its own, and the subtract-green transform makes the others of it."""
     raw = np.frombuffer(samples, np.uint8)
-    counts = np.bincount(raw, minlength=280)
-    out = BitWriter()
-    out.put(0x2F, 8)
-    out.put(width - 1, 14)
-    out.put(height - 1, 14)
-    out.put(0, 4)
+    out = _begun(len(samples))
     out.put(1 | SUBTRACT_GREEN << 1, 3)
     out.put(0, 3)  # no further transform, colour cache or meta codes
-    lengths = code_lengths(counts, FAST_BITS)
+    lengths, codes = _put_code(out, np.bincount(raw, minlength=280), FAST_BITS)
+    for symbol in (0, 0, 255, 0):
+        put_symbol(out, symbol)
+    return container(_filled(out, codes[raw], lengths[raw]))
+
+
+def write_compact(samples: bytes, palette: bool) -> bytes:
+    """The same image by back-references, whose distances and lengths have prefix codes too; with palette, over the places of
+    16 values at most in a palette, several to a pixel."""
+    out = _begun(len(samples))
+    if palette:
+        values, raw = np.unique(np.frombuffer(samples, np.uint8), return_inverse=True)
+        each = 8 if len(values) <= 2 else 4 if len(values) <= 4 else 2
+        out.put(1 | PALETTE << 1, 3)
+        out.put(len(values) - 1, 8)
+        steps = np.diff(values.astype(np.int64), prepend=0) & 255
+        out.put(0, 1)
+        coded = [_put_code(out, np.bincount(steps, minlength=n), 15) for n in (280, 256, 256)]
+        solid = [255, *[0] * (len(values) - 1)]  # differences of alpha
+        coded.append(_put_code(out, np.bincount(solid, minlength=256), 15))
+        put_symbol(out, 0)
+        for step, alpha in zip(steps.tolist(), solid, strict=True):
+            for (n, c), v in zip(coded, (step, step, step, alpha), strict=True):
+                out.put(int(c[v]), int(n[v]))
+        samples = (raw.reshape(-1, each).astype(np.uint8) << (np.arange(each, dtype=np.uint8) * (8 // each))).sum(axis=1, dtype=np.uint8).tobytes()
+    else:
+        out.put(1 | SUBTRACT_GREEN << 1, 3)
+    out.put(0, 3)
+    kind, length, distance = copies_of(samples)
+    copied = np.nonzero(kind < 0)[0]
+    size, more, extra = _prefixed(length[copied])
+    far, far_more, far_extra = _prefixed(distance[copied] + len(NEAR))
+    green = kind.copy()
+    green[copied] = 256 + size
+    lengths, codes = _put_code(out, np.bincount(green, minlength=280), 15)
+    for symbol in (0, 0, 255):
+        put_symbol(out, symbol)
+    far_lengths, far_codes = _put_code(out, np.bincount(far, minlength=40), 15)
+    # Four pieces an item: its symbol, and of copies the rest of the length, the distance's symbol and its rest.
+    value, bits = np.zeros((2, len(kind), 4), np.int64)
+    value[:, 0], bits[:, 0] = codes[green], lengths[green]
+    value[copied, 1:] = np.stack([extra, far_codes[far], far_extra], axis=1)
+    bits[copied, 1:] = np.stack([more, far_lengths[far], far_more], axis=1)
+    return container(_filled(out, value.ravel(), bits.ravel()))
+
+
+def copies_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(kind, length, distance) of the items that data is written with: kind is a byte, or -1 for a copy of `length` bytes
+    from `distance` back. Runs are sought where six bytes were met before."""
+    n, at = len(data), 0
+    met: dict[bytes, int] = {}
+    kind, length, distance = [], [], []
+    while at < n:
+        gram = data[at : at + 6]
+        before = met.get(gram) if len(gram) == 6 else None
+        met[gram] = at
+        if before is None:
+            kind.append(data[at]), length.append(1), distance.append(0)
+            at += 1
+            continue
+        run, most = 6, min(4096, n - at)
+        while run < most and data[before + run : before + run + 32] == data[at + run : at + run + 32]:
+            run += 32
+        run = min(run, most)
+        while run < most and data[before + run] == data[at + run]:
+            run += 1
+        kind.append(-1), length.append(run), distance.append(at - before)
+        for k in range(at + 5, at + run - 6, 11):
+            met[data[k : k + 6]] = k
+        at += run
+    return np.array(kind), np.array(length), np.array(distance)
+
+
+def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbols of lengths or distances from 1, the number of bits that follow each, and these."""
+    v = values.astype(np.int64) - 1
+    top = np.floor(np.log2(np.maximum(v, 1))).astype(np.int64)
+    more = np.maximum(top - 1, 0)
+    symbol = np.where(v < 4, v, 2 * top + ((v >> more) & 1))
+    more = np.where(v < 4, 0, more)
+    return symbol, more, v & ((1 << more) - 1)
+
+
+def _begun(samples: int) -> BitWriter:
+    width, height = shape_of(samples)
+    out = BitWriter()
+    for value, bits in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 4)):
+        out.put(value, bits)
+    return out
+
+
+def _put_code(out: BitWriter, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Put the prefix code of the counts; its lengths and codes. One symbol alone, below 256, takes no bits."""
+    lengths = code_lengths(counts, most)
     if lengths.any():
         put_lengths(out, lengths.tolist())
     else:
-        put_symbol(out, int(raw[0]))
-    for symbol in (0, 0, 255, 0):
-        put_symbol(out, symbol)
-    head = out.value.to_bytes((out.count + 7) // 8, "little")
-    if not lengths.any():
-        return container(head)
-    codes = canonical_codes(lengths)
-    size = lengths.astype(np.uint8)[raw]
-    ends = np.cumsum(size, dtype=np.int64)
+        put_symbol(out, int(counts.argmax()))
+    return lengths, canonical_codes(lengths)
+
+
+def _filled(head: BitWriter, value: np.ndarray, bits: np.ndarray) -> bytes:
+    """The head's bits and then those of the values, 31 of each at most."""
+    start = head.value.to_bytes((head.count + 7) // 8, "little")
+    ends = np.cumsum(bits, dtype=np.int64)
     total = int(ends[-1])
-    at = ends - size + (out.count & 7)
-    shifted = codes.astype(np.uint64)[raw] << (at & 31).astype(np.uint64)
+    if not total:
+        return start
+    at = ends - bits + (head.count & 7)
+    shifted = value.astype(np.uint64) << (at & 31).astype(np.uint64)
     word = at >> 5
     first = np.concatenate([[0], np.nonzero(np.diff(word))[0] + 1])
     low = np.add.reduceat(shifted & np.uint64(0xFFFFFFFF), first)
@@ -228,11 +315,45 @@ def write_gray(samples: bytes) -> bytes:
     words = np.zeros(int(word[-1]) + 2, np.uint64)
     words[word[first]] += low
     words[word[first] + 1] += high
-    body = words.astype("<u4").tobytes()[: ((out.count & 7) + total + 7) // 8]
-    if out.count & 7:
-        body = bytes([body[0] | head[-1]]) + body[1:]
-        head = head[:-1]
-    return container(head + body)
+    body = words.astype("<u4").tobytes()[: ((head.count & 7) + total + 7) // 8]
+    if head.count & 7:
+        body = bytes([body[0] | start[-1]]) + body[1:]
+        start = start[:-1]
+    return start + body
+
+
+def write_payload(payload: bytes) -> bytes:
+    """A payload of a positive multiple of 64 as images of PART samples at most, one after another: its length is that of
+    their samples. Each is written in the least of the ways that may pay: literals; back-references, if a quick look
+    finds half of the bytes again; a palette, if there are 16 values at most."""
+    out = []
+    for at in range(0, len(payload), PART):
+        part = payload[at : at + PART]
+        ways = [write_gray(part)]
+        few = 1 < len(set(part[:: max(1, len(part) // 64)])) <= 16 and 1 < len(set(part)) <= 16
+        again = 2 * len(zlib.compress(part, 1)) < len(ways[0])
+        if few or again:
+            ways.append(write_compact(part, few))
+        out.append(min(ways, key=len))
+    return b"".join(out)
+
+
+def images_of(media: bytes) -> list[bytes]:
+    """The images that stand one after another."""
+    out, at = [], 0
+    while at < len(media):
+        end = at + 8 + int.from_bytes(media[at + 4 : at + 8], "little")
+        out.append(media[at:end])
+        at = max(end, at + 12)
+    return out
+
+
+def read_payloads(media: list[bytes | None]) -> list[bytes | None]:
+    """The samples of each of the media's images, one after another; None for null media and damaged ones."""
+    parts = [[] if m is None else images_of(m) for m in media]
+    got = iter(read_images([x for own in parts for x in own]))
+    joined = [[next(got) for _ in own] for own in parts]
+    return [b"".join(x[3] for x in own) if own and None not in own else None for own in joined]
 
 
 # ---- reading
@@ -612,18 +733,27 @@ def read_images(media: list[bytes | None]) -> list[tuple | None]:
 
 def store_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_bytes and media: each whole text (null: empty) as UTF-8, filled up with zeros to a positive multiple
-    of 64, as a gray lossless WebP image."""
+    of 64, as write_payload() stores it: one gray lossless WebP image, of longer texts several in a row."""
 
     def start():
         def store(texts: list) -> dict:
             raw = [(t or "").encode() for t in texts]
-            return {"n_bytes": [len(r) for r in raw], "media": [write_gray(padded(r)) for r in raw]}
+            return {"n_bytes": [len(r) for r in raw], "media": [write_payload(padded(r)) for r in raw]}
 
         return store
 
     return common.add_by_text(docs, start, text, "n_bytes bigint, media binary")
 
 
+def read_texts(df: DataFrame, media: str = "media") -> DataFrame:
+    """df with the payload that store_texts() stored; null of null or damaged media."""
+
+    def start():
+        return lambda blobs: {"payload": read_payloads(blobs)}
+
+    return common.add_by_text(df, start, media, "payload binary")
+
+
 def read_media(df: DataFrame, media: str = "media") -> DataFrame:
     """df with width, height, channels and samples of each image: its pixel array, row by row. Null and damaged
     images give nulls."""
@@ -648,14 +778,14 @@ def describe(samples: bytes) -> str:
 
 
 def digest_round_trip(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the digests of what store_texts() stores and read_media() gets back, in one pass: media stay in the
+    """docs with the digests of what store_texts() stores and read_texts() gets back, in one pass: media stay in the
     task that makes them, some eight megabytes of text at a time."""
 
     def start():
         def digest(texts: list) -> dict:
             raw = [(t or "").encode() for t in texts]
-            media = [write_gray(padded(r)) for r in raw]
-            back = [x[3][: len(padded(r))] for x, r in zip(read_images(media), raw, strict=True)]
+            media = [write_payload(padded(r)) for r in raw]
+            back = read_payloads(media)
             return {
                 "n_bytes": [len(r) for r in raw],
                 "payload_bytes": [len(b) for b in back],
@@ -673,4 +803,5 @@ def digest_round_trip(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op2_media_webp_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the digests of their stored form and of what is read back; see digest_round_trip()."""
     return digest_round_trip(common.table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -1,5 +1,7 @@
+import collections
 import hashlib
 import json
+import math
 import random
 import zlib
 
@@ -62,10 +64,40 @@ def test_writes_and_reads_bytes_side_by_side():
     assert [g[3] for g in got[: len(raw)]] == raw and got[len(raw) :] == [None] * 3
     for m, r in list(zip(media, raw, strict=True))[:8]:  # and one by one, by the general reader
         assert (webp.Image(m).argb()[..., 1].astype(np.uint8).tobytes()) == r
-    assert webp.shape_of(64) == (64, 1) and webp.shape_of((1 << 20) + 64) == (16384, 65)
-    large = rng.integers(0, 9, 64 * 20011, dtype=np.uint8).tobytes()
-    got = webp.read_images([webp.write_gray(large)])[0]
-    assert got[3][: len(large)] == large and not any(got[3][len(large) :])
+
+
+def test_compact_ways_of_writing():
+    rng = np.random.default_rng(2)
+    words = [b"spam line %d\n" % k for k in range(5)]
+    cases = [
+        b"the same line again\n" * 700, b"".join(words[int(k)] for k in rng.integers(0, 5, 3000)), b"ab" * 3000, b"0123456789abcdef" * 9, bytes(rng.integers(0, 4, 5000, dtype=np.uint8)),
+        b"x" * 100_000 + bytes(rng.integers(0, 256, 500, dtype=np.uint8)) + b"x" * 100_000, b"abcdefgh" * 2 + b"tail",
+    ]
+    for case in map(webp.padded, cases):
+        for palette in (False, True) if len(set(case)) <= 16 else (False,):
+            argb = webp.Image(webp.write_compact(case, palette)).argb()
+            assert argb[..., 1].astype(np.uint8).tobytes() == case
+            assert (argb[..., 0] == 255).all() and (argb[..., 1:2] == argb[..., 1:]).all()
+        kind, length, distance = webp.copies_of(case)
+        back = bytearray()
+        for k, n, d in zip(kind, length, distance, strict=True):
+            for _ in range(n):
+                back.append(k if k >= 0 else back[-d])
+        assert bytes(back) == case
+        media = webp.write_payload(case)
+        assert webp.read_payloads([media]) == [case] and len(media) <= len(webp.write_gray(case))
+    assert len(webp.write_payload(webp.padded(cases[0]))) < len(webp.write_gray(webp.padded(cases[0]))) / 20
+    symbol, more, extra = webp._prefixed(np.arange(1, 5000))
+    assert [webp._extended(int(s), webp.BitReader(int(e).to_bytes(4, "little"))) for s, e in zip(symbol, extra, strict=True)] == list(range(1, 5000))
+    assert (more[:4] == 0).all() and more.max() == 11
+
+
+def test_long_payloads_take_several_images():
+    rng = np.random.default_rng(3)
+    long = webp.padded(rng.integers(0, 90, 2 * webp.PART + 100, dtype=np.uint8).tobytes())
+    media = webp.write_payload(long)
+    assert [webp.Image(x).width * webp.Image(x).height for x in webp.images_of(media)] == [webp.PART, webp.PART, 128]
+    assert webp.read_payloads([media, None, media[:-5], b"RIFF", b"", media]) == [long, None, None, None, None, long]
 
 
 def test_media_columns(spark):
@@ -76,6 +108,14 @@ def test_media_columns(spark):
         full = raw + b"\0" * (-len(raw) % 64 if raw else 64)
         got = out[r["doc_id"], hashlib.sha256(full).hexdigest()]
         assert (got["n_bytes"], got["payload_bytes"], got["tail_crc32"]) == (len(raw), len(full), zlib.crc32(full[-64:]))
+        media = webp.write_payload(full)
+        assert (got["media_bytes"], got["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        share = [n / len(full) for n in collections.Counter(full).values()]
+        mean, step = sum(full) / len(full), sum(abs(a - b) for a, b in zip(full, full[1:])) / (len(full) - 1)
+        told = dict(x.split("=") for x in got["feature"].split(";"))
+        assert [float(told[k]) for k in ("mean", "bits", "step")] == pytest.approx([mean, -sum(x * math.log2(x) for x in share), step], abs=6e-5)
+    back = webp.read_texts(webp.store_texts(docs.select("doc_id", "text"))).select("n_bytes", "payload").collect()
+    assert sorted(bytes(r["payload"])[: r["n_bytes"]] for r in back) == sorted((r["text"] or "").encode() for r in docs.collect())
     read = webp.read_media(webp.store_texts(docs))
     assert read.count() == 12 and read.where("samples is null").count() == 0
     assert webp.read_media(webp.store_texts(empty(spark))).count() == 0
