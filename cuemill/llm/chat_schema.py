@@ -217,6 +217,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def op3_chat_schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, read back from their formatted output. A record of an unknown layout is an error."""
     rows = common.table(spark, sf_dir, "conversations")
     record = F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"})
     said = r"\### Assistant: </turn> ok"
@@ -225,7 +226,8 @@ def op3_chat_schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_json(F.struct(F.lit(-7).alias("conv_id"), F.lit(said).alias("instruction"), F.lit(said).alias("output"))).alias("record"),
     )
     records = rows.select("conv_id", record.alias("record")).unionByName(extra)
-    turns = canonical_turns(records).where("role is not null").select("conv_id", "turn", "role", "text")
+    known = F.when(F.col("role").isNull(), F.raise_error(F.concat(F.lit("no mapping for a record: "), "layout"))).otherwise(F.col("role"))
+    turns = canonical_turns(records).select("conv_id", "turn", known.alias("role"), "text")
     return read_back(format_turns(turns))
 
 

@@ -128,11 +128,12 @@ def fit_ranking(x: np.ndarray, y: np.ndarray, threshold: float, pairs: int = PAI
 def learn_quality(
     docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, threshold: float = 0.3
 ) -> Ranking:
-    """The ranking learnt from at most per_class documents of each label outside fold 0. Only their features come to
+    """The ranking learnt from at most per_class documents of each label outside fold 0; of the texts of one doc_id, the
+    least counts. Only their features come to
     the driver: 2 * per_class rows of FEATURES numbers at most."""
     chosen = common.labelled_sample(labels, "quality", per_class)
     known = docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    known = known.dropDuplicates(["doc_id"])
+    known = known.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
 
     def start():
         return lambda texts: {"x": [row.tolist() for row in _features_of(texts)]}
@@ -154,6 +155,7 @@ def score_quality(docs: DataFrame, ranking: Ranking, text: str = "text", out: st
 
 
 def op5_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their quality scores; see learn_quality() and score_quality()."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     ranking = learn_quality(docs, common.table(spark, sf_dir, "labels"))
     scored = score_quality(docs, ranking)

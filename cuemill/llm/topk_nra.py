@@ -22,7 +22,7 @@ def nra_top(queries: np.ndarray, qid: np.ndarray, vectors: np.ndarray, vid: np.n
     A list for each dimension holds the vectors by their component; a query reads it from the top where its weight is
     positive, from the bottom where negative. After a depth of all lists a vector's score lies between what is read of
     it plus the worst that each other list can give, and that plus the value each other list stands at. A query stops
-    when no vector outside its best k by lower bound has an upper bound over the k-th lower bound. Depths double.
+    when no vector outside its best k by lower bound has an upper bound over the k-th lower bound. Each depth is four times the one before.
     Vectors that may still qualify then have their scores resolved: their remaining components are summed up."""
     n, d = vectors.shape
     order = np.argsort(vectors, axis=0, kind="stable")
@@ -116,6 +116,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, block: int = BLOCK, q
 
 
 def op7_topk_no_random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best vectors for each query of all embeddings; see whole_components() and top_k()."""
     rows = common.table(spark, sf_dir, "embeddings")
     return top_k(rows.select("vec_id", whole_components().alias("v")))
 

@@ -95,9 +95,13 @@ def learn_toxicity(
     prior: float | None = None,
     positives: int = POSITIVES,
     unlabelled: int = UNLABELLED,
+    terms: int = TERMS,
+    contrast: float = LEAST_CONTRAST,
 ) -> ToxicityModel:
     """Learn from at most `positives` documents labelled toxic and `unlabelled` documents of any kind, all outside
-    fold 0. prior: the share of toxic documents; None takes the share among the labels outside that fold. Labels of
+    fold 0; of the texts of one doc_id, the least counts. The model sees the `terms` terms whose share among positives is most
+    above that among unlabelled texts, by `contrast` standard errors or more: of rarer or less telling terms it knows
+    nothing, so that texts without any of them score by the bias alone. prior: the share of toxic documents; None takes the share among the labels outside that fold. Labels of
     0 are used for nothing else."""
     ours = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (common.fold("doc_id") != 0))
     if prior is None:
@@ -108,16 +112,16 @@ def learn_toxicity(
     chosen = toxic.withColumn("p", F.lit(1)).unionByName(some.withColumn("p", F.lit(0)))
     marks = chosen.groupBy("doc_id").agg(F.max("p").alias("p"), F.min("p").alias("u"))
     known = docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(marks), "doc_id")
-    known = known.dropDuplicates(["doc_id"])
+    known = known.groupBy("doc_id").agg(F.first("p").alias("p"), F.first("u").alias("u"), F.min("text").alias("text"))
 
     def start():
         return lambda texts: {"terms": ["\x00".join(sorted(terms_of(t))) for t in texts]}
 
     rows = common.cut(common.add_by_text(known.select("doc_id", "p", "u", "text"), start, "text", "terms string"))
-    top = contrasting_terms(rows)
+    top = contrasting_terms(rows, terms, contrast)
     chosen = [r["term"] for r in top]
-    terms = F.array(*[F.lit(t) for t in chosen]) if chosen else F.array().cast("array<string>")
-    has = F.transform(F.array_intersect(F.split("terms", "\x00"), terms), lambda t: F.array_position(terms, t) - 1)
+    listed = F.array(*[F.lit(t) for t in chosen]) if chosen else F.array().cast("array<string>")
+    has = F.transform(F.array_intersect(F.split("terms", "\x00"), listed), lambda t: F.array_position(listed, t) - 1)
     got = rows.select("doc_id", "p", "u", has.alias("places")).orderBy("doc_id").collect()
     return fit_toxicity(
         chosen,
@@ -128,9 +132,9 @@ def learn_toxicity(
     )
 
 
-def contrasting_terms(rows: DataFrame) -> list:
-    """At most TERMS rows (term, share): the terms whose share among the positives of rows(p, u, terms) is most above
-    that among the unlabelled, in standard errors."""
+def contrasting_terms(rows: DataFrame, most: int = TERMS, least: float = LEAST_CONTRAST) -> list:
+    """At most `most` rows (term, share): the terms whose share among the positives of rows(p, u, terms) is most above
+    that among the unlabelled, by `least` standard errors or more."""
     sizes = rows.agg(F.sum("p").alias("np"), F.sum(1 - F.col("u")).alias("nu")).first()
     n_p, n_u = sizes["np"] or 0, sizes["nu"] or 0
     if not n_p or not n_u:
@@ -141,7 +145,7 @@ def contrasting_terms(rows: DataFrame) -> list:
     error = F.sqrt((share * (1 - share) + 1e-6) * (1 / n_p + 1 / n_u))
     counts = counts.where(F.col("a") + F.col("b") >= LEAST_DOCS).withColumn("share", F.least(share, F.lit(1.0)))
     ranked = counts.withColumn("contrast", (F.col("a") / n_p - F.col("b") / n_u) / error)
-    ranked = ranked.where(F.col("contrast") >= LEAST_CONTRAST).orderBy(F.desc("contrast"), "term").limit(TERMS)
+    ranked = ranked.where(F.col("contrast") >= least).orderBy(F.desc("contrast"), "term").limit(most)
     return ranked.select("term", "share").collect()
 
 
@@ -156,6 +160,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ou
 
 
 def op1_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their toxicity scores; see learn_toxicity() and score_toxicity()."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     model = learn_toxicity(docs, common.table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model).select(
