@@ -168,3 +168,34 @@ def test_pipeline_against_brute_force(spark):
         per[r["doc_id"]] += r["length"]
     assert all(n % size[i] == 0 and n // size[i] <= 2 for i, n in per.items())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_duplicates", "mixing", "packing"]
+
+
+def odd_folder(spark, path, rows):
+    """A folder whose documents have odd rows and columns, and the labels of the smallest tables."""
+    docs = documents(spark, rows)
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(f"{path}/labels.parquet")
+    return docs
+
+
+def test_pipeline_with_odd_rows_and_columns(spark, tmp_path):
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source").collect()
+    rows = [tuple(r) for r in real]
+    rows += [rows[3], rows[3], (None, rows[5][1], "en", None), (None, None, None, None), (900_001, "", "en", "a"), (900_002, None, None, None), (900_003, rows[7][1] + " " + rows[7][1], "en", "zz")]
+    docs = odd_folder(spark, tmp_path, rows)
+    kept, name_of = docs, [r["text"] for r in docs.collect()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, kept, str(tmp_path))
+        assert after.columns == docs.columns, name
+        after = spark.createDataFrame(after.collect(), docs.schema)
+        assert {(r["doc_id"], r["text"]) for r in after.collect()} <= {(r["doc_id"], r["text"]) for r in kept.collect()}
+        kept = after
+    assert len(name_of) == len(rows)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert out and {r["doc_id"] for r in out} <= {r[0] for r in rows}
+    assert sorted({r["sequence_id"] for r in out}) == list(range(len({r["sequence_id"] for r in out})))
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    odd_folder(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
