@@ -1,4 +1,7 @@
-"""From raw documents to packed training sequences: five stages, each over all that the one before kept."""
+"""From raw documents to packed training sequences: five stages, each over all that the one before kept.
+
+Rows without a doc_id or text, repeated rows and further columns go through all stages. Each stage says what it does with
+them; columns of any name are kept but for the last stage, and an empty table gives an empty one."""
 
 from __future__ import annotations
 
@@ -13,7 +16,8 @@ def _as_documents(scored: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality ranking keeps; columns as before."""
+    """Documents that the quality ranking keeps; columns as before. Null and empty texts are scored as texts without words, and
+    rows that are alike score alike."""
     ranking = quality_rank.learn_quality(docs, common.table(spark, sf_dir, "labels"))
     score = common.hidden_name(docs, "quality")
     kept = quality_rank.score_quality(docs, ranking, out=score).where(F.col(score) >= ranking.threshold)
@@ -21,24 +25,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier does not take for toxic; columns as before."""
+    """Documents that the toxicity classifier does not take for toxic; columns as before. Null and empty texts hold no evidence
+    of toxicity and stay; rows that are alike score alike."""
     model = toxicity_pu.learn_toxicity(docs, common.table(spark, sf_dir, "labels"))
     score = common.hidden_name(docs, "toxicity")
     return _as_documents(toxicity_pu.score_toxicity(docs, model, out=score).where(F.col(score) < 0.5), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each SimHash component; columns as before."""
+    """The document of the smallest doc_id of each SimHash component; columns as before. Empty texts and nulls are one group; rows
+    without a doc_id stay, and so do all rows that repeat the id that stays."""
     return simhash_dedup.drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is drawn, by output shard; columns as before."""
+    """The mix: each document as often as it is drawn, by output shard; columns as before. Null texts have size 0, null sources are
+    a source; rows that are alike are drawn alike."""
     return mixing_tree.mix_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the mix's documents and their places in the packed sequences."""
+    """The pieces of the mix's documents and their places in the packed sequences. Null and empty texts are one id; each row of
+    the mix is packed, repeated ones too."""
     return packing_hist.pack_documents(docs)
 
 
