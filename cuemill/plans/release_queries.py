@@ -90,11 +90,11 @@ query("a18_cue_band", "SELECT frame_no % 200 AS cue, min(CASE WHEN frame_no % 20
 query("a19_margin_plan", "SELECT frame_no, CASE WHEN blue = 0 THEN 96 WHEN blue * 40 * 2 >= 480 THEN 480 - blue * 40 + 24 END AS margin FROM frames")(lambda v: v.frames.select("frame_no", V.margin_plan(F.when(c("blue") > 0, c("blue") * 40), F.lit(480)).alias("margin")))
 TOP2 = "t2 AS (SELECT video_id, frame_no, min(2 * x + w) AS left_x, max(2 * x + w) AS right_x, CAST(sum(w * h) AS BIGINT) AS area FROM (SELECT *, row_number() OVER (PARTITION BY video_id, frame_no ORDER BY w * h DESC, x, y, w) AS r FROM faces) WHERE r <= 2 GROUP BY video_id, frame_no HAVING count(*) = 2)"
 query("t20_top2_faces", "SELECT * FROM t2", ctes=TOP2)(lambda v: V.top2_faces(v.faces))
-query("a20_split_screen", "SELECT v.video_id, coalesce(paired, 0) AS paired, CASE WHEN coalesce(paired, 0) < 4 OR jl >= 2560 OR jr >= 2560 THEN 'not_split' WHEN ls >= 1.3 * rs THEN 'left' WHEN rs >= 1.3 * ls THEN 'right' ELSE 'indeterminate' END AS verdict FROM (SELECT DISTINCT video_id FROM faces) v LEFT JOIN stt USING (video_id) LEFT JOIN sd USING (video_id)",
+query("a20_split_screen", "SELECT v.video_id, coalesce(paired, 0) AS paired, CASE WHEN coalesce(paired, 0) < 4 OR jl >= 1100.8 OR jr >= 1100.8 THEN 'not_split' WHEN ls >= 1.3 * rs THEN 'left' WHEN rs >= 1.3 * ls THEN 'right' ELSE 'indeterminate' END AS verdict FROM (SELECT DISTINCT video_id FROM faces) v LEFT JOIN stt USING (video_id) LEFT JOIN sd USING (video_id)",
       ctes=TOP2 + ", pr AS (SELECT * FROM t2 WHERE right_x - left_x >= 1024), stt AS (SELECT video_id, count(*) AS paired, max(left_x) - min(left_x) AS jl, max(right_x) - min(right_x) AS jr, quantile_cont(left_x, 0.5) AS ml, quantile_cont(right_x, 0.5) AS mr FROM pr GROUP BY video_id), "
       "fx AS (SELECT f.video_id, frame_no, 2 * x + w AS cx, w * h AS area, ml, mr FROM faces f JOIN stt USING (video_id)), nr AS (SELECT *, abs(cx - ml) <= abs(cx - mr) AS l FROM fx WHERE least(abs(cx - ml), abs(cx - mr)) <= 512), "
       "sd AS (SELECT video_id, coalesce(sum(CASE WHEN l THEN area END), 0) * count(DISTINCT CASE WHEN l THEN frame_no END) AS ls, coalesce(sum(CASE WHEN NOT l THEN area END), 0) * count(DISTINCT CASE WHEN NOT l THEN frame_no END) AS rs FROM nr GROUP BY video_id)")(
-    lambda v: V.split_screen(v.faces, jitter=1.0))
+    lambda v: V.split_screen(v.faces, jitter=0.43))
 query("a21_crop_margin", "SELECT video_id, m - m % 2 AS margin FROM (SELECT video_id, least(min(least(blue * 10, cover_score * 9)), min(gray + 3), 120) AS m FROM frames GROUP BY video_id)")(
     lambda v: V.crop_margin(v.frames.select("video_id", (c("blue") * 10).alias("top"), (c("cover_score") * 9).alias("bottom"), (c("gray") + 3).alias("face_room")), 480))
 query("a22_vote_frames", "SELECT video_id, count(*) >= 2 AND count(*) FILTER (WHERE blue = 1) >= 2 AS found FROM frames GROUP BY video_id")(lambda v: V.vote_frames(v.frames.select("video_id", (c("blue") == 1).alias("hit"))))
