@@ -102,3 +102,41 @@ def test_overlaps_and_nearest_boundaries(spark):
     near = lambda v, t: min(bounds[v] | {total[v]}, key=lambda b: (abs(b - t), b))
     want = {(v, i): (a := near(v, s), b if (b := near(v, e)) > a else min(total[v], a + 30)) for v, i, s, e in rows}
     assert {(r["video_id"], r["para_id"]): (r["start_ms"], r["end_ms"]) for r in W.snap_to_nearest(clips, cues, 30).collect()} == want
+
+
+def plain_episodes(clips, episodes, segments, min_clip, min_total):
+    """{para_id: group} of one video's clips (rank, para_id, start, end), or the reason that there are none."""
+    good = sorted(c for c in clips if c[3] - c[2] >= min_clip)
+    groups = []
+    for g in range(episodes):
+        own, taken = [], [x for part in groups for x in part]
+        for c in good:
+            apart = all(c[3] <= x[2] or c[2] >= x[3] for x in taken + own)
+            if len(own) < segments and c not in taken and (g == 0 or apart):
+                own.append(c)
+        groups.append(own)
+    for g, own in enumerate(groups, 1):
+        if len(own) < segments:
+            return f"insufficient_quotes:{g}"
+        if sum(e - s for _, _, s, e in own) < min_total:
+            return f"insufficient_duration:{g}"
+    return {c[1]: g for g, own in enumerate(groups, 1) for c in own}
+
+
+def test_episodes_of_random_clips(spark):
+    rng = random.Random(8)
+    videos = {v: [(rng.randrange(9), i, s := rng.randrange(400), s + rng.randrange(5, 60)) for i in range(rng.randrange(0, 25))] for v in range(60)}
+    rows = [(v, i, r, s, e) for v, own in videos.items() for r, i, s, e in own]
+    clips = spark.createDataFrame(rows, "video_id int, para_id int, rank int, start_ms bigint, end_ms bigint")
+    kinds = set()
+    for episodes, segments in ((1, 3), (3, 3), (2, 1)):
+        got = {}
+        for r in W.pack_episodes(clips, episodes, segments, 15, 90).collect():
+            if r["reason"]:
+                got[r["video_id"]] = r["reason"]
+            else:
+                got.setdefault(r["video_id"], {})[r["para_id"]] = r["episode"]
+        want = {v: plain_episodes(own, episodes, segments, 15, 90) for v, own in videos.items() if any(e - s >= 15 for *_, s, e in own)}
+        assert got == want
+        kinds |= {x[:15] if isinstance(x, str) else "episodes" for x in want.values()}
+    assert len(kinds) == 3
