@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -14,36 +13,47 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .packing_hist import TOKENIZER, WordEncoder
+from .packing_hist import TOKENIZER, WordEncoder, words_of
 
 #: Targets of a window; a window sees as many ids before them. Width of the model. Classes of ids.
 STEP, WIDTH, CLASSES = 16, 16, 64
 #: Ids with rows of their own in the model; the rest share one. One id more stands for the start.
 IDS = 2048
-#: All training documents train the attention weights: copies trained side by side on shards of them, this many if each
-#: gets some 2 ** 16 ids and more where one would get over TRAINER_IDS, and rounds over all after each of which the
-#: copies are averaged.
-TRAINERS, TRAINER_IDS, ROUNDS = 8, 1 << 22, 2
+#: All training documents train the attention weights, in so many rounds, after each of which copies that were trained side
+#: by side are averaged, in so many parts.
+ROUNDS, SUMS = 2, 8
+#: Ids that a copy is trained on, at least.
+LEAST_IDS = 1 << 16
 #: Frequent words whose counts every task holds, and one in how many training documents they are looked for in, which
 #: bears on speed alone. All others go by shuffles, however many there are.
 FREQUENT, FREQUENT_RATE = 32768, 64
 #: Parts that words are dealt into, at least.
 PARTS = 192
 VOCABULARY = 49408
+#: Windows that are worked out at once.
+AT_ONCE = 192
 
 
 # ---- the model
 
 
+#: Columns of the table of rows: queries, keys, values and a column of ones beside them, and what passes by attention.
+COLUMNS = {"q": slice(0, WIDTH), "k": slice(WIDTH, 2 * WIDTH), "v1": slice(2 * WIDTH, 3 * WIDTH + 1), "e": slice(3 * WIDTH + 1, 4 * WIDTH + 1)}
+
+
 @dataclass
 class AttentionModel:
-    """One head. place: row of each id; kind: class of each id; inside: log10 share of each id in its class."""
+    """One head. place: row of each id; kind: class of each id; inside: log10 share of each id in its class. p["q"], "k",
+    "v1" and "e" become views of one table, so that an input's row is fetched once."""
 
     place: np.ndarray
     kind: np.ndarray
     inside: np.ndarray
     p: dict[str, np.ndarray]
 
+    def __post_init__(self) -> None:
+        self.table, self.p = _one_table(self.p)
+
     def windows(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of the inputs, (n + 1, STEP), and the targets and owners of windows, (n, STEP), owner -1 for none.
 
@@ -68,17 +78,20 @@ class AttentionModel:
         """Class logits of all windows but the first block's: inputs (n + 1, STEP) give (n, STEP, CLASSES)."""
         p = self.p
         n = len(inputs) - 1
-        keys, values = p["k"][inputs].reshape(-1, WIDTH), p["v1"][inputs].reshape(-1, WIDTH + 1)
+        rows = self.table[inputs.ravel()]
+        keys, values = rows[:, COLUMNS["k"]], rows[:, COLUMNS["v1"]]
         kw = np.lib.stride_tricks.sliding_window_view(keys, (2 * STEP, WIDTH))[::STEP, 0]
         vw = np.lib.stride_tricks.sliding_window_view(values, (2 * STEP, WIDTH + 1))[::STEP, 0]
-        q = p["q"][inputs[1:]]
-        w = np.exp(np.clip(np.matmul(q, kw.transpose(0, 2, 1)), -20, 20))
+        q = rows[STEP:, COLUMNS["q"]].reshape(n, STEP, WIDTH)
+        w = np.matmul(q, kw.transpose(0, 2, 1))
+        np.exp(np.clip(w, -20, 20, out=w), out=w)
         w *= causal_weights(p["near"])
         summed = np.matmul(w, vw)
         z = summed[..., WIDTH:]
         mixed = summed[..., :WIDTH] / z
-        h = mixed + p["e"][inputs[1:]]
-        logits = h.reshape(n * STEP, WIDTH) @ p["c"] + p["b"]
+        h = mixed + rows[STEP:, COLUMNS["e"]].reshape(n, STEP, WIDTH)
+        logits = h.reshape(n * STEP, WIDTH) @ p["c"]
+        logits += p["b"]
         return (logits, h, mixed, w, z, q, kw, vw) if keep else logits
 
     def log10_of(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -92,8 +105,8 @@ class AttentionModel:
                 size += len(texts[stop])
                 stop += 1
             inputs, target, own = self.windows(texts[start:stop])
-            for at in range(0, len(inputs) - 1, 1 << 10):  # what fits the cache; windows overlap, so cuts are free
-                part = inputs[at : at + (1 << 10) + 1]
+            for at in range(0, len(inputs) - 1, AT_ONCE):  # what fits the cache; windows overlap, so cuts are free
+                part = inputs[at : at + AT_ONCE + 1]
                 if len(part) < 2:
                     break
                 logits = self.forward(part)
@@ -110,6 +123,12 @@ class AttentionModel:
         return out
 
 
+def _one_table(p: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The arrays of COLUMNS side by side, and p with views of that table in their place."""
+    table = np.concatenate([p[k] for k in COLUMNS], axis=1, dtype=np.float32)
+    return table, {k: table[:, COLUMNS[k]] if k in COLUMNS else v for k, v in p.items()}
+
+
 def causal_weights(near: np.ndarray) -> np.ndarray:
     """(STEP, 2 * STEP): exp of the bias of each distance back, zero for keys after the query."""
     i, j = np.arange(STEP)[:, None] + STEP, np.arange(2 * STEP)
@@ -153,12 +172,12 @@ def new_model(counts: np.ndarray, pairs: np.ndarray, seed: int = 5) -> Attention
 
 
 class Trainer:
-    """Adam steps on batches of windows."""
+    """Adam steps on batches of windows. Rows of inputs that a batch does not have, and their moments, stay as they are."""
 
     def __init__(self, model: AttentionModel, rate: float = 0.015) -> None:
         self.model, self.rate, self.step, self.seen = model, rate, 0, 0
-        self.m = {k: np.zeros_like(v) for k, v in model.p.items()}
-        self.v = {k: np.zeros_like(v) for k, v in model.p.items()}
+        self.m_table, self.m = _one_table({k: np.zeros_like(v) for k, v in model.p.items()})
+        self.v_table, self.v = _one_table({k: np.zeros_like(v) for k, v in model.p.items()})
 
     def learn(self, texts: list[np.ndarray], batch: int = 192) -> None:
         inputs, target, own = self.model.windows(texts)
@@ -172,104 +191,124 @@ class Trainer:
         if not n:
             return
         p = self.model.p
-        logits, h, mixed, w, z, q, kw, vw = self.model.forward(inputs, keep=True)
-        logits -= logits.max(axis=1, keepdims=True)
-        d = np.exp(logits)
-        d /= d.sum(axis=1, keepdims=True)
-        d[np.nonzero(valid)[0], self.model.kind[target[valid]]] -= 1
-        d[~valid] = 0
-        d /= n
-        flat = h.reshape(-1, WIDTH)
-        g = {"c": flat.T @ d, "b": d.sum(axis=0)}
+        d, h, mixed, w, z, q, kw, vw = self.model.forward(inputs, keep=True)
+        d -= d.max(axis=1, keepdims=True)
+        np.exp(d, out=d)
+        d *= (valid / (n * d.sum(axis=1)))[:, None].astype(np.float32)
+        d[np.nonzero(valid)[0], self.model.kind[target[valid]]] -= np.float32(1 / n)
+        grad = {"c": h.reshape(-1, WIDTH).T @ d, "b": d.sum(axis=0)}
         dh = (d @ p["c"].T).reshape(h.shape)
-        a = w / z
-        da = np.matmul(dh, vw[..., :WIDTH].transpose(0, 2, 1))
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        dv, dq, dk = np.matmul(a.transpose(0, 2, 1), dh), np.matmul(ds, kw), np.matmul(ds.transpose(0, 2, 1), q)
+        w /= z  # the shares that attention gives
+        ds = np.matmul(dh, vw[..., :WIDTH].transpose(0, 2, 1))
+        ds -= (dh * mixed).sum(axis=2, keepdims=True)
+        ds *= w
         i, j = np.arange(STEP)[:, None] + STEP, np.arange(2 * STEP)
         back = np.clip(i - j, 0, 2 * STEP - 1)
-        g["near"] = np.bincount(back.ravel(), ds.sum(axis=0).ravel(), 2 * STEP).astype(np.float32)
-        ids, context = inputs[1:].ravel(), np.concatenate([inputs[:-1], inputs[1:]], axis=1).ravel()
-        for name, rows, grad in (("e", ids, dh), ("q", ids, dq), ("k", context, dk), ("v1", context, dv)):
-            flat = (rows[:, None] * WIDTH + np.arange(WIDTH)).ravel()
-            out = np.bincount(flat, grad.ravel(), (IDS + 2) * WIDTH).astype(np.float32).reshape(-1, WIDTH)
-            g[name] = out if name != "v1" else np.hstack([out, np.zeros((IDS + 2, 1), np.float32)])
+        grad["near"] = np.bincount(back.ravel(), ds.sum(axis=0).ravel(), 2 * STEP).astype(np.float32)
+        # By position: an input is a key and a value of its own window and the next, and a query of its own.
+        of = np.zeros((*inputs.shape, self.model.table.shape[1]), np.float32)
+        for name, by in (("k", np.matmul(ds.transpose(0, 2, 1), q)), ("v1", np.matmul(w.transpose(0, 2, 1), dh))):
+            part = of[..., COLUMNS[name]][..., :WIDTH]
+            part[1:] = by[:, STEP:]
+            part[:-1] += by[:, :STEP]
+        of[1:, :, COLUMNS["q"]] = np.matmul(ds, kw)
+        of[1:, :, COLUMNS["e"]] = dh
+        flat = inputs.ravel().astype(np.int16)
+        order = np.argsort(flat, kind="stable")
+        edges = np.concatenate([[0], np.nonzero(np.diff(flat[order]))[0] + 1])
+        rows = flat[order[edges]]
+        summed = np.add.reduceat(of.reshape(len(flat), -1)[order], edges, axis=0)
         self.step += 1
         self.seen += n
-        t = self.step
-        for name, grad in g.items():
-            self.m[name] += 0.1 * (grad - self.m[name])
-            self.v[name] += 0.01 * (grad * grad - self.v[name])
-            p[name] -= self.rate * (self.m[name] / (1 - 0.9**t)) / (np.sqrt(self.v[name] / (1 - 0.99**t)) + 1e-7)
+        for name, g in grad.items():
+            self._adam(p[name], self.m[name], self.v[name], slice(None), g)
+        self._adam(self.model.table, self.m_table, self.v_table, rows, summed)
+
+    def _adam(self, weights: np.ndarray, m: np.ndarray, v: np.ndarray, rows, grad: np.ndarray) -> None:
+        mean, square = m[rows] + 0.1 * (grad - m[rows]), v[rows] + 0.01 * (grad * grad - v[rows])
+        m[rows], v[rows] = mean, square
+        weights[rows] -= self.rate / (1 - 0.9**self.step) * mean / (np.sqrt(square / (1 - 0.99**self.step)) + 1e-7)
 
 
 def _ids(encoder: WordEncoder, texts: list) -> list[np.ndarray]:
     return [np.frombuffer(raw, "<u4").astype(np.int64) for raw in encoder.encode_all(texts)]
 
 
-def encode(rows: DataFrame, frequent: list[bytes], tokenizer: str = TOKENIZER) -> DataFrame:
-    """Checkpointed rows(doc_id, key, train, n_tokens, words, ids) of rows(doc_id, text, key, train): each text is
-    tokenized once for all passes. words: numbers of its frequent words; both are little-endian 16-bit numbers."""
-    shared = rows.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(frequent)})
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """words_of() of lower-cased texts, null ones empty, but without the empty words at their ends: (owner of each word, number
+    of each, distinct words)."""
+    import pyarrow.compute as pc
 
-    def start():
-        place, encoder = shared.value.get, WordEncoder(tokenizer)
+    edges, numbers, words = words_of(pc.ascii_lower(pc.fill_null(texts, "")))
+    owner = np.repeat(np.arange(len(texts)), np.diff(edges))
+    real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)[numbers]
+    return owner[real], numbers[real], words
 
-        def work(texts: list) -> dict:
-            size, some = [], []
-            for t in texts:
-                words = (t or "").encode().lower().split()
-                at = np.fromiter(map(place, words, repeat(-1)), np.int64, len(words))
-                size.append(len(words) + 1)
-                some.append(at[at >= 0].astype("<u2").tobytes())
-            return {"n_tokens": size, "words": some, "ids": [x.astype("<u2").tobytes() for x in _ids(encoder, texts)]}
 
-        return work
+def encode(rows: DataFrame, frequent: list[bytes], logs: np.ndarray, known: np.ndarray, tokenizer: str = TOKENIZER) -> DataFrame:
+    """Checkpointed rows(doc_id, key, train, n_tokens, some, part, ids) of rows(doc_id, text, key, train): each text is
+    tokenized once for all passes. some and part sum `known` and `logs` over its frequent words; ids are little-endian 16-bit
+    numbers."""
+    shared = rows.sparkSession.sparkContext.broadcast((frequent, logs, known))
+    schema = T.StructType([*rows.select("doc_id", "key", "train").schema, *T.StructType.fromDDL("n_tokens bigint, some bigint, part double, ids binary")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        encoder = WordEncoder.of_worker(tokenizer)
+        listed, log, seen = shared.value
+        listed = pa.array(listed, pa.binary()).cast(pa.string())
+        log, seen = np.append(log, 0.0), np.append(seen, 0)
+        for batch in (part for whole in batches for part in common.slices(whole, 3)):
+            texts, n = batch.column(3), batch.num_rows
+            owner, numbers, words = _words(texts)
+            place = pc.fill_null(pc.index_in(words, listed), len(listed)).to_numpy()[numbers]
+            ids = [part for run in encoder.encode_runs(texts) for part in _cut(*run)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns[:3], pa.array(1 + np.bincount(owner, minlength=n).astype(np.int64)), pa.array(np.bincount(owner, seen[place], n).astype(np.int64)),
+                    pa.array(np.bincount(owner, log[place], n).astype(np.float64)), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary()),
+                ],
+                names=[f.name for f in schema],
+            )
+
+    return common.cut(rows.select("doc_id", "key", "train", "text").mapInArrow(common.lean(run), schema))
 
-    texts = rows.select("doc_id", "key", "train", F.col("text").alias("ids"))
-    return common.cut(common.add_by_text(texts, start, "ids", "n_tokens bigint, words binary, ids binary", 4 << 20))
+
+def _cut(values: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
+    return [values[lo:hi] for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
 def _numbers(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(raw, "<u2").astype(np.int64) for raw in column.to_pylist()]
 
 
-def train_attention(encoded: DataFrame, trainers: int = TRAINERS, rounds: int = ROUNDS) -> AttentionModel:
-    """Model trained on all of encoded(key, ids): counts of ids and of pairs; then, in each round, every shard trains a
-    copy over its texts and the copies are averaged by ids seen, in tasks: the driver gets one sum of fixed size. The
-    number of shards grows with the ids. Without texts the model is untrained, which is a model all the same."""
+def train_attention(encoded: DataFrame, rounds: int = ROUNDS) -> AttentionModel:
+    """Model trained on all of encoded(train, ids) that train: counts of ids and of pairs; then, in each round, every partition
+    trains a copy over its texts and the copies are averaged by ids seen, in tasks: the driver gets one sum of fixed size.
+    Copies grow in number with the partitions, of LEAST_IDS each or more. Without texts the model is untrained, which is a model all the same."""
+    encoded = encoded.where("train").select("ids")
     tables = _id_tables(encoded)
     model = new_model(*tables)
+    encoded = encoded.coalesce(max(1, int(tables[0].sum()) // LEAST_IDS))  # partitions side by side, if they are small
     shape = {k: v.shape for k, v in model.p.items()}
     spark = encoded.sparkSession
-    total = int(tables[0].sum())
-    trainers = max(1, min(trainers, total >> 16), -(-total // TRAINER_IDS))
-    dealt = encoded.select(F.pmod(F.xxhash64(F.lit(29), "key"), F.lit(trainers)).alias("shard"), "key", "ids")
-    dealt = dealt.repartition(trainers, "shard").sortWithinPartitions("shard", "key").select("shard", "ids")
     chunk = 4096
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((model.place, model.kind, model.inside, model.p))
 
-        def sent(trainer: Trainer | None) -> Iterator[pa.RecordBatch]:
-            if trainer is not None and trainer.seen:
-                flat = np.concatenate([trainer.model.p[k].ravel() for k in shape]).astype(np.float64) * trainer.seen
-                cut = [flat[at : at + chunk].tobytes() for at in range(0, len(flat), chunk)]
-                yield pa.RecordBatch.from_pydict({"chunk": list(range(len(cut))), "seen": [trainer.seen] * len(cut), "weights": cut})
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import copy
 
-            trainer, own = None, -1
-            for batch in (part for whole in batches for part in common.slices(whole, 1)):
-                shards, texts = batch.column(0).to_numpy(), _numbers(batch.column(1))
-                edges = [0, *(np.nonzero(np.diff(shards))[0] + 1).tolist(), len(texts)]
-                for lo, hi in zip(edges, edges[1:], strict=False):
-                    if shards[lo] != own:
-                        yield from sent(trainer)
-                        trainer, own = Trainer(AttentionModel(*copy.deepcopy(shared.value))), shards[lo]
-                    for at in range(lo, hi, 256):
-                        trainer.learn(texts[at : min(at + 256, hi)])
-            yield from sent(trainer)
+            trainer = Trainer(AttentionModel(*copy.deepcopy(shared.value)))
+            for batch in (part for whole in batches for part in common.slices(whole, 0)):
+                texts = _numbers(batch.column(0))
+                for at in range(0, len(texts), 256):
+                    trainer.learn(texts[at : at + 256])
+            if trainer.seen:
+                flat = np.concatenate([trainer.model.p[k].ravel() for k in shape]).astype(np.float64) * trainer.seen
+                cut = [flat[at : at + chunk].tobytes() for at in range(0, len(flat), chunk)]
+                yield pa.RecordBatch.from_pydict({"chunk": list(range(len(cut))), "seen": [trainer.seen] * len(cut), "weights": cut})
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: dict[int, int] = {}
@@ -282,17 +321,18 @@ def train_attention(encoded: DataFrame, trainers: int = TRAINERS, rounds: int =
                 yield pa.RecordBatch.from_pydict({"chunk": [c], "seen": [seen[c]], "weights": [total[c].tobytes()]})
 
         what = "chunk bigint, seen bigint, weights binary"
-        got = dealt.mapInArrow(common.lean(run), what).repartition(TRAINERS, "chunk").mapInArrow(add, what)
+        got = encoded.mapInArrow(common.lean(run), what).repartition(SUMS, "chunk").mapInArrow(add, what)
         parts = sorted((r["chunk"], r["seen"], bytes(r["weights"])) for r in got.collect())
         shared.unpersist()
         if not parts:
             break
         mean = np.concatenate([np.frombuffer(w, np.float64) / n for _, n, w in parts])
-        at = 0
+        at, p = 0, {}
         for k, s in shape.items():
             size = int(np.prod(s))
-            model.p[k] = mean[at : at + size].reshape(s).astype(np.float32)
+            p[k] = mean[at : at + size].reshape(s).astype(np.float32)
             at += size
+        model = AttentionModel(model.place, model.kind, model.inside, p)
     return model
 
 
@@ -355,43 +395,55 @@ def _keyed(docs: DataFrame, held: int) -> DataFrame:
     )
 
 
+def _distinct(w: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Numbers from 0 of the pairs (w, m), equal for equal pairs."""
+    order = np.argsort(w)
+    a, b = w[order], m[order]
+    new = a[1:] != a[:-1]
+    if ((b[1:] != b[:-1]) & ~new).any():  # words whose first 64 bits are alike
+        order = np.lexsort((m, w))
+        a, b = w[order], m[order]
+        new = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    which = np.empty(len(w), np.int64)
+    which[order] = np.concatenate([[0], np.cumsum(new)]) if len(w) else 0
+    return which
+
+
 def word_statistics(docs: DataFrame, frequent: list[bytes], parts: int = PARTS) -> DataFrame:
     """Checkpointed rows (kind, key, value, known) over all of docs(key, text, train), known words being those of
     training documents. kind 0: for document `key`, sum of log10(c + 0.5) and number of known among its words that are
     not frequent, from one part; kind 1: count in training texts of frequent word number `key`; kind 2: words of
     training texts that are not frequent, and distinct ones; kind 3: rows of document `key`.
 
-    A word that is not frequent goes, as its 64-bit hash with its document's key, to the part that the hash falls in:
+    A word that is not frequent goes, as 96 bits of its hash with its document's key, to the part that the hash falls in:
     one array a part and batch. A part counts its words and sums up by document at once. Counts of frequent words are
     summed before they leave a task."""
     spark = docs.sparkSession
     parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shared = spark.sparkContext.broadcast({w: i for i, w in enumerate(frequent)})
+    shared = spark.sparkContext.broadcast(frequent)
     n_frequent, chunk = len(frequent), 1024
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
         import xxhash
 
-        place, digest = shared.value.get, xxhash.xxh64_intdigest
+        listed = pa.array(shared.value, pa.binary()).cast(pa.string())
         counts = np.zeros(n_frequent, np.int64)
-        for batch in (part for whole in batches for part in common.slices(whole, 1, 16 << 20)):
+        for batch in (part for whole in batches for part in common.slices(whole, 1)):
             keys, train = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-            hashes, owners = [], []
-            for k, t in enumerate(batch.column(1).to_pylist()):
-                words = (t or "").encode().lower().split()
-                if not words:
-                    continue
-                at = np.fromiter(map(place, words, repeat(-1)), np.int64, len(words))
-                rare = np.nonzero(at < 0)[0]
-                if train[k]:
-                    counts += np.bincount(at[at >= 0], minlength=n_frequent) if len(rare) < len(at) else 0
-                hashes += [digest(words[i]) for i in rare.tolist()]
-                owners.append(np.full(len(rare), k))
-            h = np.array(hashes, np.uint64)
-            o = np.concatenate(owners).astype(np.int64) if owners else np.zeros(0, np.int64)
-            part = (h % np.uint64(parts)).astype(np.int64)
+            o, numbers, words = _words(batch.column(1))
+            place = pc.fill_null(pc.index_in(words, listed), -1).to_numpy()
+            at = place[numbers]
+            counts += np.bincount(at[(at >= 0) & train[o]], minlength=n_frequent)
+            rare = np.nonzero(place < 0)[0]
+            digests = b"".join(map(xxhash.xxh3_128_digest, words.take(pa.array(rare)).cast(pa.binary()).to_pylist()))
+            both = np.zeros((len(words), 2), np.uint64)
+            both[rare] = np.frombuffer(digests, "<u8").reshape(-1, 2)
+            o, numbers = o[at < 0], numbers[at < 0]
+            h, more = both[numbers, 0], both[numbers, 1].astype(np.uint32)
+            part = (h % np.uint64(parts)).astype(np.int16 if parts < 1 << 15 else np.int64)
             order = np.argsort(part, kind="stable")
-            h, o, part = h[order], o[order], part[order]
+            h, more, o, part = h[order], more[order], o[order], part[order]
             edge = np.searchsorted(part, np.arange(parts + 1))
             some = np.nonzero(np.diff(edge))[0]
             cut = [slice(edge[b], edge[b + 1]) for b in some]
@@ -399,7 +451,7 @@ def word_statistics(docs: DataFrame, frequent: list[bytes], parts: int = PARTS)
                 {
                     "part": pa.array(some, pa.int32()),
                     "what": pa.array(np.zeros(len(some)), pa.int32()),
-                    "a": pa.array([h[c].tobytes() for c in cut], pa.binary()),
+                    "a": pa.array([h[c].tobytes() + more[c].tobytes() for c in cut], pa.binary()),
                     "b": pa.array([keys[o[c]].tobytes() for c in cut], pa.binary()),
                     "c": pa.array([train[o[c]].astype(np.uint8).tobytes() for c in cut], pa.binary()),
                 }
@@ -416,13 +468,15 @@ def word_statistics(docs: DataFrame, frequent: list[bytes], parts: int = PARTS)
                 )
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, keys, train = [], [], []
+        words, more, keys, train = [], [], [], []
         counts: dict[int, np.ndarray] = {}
         rows: list[np.ndarray] = []
         for batch in batches:
             for _, what, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if what == 0:
-                    words.append(np.frombuffer(a, np.uint64))
+                    n = len(a) // 12
+                    words.append(np.frombuffer(a, np.uint64, n))
+                    more.append(np.frombuffer(a, np.uint32, n, 8 * n))
                     keys.append(np.frombuffer(b, np.int64))
                     train.append(np.frombuffer(c, np.uint8))
                 elif what == 1:
@@ -438,9 +492,9 @@ def word_statistics(docs: DataFrame, frequent: list[bytes], parts: int = PARTS)
             )
 
         if words:
-            w, k, t = np.concatenate(words), np.concatenate(keys), np.concatenate(train)
-            words.clear(), keys.clear(), train.clear()
-            _, which = np.unique(w, return_inverse=True)
+            w, m, k, t = np.concatenate(words), np.concatenate(more), np.concatenate(keys), np.concatenate(train)
+            words.clear(), more.clear(), keys.clear(), train.clear()
+            which = _distinct(w, m)
             c = np.bincount(which, t)
             own, whose = np.unique(k, return_inverse=True)
             value = np.bincount(whose, np.log10(c + 0.5)[which])
@@ -471,39 +525,29 @@ def score_corpus(docs: DataFrame, held: int = 1, tokenizer: str = TOKENIZER) ->
     some = F.pmod(F.xxhash64(F.lit(17), "key"), F.lit(FREQUENT_RATE)) == 0
     frequent = frequent_words(common.cut(rows.where("train").where(some).select("text")))
     statistics = word_statistics(rows, frequent)
-    encoded = encode(rows, frequent, tokenizer)
-    model = train_attention(encoded.where("train"))
     counts = np.zeros(len(frequent))
     for r in statistics.where("kind = 1").select("key", "value").collect():  # one row a frequent word
         counts[r["key"]] += r["value"]
     rare = statistics.where("kind = 2").agg(F.sum("value").alias("n"), F.sum("known").alias("v")).first()
-    ends = rows.where("train").count()
+    encoded = encode(rows, frequent, np.log10(counts + 0.5), (counts > 0).astype(np.int64), tokenizer)
+    ends = encoded.where("train").count()
+    model = train_attention(encoded)
     n = int(counts.sum()) + int(rare["n"] or 0) + ends
     v = int((counts > 0).sum()) + int(rare["v"] or 0) + (ends > 0)
-    shared = docs.sparkSession.sparkContext.broadcast(
-        ((model.place, model.kind, model.inside, model.p), np.log10(counts + 0.5), (counts > 0).astype(np.int64))
-    )
+    shared = docs.sparkSession.sparkContext.broadcast((model.place, model.kind, model.inside, model.p))
     end_id, end_log = 2, float(np.log10(ends + 0.5))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, logs, known = shared.value
-        model = AttentionModel(*parts)
-        for batch in (part for whole in batches for part in common.slices(whole, 5, 2 << 20)):
-            words = _numbers(batch.column(4))
-            ids = [np.append(x, end_id) for x in _numbers(batch.column(5))]
+        model = AttentionModel(*shared.value)
+        for batch in (part for whole in batches for part in common.slices(whole, 6, 2 << 20)):
+            ids = [np.append(x, end_id) for x in _numbers(batch.column(6))]
             order = np.argsort([len(x) for x in ids], kind="stable")
             logp = np.zeros(len(ids))
             logp[order] = model.log10_of([ids[i] for i in order])
-            some = [int(known[w].sum()) + (ends > 0) for w in words]
-            part = [float(logs[w].sum()) + end_log for w in words]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(some, pa.int64()), pa.array(part, pa.float64()), pa.array(logp, pa.float64())],
-                names=["doc_id", "key", "train", "n_tokens", "some", "part", "score"],
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(logp)], names=schema.names)
 
-    kept = encoded.select("doc_id", "key", "train", "n_tokens", "words", "ids")
-    schema = T.StructType([*kept.schema[:4], *T.StructType.fromDDL("some bigint, part double, score double")])
-    scored = kept.mapInArrow(common.lean(run), schema)
+    schema = T.StructType([*encoded.schema[:6], *T.StructType.fromDDL("score double")])
+    scored = encoded.mapInArrow(common.lean(run), schema)
     by_document = statistics.where("kind in (0, 3)").groupBy("key").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("value"))).alias("value"),
         F.sum(F.when(F.col("kind") == 0, F.col("known"))).alias("known"),
@@ -514,12 +558,13 @@ def score_corpus(docs: DataFrame, held: int = 1, tokenizer: str = TOKENIZER) ->
         "doc_id",
         (~F.col("train")).alias("held_out"),
         "n_tokens",
-        (F.col("some") + F.coalesce(F.col("known") / F.col("m"), F.lit(0.0)).cast("bigint")).alias("n_known"),
+        (F.col("some") + int(ends > 0) + F.coalesce(F.col("known") / F.col("m"), F.lit(0.0)).cast("bigint")).alias("n_known"),
         F.lit(n).cast("bigint").alias("train_tokens"),
-        (F.col("part") + F.coalesce(F.col("value") / F.col("m"), F.lit(0.0)) - F.col("n_tokens") * divisor).alias("base_score"),
+        (F.col("part") + end_log + F.coalesce(F.col("value") / F.col("m"), F.lit(0.0)) - F.col("n_tokens") * divisor).alias("base_score"),
         "score",
     )
 
 
 def op8_lm_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their scores; see score_corpus()."""
     return score_corpus(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
