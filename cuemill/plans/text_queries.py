@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cuemill.functions import cjk
 from cuemill.functions import text as X
 from cuemill.operators import feeds as P
+from cuemill.operators import frames as V
 from cuemill.operators import quality as Q
 from cuemill.operators import release as R
 from cuemill.operators import transcript as W
@@ -87,6 +88,8 @@ def token(kind: str):
 
 query("p29_number_tokens", f"SELECT event_id, array_to_string(list_sort(list_distinct([{TOKENS}])), '|') AS tokens FROM numerals")(
     lambda v: numerals(v).select("event_id", F.array_join(cjk.number_tokens(c("t")), "|").alias("tokens")))
+query("p29_number_tokens_cjk", "SELECT event_id, concat('PCT:', CAST(CAST(key AS DOUBLE) AS STRING), '|X:3.0') AS tokens FROM items")(
+    lambda v: v.items.select("event_id", F.array_join(cjk.number_tokens(F.format_string("%d%%，涨了三倍", "key")), "|").alias("tokens")))
 query("p30_strip_tokens", "SELECT event_id, CASE WHEN key % 2 = 0 THEN concat('涨', cn, '倍又', CAST(duration AS STRING), '元，占，', cn, '万人') ELSE concat('涨又', CAST(duration AS STRING), '元，占百分之', cn, '，', cn, '万人') END AS t FROM numerals")(
     lambda v: numerals(v).select("event_id", cjk.strip_tokens(c("t"), F.array(F.when(c("key") % 2 == 0, token("PCT")).otherwise(token("X")))).alias("t")))
 query("j18_untraceable_numbers", "SELECT event_id, CASE WHEN key % 3 = 0 THEN '' ELSE concat('PCT:', CAST(CAST(key AS DOUBLE) AS STRING)) END AS bad FROM numerals")(
@@ -149,6 +152,9 @@ query("w06_split_long_cue", "SELECT video_id, cue_index, CAST(i - 1 AS INTEGER)
       "z AS (SELECT *, sum(length(x)) OVER (PARTITION BY video_id, cue_index ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM u)")(
     lambda v: W.split_long_cue(v.cues, 60))
 
+query("a16_row_textness", "SELECT frame_no, y, round(coalesce((energy % 50) / nullif(energy % 100, 0), 0), 6) AS textness FROM row_profile")(
+    lambda v: v.row_profile.select("frame_no", "y", F.round(V.row_textness(c("energy") % 50, c("energy") % 100), 6).alias("textness")))
+
 # ---- feeds and releases
 
 query("s15_upsert_items", "SELECT coalesce(s.id, l.id) AS id, coalesce(s.source, l.source) AS source, CASE WHEN l.id IS NULL THEN s.title ELSE l.title END AS title, CASE WHEN l.id IS NULL THEN s.url ELSE l.url END AS url, CASE WHEN l.id IS NULL THEN s.publish_s ELSE l.publish_s END AS publish_s, CASE WHEN l.id IS NULL THEN s.author ELSE l.author END AS author, "
@@ -205,6 +211,8 @@ query("s09_items_from_short_video", "SELECT concat('douyin_video:', CAST(event_i
     .select("id", "title", "publish_s", F.get_json_object("extra", "$.duration").alias("sec"), F.get_json_object("extra", "$.mp4_url").alias("mp4")))
 query("s10_items_from_video_page", "SELECT concat('haokan_video:', CAST(page_id AS STRING)) AS id, trim(regexp_extract(regexp_extract(html, '<title>([^<]*)</title>', 1), '^[^,]*')) AS title, 1600000000 + page_id AS publish_s FROM pages")(
     lambda v: S.from_video_page(v.pages.select(c("page_id").cast("string").alias("vid"), F.concat("html", F.lit('"https://a/hd/1.mp4" "publish_time":"'), (c("page_id") + 1600000000).cast("string"), F.lit('"')).alias("payload"), F.lit(1).cast("bigint").alias("fetched_s"))).select("id", "title", "publish_s"))
+query("s10_video_page", "SELECT page_id, trim(regexp_extract(regexp_extract(html, '<title>([^<]*)</title>', 1), '^[^,]*')) AS title, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1))), ' ') AS links FROM pages")(
+    lambda v: v.pages.select("page_id", S.page_title(c("html")).alias("title"), F.array_join(F.array_sort(S.page_links(c("html"))), " ").alias("links")))
 query("s11_items_from_announcements", "SELECT concat('shareholder_meeting:', CAST(o_orderkey AS STRING)) AS id, o_orderkey AS publish_s, CASE WHEN o_orderkey % 3 = 0 THEN 'true' ELSE 'false' END AS notice FROM orders WHERE o_orderstatus <> 'P'")(
     lambda v: S.from_announcements(landed(v.orders, F.struct(F.array(F.struct(F.concat(F.lit("<em>x</em>"), F.when(c("o_orderkey") % 3 == 0, F.lit("通知")).otherwise(F.lit("决议"))).alias("announcementTitle"), c("o_orderkey").cast("string").alias("announcementId"), F.when(c("o_orderstatus") == "P", F.lit("other")).when(c("o_orderstatus") == "O", F.lit("")).otherwise(F.lit("Co")).alias("secName"), (c("o_orderkey") * 1000).alias("announcementTime"))).alias("announcements"))), "1", "The Co")
     .select("id", "publish_s", F.get_json_object("extra", "$.is_meeting_notice").alias("notice")))

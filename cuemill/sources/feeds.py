@@ -158,6 +158,16 @@ def video_links(html: Column, extension: str = "mp4") -> Column:
     return F.array_distinct(F.transform(found, lambda u: F.replace(u, F.lit("\\/"), F.lit("/"))))
 
 
+def page_title(html: Column) -> Column:
+    """The title up to its first comma."""
+    return F.trim(F.get(F.split(F.regexp_extract(html, r"(?s)<title>(.*?)</title>", 1), ","), F.lit(0)))
+
+
+def page_links(html: Column) -> Column:
+    """Distinct targets of the page's anchors, in order."""
+    return F.array_distinct(F.regexp_extract_all(html, F.lit('href="([^"]+)"'), F.lit(1)))
+
+
 def from_video_page(raw: DataFrame) -> DataFrame:
     """Pages (vid, payload, fetched_s): title without suffixes, links with /hd/ first, poster, time, length."""
     title = F.trim(F.regexp_replace(F.regexp_extract("payload", r"(?s)<title>(.*?)</title>", 1), r"[,_]好看视频$", ""))
