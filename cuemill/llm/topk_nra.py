@@ -11,19 +11,24 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Vectors that a block of lists holds, queries that are worked on against it at once, and queries of a block.
-BLOCK, AT_ONCE, QUERY_BLOCK = 8192, 128, 2048
+#: Vectors that a block of lists holds, and queries that are worked on against it at once.
+BLOCK, AT_ONCE = 8192, 128
+#: Bytes of the queries that every task holds at a time.
+QUERY_BYTES = 32 << 20
 
 
-def nra_top(queries: np.ndarray, qid: np.ndarray, vectors: np.ndarray, vid: np.ndarray, k: int, first: int = 64) -> list:
-    """(query, vector, score) of the k best of the vectors for each query, ties to smaller ids, the query's own id
-    left out.
+def nra_top(
+    queries: np.ndarray, qid: np.ndarray, vectors: np.ndarray, vid: np.ndarray, k: int, first: int = 64, bar: np.ndarray | None = None
+) -> list:
+    """(place of the query, vector, score) of the k best of the vectors for each query, ties to smaller ids, the query's own
+    id left out. bar: scores that k other vectors reach for each query; vectors below them may be left out.
 
     A list for each dimension holds the vectors by their component; a query reads it from the top where its weight is
     positive, from the bottom where negative. After a depth of all lists a vector's score lies between what is read of
     it plus the worst that each other list can give, and that plus the value each other list stands at. A query stops
-    when no vector outside its best k by lower bound has an upper bound over the k-th lower bound. Each depth is four times the one before.
-    Vectors that may still qualify then have their scores resolved: their remaining components are summed up."""
+    when no vector outside its best k by lower bound has an upper bound over the k-th lower bound, or when none reaches its
+    bar. Each depth is four times the one before. Vectors that may still qualify then have their scores resolved: their
+    remaining components are summed up."""
     n, d = vectors.shape
     order = np.argsort(vectors, axis=0, kind="stable")
     rank = np.empty((n, d), np.int32)
@@ -31,7 +36,9 @@ def nra_top(queries: np.ndarray, qid: np.ndarray, vectors: np.ndarray, vid: np.n
     rising = np.take_along_axis(vectors, order, 0)
     plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
     out: list[tuple] = []
-    open_ = np.arange(len(queries))
+    bar = np.full(len(queries), -np.inf) if bar is None else bar
+    # Heads of the lists alone: what no vector of the block is above.
+    open_ = np.nonzero(plus @ rising[-1] + minus @ rising[0] >= bar)[0]
     depth = min(first, n)
     by_id = np.argsort(vid, kind="stable")
     lo, hi = np.searchsorted(vid[by_id], qid, "left"), np.searchsorted(vid[by_id], qid, "right")
@@ -49,23 +56,56 @@ def nra_top(queries: np.ndarray, qid: np.ndarray, vectors: np.ndarray, vid: np.n
             for i, at in enumerate(q):
                 lower[i, own[at]] = upper[i, own[at]] = -np.inf
             m = min(k, n)
-            bar = np.partition(lower, n - m, axis=1)[:, n - m]
-            may = upper >= bar[:, None]
+            least = np.maximum(np.partition(lower, n - m, axis=1)[:, n - m], bar[q])
+            may = upper >= least[:, None]
             few = may.sum(axis=1) <= max(4 * k, 64)
             ready = few | (depth >= n)
             for i in np.nonzero(ready)[0]:
                 at = np.nonzero(may[i] & (upper[i] > -np.inf))[0]
                 score = vectors[at] @ queries[q[i]]
                 best = np.lexsort((vid[at], -score))[:k]
-                out += [(int(qid[q[i]]), int(vid[at[b]]), int(score[b])) for b in best]
+                out += [(int(q[i]), int(vid[at[b]]), int(score[b])) for b in best if score[b] >= bar[q[i]]]
             still.append(q[~ready])
         open_ = np.concatenate(still) if still else open_[:0]
         depth = min(n, depth * 4)
     return out
 
 
-def _packed(x: list) -> np.ndarray:
-    return np.frombuffer(b"".join(x), "<f8").reshape(len(x), -1) if x else np.zeros((0, 0))
+class Best:
+    """The k best vectors so far of each query of one length, over blocks of vectors as they come."""
+
+    def __init__(self, queries: np.ndarray, qid: np.ndarray, k: int, block: int) -> None:
+        self.queries, self.qid, self.k, self.block = queries, qid, k, block
+        self.top: list[list[tuple]] = [[] for _ in qid]  # (-score, vector)
+        self.bar = np.full(len(qid), -np.inf)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, vectors: np.ndarray, vid: np.ndarray) -> None:
+        self.waiting.append((vectors, vid))
+        self.size += len(vid)
+        if self.size >= self.block:
+            self.work()
+
+    def work(self) -> None:
+        if not self.waiting:
+            return
+        vectors, vid = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+        self.waiting, self.size = [], 0
+        for at in range(0, len(vid), self.block):
+            part = slice(at, at + self.block)
+            for q, v, score in nra_top(self.queries, self.qid, vectors[part], vid[part], self.k, bar=self.bar):
+                self.top[q].append((-score, v))
+            for q, own in enumerate(self.top):
+                if len(own) > self.k:
+                    own.sort()
+                    del own[self.k :]
+                if len(own) == self.k:
+                    self.bar[q] = -max(own)[0]
+
+    def rows(self) -> list[tuple]:
+        self.work()
+        return [(int(self.qid[q]), v, -minus) for q, own in enumerate(self.top) for minus, v in own]
 
 
 def whole_components(column: str = "embedding", scale: int = 256):
@@ -76,43 +116,56 @@ def whole_components(column: str = "embedding", scale: int = 256):
     return F.when(good & (F.size(x) > 0), F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v.cast("double")).cast("double")))
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, block: int = BLOCK, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score) of vectors(vec_id, v array<double> of whole numbers).
 
-    Queries are the rows whose id is divisible by `every`; candidates are all rows but those of the query's id. The
-    rows are dealt into blocks by hash, the queries into blocks as well; each pair of blocks is one group of bounded
-    size, for which the queries go to every vector block and the vectors to every query block. Each group gives k rows
-    a query at most. Null ids and null vectors take no part; vectors of other lengths than the first kind are compared
-    with their own kind only; rows that repeat an id and vector count once."""
+    Queries are the rows whose id is divisible by `every`; candidates are all rows but those of the query's id. Queries
+    go to all tasks, `query_bytes` of them at a time, and each task reads its vectors block by block: a query's k best of
+    the blocks before are the bar that a block has to reach. Vectors are not shuffled; a task gives k rows a query at most.
+    Null ids and null vectors take no part; vectors of other lengths are compared with their own kind only; rows that repeat
+    an id and vector count once."""
     usable = vectors.where("vec_id is not null and v is not null").select(F.col("vec_id").cast("bigint"), "v").dropDuplicates()
-    usable = common.cut(usable.withColumn("dims", F.size("v")))
-    sizes = usable.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
-    n_blocks, q_blocks = -(-sizes["n"] // block) or 1, -(-sizes["q"] // query_block) or 1
-    hashed = F.xxhash64("vec_id", "v")
-    rows = usable.withColumn("b", F.pmod(hashed, F.lit(n_blocks)).cast("int"))
-    spread = rows.select("vec_id", "v", "dims", "b", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), F.lit(False).alias("is_query"))
-    asked = usable.where(F.col("vec_id") % every == 0).withColumn("qb", F.pmod(F.xxhash64(F.lit(3), "vec_id", "v"), F.lit(q_blocks)).cast("int"))
-    asked = asked.select("vec_id", "v", "dims", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), "qb", F.lit(True).alias("is_query"))
+    usable = common.cut(usable)
+    asked = usable.where(F.col("vec_id") % every == 0)
+    sizes = usable.agg(F.count("*").alias("n"), F.sum(F.when(F.col("vec_id") % every == 0, 8 * F.size("v") + 16)).alias("b")).first()
+    some = usable.coalesce(max(1, sizes["n"] // block))  # partitions side by side, if they are small
     schema = "query_id bigint, vec_id bigint, score bigint"
     arrow = common.arrow_schema(schema)
-
-    def work(group: pa.Table) -> pa.Table:
-        is_query = group.column("is_query").to_numpy()
-        dims = group.column("dims").to_numpy()
-        ids = group.column("vec_id").to_numpy()
-        got: list[tuple] = []
-        for d in np.unique(dims):
-            own = dims == d
-            v = group.column("v").filter(pa.array(own)).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-            q, i = is_query[own], ids[own]
-            if q.any() and not q.all():
-                got += nra_top(v[q], i[q], v[~q], i[~q], k)
-        columns = list(zip(*got, strict=True)) or [(), (), ()]
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-
-    local = spread.unionByName(asked).groupBy("b", "qb").applyInArrow(work, schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    chunks = max(1, -(-(sizes["b"] or 0) // query_bytes))
+    out = None
+    for c in range(chunks):
+        held = asked.where(F.pmod(F.xxhash64(F.lit(3), "vec_id", "v"), F.lit(chunks)) == c).toArrow()  # some query_bytes
+        shared = usable.sparkSession.sparkContext.broadcast(list(_by_length(held.column("vec_id"), held.column("v"))))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own = {d: Best(v, ids, k, block) for d, ids, v in shared.value}
+            for batch in batches:
+                for d, ids, v in _by_length(batch.column(0), batch.column(1)):
+                    if d in own:
+                        own[d].add(v, ids)
+            for kind in own.values():
+                rows = kind.rows()
+                for at in range(0, len(rows), 1 << 16):
+                    columns = zip(*rows[at : at + (1 << 16)], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+        found = some.mapInArrow(common.lean(run), schema)
+        found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = common.cut(found) if chunks > 1 else found
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _by_length(ids: pa.Array | pa.ChunkedArray, vectors: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, ids, rows) of the vectors of each length."""
+    import pyarrow.compute as pc
+
+    ids, vectors = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (ids, vectors))
+    length = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    for d in np.unique(length).tolist():
+        own = pa.array(length == d)
+        yield d, ids.filter(own).to_numpy(), vectors.filter(own).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
 def op7_topk_no_random_access(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from cuemill.llm import chat_schema, license_scan, topk_nra, webp_lossless as webp
 
 from . import vp8l_writer
@@ -180,8 +181,15 @@ def test_top_k_against_brute_force(spark):
     rows = [(i, v[i].tolist()) for i in range(400)] + [(None, [1.0] * 8), (1000, None), (1001, [float("nan")] * 8), (1002, [None] * 8), (1003, []), (1004, [float("inf")] * 8)]
     rows += [(50, v[50].tolist())]  # a repeated row
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
-    out = topk_nra.top_k(df.select("vec_id", topk_nra.whole_components().alias("v")), block=64, query_block=3)
-    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in out.collect()}
+    clash = df.select("vec_id", topk_nra.whole_components().alias("v"), F.lit(1).alias("rank"), F.lit("x").alias("score"))
+    for block, query_bytes in ((64, 240), (4096, 1 << 20), (7, 1 << 20)):
+        out = topk_nra.top_k(clash, block=block, query_bytes=query_bytes)
+        got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in out.collect()}
+        check_top(got, v)
+    assert topk_nra.top_k(df.where("vec_id < 0").select("vec_id", topk_nra.whole_components().alias("v"))).count() == 0
+
+
+def check_top(got, v):
     whole = np.floor(256 * v.astype(np.float32).astype(float))
     want = {}
     for q in range(0, 400, 50):
@@ -189,7 +197,19 @@ def test_top_k_against_brute_force(spark):
         order = [i for i in np.lexsort((np.arange(400), -score)) if i != q][:5]
         want |= {(q, k + 1): (int(i), int(score[i])) for k, i in enumerate(order)}
     assert got == want
-    assert topk_nra.top_k(df.where("vec_id < 0").select("vec_id", topk_nra.whole_components().alias("v"))).count() == 0
+
+
+def test_bars_leave_out_what_cannot_reach_them():
+    rng = np.random.default_rng(6)
+    v = np.floor(256 * rng.normal(size=(3000, 16)))
+    q, ids = v[:40], np.arange(3000)
+    score = q @ v.T
+    score[np.arange(40), np.arange(40)] = -np.inf
+    best = np.sort(score, axis=1)[:, -5]
+    for bar in (None, best - 1, best, best + 1):
+        got = topk_nra.nra_top(q, ids[:40], v, ids, 5, 16, bar)
+        want = {(i, int(j), int(score[i, j])) for i in range(40) for j in np.lexsort((ids, -score[i]))[:5] if bar is None or score[i, j] >= bar[i]}
+        assert set(got) == want
 
 
 def test_licences_of_files_and_directories(spark):
