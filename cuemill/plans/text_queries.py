@@ -174,7 +174,7 @@ query("f12_select_items", "SELECT event_id, part FROM (SELECT event_id, 'some' A
 query("t09_production_order", "SELECT event_id, CAST(row_number() OVER (PARTITION BY source ORDER BY key % 3, duration DESC, event_id) AS INTEGER) AS pos FROM items")(
     lambda v: P.production_order(v.items.select("source", "event_id", c("event_id").alias("id"), (c("key") % 3).alias("priority"), c("duration").alias("bytes"))).select("event_id", "pos"))
 LIKE = "len(list_filter(string_split(n.a, ''), lambda q: contains(k.a, q))) / greatest(length(n.a), length(k.a))"
-query("g02_dedup_titles", "SELECT batch, day, t.pos, t.place FROM (SELECT batch, day, unnest(kept) AS t FROM f WHERE i = most)",
+query("g02_dedup_titles", "SELECT batch, day, t.pos, CAST(t.place AS BIGINT) AS place FROM (SELECT batch, day, unnest(kept) AS t FROM f WHERE i = most)",
       ctes="o AS (SELECT batch, doc_id // 40 AS day, doc_id AS pos, substring(title, 1, 20) AS a, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 0 ELSE doc_id % 50 END / 10000.0 AS w, row_number() OVER (PARTITION BY batch, doc_id // 40 ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY batch, doc_id // 40) AS most FROM titles), "
       "f AS (SELECT batch, day, i, most, [{'pos': pos, 'place': 0, 'a': a, 'w': CAST(w AS DOUBLE)}] AS kept FROM o WHERE i = 1 UNION ALL SELECT n.batch, n.day, n.i, n.most, CASE WHEN hit IS NULL THEN list_append(kept, {'pos': n.pos, 'place': len(kept), 'a': n.a, 'w': CAST(n.w AS DOUBLE)}) "
       "ELSE list_transform(kept, lambda z: CASE WHEN z.place = hit AND n.w > z.w THEN {'pos': n.pos, 'place': z.place, 'a': n.a, 'w': CAST(n.w AS DOUBLE)} ELSE z END) END FROM (SELECT n.*, f.kept, (SELECT min(k.place) FROM (SELECT unnest(f.kept, recursive := true)) k WHERE length(n.a) > 0 AND length(k.a) > 0 AND "
@@ -195,9 +195,9 @@ def landed(df, payload, *keep):
 
 
 STRIPPED = "regexp_replace(title, '<[^>]+>', '', 'g')"
-query("s04_items_from_search", f"SELECT concat('bilibili_search:BV', CAST(doc_id AS STRING)) AS id, {STRIPPED} AS title, 1699920000 AS publish_s, CAST(doc_id * 10 AS STRING) AS views FROM titles WHERE doc_id % 5 > 0")(
+query("s04_items_from_search", f"SELECT concat('bilibili_search:BV', CAST(doc_id AS STRING)) AS id, {STRIPPED} AS title, CAST(1699920000 AS BIGINT) AS publish_s, CAST(doc_id * 10 AS STRING) AS views FROM titles WHERE doc_id % 5 > 0")(
     lambda v: S.from_search(landed(v.titles, F.struct(F.struct(F.array(F.struct(F.when(c("doc_id") % 5 > 0, F.concat(F.lit("BV"), c("doc_id").cast("string"))).otherwise(F.lit("")).alias("bvid"), "title", (c("doc_id") * 10).cast("string").alias("play"))).alias("result")).alias("data")))).select("id", "title", "publish_s", F.get_json_object("extra", "$.view_count").alias("views")))
-query("s05_items_from_space", "SELECT concat('bilibili_space:', CAST(doc_id AS STRING)) AS id, title, CASE WHEN doc_id % 2 = 0 THEN 1699833600 ELSE 1699920000 END AS publish_s FROM titles")(
+query("s05_items_from_space", "SELECT concat('bilibili_space:', CAST(doc_id AS STRING)) AS id, title, CAST(CASE WHEN doc_id % 2 = 0 THEN 1699833600 ELSE 1699920000 END AS BIGINT) AS publish_s FROM titles")(
     lambda v: S.from_space_page(landed(v.titles, F.array(F.struct(c("doc_id").cast("string").alias("bvid"), "title", F.when(c("doc_id") % 2 == 0, F.lit("昨天")).otherwise(F.lit("今天")).alias("dateText"))))).select("id", "title", "publish_s"))
 query("s06_items_from_forum", "SELECT concat('xueqiu_search:', substring(md5(concat('h', CAST(doc_id // 2 AS STRING))), 1, 16)) AS id, min(doc_id) % 2 AS odd FROM titles WHERE text LIKE '%the%' GROUP BY doc_id // 2")(
     lambda v: S.from_forum(landed(v.titles, F.array(F.struct("text", F.concat(F.lit("h"), F.floor(c("doc_id") / 2).cast("string")).alias("href"), c("doc_id").cast("string").alias("author"))), "doc_id").withColumn("fetched_s", c("doc_id")), "the").select("id", (c("publish_s") % 2).alias("odd")))
