@@ -2,6 +2,7 @@ import numpy as np
 import zlib
 
 from cuemill.llm import quality_rank, toxicity_pu
+from pyspark.sql import functions as F
 
 from .helpers import documents, empty
 
@@ -69,3 +70,79 @@ def test_odd_rows_and_clashing_columns(spark):
     assert scored.count() == 12 and scored.where("score is null").count() == 0
     for learn, score in ((quality_rank.learn_quality, quality_rank.score_quality), (toxicity_pu.learn_toxicity, toxicity_pu.score_toxicity)):
         assert score(empty(spark), learn(empty(spark), labels.where("false"))).count() == 0
+
+
+def test_toxicity_scores_by_a_plain_loop(spark):
+    """The query's whole table against sums of the fitted weights of each text's terms, found letter by letter."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    model = toxicity_pu.learn_toxicity(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    assert 0 < len(model.weight) <= toxicity_pu.TERMS and all(w >= 0 for w in model.weight.values())
+    got = {r["doc_id"]: r["score"] for r in toxicity_pu.op1_toxicity_pu(spark, DATA).collect()}
+    for r in docs.collect():
+        seen, word = set(), ""
+        for ch in (r["text"] or "").lower() + " ":
+            if ch.isalnum() and not ch.isdecimal():
+                word += ch
+                continue
+            if word:
+                seen.add(word)
+                if len(word) > 4:
+                    seen.add("^" + word[:4])
+            word = ""
+        z = model.bias
+        for term in seen:
+            z += model.weight.get(term, 0.0)
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-max(-30, min(30, z))))) < 1e-9, r["doc_id"]
+
+
+def plain_features(text):
+    """The features of a text, in their order, counted character by character and word by word."""
+    text = text or ""
+    words = text.split()
+    if not words:
+        return [0.0] * quality_rank.FEATURES
+    n, w, different = len(text), len(words), set(words)
+    letters = capitals = digits = marks = runs = 0
+    inside = False
+    for ch in text:
+        letter = (ch.isalnum() or ch == "_") and not ch.isdecimal() and ch != "_"
+        letters += letter
+        runs += letter and not inside
+        inside = letter
+        capitals += "A" <= ch <= "Z" or "À" <= ch <= "Ö" or "Ø" <= ch <= "Þ"
+        digits += ch.isdecimal()
+        marks += not (ch.isalnum() or ch == "_" or ch.isspace() or ch in ".,;:!?'\"()-")
+    lines = [x for x in text.split("\n") if x.strip()]
+    stops = sum(ch in ".!?" for ch in text)
+    raw = text.encode("utf-8", "replace")
+    packed = len(zlib.compress(raw, 1)) / len(raw)
+    log = np.log1p
+    return [
+        1.0, log(w), log(n) - log(w), len(different) / w, log(len(different)), marks / n, log(marks), marks / w, letters / n, capitals / n, digits / n, stops / w, log(stops),
+        sum(ch in ",;" for ch in text) / w, sum(a == b for a, b in zip(words, words[1:])) / w, max(words.count(x) for x in different) / w, len(lines) / w, len(set(lines)) / max(1, len(lines)), packed,
+        min(packed, 0.2), runs / w, log(max(map(len, different))),
+    ]
+
+
+def test_quality_scores_by_a_plain_loop(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    model = quality_rank.learn_quality(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    got = {r["doc_id"]: r["score"] for r in quality_rank.op5_quality_bradley_terry(spark, DATA).collect()}
+    for r in docs.collect():
+        if len(r["text"] or "") > 20_000:
+            continue  # counts of words are quadratic here
+        z = [max(-6.0, min(6.0, (x - m) / s)) for x, m, s in zip(plain_features(r["text"]), model.mean, model.scale, strict=True)]
+        raw = sum(v * w for v, w in zip([*z, *[v * v / 3 for v in z]], model.weight, strict=True))
+        logit = model.slope * (raw - model.cut) + np.log(model.threshold / (1 - model.threshold))
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-max(-30, min(30, logit))))) < 1e-6, r["doc_id"]
+
+
+def test_texts_of_one_id_are_chosen_alike(spark):
+    labels = spark.createDataFrame([(0, 1, 0), (8, 0, 1), (3, 0, 1), (9, 1, 0)], "doc_id bigint, quality int, toxic int")
+    docs = documents(spark)
+    twice = docs.unionByName(docs.withColumn("text", F.concat(F.lit("zz "), "text")))
+    other = docs.withColumn("text", F.concat(F.lit("zz "), "text")).unionByName(docs)
+    a, b = (quality_rank.learn_quality(d.repartition(3), labels) for d in (twice, other))
+    assert (a.weight == b.weight).all() and a.cut == b.cut
+    a, b = (toxicity_pu.learn_toxicity(d.repartition(3), labels) for d in (twice, other))
+    assert a == b
