@@ -33,7 +33,7 @@ def _required(c: str, what: str) -> Column:
     return F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", F.raise_error(F.lit(what))).otherwise(F.col(c))
 
 
-def merge_index(index: DataFrame, queue: DataFrame, prefix: str = "produce-") -> DataFrame:
+def merge_index(index: DataFrame, queue: DataFrame, prefix: str = "clips-") -> DataFrame:
     """index with the queue's episodes put in by (slug, id). queue(slug, speaker, generated_at, id, fields of an episode) has
     a row an episode; each becomes a row with batch_at, of generated_at, and release_tag. A queue without slug or
     generated_at is an error; an index row that lacks a field has null there."""

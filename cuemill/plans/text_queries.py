@@ -180,7 +180,7 @@ query("g02_dedup_titles", "SELECT batch, day, t.pos, CAST(t.place AS BIGINT) AS
       "ELSE list_transform(kept, lambda z: CASE WHEN z.place = hit AND n.w > z.w THEN {'pos': n.pos, 'place': z.place, 'a': n.a, 'w': CAST(n.w AS DOUBLE)} ELSE z END) END FROM (SELECT n.*, f.kept, (SELECT min(k.place) FROM (SELECT unnest(f.kept, recursive := true)) k WHERE length(n.a) > 0 AND length(k.a) > 0 AND "
       + LIKE + " >= 0.6) AS hit FROM f JOIN o n ON n.batch = f.batch AND n.day = f.day AND n.i = f.i + 1) n)")(
     lambda v: P.dedup_titles(v.titles.select("batch", F.floor(c("doc_id") / 40).alias("day"), F.struct("batch", F.floor(c("doc_id") / 40)).alias("block"), c("doc_id").alias("pos"), "title", (c("doc_id") % 3 == 0).alias("has_url"), F.when(c("doc_id") % 5 > 0, c("doc_id") % 50).cast("int").alias("duration"))).select("batch", "day", "pos", "place"))
-query("u01_merge_index", "SELECT slug, id, n, status, batch_at, NULL AS release_tag FROM idx WHERE id % 4 > 0 UNION ALL SELECT slug, id, n + 100, 'sp', batch_at + 7, concat('produce-', CAST(slug AS STRING)) FROM queue WHERE id % 4 = 0")(
+query("u01_merge_index", "SELECT slug, id, n, status, batch_at, NULL AS release_tag FROM idx WHERE id % 4 > 0 UNION ALL SELECT slug, id, n + 100, 'sp', batch_at + 7, concat('clips-', CAST(slug AS STRING)) FROM queue WHERE id % 4 = 0")(
     lambda v: R.merge_index(v.idx.select("slug", "id", "n", c("status").alias("speaker"), "batch_at"), v.queue.where("id % 4 = 0").select("slug", F.lit("sp").alias("speaker"), (c("batch_at") + 7).alias("generated_at"), "id", (c("n") + 100).alias("n"))).withColumnRenamed("speaker", "status").select("slug", "id", "n", "status", "batch_at", "release_tag"))
 query("j11_orphans", "SELECT tag, 'orphan' AS what FROM releases WHERE tag % 3 > 0 AND tag NOT IN (SELECT slug FROM idx) UNION ALL SELECT DISTINCT slug, 'no_release' FROM idx WHERE slug NOT IN (SELECT tag FROM releases WHERE tag % 3 > 0)")(
     lambda v: (lambda o: o[1].select("tag", F.lit("orphan").alias("what")).unionByName(o[0].select("tag", F.lit("no_release").alias("what"))))(R.orphans(v.releases.where("tag % 3 > 0"), v.idx.select(c("slug").alias("tag")))))

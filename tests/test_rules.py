@@ -75,7 +75,7 @@ def test_index_of_batches(spark):
     queue = spark.createDataFrame([("new", None, "2024-03-01", "ep01", "t"), ("mid", "S", "2024-03-01", "ep01", "t")], "slug string, speaker string, generated_at string, id string, title string")
     merged = R.merge_index(index, queue)
     rows = {(r["slug"], r["id"]): r for r in merged.collect()}
-    assert len(rows) == 4 and rows["mid", "ep01"]["batch_at"] == "2024-03-01" and rows["mid", "ep01"]["release_tag"] == "produce-mid"
+    assert len(rows) == 4 and rows["mid", "ep01"]["batch_at"] == "2024-03-01" and rows["mid", "ep01"]["release_tag"] == "clips-mid"
     assert rows["new", "ep01"]["speaker"] == "" and rows["old", "ep01"]["title"] is None
     kept, dropped = R.prune_batches(merged, 3)
     assert {r["slug"] for r in kept.collect()} == {"new", "mid", "old"} and {r["slug"] for r in dropped.collect()} == {"none"}
