@@ -26,8 +26,6 @@ query("s32_build_manifest", "SELECT video_id, CAST(rank AS INTEGER) AS rank, con
         v.clips.selectExpr("*", "row_number() OVER (PARTITION BY video_id ORDER BY score DESC, para_id) AS rank")).select("video_id", "rank", "file", "start_ms"))
 query("s31_build_meta", "SELECT video_id, CAST(sum(end_ms - start_ms) AS BIGINT) AS duration_ms, count(*) AS n_segments, string_agg(CAST(start_ms AS STRING), ',' ORDER BY start_ms, end_ms, para_id) AS starts FROM clips GROUP BY video_id")(
     lambda v: R.build_meta(v.clips, "m").select("video_id", "duration_ms", "n_segments", F.array_join(F.transform("segments", lambda s: s["start_ms"].cast("string")), ",").alias("starts")))
-query("s30_build_upload_list", "SELECT doc_id AS rank, concat(CAST(doc_id AS STRING), '. ', trim(title)) AS line, CASE WHEN length(trim(title)) > 25 THEN 'long' WHEN trim(title) = '' THEN 'empty' ELSE '' END AS warned FROM titles WHERE doc_id % 3 = 0")(
-    lambda v: R.build_upload_list(v.titles.select(c("batch").alias("video_id"), c("doc_id").alias("rank"), c("doc_id").cast("string").alias("file"), "title"), v.titles.where("doc_id % 3 = 0").select(c("doc_id").cast("string").alias("file"))).select("rank", "line", F.array_join("warnings", ",").alias("warned")))
 query("a11_batch_recency", "SELECT slug, max(batch_at) AS batch_at FROM idx GROUP BY slug")(lambda v: R.batch_recency(v.idx))
 query("u02_prune_batches", "SELECT slug, id FROM idx WHERE slug IN (SELECT slug FROM (SELECT slug, max(batch_at) AS m FROM idx GROUP BY slug ORDER BY m DESC, slug DESC LIMIT 30))")(lambda v: R.prune_batches(v.idx, 30)[0].select("slug", "id"))
 query("t10_keep_newest_assets", "SELECT tag FROM (SELECT tag, row_number() OVER (PARTITION BY tag % 9 ORDER BY created_at DESC, tag) AS r FROM releases) WHERE r > 10")(

@@ -64,6 +64,9 @@ query("p22_normalize_cues", "SELECT put.video_id, put.cue_index, t AS text, t <>
 query("p34_clean_title", "SELECT doc_id, substring(s, 1, 80) AS title2, CASE WHEN length(s) > 80 THEN 'truncated' WHEN length(s) > 25 THEN 'long' WHEN s = '' THEN 'empty' ELSE '' END AS warned FROM s",
       ctes=punctuated("titles", "doc_id", "concat(title, '  ', title)") + f", s AS (SELECT doc_id, {_all('t', BLANK + '+', ' ')} AS s FROM put)")(
     lambda v: v.titles.select("doc_id", X.clean_title(F.concat("title", F.lit("  "), "title")).alias("t")).select("doc_id", c("t.title").alias("title2"), F.array_join("t.warnings", ",").alias("warned")))
+query("s30_build_upload_list", "SELECT doc_id AS rank, concat(CAST(doc_id AS STRING), '. ', substring(s, 1, 80)) AS line, CASE WHEN length(s) > 80 THEN 'truncated' WHEN length(s) > 25 THEN 'long' WHEN s = '' THEN 'empty' ELSE '' END AS warned FROM s WHERE doc_id % 3 = 0",
+      ctes=punctuated("titles", "doc_id", "title") + f", s AS (SELECT doc_id, {_all('t', BLANK + '+', ' ')} AS s FROM put)")(
+    lambda v: R.build_upload_list(v.titles.select(c("batch").alias("video_id"), c("doc_id").alias("rank"), c("doc_id").cast("string").alias("file"), "title"), v.titles.where("doc_id % 3 = 0").select(c("doc_id").cast("string").alias("file"))).select("rank", "line", F.array_join("warnings", ",").alias("warned")))
 query("p20_convert_script", "SELECT doc_id, sha256(replace(replace(replace(replace(text, 'the', chr(57344)), 'e', 'E'), 'h', 'H'), chr(57344), 'the')) AS h FROM documents")(
     lambda v: v.documents.select("doc_id", F.sha2(cjk.convert_script(c("text"), {"e": "E", "h": "H"}, ("the",)), 256).alias("h")))
 query("p19_detect_lang", "SELECT k.video_id, CASE WHEN n IS NULL THEN '' WHEN zh >= greatest(4, (n - 1) * 0.05) THEN 'zh' ELSE 'en' END AS lang FROM (SELECT DISTINCT video_id FROM langs) k LEFT JOIN (SELECT video_id, sum(length(head)) AS n, sum(length(regexp_replace(head, '[^一-鿿]', '', 'g'))) AS zh FROM h GROUP BY video_id) USING (video_id)",
