@@ -10,6 +10,7 @@ from . import (
     attention_lm,
     chat_schema,
     fim_boundaries,
+    lexical_lemp,
     license_scan,
     mixing_tree,
     packing_hist,
@@ -31,11 +32,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_attention": attention_lm.op8_lm_attention,
     "op10_license_scan": license_scan.op10_license_scan,
     "op4_simhash_near_dedup": simhash_dedup.op4_simhash_near_dedup,
+    "op11_lexical_lemp": lexical_lemp.op11_lexical_lemp,
     "op13_fim_boundary_select": fim_boundaries.op13_fim_boundary_select,
 }
 ORACLES: dict[str, str] = {
     "op3_chat_schema_fingerprint": chat_schema.ORACLE,
     "op7_topk_no_random_access": topk_nra.ORACLE,
     "op10_license_scan": license_scan.ORACLE,
+    "op11_lexical_lemp": lexical_lemp.ORACLE,
     "op13_fim_boundary_select": fim_boundaries.ORACLE,
 }

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from cuemill.llm import fim_boundaries as fim
+from cuemill.llm import lexical_lemp as lemp
 
 from .helpers import DOCS, LONG, documents, empty
 
@@ -92,3 +93,101 @@ def test_fim_query_and_sql(spark, tmp_path):
     assert rows == sorted(want, key=str)
     empty(spark).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert fim.op13_fim_boundary_select(spark, str(tmp_path / "none")).collect() == []
+
+
+# ---- ranked lexical search
+
+
+def words(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", low)
+
+
+def ranked_plainly(docs, items, k=10):
+    """docs: (doc_id, text); items: (item_id, text). Every document against every item."""
+    tokens = [(i, words(t)) for i, t in docs]
+    tokens = [(i, w) for i, w in tokens if w]
+    n_docs, all_terms = len(tokens), sum(len(w) for _, w in tokens)
+    df = {}
+    for _, w in tokens:
+        for t in set(w):
+            df[t] = df.get(t, 0) + 1
+    asked = {}
+    for item, text in items:
+        asked.setdefault(item, set()).update(words(text))
+    out = []
+    for item, terms in asked.items():
+        scored = []
+        for doc, w in tokens:
+            m = 10 + (90 * len(w) * n_docs) // all_terms
+            score = 0
+            for t in terms & set(w):
+                tf = w.count(t)
+                score += math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((10**9 * tf) // (1000 * tf + 8 * m))
+            if score > 0:
+                scored.append((-score, doc is None, doc or 0, doc))
+        out += [(item, r + 1, s[3], -s[0]) for r, s in enumerate(sorted(scored)[:k])]
+    return sorted(out, key=str)
+
+
+def test_terms_are_split_and_folded_as_bytes():
+    texts = ["Ab-cÉ x\x7fy", None, "", " lead", "trail ", "é_1[2]", "a" * 3]
+    owner, number, terms = lemp.terms_of(pa.array(["skip", *texts])[1:])
+    got = [[] for _ in texts]
+    for o, t in zip(owner, number, strict=True):
+        got[o].append(terms[int(t)].as_py())
+    assert got == [words(t) for t in texts]
+
+
+def test_search_equals_every_document_against_every_item(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(60)] + ["Éa", "你好"]
+    docs = [(k, " ".join(rng.choices(vocabulary, k=rng.randrange(0, 40)))) for k in range(300)]
+    docs += [(None, docs[0][1]), (None, "w1 w2"), (5, docs[5][1]), (5, docs[5][1]), (900, None), (901, ""), (902, "-- --"), (903, LONG + " w3")]
+    docs += [(1000 + k, "w1 w2 w3 same") for k in range(30)]
+    items = [(1, "w1, w2. W3!"), (2, "same"), (3, ""), (4, None), (5, "nowhere at all"), (6, "w9 w8"), (6, "w7"), (None, "w4 Éa 你好"), (7, " ".join(vocabulary))]
+    df = spark.createDataFrame([(*d, "clash", 1) for d in docs], "doc_id bigint, text string, item_id string, rank int").repartition(5)
+    asked = spark.createDataFrame(items, "item_id bigint, text string")
+    want = ranked_plainly(docs, items)
+    got = lemp.search(df, asked)
+    assert got.schema["rank"].dataType.typeName() == "integer"
+    assert sorted(map(tuple, got.collect()), key=str) == want
+    assert sorted(map(tuple, lemp.search(df, asked, query_bytes=40).collect()), key=str) == want  # in several blocks
+    assert sorted(map(tuple, lemp.search(df, asked, k=2).collect()), key=str) == ranked_plainly(docs, items, 2)
+
+
+def test_buckets_and_bounds_prune_and_lose_nothing():
+    rng = np.random.default_rng(3)
+    n, v = 4000, 400
+    size = rng.integers(0, 40, n)
+    terms = np.concatenate([np.sort(rng.choice(v, s, replace=False)) for s in size]).astype(np.int64)
+    impacts = (rng.pareto(1.5, len(terms)) * 1e6).astype(np.int64) + 1
+    vectors = lemp.Vectors(np.concatenate([[0], np.cumsum(size)]), terms, impacts)
+    queries = [rng.choice(v, s, replace=False) for s in (1, 2, 3, 8, 30)] + [np.zeros(0, np.int64)]
+    ranking = lemp.Ranking(queries, v, 10, np.zeros(len(queries), np.int64))
+    ids = rng.permutation(n)
+    ranking.add(vectors, ids, np.zeros(n, np.int64))
+    dense = np.zeros((n, v), np.int64)
+    dense[np.repeat(np.arange(n), size), terms] = impacts
+    touched = 0
+    for q, (scores, found, _) in zip(queries, ranking.best, strict=True):
+        exact = dense[:, q].sum(axis=1)
+        touched += int((exact > 0).sum())
+        best = np.lexsort((ids, -exact))[:10]
+        assert found.tolist() == [int(ids[b]) for b in best if exact[b] > 0] and scores.tolist() == [int(exact[b]) for b in best if exact[b] > 0]
+    assert ranking.rescored < touched / 2
+
+
+def test_search_query_and_sql(spark, tmp_path):
+    rows = documents(spark).collect()
+    documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(1, "the Quick fox"), (2, "alpha-beta"), (3, None), (4, "zwei éß two")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted(map(tuple, lemp.op11_lexical_lemp(spark, str(tmp_path)).collect()), key=str)
+    assert got == ranked_plainly([(r["doc_id"], r["text"]) for r in rows], items)
+    with duckdb.connect() as db:
+        for t in ("documents", "benchmark"):
+            db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+        assert sorted(db.execute(lemp.ORACLE).fetchall(), key=str) == got
+    asked = spark.createDataFrame(items, "item_id bigint, text string")
+    assert lemp.search(empty(spark), asked).collect() == [] and lemp.search(documents(spark), asked.limit(0)).collect() == []
