@@ -14,6 +14,7 @@ from . import (
     license_scan,
     mixing_tree,
     packing_hist,
+    piece_prefix_table,
     quality_rank,
     simhash_dedup,
     topk_nra,
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": license_scan.op10_license_scan,
     "op4_simhash_near_dedup": simhash_dedup.op4_simhash_near_dedup,
     "op11_lexical_lemp": lexical_lemp.op11_lexical_lemp,
+    "op12_piece_prefix_table": piece_prefix_table.op12_piece_prefix_table,
     "op13_fim_boundary_select": fim_boundaries.op13_fim_boundary_select,
 }
 ORACLES: dict[str, str] = {

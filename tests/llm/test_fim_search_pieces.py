@@ -2,13 +2,17 @@ import hashlib
 import math
 import random
 import re
+import struct
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 import pytest
+import sentencepiece
 from cuemill.llm import fim_boundaries as fim
 from cuemill.llm import lexical_lemp as lemp
+from cuemill.llm import piece_prefix_table as ppt
 
 from .helpers import DOCS, LONG, documents, empty
 
@@ -191,3 +195,93 @@ def test_search_query_and_sql(spark, tmp_path):
         assert sorted(db.execute(lemp.ORACLE).fetchall(), key=str) == got
     asked = spark.createDataFrame(items, "item_id bigint, text string")
     assert lemp.search(empty(spark), asked).collect() == [] and lemp.search(documents(spark), asked.limit(0)).collect() == []
+
+
+# ---- SentencePiece
+
+
+def _message(*fields):
+    """A protocol buffer message of (number, value): whole numbers, floats, bytes or texts."""
+    out = b""
+    for n, v in fields:
+        if isinstance(v, int):
+            out += bytes([n << 3 & 127 | 128, n >> 4, v]) if n > 15 else bytes([n << 3, v])
+        elif isinstance(v, float):
+            out += bytes([n << 3 | 5]) + struct.pack("<f", v)
+        else:
+            v = v.encode() if isinstance(v, str) else v
+            size = bytes([len(v)]) if len(v) < 128 else bytes([len(v) & 127 | 128, len(v) >> 7])
+            out += bytes([n << 3 | 2]) + size + v
+    return out
+
+
+def model_file(path, pieces, normalizer=((1, "identity"), (3, 1), (4, 0), (5, 1)), kind=2):
+    fixed = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *[(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]]
+    parts = [_message((1, t), (2, s), (3, k)) for t, s, k in [*fixed, *[(t, s, 1) for t, s in pieces]]]
+    path.write_bytes(_message(*[(1, p) for p in parts], (2, _message((3, kind), (35, 1))), (3, _message(*normalizer))))
+    return str(path)
+
+
+def same_as_library(model, library, texts):
+    ids, edges = model.encode(pa.array(texts, pa.string()))
+    decoded = model.decode(ids.astype(np.int64), edges)
+    for k, t in enumerate(texts):
+        want = library.encode(t or "", add_bos=True, add_eos=True)
+        assert ids[edges[k] : edges[k + 1]].tolist() == want, repr(t)[:100]
+        assert decoded[k].decode() == library.decode(want), repr(t)[:100]
+
+
+MIXED = ["a", "b", "e", "t", "h", "s", "  ", " ", "▁", "the", "ing", "\n", "é", "🙂", "你", "好", "1", ".", "\t", "x" * 5, "\x00", "ﬁ", "\u3000", "<s>", "<0x0A>"]
+
+
+def test_pieces_equal_the_library_on_the_public_model():
+    rng = random.Random(1)
+    texts = ["", " ", "  ", "a" * 3000, "▁▁", None, LONG, "你好" * 2000, " " * 5000, "\n" * 70]
+    texts += ["".join(rng.choices(MIXED, k=rng.randrange(1, 60))) for _ in range(1500)]
+    texts += [" " * k + w + " " * j for k in range(0, 36, 3) for j in (0, 1, 5, 14, 15, 16, 17, 33) for w in ("", "the", "é", "\n")]
+    path = public_tokenizers.path(ppt.MODEL)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    model = ppt.PieceModel.of_worker()
+    same_as_library(model, library, texts)
+    assert model.steady and model.apart
+    for _ in range(3000):  # ids in any order, broken bytes among them
+        ids = [rng.choice([0, 1, 2, 259, rng.randrange(3, 259), rng.randrange(131, 259), rng.randrange(32000)]) for _ in range(rng.randrange(9))]
+        assert model.decode(np.array(ids, np.int64), np.array([0, len(ids)]))[0].decode() == library.decode(ids), ids
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_pieces_equal_the_library_on_any_vocabulary(seed, tmp_path):
+    """Scores in no order and with ties, parts that merge after their whole, pieces never made, and spaces inside pieces."""
+    rng = random.Random(seed)
+    letters = "ab▁c" if seed % 2 else "abé"
+    made = {"".join(rng.choices(letters, k=rng.randrange(2, 6))) for _ in range(60)}
+    pieces = [(t, -float(rng.randrange(20 if seed % 3 else 200))) for t in [*letters, *sorted(made)]]
+    if seed % 4 == 0:
+        pieces = [p for p in pieces if p[0] != "b"]  # a character that is inside pieces alone
+    path = model_file(tmp_path / "m.model", pieces)
+    texts = ["".join(rng.choices(["a", "b", " ", "c", "é", "aab", "x"], k=rng.randrange(0, 25))) for _ in range(400)]
+    same_as_library(ppt.PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path), texts)
+
+
+def test_models_that_are_not_covered(tmp_path):
+    for k, how in enumerate([{"kind": 1}, {"normalizer": ((1, "nmt_nfkc"), (2, b"xx"), (4, 0))}, {"normalizer": ((1, "identity"), (4, 1))}]):
+        with pytest.raises(ValueError):
+            ppt.PieceModel(model_file(tmp_path / f"{k}.model", [("a", -1.0)], **how))
+
+
+def test_pieces_query_and_columns(spark, tmp_path):
+    rows = documents(spark).collect()
+    documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(ppt.MODEL))
+    want = []
+    for r in rows:
+        ids = library.encode(r["text"] or "", add_bos=True, add_eos=True)
+        want.append((r["doc_id"], len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()))
+    got = sorted(map(tuple, ppt.op12_piece_prefix_table(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted(want, key=str)
+    both = ppt.decode_ids(ppt.encode_texts(documents(spark), out="FP", bos=False), "FP").collect()
+    assert [(r["FP"], r["decoded"]) for r in both] == [((i := library.encode(r["text"] or "", add_eos=True)), library.decode(i)) for r in rows]
+    assert both[0]["length"] == "y" and set(both[0].asDict()) == {*documents(spark).columns, "FP", "decoded"} - {"fp"}
+    some = spark.createDataFrame([([1, 300], 1), (None, 2), ([], 3)], "ids array<int>, n int")
+    assert [r["decoded"] for r in ppt.decode_ids(some).collect()] == [library.decode([300]), None, ""]
+    assert ppt.encode_texts(empty(spark)).collect() == []
