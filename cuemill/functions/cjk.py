@@ -1,11 +1,10 @@
-"""Rules for Chinese text. All but the pairing of quotes are columns in the JVM; that one sees the quote marks alone."""
+"""Rules for Chinese text, as columns in the JVM. Cutting long cues is the one rule that runs in Python."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,10 +26,9 @@ _SPANS = "|".join(
     )
 )
 # Chinese digits, units within ten thousand, and greater units.
-_DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
-_UNITS = {"十": 10, "百": 100, "千": 1000}
-_GREAT = {"万": 10_000, "亿": 100_000_000}
-_CORE = rf"(?:\d+(?:\.\d+)?|[{''.join([*_DIGITS, *_UNITS, *_GREAT])}]+)"
+_DIGITS, _UNITS, _GREAT = "零〇一二两三四五六七八九", "十百千", "万亿"
+# What counts as a number in a title, with its units.
+_CORE = rf"(?:\d+(?:\.\d+)?|[{_DIGITS}{_UNITS}{_GREAT}]+)"
 _NUMBER = rf"百分之{_CORE}|{_CORE}(?:%|％|倍|美元|元|万元|块钱|年|岁|次)?"
 _QUOTE = "[“”‘’「」『』]"
 _HAN = re.compile("[一-鿿]")
@@ -57,31 +55,31 @@ def convert_script(text: Column, singles: dict[str, str], protect: tuple[str, ..
     return _around(text, "|".join(terms), change) if terms else change(text)
 
 
-def _paired(marks: list[str]) -> list[str]:
-    """Quote marks of a text in order, curly ones that pair as corner marks, inner pairs double, outermost pairs single."""
-    marks, depth = list(marks), 0
-    for k, q in enumerate(marks):
-        if q == "“":
-            marks[k], depth = "『" if depth else "「", depth + 1
-        elif q == "”" and depth:
-            depth -= 1
-            marks[k] = "』" if depth else "」"
-        elif q in "‘’":
-            marks[k] = "『" if q == "‘" else "』"
-    still_open: list[int] = []
-    for k, q in enumerate(marks):
-        if q in "「『":
-            still_open.append(k)
-        elif q in "」』" and still_open:
-            first = still_open.pop()
-            if not still_open and (marks[first], q) == ("『", "』"):
-                marks[first], marks[k] = "「", "」"
-    return marks
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _paired_quotes(marks: pd.Series) -> pd.Series:
-    return marks.map(lambda m: None if m is None else _paired(list(m)) if len(m) else [])
+def _paired_quotes(marks: Column) -> Column:
+    """A text's quote marks in order as the text of the same length that takes their place: one pass in the JVM.
+
+    State: how deep curly double quotes are nested, how many corner marks are open, where the outermost of these stands in
+    the marks written so far, and these. Curly double quotes are corner marks, single ones outside and double ones inside;
+    curly single quotes are double corner marks. A closing mark that closes the outermost of two double ones makes them
+    single, in the marks written, too. What closes nothing stays as it is."""
+    start = F.struct(F.lit(0).alias("curly"), F.lit(0).alias("open"), F.lit(0).alias("outer"), F.lit("").alias("out"))
+
+    def step(a: Column, mark: Column) -> Column:
+        inside = a["curly"] - F.when(mark == "”", 1).otherwise(0) > 0
+        new = (
+            F.when((mark == "“") | ((mark == "”") & (a["curly"] > 0)), F.translate(F.when(inside, F.translate(mark, "“”", "『』")).otherwise(mark), "“”", "「」"))
+            .otherwise(F.translate(mark, "‘’", "『』"))
+        )
+        opens, closes = new.isin("「", "『"), new.isin("」", "』") & (a["open"] > 0)
+        whole = closes & (a["open"] == 1) & (new == "』") & (F.substring(a["out"], a["outer"], F.lit(1)) == "『")
+        return F.struct(
+            F.greatest(F.lit(0), a["curly"] + F.when(mark == "“", 1).when(mark == "”", -1).otherwise(0)).alias("curly"),
+            (a["open"] + opens.cast("int") - closes.cast("int")).alias("open"),
+            F.when(opens & (a["open"] == 0), F.length(a["out"]) + 1).otherwise(a["outer"]).alias("outer"),
+            F.when(whole, F.concat(F.overlay(a["out"], F.lit("「"), a["outer"], F.lit(1)), F.lit("」"))).otherwise(F.concat(a["out"], new)).alias("out"),
+        )
+
+    return F.aggregate(marks, start, step, lambda a: a["out"])
 
 
 def _corner_quotes(t: Column) -> Column:
@@ -89,7 +87,8 @@ def _corner_quotes(t: Column) -> Column:
     pieces = F.split(t, '"')
     turn = F.transform(pieces, lambda x, i: F.concat(F.when(i == 0, "").when(i % 2 == 1, "「").otherwise("」"), x))
     t = F.when(t.rlike(f"[{CJK}]") & (F.size(pieces) % 2 == 1), F.array_join(turn, "")).otherwise(t)
-    return _woven(F.split(t, _QUOTE), _paired_quotes(F.regexp_extract_all(t, F.lit(_QUOTE), F.lit(0))))
+    marks = F.regexp_extract_all(t, F.lit(_QUOTE), F.lit(0))
+    return F.when(F.size(marks) == 0, t).otherwise(_woven(F.split(t, _QUOTE), F.split(_paired_quotes(marks), "")))
 
 
 def _full_width(t: Column) -> Column:
@@ -105,6 +104,7 @@ def _full_width(t: Column) -> Column:
 
 def _folded(t: Column) -> Column:
     """Repeated marks: three stops or more are an ellipsis, others are one; of mixed ones the first stays."""
+    # Which runs of marks fold to which mark.
     for pattern, to in (
         (r"。{3,}|\.{3,}(?![a-zA-Z0-9/])|、{3,}", "……"), ("…{2,}", "……"), (r"([！？，；：。])\1+", "$1"), ("!{2,}", "！"), (r"\?{2,}", "？"),
         ("([！？])[！？!?]+", "$1"),
@@ -115,6 +115,7 @@ def _folded(t: Column) -> Column:
 
 def _spaced(t: Column) -> Column:
     """No blanks beside full-width marks, one between scripts; line breaks stay."""
+    # Where blanks go, and where one stays.
     for pattern, to in (
         ("[ \t]+([，。！？；：、）」』])", "$1"), ("([，。！？；：、（「『])[ \t]+", "$1"), (f"(?<=[{CJK}])[ \t]+(?=[A-Za-z0-9])", " "),
         (f"(?<=[A-Za-z0-9])[ \t]+(?=[{CJK}])", " "), ("[ \t]{2,}", " "),
@@ -158,23 +159,22 @@ def detect_lang(cues: DataFrame, most: int = 20_000) -> DataFrame:
 
 
 def _value(core: Column) -> Column:
-    """Value of an Arabic number or a Chinese numeral: digits, tens to thousands by section, greater units over all before."""
-    look = lambda table: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    digit, unit, great = look(_DIGITS), look(_UNITS), look(_GREAT)
-    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("total", "section", "digit")])
-
-    def step(a: Column, ch: Column) -> Column:
-        state = lambda total, section, d: F.struct(total.alias("total"), section.alias("section"), d.alias("digit"))
-        d, u, g = (F.try_element_at(m, ch).cast("double") for m in (digit, unit, great))
-        none = F.lit(0.0)
-        return (
-            F.when(d.isNotNull(), state(a["total"], a["section"], d))
-            .when(u.isNotNull(), state(a["total"], a["section"] + F.when(a["digit"] == 0, 1.0).otherwise(a["digit"]) * u, none))
-            .otherwise(state(a["total"] + (a["section"] + a["digit"]) * F.coalesce(g, none), none, none))
-        )
+    """Value of an Arabic number or a Chinese numeral. A numeral is cut after each greater unit, which multiplies the group
+    before it; in a group each of ten, hundred and thousand counts as often as the digit right before it says, once without one
+    or after a zero, and a digit that ends the group counts itself."""
+    named = F.translate(core, "〇两", "零二")
+    digit = lambda c: F.instr(F.lit("零一二三四五六七八九"), c) - 1
+    add = lambda parts: F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+
+    def group(g: Column) -> Column:
+        places = F.regexp_extract_all(g, F.lit(f"[{_DIGITS}]?[{_UNITS}]"), F.lit(0))
+        counted = add(F.transform(places, lambda p: F.greatest(F.lit(1), digit(F.left(p, F.lit(1)))) * F.pow(F.lit(10.0), F.instr(F.lit(_UNITS), F.right(p, F.lit(1))))))
+        rest = F.regexp_extract(g, f"([{_DIGITS}])[{_GREAT}]?$", 1)
+        times = F.when(g.endswith("亿"), 1e8).when(g.endswith("万"), 1e4).otherwise(1.0)
+        return (counted + F.when(rest == "", 0).otherwise(digit(rest))) * times
 
-    chinese = F.aggregate(F.split(core, ""), zero, step, lambda a: a["total"] + a["section"] + a["digit"])
-    return F.when(core.rlike(r"^\d"), core.try_cast("double")).otherwise(chinese)
+    groups = F.regexp_extract_all(named, F.lit(f"[^{_GREAT}]*[{_GREAT}]|[^{_GREAT}]+$"), F.lit(0))
+    return F.when(core.rlike(r"^\d"), core.try_cast("double")).otherwise(add(F.transform(groups, group)))
 
 
 def _token(span: Column) -> Column:
@@ -199,6 +199,7 @@ def strip_tokens(title: Column, bad: Column) -> Column:
     """title without the numbers whose tokens are in bad; marks and blanks that are left side by side become one comma, and
     go at the ends."""
     spans = F.regexp_extract_all(title, F.lit(_NUMBER), F.lit(0))
+    # Fixed values below: the marks that separate the parts of a title.
     kept = F.transform(spans, lambda s: F.when(F.array_contains(bad, _token(s)), "").otherwise(s))
     out = F.regexp_replace(_woven(F.split(title, _NUMBER), kept), r"(?U)[，,、\s]{2,}", "，")
     return F.regexp_replace(out, r"(?U)^[，,、\s]+|[，,、\s]+$", "")

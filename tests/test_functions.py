@@ -1,6 +1,7 @@
 """Literal inputs, expected values typed by hand."""
 
 import datetime
+import random
 
 import pytest
 from cuemill.functions import cjk
@@ -99,6 +100,50 @@ def test_punctuation(spark):
     assert {PUNCTUATION[i][0]: n for i, n in got.items()} == dict(PUNCTUATION)
 
 
+def test_quotes_keep_their_number_and_settle(spark):
+    """Over random texts: quote marks stay quote marks in their places, a second pass changes nothing more in texts whose marks
+    pair, and links come back whole."""
+    rng = random.Random(7)
+    opens = {"“": "”", "「": "」", "『": "』", "‘": "’"}
+
+    def nested(depth):
+        q = rng.choice([*opens])
+        return q + "".join(nested(depth - 1) if depth and rng.random() < 0.5 else rng.choice("甲乙丙") for _ in range(rng.randrange(1, 4))) + opens[q]
+
+    texts = ["字" + "".join(nested(3) for _ in range(rng.randrange(1, 4))) + " https://a.example/“x”?k=" + str(k) for k in range(150)]
+    texts += ["字" + "".join(rng.choices("“”「」『』‘’甲", k=rng.randrange(1, 15))) for _ in range(150)] + ["“" * 3000 + "中" + "”" * 3000]
+    once = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", "t", cjk.normalize_cjk_punct(F.col("t")).alias("n"))
+    got = once.select("*", cjk.normalize_cjk_punct(F.col("n")).alias("again")).collect()
+    mark = lambda t: [k for k, c in enumerate(t) if c in "“”「」『』‘’"]
+    for r in got:
+        assert mark(r["t"]) == mark(r["n"])
+        if r["i"] < 150:
+            assert f"?k={r['i']}" in r["n"]
+            body = r["n"].split(" https")[0]
+            assert not set(body) & set("“”‘’") and body.count("「") == body.count("」") and body.count("『") == body.count("』")
+            assert r["again"] == r["n"]
+    assert got[-1]["n"] == "「" + "『" * 2999 + "中" + "』" * 2999 + "」"
+
+
+def test_numerals_by_groups(spark):
+    digits = "零一二三四五六七八九"
+
+    def named(n):  # below ten thousand
+        out, gap = "", False
+        for place, unit in ((1000, "千"), (100, "百"), (10, "十"), (1, "")):
+            d, n = divmod(n, place)
+            out += ("零" if gap and d and out else "") + (digits[d] + unit if d else "")
+            gap = not d
+        return out
+
+    rng = random.Random(3)
+    numbers = [(a, b, c) for a, b, c in ((rng.randrange(10_000), rng.randrange(10_000), rng.randrange(10_000)) for _ in range(300))]
+    rows = [(float(a * 10**8 + b * 10**4 + c), "".join((named(n) + u) if n else "" for n, u in ((a, "亿"), (b, "万"), (c, "")))) for a, b, c in numbers]
+    rows += [(10.0, "十"), (10.0, "零十"), (0.0, "万"), (3.0, "一二三"), (60.0, "五六十"), (205.0, "两百〇五"), (12.5, "12.5")]
+    got = spark.createDataFrame(rows, "v double, t string").select("v", "t", cjk._value(F.col("t")).alias("got")).collect()
+    assert [r["got"] for r in got] == [v for v, _ in rows]
+
+
 def test_scripts(spark):
     v = lambda c: value(spark, c)
     table = {"說": "说", "書": "书", "後": "后"}
