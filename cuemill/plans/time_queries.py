@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from cuemill.functions.timecode import link_expiry
 from cuemill.operators import feeds as P
 from cuemill.operators import times as R
+from cuemill.sources import item_store
+from cuemill.sources.files import shared_folder
 
 from .catalog import query
 
@@ -17,6 +19,17 @@ def timed(v):
     return v.items.select("key", "source", c("publish_s").alias("ts"))
 
 
+def stored(v):
+    """All items, written in three batches by the hour of the event, and the last of each id as the store reads it."""
+    target = shared_folder(v.spark, "items")
+    rows = v.items.select("event_id", "id", "source", "author", "publish_s", c("extra").alias("title"), F.floor(c("publish_s") / 3600 % 3).alias("part"))
+    for number in range(3):
+        item_store.write_batch(rows.where(c("part") == number).drop("part"), target, number, F.lit(100 + number), "event_id", least_pending=200, fan=2)
+    return item_store.read_items(v.spark, target)
+
+
+query("r01_item_store", "SELECT id, max_by(source, -part) AS source, 100 + min(part) AS created_at, max_by(author, part) AS author, max_by(publish_s, part) AS publish_s, max_by(title, part) AS title, 100 + max(part) AS updated_at FROM l GROUP BY id",
+      ctes="l AS (SELECT id, (publish_s // 3600) % 3 AS part, max_by(source, event_id) AS source, max_by(author, event_id) AS author, max_by(publish_s, event_id) AS publish_s, max_by(extra, event_id) AS title FROM items GROUP BY 1, 2)")(stored)
 query("r02_dedupe_within", "SELECT key, ts FROM (SELECT key, ts, lag(ts) OVER (PARTITION BY key ORDER BY ts) AS b FROM (SELECT DISTINCT key, publish_s AS ts FROM items)) WHERE b IS NULL OR ts - b >= 172800")(lambda v: R.dedupe_within(timed(v), 172800, "key"))
 query("r04_same_video_cooldown", "SELECT key, publish_s AS ts FROM g WHERE ok", ctes="o AS (SELECT key, publish_s, row_number() OVER (PARTITION BY key ORDER BY publish_s) AS i FROM (SELECT DISTINCT key, publish_s FROM items WHERE source = 'purchase')), "
       "g AS (SELECT key, publish_s, i, publish_s AS last, true AS ok FROM o WHERE i = 1 UNION ALL SELECT o.key, o.publish_s, o.i, CASE WHEN o.publish_s - g.last >= 172800 THEN o.publish_s ELSE g.last END, o.publish_s - g.last >= 172800 FROM g JOIN o ON o.key = g.key AND o.i = g.i + 1)")(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +60,31 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def shared_folder(spark: SparkSession, stem: str) -> str:
+    """A new folder's path that driver and executors share, in spark.checkpoint.dir. Only a local session may leave that unset."""
+    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if top is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{top or tempfile.mkdtemp(prefix='spark-')}/{stem}-{uuid.uuid4().hex}"
+
+
+def finished_versions(spark: SparkSession, folder: str) -> list[int]:
+    """n of the folders v=<n> that were written to the end, by any file system that Spark knows."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    path = path_of(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found = [s.getPath() for s in fs.listStatus(path)]
+    return [int(p.getName()[2:]) for p in found if p.getName().startswith("v=") and fs.exists(path_of(p, "_SUCCESS"))]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scan_index(spark: SparkSession, path: str) -> DataFrame:
     """Episodes of an index. A missing file is an empty index; one without its list of episodes is an error."""
     doc = spark.read.schema(INDEX).json(path, multiLine=True) if _exists(spark, path) else spark.createDataFrame([], INDEX)

@@ -11,74 +11,23 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import TimerValues
 from pyspark.sql.types import LongType, StructField, StructType
 
+from cuemill.sources.files import finished_versions, remove
+from cuemill.sources.item_store import read_items, write_batch
 
-def stream_items(raw: DataFrame, to_items: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, now: Column | None = None, buckets: int = 64):
-    """Upsert each batch's items, by upsert_items(), into the Parquet table at `target`; now is the time that rows are stamped
-    with, in seconds.
-
-    Ids fall into buckets by hash. A batch reads and writes only the buckets that its ids fall into, as v=<batch>/bucket=<k>,
-    and then a list of each bucket's newest batch, list/v=<batch>, which is the table. A batch that is run again writes the
-    same folders. What neither this list nor the one before names is removed."""
-    from cuemill.operators.feeds import upsert_items
 
+def stream_items(raw: DataFrame, to_items: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, now: Column | None = None, **how):
+    """Upsert each batch's items into the table of `target`, which read_items() reads: see write_batch() for how it is kept and
+    for further arguments. now is the time that rows are stamped with, in seconds."""
     now = F.unix_seconds(F.current_timestamp()) if now is None else now
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = to_items(batch).withColumn("__order", F.struct("publish_s", "title"))
-        own = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
-        touched = [r["k"] for r in new.where("id IS NOT NULL").select(own.alias("k")).distinct().collect()]  # `buckets` rows at most
-        lists = [v for v in _versions(spark, f"{target}/list") if v < number]
-        table = _listed(spark, target, max(lists)) if lists else {}
-        paths = [f"{target}/v={table[k]}/bucket={k}" for k in touched if k in table]
-        fields = [f for f in new.schema if f.name != "__order"]
-        times = [StructField("created_at", LongType()), StructField("updated_at", LongType())]
-        old = spark.read.parquet(*paths) if paths else spark.createDataFrame([], StructType([*fields, *times]))
-        after, _ = upsert_items(old, new, now.cast("bigint"), "__order")
-        after.withColumn("bucket", own).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{target}/v={number}")
-        table |= dict.fromkeys(touched, number)
-        rows = spark.createDataFrame(list(table.items()), "bucket int, batch bigint")
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{target}/list/v={number}")
-        kept = {*table.values(), *(_listed(spark, target, max(lists)).values() if lists else ())}
-        _remove(spark, [f"{target}/v={v}" for v in _versions(spark, target) if v < number and v not in kept])
-        _remove(spark, [f"{target}/list/v={v}" for v in sorted(lists)[:-1]])
+        write_batch(to_items(batch).withColumn("__order", F.struct("publish_s", "title")), target, number, now, "__order", **how)
 
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _file_system(spark, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def _versions(spark, target: str) -> list[int]:
-    """Finished versions of a table, by any file system that Spark knows."""
-    fs, path = _file_system(spark, target)
-    if not fs.exists(path):
-        return []
-    found = [s.getPath() for s in fs.listStatus(path)]
-    done = lambda p: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-    return [int(p.getName()[2:]) for p in found if p.getName().startswith("v=") and done(p)]
-
-
-def _remove(spark, paths: list[str]) -> None:
-    for p in paths:
-        fs, at = _file_system(spark, p)
-        fs.delete(at, True)
-
-
-def _listed(spark, target: str, version: int) -> dict[int, int]:
-    return {r["bucket"]: r["batch"] for r in spark.read.parquet(f"{target}/list/v={version}").collect()}
-
-
-def read_items(spark, target: str) -> DataFrame:
-    """The table that stream_items() keeps."""
-    table = _listed(spark, target, max(_versions(spark, f"{target}/list")))
-    return spark.read.parquet(*[f"{target}/v={v}/bucket={k}" for k, v in sorted(table.items())])
-
-
 def read_log(spark, target: str) -> DataFrame:
-    return spark.read.parquet(f"{target}/v={max(_versions(spark, target))}")
+    return spark.read.parquet(f"{target}/v={max(finished_versions(spark, target))}")
 
 
 def stream_dedupe(events: DataFrame, key: str, watermark: str = "2 days") -> DataFrame:
@@ -274,9 +223,9 @@ def log_sink(events: DataFrame, target: str, checkpoint: str, keep: int = 200):
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = sorted(v for v in _versions(spark, target) if v < number)
+        before = sorted(v for v in finished_versions(spark, target) if v < number)
         old = spark.read.parquet(f"{target}/v={before[-1]}") if before else batch.limit(0)
         append_log(old, batch, keep).write.mode("overwrite").parquet(f"{target}/v={number}")
-        _remove(spark, [f"{target}/v={v}" for v in before[:-1]])
+        remove(spark, [f"{target}/v={v}" for v in before[:-1]])
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
