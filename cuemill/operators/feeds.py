@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cuemill.functions import text as X
 
+from .near_titles import dedup_titles  # noqa: F401
+
 # Daily publishing slots in minutes of the local day (UTC+8).
 SLOTS = (660, 750, 900, 1080, 1260)
 LOCAL_S = 8 * 3600
@@ -145,35 +147,6 @@ def feed_cap(rows: DataFrame, n: int, source: str = "source", order: str = "pos"
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(source).orderBy(order))).where(F.col("__r") <= n).drop("__r")
 
 
-def dedup_titles(cands: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """cands(block, pos, title, has_url, duration) without titles like an earlier one of their block: in order, a title
-    as similar as the threshold to one that is kept takes its place if it is better (a link counts 1, a second 1/10000),
-    else goes. Similarity looks at the first 20 characters. Blocks are a keyword and day, bounded by the feeds."""
-    import pandas as pd
-
-    def like(a: str, b: str) -> float:
-        a, b = (a or "")[:20], (b or "")[:20]
-        return sum(ch in b for ch in a) / max(len(a), len(b)) if a and b else 0.0
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        titles, worth = rows["title"].tolist(), (rows["has_url"].astype(int) + rows["duration"].fillna(0) / 10000).tolist()
-        for i in rows.sort_values("pos").index:
-            for place, k in enumerate(kept):
-                if like(titles[i], titles[k]) >= threshold:
-                    if worth[i] > worth[k]:
-                        kept[place] = i
-                    break
-            else:
-                kept.append(i)
-        return rows.loc[kept].assign(place=range(len(kept)))
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*cands.schema.fields, T.StructField("place", T.LongType())])
-    return cands.groupBy("block").applyInPandas(lambda rows: work(rows.reset_index(drop=True)), schema)
-
-
 def pick(items: DataFrame, handled: DataFrame, keyword: str, noise: str, as_of_s: int, n: int) -> DataFrame:
     """Candidates(key, title, source, publish_s, duration, pos): noise and unlikely lengths dropped, handled keys left
     out, one a title prefix, by score and then place, the best n."""
@@ -323,6 +296,8 @@ def min_interval(rows: DataFrame, seconds: int, key: str = "source", ts: str = "
     import pandas as pd
 
     one = rows.select(key, F.col(ts).cast("bigint").alias(ts)).where(F.col(ts).isNotNull()).distinct()
+    if seconds <= 0:
+        return one
 
     def accept(parts):
         own, last = None, None
@@ -339,8 +314,6 @@ def min_interval(rows: DataFrame, seconds: int, key: str = "source", ts: str = "
                 while last is None or (at := int(np.searchsorted(t, last + seconds))) < len(t):
                     taken.append(lo + at)
                     last = t[at]
-                    if seconds <= 0 and at + 1 == len(t):
-                        break
             yield part.iloc[taken]
 
     return one.repartition(key).sortWithinPartitions(key, ts).mapInPandas(accept, one.schema)

@@ -1,18 +1,17 @@
 """Cues, paragraphs, clips and chapters. Times are BIGINT milliseconds; every join carries an equality on video_id.
 
-Folds gather one video's cues or clips, some ten thousand at most, into an array and go over it in the JVM."""
+Rules whose state depends on the row before are folds over a video's rows in order; see fold_sorted()."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuemill.functions.text import ends_sentence, host_dominated
 
-
-def _in_order(df: DataFrame, keys: list[str], order: list[str], *cols: str) -> DataFrame:
-    """One row a key: an array `c` of the rows' structs in order."""
-    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in cols if c not in order]))).alias("c"))
+from .folds import fold_sorted
 
 
 # ---- windows and ranges
@@ -144,16 +143,30 @@ def scores_to_paragraphs(paragraphs: DataFrame, scores: DataFrame) -> DataFrame:
 # ---- folds
 
 
-def _runs(cues: DataFrame, start_new: str) -> DataFrame:
-    """cues with the number of their run: a cue x starts one where start_new holds of it and of a, the state before:
-    a.s, the run's start, a.e, the previous end, a.t, the run's characters, a.x, the previous text."""
-    state = lambda p, s, t: f"named_struct('p', {p}, 's', {s}, 'e', x.end_ms, 't', {t}, 'x', x.text, 'out', array_append(a.out, {p}))"
-    fold = f"""aggregate(c, named_struct('p', 0, 's', CAST(NULL AS BIGINT), 'e', CAST(NULL AS BIGINT), 't', 0,
-        'x', CAST(NULL AS STRING), 'out', CAST(array() AS ARRAY<INT>)),
-        (a, x) -> if(a.s IS NULL OR {start_new}, {state('a.p + 1', 'x.start_ms', 'length(x.text)')}, {state('a.p', 'a.s', 'a.t + length(x.text)')}),
-        a -> a.out)"""
-    one = _in_order(cues, ["video_id"], ["cue_index"], "start_ms", "end_ms", "text").withColumn("p", F.expr(fold))
-    return one.select("video_id", F.explode(F.arrays_zip("c", "p")).alias("z")).select("video_id", "z.c.*", F.col("z.p").alias("run"))
+PARAGRAPH = "para_id int, start_ms bigint, end_ms bigint, n bigint, text string"
+
+
+def _paragraphs(cues: DataFrame, starts_new: Callable[[int, int, int, bool, int, int], bool]) -> DataFrame:
+    """(video_id, para_id, start_ms, end_ms, n, text) of runs of cues. A cue begins a run where starts_new holds of the run's
+    start, its end so far, its characters and whether its last cue ends a sentence, and of the cue's start and end. Null texts
+    have no characters and are left out of the run's. In memory is one run."""
+    ends = F.coalesce(F.rtrim("text").rlike("[.!?]$"), F.lit(False))
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        number, start, end, first, size, closed, texts, n = 0, None, None, None, 0, False, [], 0
+        for _, s, e, text, stop in rows:
+            if number == 0 or starts_new(start, end, size, closed, s, e):
+                if number:
+                    yield number, first, end, n, " ".join(texts)
+                number, start, first, size, texts, n = number + 1, s, s, 0, [], 0
+            first, end, closed, n = min(first, s), e, stop, n + 1
+            if text is not None:
+                size += len(text)
+                texts.append(text.strip(" "))
+        if number:
+            yield number, first, end, n, " ".join(texts)
+
+    return fold_sorted(cues.select("video_id", "cue_index", "start_ms", "end_ms", "text", ends.alias("ends")), ["video_id"], ["cue_index", "start_ms", "end_ms", "text"], fold, PARAGRAPH)
 
 
 def _merge(runs: DataFrame, sep: str = " ") -> DataFrame:
@@ -165,13 +178,12 @@ def _merge(runs: DataFrame, sep: str = " ") -> DataFrame:
 
 def merge_paragraphs(cues: DataFrame, gap_ms: int = 3000, most_ms: int = 90000) -> DataFrame:
     """Runs of cues; a gap over gap_ms, or an end over most_ms after the paragraph's start, begins a new one."""
-    return _merge(_runs(cues, f"x.start_ms - a.e > {gap_ms} OR x.end_ms - a.s > {most_ms}"))
+    return _paragraphs(cues, lambda start, end, size, closed, s, e: s - end > gap_ms or e - start > most_ms)
 
 
 def merge_sentence_cues(cues: DataFrame, most_ms: int = 6500, most_chars: int = 110) -> DataFrame:
     """A cue closes its sentence if it ends one, or if the run has lasted most_ms or has most_chars."""
-    ends = "rtrim(a.x) RLIKE '[.!?]$'"
-    return _merge(_runs(cues, f"{ends} OR a.e - a.s >= {most_ms} OR a.t >= {most_chars}"))
+    return _paragraphs(cues, lambda start, end, size, closed, s, e: closed or end - start >= most_ms or size >= most_chars)
 
 
 def merge_close_cues(cues: DataFrame, gap_ms: int = 300) -> DataFrame:
@@ -194,15 +206,24 @@ def resolve_overlaps(clips: DataFrame, least_ms: int = 20000) -> DataFrame:
     at the middle. If the later would be shorter than least_ms, the cut moves towards its start, not before the
     earlier one's start + least_ms, nor after its end. Each pair sees what the pair before left."""
     least = 2 * least_ms
-    cut = f"""CASE WHEN p.e <= x.start2 THEN NULL WHEN x.end2 - (p.e + x.start2) div 2 < {least}
-        THEN least(greatest(p.s + {least}, least((p.e + x.start2) div 2, x.end2 - {least})), p.e) ELSE (p.e + x.start2) div 2 END"""
-    row = lambda s, e: f"named_struct('i', x.para_id, 's', {s}, 'e', {e})"
-    fold = f"""aggregate(c, CAST(array() AS ARRAY<STRUCT<i: INT, s: BIGINT, e: BIGINT>>), (a, x) ->
-        if(size(a) = 0, array({row('x.start2', 'x.end2')}),
-        transform(array(element_at(a, -1)), p -> transform(array({cut}), k -> if(k IS NULL, array_append(a, {row('x.start2', 'x.end2')}),
-          array_append(array_append(slice(a, 1, size(a) - 1), named_struct('i', p.i, 's', p.s, 'e', greatest(p.s, k))), {row('least(x.end2, k)', 'x.end2')})))[0])[0]))"""
-    one = _in_order(clips, ["video_id"], ["start2", "para_id"], "end2").withColumn("o", F.expr(fold))
-    return one.select("video_id", F.inline("o")).select("video_id", F.col("i").alias("para_id"), F.col("s").alias("start2"), F.col("e").alias("end2"))
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        before = None
+        for start, end, para in rows:
+            if before is not None:
+                s, e, i = before
+                if e > start:
+                    cut = (e + start) // 2
+                    if end - cut < least:
+                        cut = min(max(s + least, min(cut, end - least)), e)
+                    before, start = (s, max(s, cut), i), min(end, cut)
+                yield before[2], before[0], before[1]
+            before = start, end, para
+        if before is not None:
+            yield before[2], before[0], before[1]
+
+    kind = clips.schema["para_id"].dataType.simpleString()
+    return fold_sorted(clips.select("video_id", "start2", "end2", "para_id"), ["video_id"], ["start2", "para_id", "end2"], fold, f"para_id {kind}, start2 bigint, end2 bigint")
 
 
 def align_clips(clips: DataFrame, cues: DataFrame, window_ms: int = 8000, margin_ms: int = 300, least_ms: int = 20000, most_ms: int = 180000) -> DataFrame:
@@ -314,26 +335,31 @@ def pack_episodes(clips: DataFrame, episodes: int, segments: int = 3, min_clip_m
 
     The first group is the first `segments` by rank; later ones take clips by rank that overlap nothing used so far.
     All or nothing: a video that can't fill every group, or whose group is shorter than min_total_ms, gives one row
-    with the reason. A fold over the video's clips does it, once for each episode."""
+    with the reason. A clip that a group passes over overlaps what is used, then and later, so one pass over the clips fills
+    the groups one after another, with the clips used in memory."""
     good = clips.where(F.col("end_ms") - F.col("start_ms") >= min_clip_ms)
-    state = _in_order(good, ["video_id"], ["rank", "para_id"], "start_ms", "end_ms")
-    kind = "ARRAY<STRUCT<i: INT, s: BIGINT, e: BIGINT, g: INT>>"
-    state = state.withColumn("u", F.expr(f"CAST(array() AS {kind})"))
-    for g in range(1, episodes + 1):
-        clash = "" if g == 1 else "AND NOT exists(a, q -> x.end_ms > q.s AND x.start_ms < q.e)"
-        state = state.withColumn("u", F.expr(
-            f"""aggregate(c, u, (a, x) -> if(size(filter(a, q -> q.g = {g})) < {segments} AND NOT exists(u, q -> q.i = x.para_id) {clash},
-            array_append(a, named_struct('i', x.para_id, 's', x.start_ms, 'e', x.end_ms, 'g', {g})), a))"""
-        ))
-    fails = [
-        F.when(F.expr(f"size(filter(u, q -> q.g = {g})) < {segments}"), F.lit(f"insufficient_quotes:{g}"))
-        .when(F.expr(f"aggregate(filter(u, q -> q.g = {g}), 0L, (a, q) -> a + q.e - q.s) < {min_total_ms}"), F.lit(f"insufficient_duration:{g}"))
-        for g in range(1, episodes + 1)
-    ]
-    out = state.withColumn("reason", F.coalesce(*fails))
-    none = F.expr(f"array(CAST(NULL AS {kind[6:-1]}))")
-    rows = F.explode(F.when(F.col("reason").isNull(), F.col("u")).otherwise(none))
-    return out.select("video_id", "reason", rows.alias("q")).select("video_id", F.col("q.g").alias("episode"), F.col("q.i").alias("para_id"), "reason")
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        groups: list[list[tuple]] = [[]]
+        for _, para, start, end in rows:
+            if len(groups[-1]) == segments:
+                if len(groups) == episodes:
+                    break
+                groups.append([])
+            used = [c for g in groups for c in g]
+            if len(groups) > 1 and (any(end > s and start < e for _, s, e in used) or any(para == i for g in groups[:-1] for i, _, _ in g)):
+                continue
+            groups[-1].append((para, start, end))
+        groups += [[] for _ in range(episodes - len(groups))]
+        for n, g in enumerate(groups, 1):
+            short = "quotes" if len(g) < segments else "duration" if sum(e - s for _, s, e in g) < min_total_ms else None
+            if short:
+                yield None, None, f"insufficient_{short}:{n}"
+                return
+        yield from ((n, i, None) for n, g in enumerate(groups, 1) for i, _, _ in g)
+
+    kind = clips.schema["para_id"].dataType.simpleString()
+    return fold_sorted(good.select("video_id", "rank", "para_id", "start_ms", "end_ms"), ["video_id"], ["rank", "para_id", "start_ms", "end_ms"], fold, f"episode int, para_id {kind}, reason string")
 
 
 def selected_duration(cues: DataFrame, picks: DataFrame) -> DataFrame:
@@ -367,14 +393,22 @@ def tokens_to_cues(tokens: DataFrame, least: int = 6, most: int = 18, fillers: s
     fillers alone are left out. Tokens are words; there is no Chinese segmenter."""
     from cuemill.functions.text import fix_terms
 
-    fold = f"""aggregate(c, named_struct('p', 1, 't', '', 'out', CAST(array() AS ARRAY<INT>)), (a, x) ->
-        if((x.tok RLIKE '[。，！？、；,.!?;]$' AND length(a.t) + length(x.tok) >= {least}) OR length(a.t) + length(x.tok) >= {most},
-           named_struct('p', a.p + 1, 't', '', 'out', array_append(a.out, a.p)),
-           named_struct('p', a.p, 't', concat(a.t, x.tok), 'out', array_append(a.out, a.p))), a -> a.out)"""
-    one = _in_order(tokens, ["video_id"], ["seq"], "tok", "start_ms", "end_ms").withColumn("p", F.expr(fold))
-    flat = one.select("video_id", F.explode(F.arrays_zip("c", "p")).alias("z")).select("video_id", "z.c.*", F.col("z.p").alias("cue"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "tok"))), lambda x: x["tok"]), "")
-    cues = flat.groupBy("video_id", "cue").agg(F.min_by("start_ms", "seq").alias("start_ms"), F.max_by("end_ms", "seq").alias("end_ms"), joined.alias("text"))
+    closing = F.coalesce(F.col("tok").rlike("[。，！？、；,.!?;]$"), F.lit(False))
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        number, text, start, end = 1, [], None, None
+        size = 0
+        for _, tok, s, e, closes in rows:
+            start = start if text else s
+            text.append(tok or "")
+            size, end = size + len(text[-1]), e
+            if (closes and size >= least) or size >= most:
+                yield number, start, end, "".join(text)
+                number, text, size = number + 1, [], 0
+        if text:
+            yield number, start, end, "".join(text)
+
+    cues = fold_sorted(tokens.select("video_id", "seq", "tok", "start_ms", "end_ms", closing.alias("closes")), ["video_id"], ["seq", "tok"], fold, "cue int, start_ms bigint, end_ms bigint, text string")
     cues = cues.withColumn("text", fix_terms(F.regexp_replace("text", "^[ 。，！？、；,.!?;]+", ""), terms or []))
     return cues.where((F.col("text") != "") & ~F.col("text").rlike(f"^[{fillers}]+$"))
 
