@@ -9,6 +9,7 @@ from cuemill.operators import feeds as P
 from cuemill.operators import times as R
 from cuemill.sources import item_store
 from cuemill.sources.files import shared_folder
+from cuemill.streaming import ordered
 
 from .catalog import query
 
@@ -41,3 +42,21 @@ query("r08_daily_counts", "SELECT (publish_s + 28800)//86400 AS day, count(*) AS
 query("r09_activity_sessions", "SELECT source, min(publish_s) AS first, max(publish_s) AS last, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY source ORDER BY publish_s, event_id ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN publish_s - lag(publish_s) OVER (PARTITION BY source ORDER BY publish_s, event_id) < 600 THEN 0 ELSE 1 END AS new FROM items)) GROUP BY source, run")(
     lambda v: R.sessions(timed(v), "source", 600))
 query("r10_freshness_alert", "SELECT source, ts AS since, until FROM (SELECT source, ts, lead(ts) OVER (PARTITION BY source ORDER BY ts) AS until FROM (SELECT DISTINCT source, publish_s AS ts FROM items)) WHERE until - ts > 3600")(lambda v: R.quiet_spells(timed(v), "source", 1))
+
+
+def dispatches(v):
+    """Each purchase a dispatch; it is published by the next sign-up of its key, but for every third."""
+    sent = v.items.where("source = 'purchase'").select(c("event_id").alias("key"), c("key").alias("video"), c("publish_s").alias("ts_s"))
+    seen = v.items.where("source = 'signup'").select(c("key").alias("video"), c("publish_s").alias("at"))
+    done = sent.where("key % 3 > 0").join(seen, "video").where("at > ts_s").groupBy("key").agg(F.min("at").alias("ts_s"))
+    return sent.select("key", "ts_s", F.lit(0).alias("kind")).unionByName(done.select("key", "ts_s", F.lit(1).alias("kind")))
+
+
+query("r06_retriggers", "SELECT key, ts_s, step FROM (SELECT key, done, t + 21601 * k AS ts_s, CASE WHEN k = 2 THEN 'failed' ELSE 'retry' END AS step FROM p, (SELECT unnest([1, 2]) AS k)) WHERE step = 'retry' AND (done IS NULL OR ts_s < done) UNION ALL SELECT key, t + 43201, 'failed' FROM p WHERE done IS NULL OR t + 43201 < done",
+      ctes="p AS (SELECT s.event_id AS key, s.publish_s AS t, min(d.publish_s) AS done FROM (SELECT * FROM items WHERE source = 'purchase') s LEFT JOIN (SELECT * FROM items WHERE source = 'signup') d ON d.key = s.key AND d.publish_s > s.publish_s AND s.event_id % 3 > 0 GROUP BY 1, 2)")(
+    lambda v: ordered.replayed(ordered.Retriggers(), dispatches(v)))
+query("r07_link_refresh", "SELECT key, greatest(t, e - 600) AS ts_s, url FROM (SELECT *, lead(t) OVER (PARTITION BY key ORDER BY t) AS nxt FROM l) WHERE e > 0 AND (nxt IS NULL OR greatest(t, e - 600) < nxt)",
+      ctes="l AS (SELECT key, publish_s AS t, max(concat(source, CAST(event_id AS STRING))) AS url, max(CASE WHEN key % 7 = 0 THEN 0 ELSE publish_s + 3600 * (key % 90) END) AS e FROM items GROUP BY 1, 2)")(
+    lambda v: ordered.replayed(ordered.LinkRefresh(), v.items.groupBy("key", c("publish_s").alias("ts_s")).agg(F.max(F.concat("source", c("event_id").cast("string"))).alias("url"), F.max(F.when(c("key") % 7 == 0, 0).otherwise(c("publish_s") + 3600 * (c("key") % 90))).alias("expires_s"))))
+query("r10_silence", "SELECT key, t + 1801 AS ts_s, t AS since_s FROM (SELECT key % 5 AS key, publish_s AS t, lead(publish_s) OVER (PARTITION BY key % 5 ORDER BY publish_s) AS nxt FROM items WHERE source <> 'error') WHERE nxt IS NULL OR nxt - t > 1800")(
+    lambda v: ordered.replayed(ordered.Silence(1800), v.items.select((c("key") % 5).alias("key"), c("publish_s").alias("ts_s"), (c("source") == "error").cast("int").alias("kind"))))
