@@ -99,10 +99,11 @@ def write_index(episodes: DataFrame, path: str, updated_at: str) -> None:
 
 
 def media_inventory(spark: SparkSession, folder: str, small: int = 10 * 1024) -> DataFrame:
-    """(n, bytes, n_small, n_bad): files, and those without the mark of an MP4 in their first 64 bytes."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.mp4").load(folder)
-    head = F.substring("content", 1, 64)
-    return files.agg(
+    """(n, bytes, n_small, n_bad): files, and those without the mark of an MP4 in their first 64 bytes, which are all that is
+    read of them."""
+    from .media_headers import media_headers
+
+    return media_headers(spark, folder).agg(
         F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count_if(F.col("length") < small).alias("n_small"),
-        F.count_if(F.locate("66747970", F.lower(F.hex(head))) == 0).alias("n_bad"),
+        F.count_if(F.locate("66747970", F.lower(F.hex("head"))) == 0).alias("n_bad"),
     )

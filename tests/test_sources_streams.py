@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from cuemill.operators import feeds as P
 from cuemill.operators import transcript as W
-from cuemill.sources import feeds, files
+from cuemill.sources import feeds, files, media_headers
 from cuemill.streaming import rules
 from pyspark.sql import functions as F
 
@@ -88,6 +88,28 @@ def test_files(spark, tmp_path):
     assert tuple(files.media_inventory(spark, str(tmp_path / "m")).first()) == (2, 20016, 1, 1)
 
 
+def test_media_headers_are_read_by_range(spark, tmp_path):
+    for k in range(7):
+        (tmp_path / f"f{k}.mp4").write_bytes(b"\0\0\0\x18ftypmp42" + bytes([k]) * k)
+    (tmp_path / "note.txt").write_bytes(b"x")
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "g.mp4").write_bytes(b"")
+    with open(tmp_path / "huge.mp4", "wb") as file:  # three gigabytes, of which the disk holds a block
+        file.write(b"\0\0\0\x18ftypisom")
+        file.truncate(3 << 30)
+    heads = media_headers.media_headers(spark, str(tmp_path), filesPerTask=3)
+    assert heads.schema.simpleString() == "struct<path:string,length:bigint,modified:timestamp,head:binary>" and heads.rdd.getNumPartitions() == 3
+    got = {r["path"].split("/")[-1]: r for r in heads.collect()}
+    assert set(got) == {*(f"f{k}.mp4" for k in range(7)), "huge.mp4"} and got["huge.mp4"]["length"] == 3 << 30
+    assert bytes(got["f3.mp4"]["head"]) == b"\0\0\0\x18ftypmp42\3\3\3" and len(got["huge.mp4"]["head"]) == 64 and got["f3.mp4"]["modified"] is not None
+    assert tuple(files.media_inventory(spark, "file://" + str(tmp_path)).first()) == (8, sum(12 + k for k in range(7)) + (3 << 30), 7, 0)
+    deep = media_headers.media_headers(spark, str(tmp_path), recursiveFileLookup="true", bytes=4).collect()
+    assert len(deep) == 9 and max(len(r["head"]) for r in deep) == 4
+    assert media_headers.media_headers(spark, str(tmp_path), "*.none").count() == 0
+    with pytest.raises(Exception, match="bytes"):
+        media_headers.media_headers(spark, str(tmp_path), bytes=-1).collect()
+
+
 def test_snaps_of_the_six_cues(spark):
     cues = spark.createDataFrame([("v", i + 1, 3000 * i, 3000 * i + 3000, "a." if i % 2 == 0 else "a") for i in range(6)], "video_id string, cue_index int, start_ms bigint, end_ms bigint, text string")
     clips = spark.createDataFrame([("v", 1, 4500, 7000)], "video_id string, para_id int, start_ms bigint, end_ms bigint")
