@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def count_by(rows: DataFrame, *keys: str) -> DataFrame:
@@ -60,9 +64,40 @@ def lead_summary(leads: DataFrame) -> DataFrame:
     return leads.agg(F.count_if(F.col("lead") > 0).alias("wins"), F.count("*").alias("n"), F.sum("lead").alias("total_lead"))
 
 
+#: Terms up to which each is looked for by itself, in the JVM.
+FEW_TERMS = 16
+
+
 def match_terms(texts: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
-    """texts with the array of terms (a short list) that occur in them."""
-    return texts.withColumn("terms", F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(F.col(text), t)))
+    """texts with the array of terms that occur in them, in the order of `terms`; a null text has none, and an empty term is in
+    every other. A few terms are looked for one by one; more are one automaton, made once a task, by which a text is read once
+    however many they are. terms go to all tasks: a glossary or a list of topics, some million at most."""
+    if len(terms) <= FEW_TERMS:
+        return texts.withColumn("terms", F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(F.col(text), t)) if terms else F.array().cast("array<string>"))
+    shared = texts.sparkSession.sparkContext.broadcast(list(terms))
+    kept = [f for f in texts.schema if f.name != "terms"]
+    out = T.StructType([*kept, T.StructField("terms", T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        known, places = shared.value, {}
+        for place, term in enumerate(known):
+            places.setdefault(term, []).append(place)
+        always = places.pop("", [])
+        automaton = ahocorasick.Automaton()
+        for term, own in places.items():
+            automaton.add_word(term, own)
+        if places:
+            automaton.make_automaton()
+        for batch in batches:
+            found = []
+            for t in batch.column(batch.num_columns - 1).to_pylist():
+                hits = set() if t is None else {*always, *(p for _, own in (automaton.iter(t) if places else ()) for p in own)}
+                found.append([known[p] for p in sorted(hits)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.string()))], names=[f.name for f in out])
+
+    return texts.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").alias("__text")).mapInArrow(run, out)
 
 
 def topic_coverage(theirs: DataFrame, ours: DataFrame, least: int = 8, share: float = 0.15) -> DataFrame:
@@ -91,7 +126,8 @@ def deliverable_status(files: DataFrame) -> DataFrame:
 
 
 def glossary_flatten(groups: DataFrame) -> DataFrame:
-    """groups(ord, en, zh): later groups win; longest first, then by text, with pos."""
+    """groups(ord, en, zh): later groups win; longest first, then by text, with pos. A glossary is a list that people keep, of some
+    thousand terms, so it is numbered in one task."""
     from pyspark.sql import Window
 
     flat = groups.groupBy("en").agg(F.max_by("zh", "ord").alias("zh"))

@@ -12,23 +12,26 @@ from pyspark.sql import functions as F
 from cuemill.functions.text import ends_sentence, host_dominated
 
 from .folds import fold_sorted
+from .intervals import interval_join
 
 
 # ---- windows and ranges
 
 
+def _ranges(clips: DataFrame) -> DataFrame:
+    return clips.select(F.col("video_id").alias("v"), "para_id", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
+
+
 def cues_in_windows(cues: DataFrame, clips: DataFrame) -> DataFrame:
     """Cues that overlap a clip of their video; touching is none."""
-    c, k = cues.alias("c"), clips.alias("k")
-    on = (F.col("c.video_id") == F.col("k.video_id")) & (F.col("c.end_ms") > F.col("k.start_ms")) & (F.col("c.start_ms") < F.col("k.end_ms"))
-    return c.join(k, on, "left_semi")
+    k = _ranges(clips).drop("para_id")
+    return interval_join(cues, k, (F.col("end_ms") > F.col("s")) & (F.col("start_ms") < F.col("e")), "left_semi")
 
 
 def clip_cues(cues: DataFrame, clips: DataFrame) -> DataFrame:
     """(video_id, para_id, seq, orig_index, rel_start_ms, rel_end_ms, text): each clip's cues, clamped to it, timed from
     its start and numbered."""
-    k = clips.select(F.col("video_id").alias("v"), "para_id", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
-    j = cues.join(k, (F.col("video_id") == F.col("v")) & (F.col("end_ms") > F.col("s")) & (F.col("start_ms") < F.col("e")))
+    j = interval_join(cues, _ranges(clips), (F.col("end_ms") > F.col("s")) & (F.col("start_ms") < F.col("e")))
     w = Window.partitionBy("video_id", "para_id").orderBy("start_ms", "cue_index")
     return j.select(
         "video_id", "para_id", F.row_number().over(w).alias("seq"), F.col("cue_index").alias("orig_index"),
@@ -37,9 +40,9 @@ def clip_cues(cues: DataFrame, clips: DataFrame) -> DataFrame:
 
 
 def cues_contained(cues: DataFrame, clips: DataFrame, tolerance_ms: int = 50) -> DataFrame:
-    k = clips.select(F.col("video_id").alias("v"), "para_id", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
-    on = (F.col("video_id") == F.col("v")) & (F.col("start_ms") >= F.col("s") - tolerance_ms) & (F.col("end_ms") <= F.col("e") + tolerance_ms)
-    return cues.join(k, on).select("video_id", "para_id", "cue_index")
+    """Cues that lie in a clip of their video, but for the tolerance at both ends. A cue that ends before it starts lies in none."""
+    on = (F.col("start_ms") >= F.col("s") - tolerance_ms) & (F.col("end_ms") <= F.col("e") + tolerance_ms) & (F.col("start_ms") <= F.col("end_ms"))
+    return interval_join(cues, _ranges(clips), on, slack_ms=tolerance_ms).select("video_id", "para_id", "cue_index")
 
 
 def snap_starts(clips: DataFrame, cues: DataFrame, window_ms: int = 8000) -> DataFrame:

@@ -6,6 +6,10 @@ from pyspark.sql import functions as F
 
 from cuemill.functions import text as X
 from cuemill.operators import feeds as P
+from cuemill.operators import model_calls as M
+from cuemill.operators import quality as Q
+from cuemill.sources import item_days
+from cuemill.sources.files import shared_folder
 
 from .catalog import query
 
@@ -92,3 +96,37 @@ query("r03_min_interval", "SELECT source, publish_s AS ts FROM f", ctes="o AS (S
     lambda v: P.min_interval(v.items.select("source", c("publish_s").alias("ts")), 1800))
 query("r05_retry_machine", f"SELECT key, count(*) AS retries, CASE WHEN count(*) >= 3 THEN 'rejected' WHEN {NOW} - max(publish_s) >= 1800 THEN 'ready' ELSE 'backing_off' END AS state FROM items WHERE source = 'error' GROUP BY key")(
     lambda v: P.retry_state(handled(v, "error").select("key", c("publish_s").alias("ts")), NOW))
+
+
+def upside_down(lines):
+    """A model that knows no line with a q, and is down for one with a z, and whose replies are lines back to front."""
+    if any("z" in t for t in lines):
+        raise OSError("down")
+    return [None if "q" in t else t[::-1] for t in lines]
+
+
+def called_twice(v):
+    """All titles asked for, in two runs; the second makes no call."""
+    cache, asked = shared_folder(v.spark, "replies"), v.titles.select(c("doc_id").cast("string").alias("key"), c("title").alias("text"))
+    first = M.call_model(asked, cache, upside_down, 1, batch=16)
+    second = M.call_model(asked, cache, upside_down, 2, batch=16)
+    calls = F.lit(min(first.calls, 1) + 2 * second.calls)
+    reasons = M.rejected_rows(v.spark, cache).select("key", "reason")
+    return second.rows.join(reasons, "key", "left").select("key", "response", "outcome", "reason", calls.cast("bigint").alias("calls"))
+
+
+query("j20_model_calls", "SELECT CAST(doc_id AS STRING) AS key, CASE WHEN NOT (b OR z OR q) THEN reverse(title) END AS response, CASE WHEN b THEN 'rejected' WHEN z OR q THEN 'known_bad' ELSE 'hit' END AS outcome, CASE WHEN b THEN NULL WHEN z THEN 'OSError: down' WHEN q THEN 'no reply' END AS reason, CAST(1 AS BIGINT) AS calls "
+      "FROM (SELECT *, trim(title) = '' AS b, contains(title, 'z') AS z, contains(title, 'q') AS q FROM titles)")(called_twice)
+
+
+def by_days(v):
+    """All items in folders by source and day."""
+    target = shared_folder(v.spark, "days")
+    item_days.write_days(v.items.select("event_id", "source", "publish_s"), target)
+    return target
+
+
+query("f14_recent_of_days", f"SELECT event_id, source FROM items WHERE publish_s > {NOW} - 3 * 86400 AND source IN ('view', 'click')")(
+    lambda v: item_days.recent_items(v.spark, by_days(v), NOW, 3, ["view", "click"]).select("event_id", "source"))
+query("a05_freshness_of_days", "SELECT source, (1706800000 - max(publish_s))//3600 AS hours, 1706800000 - max(publish_s) > 172800 AS stale FROM items GROUP BY source")(
+    lambda v: Q.freshness(item_days.newest_of_sources(v.spark, by_days(v)), 1706800000))

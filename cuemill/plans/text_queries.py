@@ -126,6 +126,8 @@ query("p47_redact_record_lines", "SELECT doc_id, length(log) AS n, sha256(array_
       ctes="r AS (SELECT doc_id, concat(CASE WHEN doc_id % 3 = 0 THEN replace(text, ' ', chr(9)) ELSE text END, chr(10), 'k', chr(9), 'a', chr(9), 'b\\tc', chr(9), 'd', chr(9), 'e', chr(10), 'z') AS log FROM documents)")(
     lambda v: v.documents.select("doc_id", F.concat(F.when(c("doc_id") % 3 == 0, F.replace("text", F.lit(" "), F.lit("\t"))).otherwise(c("text")), F.lit("\nk\ta\tb\\tc\td\te\nz")).alias("log"))
     .select("doc_id", F.length("log").cast("bigint").alias("n"), F.sha2(X.redact_record_lines(c("log")), 256).alias("h")))
+query("j13_many_terms", "SELECT doc_id, term FROM documents, (SELECT DISTINCT unnest(string_split(text, ' ')) AS term FROM benchmark) WHERE length(term) >= 4 AND contains(text, term)")(
+    lambda v: Q.match_terms(v.documents.select("doc_id", "text"), sorted(r["w"] for r in v.benchmark.select(F.explode(F.split("text", " ")).alias("w")).where("length(w) >= 4").distinct().collect())).select("doc_id", F.explode("terms").alias("term")))
 query("j13_match_terms", "SELECT doc_id, concat_ws(',', CASE WHEN text LIKE '%the%' THEN 'the' END, CASE WHEN text LIKE '%ing%' THEN 'ing' END, CASE WHEN text LIKE '%sch%' THEN 'sch' END) AS terms FROM documents")(
     lambda v: Q.match_terms(v.documents, ["the", "ing", "sch"]).select("doc_id", F.array_join("terms", ",").alias("terms")))
 query("u04_token_except", "SELECT doc_id, len(l) AS n, sha256(array_to_string(l, ' ')) AS rest FROM (SELECT doc_id, list_sort(list_filter(list_distinct(string_split(text, ' ')), lambda w: NOT list_contains(string_split(title, ' '), w))) AS l FROM titles WHERE text IS NOT NULL)")(
