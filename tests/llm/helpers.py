@@ -24,3 +24,21 @@ def documents(spark, rows=None):
 
 def empty(spark):
     return spark.createDataFrame([], DOCS)
+
+
+def water_fill(sizes, weights, budget, most):
+    """Targets that share the budget by weight, none above `most` times its size, round by round: those that are full keep that,
+    and the others share what is left. A budget over all limits gives every source its limit."""
+    target, open_, left = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0], budget
+    while open_:
+        total = sum(weights[i] for i in open_)
+        full = [i for i in open_ if left * weights[i] / total >= most * sizes[i]]
+        if not full:
+            for i in open_:
+                target[i] = left * weights[i] / total
+            break
+        for i in full:
+            target[i] = most * sizes[i]
+        left = max(0.0, left - sum(most * sizes[i] for i in full))
+        open_ = [i for i in open_ if i not in full]
+    return target

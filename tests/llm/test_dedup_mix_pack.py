@@ -6,8 +6,9 @@ import pytest
 import xxhash
 from cuemill.llm import mixing_tree, packing_hist, simhash_dedup
 from cuemill.llm.components import connected_components
+from pyspark.sql import functions as F
 
-from .helpers import documents, empty
+from .helpers import documents, empty, water_fill
 
 
 def plain_fingerprint(text, words=3):
@@ -106,11 +107,21 @@ def test_dropping_keeps_the_smallest_and_the_columns(spark):
     assert simhash_dedup.near_duplicates(empty(spark)).count() == 0
 
 
-def test_water_filling():
-    assert mixing_tree.water_fill([10, 10, 10], [5, 2, 1], 45, 2) == pytest.approx([20, 50 / 3, 25 / 3])
-    assert mixing_tree.water_fill([0, 10], [1, 1], 15, 2) == [0, 15]
-    assert mixing_tree.water_fill([1, 1000], [5, 2], 1501.5, 2) == pytest.approx([2, 1499.5])
-    assert mixing_tree.water_fill([], [], 0, 2) == []
+def test_water_filling(spark):
+    def filled(sizes, weights, budget, most):
+        rows = spark.createDataFrame([(float(most * s), float(w)) for s, w in zip(sizes, weights, strict=True)], "room double, weight double")
+        level = mixing_tree.water_level(rows, budget)
+        return [min(most * s, level * w) if s else 0.0 for s, w in zip(sizes, weights, strict=True)]
+
+    assert filled([10, 10, 10], [5, 2, 1], 45, 2) == pytest.approx([20, 50 / 3, 25 / 3])
+    assert filled([0, 10], [1, 1], 15, 2) == pytest.approx([0, 15])
+    assert filled([1, 1000], [5, 2], 1501.5, 2) == pytest.approx([2, 1499.5])
+    assert filled([], [], 0, 2) == [] and filled([3, 4], [1, 1], 100, 2) == [6, 8]
+    rng = np.random.default_rng(2)
+    sizes, weights = rng.integers(0, 50, 400).tolist(), [(5.0, 2.0, 1.0)[i % 3] for i in range(400)]
+    for share in (0.3, 1.5, 1.9):
+        want = water_fill(sizes, weights, share * sum(sizes), 2)
+        assert filled(sizes, weights, share * sum(sizes), 2) == pytest.approx(want)
 
 
 def test_splitting_tree_is_exact():
@@ -119,6 +130,10 @@ def test_splitting_tree_is_exact():
     assert (table.sum(axis=0) == q).all() and (table >= 0).all()
     assert np.ptp(table.sum(axis=1)) <= 1
     assert (table == mixing_tree.split_quotas(q, 8, 1)).all()
+    many = np.arange(300) % 7
+    totals = mixing_tree.split_quotas(np.array([many.sum()]), 16, 5)[:, 0]
+    parts = np.concatenate(list(mixing_tree.split_in_groups(many, totals, 3, group=8)), axis=1)
+    assert (parts.sum(axis=0) == many).all() and (parts.sum(axis=1) == totals).all() and (parts >= 0).all()
 
 
 def test_mix_near_targets_and_reruns(spark):
@@ -136,7 +151,7 @@ def test_mix_near_targets_and_reruns(spark):
         assert n <= 2
         taken[source[i]] += n * size[i]
     order = sorted(whole, key=lambda s: (s is None, s or ""))
-    goal = mixing_tree.water_fill([whole[s] for s in order], [5.0, 2.0, 1.0, 5.0], 1.5 * sum(whole.values()), 2)
+    goal = water_fill([whole[s] for s in order], [5.0, 2.0, 1.0, 5.0], 1.5 * sum(whole.values()), 2)
     for s, g in zip(order, goal, strict=True):
         assert abs(taken[s] - g) <= 60
 
@@ -164,7 +179,21 @@ def test_draws_against_a_walk_over_each_source(spark):
             assert all(at == longest[:n] for n, at in docs_)
             dealt.update((source, s) for s in longest)
     for source, p in of.items():
-        assert [sum(dealt[source, s] for s in range(k + 1)) for k in range(4)] == p["ends"]
+        assert [sum(dealt[source, s] for s in range(k + 1)) for k in range(4)] == p["ends"] and p["owners"] is None
+
+
+def test_many_sources(spark):
+    """300,000 sources, most of a document or two: the targets of a plain filling, and each source's words near its own."""
+    n = 300_000
+    docs = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.when(F.col("id") < n, F.format_string("s%07d", F.col("id"))).otherwise(F.format_string("s%07d", F.floor(F.col("id") / 3 % 1000))).alias("source"), (F.col("id") * 7 % 90 + 1).alias("size"))
+    mixed = mixing_tree.draw_mix(docs).select("source", "size", "target", "source_size", "passes", F.size("at").alias("k")).toPandas()
+    assert len(mixed) == 2 * n and (mixed.passes == mixed.k).all() and mixed.passes.max() <= 2
+    own = mixed.groupby("source", sort=True).agg(size=("size", "sum"), target=("target", "first"), said=("source_size", "first"))
+    assert (own["size"] == own.said).all() and len(own) == n
+    want = water_fill(own["size"].tolist(), [(5.0, 2.0, 1.0)[i % 3] for i in range(n)], 1.5 * own["size"].sum(), 2)
+    assert np.allclose(own.target, want)
+    taken = (mixed.passes * mixed["size"]).groupby(mixed.source).sum()
+    assert (abs(taken - own.target) <= 45.01).all()
 
 
 def test_mix_edges(spark):

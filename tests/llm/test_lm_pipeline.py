@@ -133,7 +133,7 @@ def test_all_training_documents_count_and_train(spark, monkeypatch):
 
 def test_queries_are_registered():
     numbers = {int(n.split("_")[0][2:]) for n in registry.QUERIES}
-    assert numbers == set(range(1, 11)) and len(registry.QUERIES) == 10
+    assert numbers == set(range(1, 14)) and len(registry.QUERIES) == 13
 
 
 def test_pipeline_against_brute_force(spark):
