@@ -40,5 +40,6 @@ def water_fill(sizes, weights, budget, most):
         for i in full:
             target[i] = most * sizes[i]
         left = max(0.0, left - sum(most * sizes[i] for i in full))
-        open_ = [i for i in open_ if i not in full]
+        done = set(full)
+        open_ = [i for i in open_ if i not in done]
     return target
