@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import unicodedata
 import zlib
 from array import array
@@ -175,12 +176,12 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def token_pieces(
-    docs: DataFrame, limit: int = LIMIT, tokenizer: str = TOKENIZER, end: int = END, keep_ids: bool = False
+    docs: DataFrame, limit: int = LIMIT, tokenizer: str = TOKENIZER, end: int = END, keep_ids: bool = False, narrow: bool = False
 ) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]) of each piece of docs(doc_id, text).
 
     A document's ids and then `end` are cut every `limit` ids. Null and empty texts are the id `end` alone. ids, kept
-    on demand, is a binary of little-endian 32-bit numbers."""
+    on demand, is a binary of little-endian 32-bit numbers, or if narrow of 16-bit ones, for vocabularies that allow it."""
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
     schema += ", ids binary" if keep_ids else ""
     arrow = common.arrow_schema(schema)
@@ -197,7 +198,8 @@ def token_pieces(
                 n = len(raw) // 4
                 for at in range(0, n, limit):
                     part = raw[4 * at : 4 * (at + limit)]
-                    rows.append((doc, at, len(part) // 4, zlib.crc32(part), n, *([part] if keep_ids else [])))
+                    kept = [_narrowed(part) if narrow else part] if keep_ids else []
+                    rows.append((doc, at, len(part) // 4, zlib.crc32(part), n, *kept))
             if rows:
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
@@ -205,6 +207,13 @@ def token_pieces(
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(common.lean(run), schema)
 
 
+def _narrowed(ids: bytes) -> bytes:
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and wide.max() > 0xFFFF:
+        raise ValueError("ids beyond 16 bits")
+    return wide.astype("<u2").tobytes()
+
+
 def shortest_pack_first(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths of a pack in order) and their counts. Lengths are placed longest first; pieces of a length go
     to the packs that are filled least, all packs of a pattern at a time, or open new packs where these have no room."""
@@ -305,6 +314,64 @@ def sequences(packed: DataFrame) -> DataFrame:
     )
 
 
+#: Sequences of a shard, more or less.
+SHARD = 4096
+SEQUENCES = "shard int, place bigint, sequence_id bigint, n_ids int, ids binary, doc_id array<bigint>, start array<bigint>, length array<bigint>, doc_tokens array<bigint>"
+
+
+def pack_sequences(docs: DataFrame, limit: int = LIMIT, tokenizer: str = TOKENIZER, per_shard: int = SHARD, seed: int = 6) -> DataFrame:
+    """The packed sequences of docs(doc_id, text) in training order: (shard, place, sequence_id, n_ids, ids, doc_id, start, length,
+    doc_tokens), the last four being lists of its pieces in their order, ids a binary of little-endian 32-bit numbers.
+
+    Sequences are packed by length, so their numbers and pieces go by length; here a seeded hash deals them out to shards of
+    some `per_shard`, puts each shard in order, and each sequence's pieces. place counts from 0 in a shard, whose rows are in one
+    file. ids go through two shuffles, 16 bits each: to be ranked by length, and to their shard. Null texts are empty, rows without
+    an id and repeated rows are packed like others; see pack_pieces()."""
+    pieces = common.cut(token_pieces(docs, limit, tokenizer, keep_ids=True, narrow=True))
+    total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    shards = max(1, total // (limit * per_shard))
+    drawn = lambda k, *c: F.xxhash64(F.lit(seed + k), *c)
+    rows = pack_pieces(pieces, limit).select(
+        F.pmod(drawn(0, "sequence_id"), F.lit(shards)).cast("int").alias("shard"), drawn(1, "sequence_id").alias("key"), "sequence_id",
+        drawn(2, "doc_id", "start", "ids_crc32").alias("piece"), "doc_id", "start", "length", "doc_tokens", "ids",
+    )
+    arrow = common.arrow_schema(SEQUENCES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, place = None, None, 0  # rows of the sequence that a batch ends in; the shard before, and its sequences so far
+        for batch in itertools.chain(batches, [None]):
+            table = pa.Table.from_batches([b for b in (held, batch) if b is not None])
+            held = None
+            if not table.num_rows:
+                continue
+            table = table.combine_chunks()
+            sequence = table.column("sequence_id").to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(sequence)) + 1, [len(sequence)]])
+            if batch is not None:
+                held, edges = table.slice(edges[-2]).to_batches()[0], edges[:-1]
+            if len(edges) < 2:
+                continue
+            shard = table.column("shard").to_numpy()[edges[:-1]]
+            first = np.concatenate([[True], np.diff(shard) != 0])
+            begin = np.maximum.accumulate(np.where(first, np.arange(len(shard)), 0))
+            places = np.arange(len(shard)) - begin + np.where(begin == 0, place if shard[0] == last else 0, 0)
+            last, place = shard[-1], int(places[-1]) + 1
+            # Pieces of a sequence lie side by side, and so do their ids.
+            own = table.column("ids").combine_chunks()
+            own = own.chunk(0) if isinstance(own, pa.ChunkedArray) else own
+            at = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1][edges].astype(np.int64)
+            ids = np.frombuffer(own.buffers()[2], "<u2", (at[-1] - at[0]) // 2, at[0]).astype("<u4")
+            offsets = (2 * (at - at[0])).astype(np.int32)
+            made = [pa.array(shard), pa.array(places), pa.array(sequence[edges[:-1]]), pa.array(np.diff(offsets) // 4), pa.BinaryArray.from_buffers(pa.binary(), len(shard), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])]
+            for name in ("doc_id", "start", "length", "doc_tokens"):
+                column = table.column(name).combine_chunks()
+                column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+                made.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), column))
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, arrow, strict=True)], schema=arrow)
+
+    return rows.repartition("shard").sortWithinPartitions("shard", "key", "sequence_id", "piece").mapInArrow(common.lean(run), SEQUENCES)
+
+
 def op6_packing_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces and their places; see pack_documents()."""
     return pack_documents(common.table(spark, sf_dir, "documents"))

@@ -245,3 +245,36 @@ def test_packing_against_the_tokenizer(spark):
         assert made[s] == b"".join(x for *_, x in own)
     assert sorted(places) == list(range(len(places)))
     assert packing_hist.pack_documents(empty(spark)).count() == 0
+
+
+def test_sequences_in_training_order(spark):
+    rng = np.random.default_rng(3)
+    docs = documents(spark, [(i % 290, " ".join(f"w{k}" for k in rng.integers(0, 900, int(rng.integers(1, 900)))), "en", "a") for i in range(300)] + [(None, None, None, None), (7, "", "en", "a")])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    got = packing_hist.pack_sequences(docs, 2048, per_shard=20).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pieces, each = Counter(), Counter()
+    want = {(r["doc_id"], r["start"], bytes(r["ids"])): 0 for r in packing_hist.token_pieces(docs, 2048, keep_ids=True).collect()}
+    for r in packing_hist.token_pieces(docs, 2048, keep_ids=True).collect():
+        each[r["doc_id"], r["start"], bytes(r["ids"]), r["doc_tokens"]] += 1
+    for r in got:
+        assert r["n_ids"] == len(r["ids"]) // 4 == sum(r["length"]) <= 2048
+        at = 0
+        for doc, start, n, tokens in zip(r["doc_id"], r["start"], r["length"], r["doc_tokens"], strict=True):
+            pieces[doc, start, bytes(r["ids"])[4 * at : 4 * (at + n)], tokens] += 1
+            at += n
+    assert pieces == each and len(want) <= len(each)
+    shards = defaultdict(list)
+    for r in got:
+        shards[r["shard"]].append(r)
+    assert len(shards) > 1 and len({r["sequence_id"] for r in got}) == len(got)
+    for own in shards.values():
+        assert sorted(r["place"] for r in own) == list(range(len(own)))
+    order = [r["length"] for r in sorted(got, key=lambda r: (r["shard"], r["place"])) if len(r["length"]) > 2]
+    assert sum(x != sorted(x, reverse=True) for x in order) > len(order) / 3
+    numbers = [r["sequence_id"] for r in sorted(shards[0], key=lambda r: r["place"])]
+    assert numbers != sorted(numbers)
+    again = packing_hist.pack_sequences(docs.repartition(3), 2048, per_shard=20).collect()
+    key = lambda r: (r["shard"], r["place"], r["n_ids"])
+    assert sorted(map(key, again)) == sorted(map(key, got))
+    assert packing_hist.pack_sequences(empty(spark)).count() == 0

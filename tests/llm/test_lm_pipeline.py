@@ -158,15 +158,23 @@ def test_pipeline_against_brute_force(spark):
     left = {i for i in clean if group[i] == i}
     kept = spark.createDataFrame([rows[i] for i in sorted(clean)], docs.schema)
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, kept, folder).collect()} == left
+    kept = spark.createDataFrame([rows[i] for i in sorted(left)], docs.schema)
+    mixed = Counter(r["doc_id"] for r in corpus_pipeline.mixing(spark, kept, folder).collect())
     out = corpus_pipeline.run(spark, folder).collect()
-    assert {r["doc_id"] for r in out} <= left
     encoder = packing_hist.WordEncoder()
-    size = {i: len(b) // 4 + 1 for i, b in zip(sorted(left), encoder.encode_all([rows[i]["text"] for i in sorted(left)]), strict=True)}
-    per = Counter()
-    for r in out:
-        assert r["doc_tokens"] == size[r["doc_id"]]
-        per[r["doc_id"]] += r["length"]
-    assert all(n % size[i] == 0 and n // size[i] <= 2 for i, n in per.items())
+    ids = {i: b + b"\2\0\0\0" for i, b in zip(sorted(left), encoder.encode_all([rows[i]["text"] for i in sorted(left)]), strict=True)}
+    got, want = Counter(), Counter()
+    for i, n in mixed.items():
+        for at in range(0, len(ids[i]) // 4, 4096):
+            want[i, at, ids[i][4 * at : 4 * (at + 4096)]] += n
+    for r in out:  # each drawn id once, in the sequence that its piece is in
+        at = 0
+        for doc, start, n, tokens in zip(r["doc_id"], r["start"], r["length"], r["doc_tokens"], strict=True):
+            got[doc, start, bytes(r["ids"])[4 * at : 4 * (at + n)]] += 1
+            assert tokens == len(ids[doc]) // 4
+            at += n
+        assert at == r["n_ids"] <= 4096
+    assert got == want and all(n <= 2 for n in mixed.values())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_duplicates", "mixing", "packing"]
 
 
@@ -192,7 +200,7 @@ def test_pipeline_with_odd_rows_and_columns(spark, tmp_path):
         kept = after
     assert len(name_of) == len(rows)
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert out and {r["doc_id"] for r in out} <= {r[0] for r in rows}
+    assert out and {i for r in out for i in r["doc_id"]} <= {r[0] for r in rows}
     assert sorted({r["sequence_id"] for r in out}) == list(range(len({r["sequence_id"] for r in out})))
 
 
