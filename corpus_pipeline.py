@@ -45,9 +45,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the mix's documents and their places in the packed sequences. Null and empty texts are one id; each row of
-    the mix is packed, repeated ones too."""
-    return packing_hist.pack_documents(docs)
+    """The training sequences of the mix, by shard and place, with their ids and the lists of their pieces. Null and empty texts
+    are one id; each row of the mix is packed, repeated ones too."""
+    return packing_hist.pack_sequences(docs)
 
 
 STAGES = [
