@@ -67,17 +67,18 @@ def split_screen(faces: DataFrame, width: int = 1280, gap: float = 0.4, jitter:
         F.percentile("left_x", F.lit(0.5)).alias("ml"), F.percentile("right_x", F.lit(0.5)).alias("mr"),
     )
     still = (F.col("jl") < 2 * jitter * width) & (F.col("jr") < 2 * jitter * width)
-    f = faces.select(F.col("video_id"), (2 * F.col("x") + F.col("w")).alias("cx"), (F.col("w") * F.col("h")).alias("area"), "frame_no").join(stat, "video_id")
-    near = F.least(F.abs(F.col("cx") - F.col("ml")), F.abs(F.col("cx") - F.col("mr"))) <= 0.4 * width
-    left = F.abs(F.col("cx") - F.col("ml")) <= F.abs(F.col("cx") - F.col("mr"))
-    sides = f.where(near).groupBy("video_id").agg(
-        (F.coalesce(F.sum(F.when(left, F.col("area"))), F.lit(0)) * F.count_distinct(F.when(left, F.col("frame_no")))).alias("ls"),
-        (F.coalesce(F.sum(F.when(~left, F.col("area"))), F.lit(0)) * F.count_distinct(F.when(~left, F.col("frame_no")))).alias("rs"),
-    )
+    f = faces.select("video_id", "frame_no", (2 * F.col("x") + F.col("w")).alias("cx"), (F.col("w") * F.col("h")).alias("area")).join(stat, "video_id", "left")
+    off = [F.abs(F.col("cx") - F.col(m)) for m in ("ml", "mr")]
+    near = F.least(*off) <= 0.4 * width
+    on = {"l": near & (off[0] <= off[1]), "r": near & (off[0] > off[1])}
+    same = lambda *names: [F.first(c).alias(c) for c in names]
+    # By frame, then by video: a frame counts once for a side, and what pairs say of the video goes along.
+    frames = f.groupBy("video_id", "frame_no").agg(*[F.sum(F.when(c, F.col("area"))).alias(k) for k, c in on.items()], *same("paired", "jl", "jr"))
+    sides = frames.groupBy("video_id").agg(*[(F.coalesce(F.sum(k), F.lit(0)) * F.count(k)).alias(f"{k}s") for k in on], *same("paired", "jl", "jr"))
     verdict = (
         F.when(F.coalesce("paired", F.lit(0)) < least, "not_split").when(~still, "not_split").when(F.col("ls") >= lead * F.col("rs"), "left").when(F.col("rs") >= lead * F.col("ls"), "right").otherwise("indeterminate")
     )
-    return faces.select("video_id").distinct().join(stat, "video_id", "left").join(sides, "video_id", "left").select("video_id", F.coalesce("paired", F.lit(0)).alias("paired"), verdict.alias("verdict"))
+    return sides.select("video_id", F.coalesce("paired", F.lit(0)).alias("paired"), verdict.alias("verdict"))
 
 
 def crop_margin(bars: DataFrame, height: int) -> DataFrame:

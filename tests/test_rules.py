@@ -61,6 +61,12 @@ def test_spacing_of_long_and_null_keys(spark):
     assert got == sorted(want, key=str)
 
 
+def test_spacing_without_a_time_between(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 1), (None, 5), ("c", None)], "k string, t bigint")
+    for seconds in (0, -5):
+        assert sorted(map(tuple, P.min_interval(rows, seconds, "k", "t").collect()), key=str) == sorted([("a", 1), ("a", 2), ("b", 1), (None, 5)], key=str)
+
+
 def test_upsert_takes_all_fields(spark):
     items = spark.createDataFrame([("a", "s", "t", "u", 1, 1, 1), ("b", "s", "t", "u", 1, 1, 1)], "id string, source string, title string, url string, publish_s int, created_at int, updated_at int")
     batch = spark.createDataFrame([("a", "x", "t2", None, 5, 1), ("c", "x", "first", "u", 2, 2), ("c", "y", "last", "v", 3, 3)], "id string, source string, title string, url string, publish_s int, pos int")
