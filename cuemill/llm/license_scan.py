@@ -183,6 +183,7 @@ def document_path() -> Column:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as files of made-up paths, with their licences, own or inherited; see document_path() and scan_licences()."""
     docs = common.table(spark, sf_dir, "documents")
     files = docs.select("doc_id", "text", document_path().alias("path"))
     scanned = scan_licences(files.select("path", "text"))

@@ -13,8 +13,8 @@ from . import common
 
 #: Confirmed toxic documents, and unlabelled ones, that the classifier is learnt from, at most.
 POSITIVES, UNLABELLED = 4000, 12000
-#: Terms that the classifier weighs, and documents of the sample that a term must occur in.
-TERMS, LEAST_DOCS = 400, 6
+#: Documents of the sample for each term that the classifier weighs, and those that a term must occur in.
+DOCS_A_TERM, LEAST_DOCS = 40, 6
 #: Standard errors by which a term's share among positives must exceed its share among unlabelled texts.
 LEAST_CONTRAST = 4.5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -95,13 +95,15 @@ def learn_toxicity(
     prior: float | None = None,
     positives: int = POSITIVES,
     unlabelled: int = UNLABELLED,
-    terms: int = TERMS,
+    terms: int | None = None,
     contrast: float = LEAST_CONTRAST,
+    least_docs: int = LEAST_DOCS,
 ) -> ToxicityModel:
     """Learn from at most `positives` documents labelled toxic and `unlabelled` documents of any kind, all outside
     fold 0; of the texts of one doc_id, the least counts. The model sees the `terms` terms whose share among positives is most
-    above that among unlabelled texts, by `contrast` standard errors or more: of rarer or less telling terms it knows
-    nothing, so that texts without any of them score by the bias alone. prior: the share of toxic documents; None takes the share among the labels outside that fold. Labels of
+    above that among unlabelled texts, by `contrast` standard errors or more, and which `least_docs` of them have: of rarer or less
+    telling terms it knows nothing, so that texts without any of them score by the bias alone. terms: None takes one for each
+    DOCS_A_TERM documents that the sample may have, so that the list grows with the sample's bounds. prior: the share of toxic documents; None takes the share among the labels outside that fold. Labels of
     0 are used for nothing else."""
     ours = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (common.fold("doc_id") != 0))
     if prior is None:
@@ -118,7 +120,7 @@ def learn_toxicity(
         return lambda texts: {"terms": ["\x00".join(sorted(terms_of(t))) for t in texts]}
 
     rows = common.cut(common.add_by_text(known.select("doc_id", "p", "u", "text"), start, "text", "terms string"))
-    top = contrasting_terms(rows, terms, contrast)
+    top = contrasting_terms(rows, (positives + unlabelled) // DOCS_A_TERM if terms is None else terms, contrast, least_docs)
     chosen = [r["term"] for r in top]
     listed = F.array(*[F.lit(t) for t in chosen]) if chosen else F.array().cast("array<string>")
     has = F.transform(F.array_intersect(F.split("terms", "\x00"), listed), lambda t: F.array_position(listed, t) - 1)
@@ -132,9 +134,9 @@ def learn_toxicity(
     )
 
 
-def contrasting_terms(rows: DataFrame, most: int = TERMS, least: float = LEAST_CONTRAST) -> list:
+def contrasting_terms(rows: DataFrame, most: int, least: float = LEAST_CONTRAST, least_docs: int = LEAST_DOCS) -> list:
     """At most `most` rows (term, share): the terms whose share among the positives of rows(p, u, terms) is most above
-    that among the unlabelled, by `least` standard errors or more."""
+    that among the unlabelled, by `least` standard errors or more, and which `least_docs` rows have at least."""
     sizes = rows.agg(F.sum("p").alias("np"), F.sum(1 - F.col("u")).alias("nu")).first()
     n_p, n_u = sizes["np"] or 0, sizes["nu"] or 0
     if not n_p or not n_u:
@@ -143,7 +145,7 @@ def contrasting_terms(rows: DataFrame, most: int = TERMS, least: float = LEAST_C
     counts = one.groupBy("term").agg(F.sum("p").alias("a"), F.sum(1 - F.col("u")).alias("b"))
     share = (F.col("a") + F.col("b")) / (n_p + n_u)
     error = F.sqrt((share * (1 - share) + 1e-6) * (1 / n_p + 1 / n_u))
-    counts = counts.where(F.col("a") + F.col("b") >= LEAST_DOCS).withColumn("share", F.least(share, F.lit(1.0)))
+    counts = counts.where(F.col("a") + F.col("b") >= least_docs).withColumn("share", F.least(share, F.lit(1.0)))
     ranked = counts.withColumn("contrast", (F.col("a") / n_p - F.col("b") / n_u) / error)
     ranked = ranked.where(F.col("contrast") >= least).orderBy(F.desc("contrast"), "term").limit(most)
     return ranked.select("term", "share").collect()
