@@ -340,11 +340,11 @@ def pack_sequences(docs: DataFrame, limit: int = LIMIT, tokenizer: str = TOKENIZ
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last, place = None, None, 0  # rows of the sequence that a batch ends in; the shard before, and its sequences so far
         for batch in itertools.chain(batches, [None]):
-            table = pa.Table.from_batches([b for b in (held, batch) if b is not None])
+            some = [b for b in (held, batch) if b is not None and b.num_rows]
             held = None
-            if not table.num_rows:
+            if not some:
                 continue
-            table = table.combine_chunks()
+            table = pa.Table.from_batches(some).combine_chunks()
             sequence = table.column("sequence_id").to_numpy()
             edges = np.concatenate([[0], np.flatnonzero(np.diff(sequence)) + 1, [len(sequence)]])
             if batch is not None:
