@@ -65,7 +65,7 @@ def call_model(requests: DataFrame, cache: str, model: Callable[[list[str]], lis
     """requests(key, text, ...) with the reply of each: from the cache, else from the model.
 
     Keys that the cache lacks go to the model, each once, in batches of `batch` within tasks; see ask(). Replies are
-    appended to <cache>/replies and texts without one to <cache>/rejected, with the reason, both by the first two characters of the
+    appended to <cache>/replies and texts without one to <cache>/rejected, with the reason, both by the first character of the
     hash of the key; `attempt` numbers the run. A second run of the same requests makes no call: rejected ones are tried again only
     if `again` is set. A task that is lost is run again, and its calls are made again; what is written is committed once. Null
     keys, null and blank texts are rejected without a call."""
@@ -95,7 +95,7 @@ def call_model(requests: DataFrame, cache: str, model: Callable[[list[str]], lis
     # Written before they are dealt to the two tables, so that each call is made once.
     staged = f"{cache}/attempts/n={attempt}"
     misses.mapInPandas(run, ROW).write.mode("overwrite").parquet(staged)
-    made = spark.read.schema(ROW).parquet(staged).withColumn("prefix", F.substring(F.sha2("key", 256), 1, 2))
+    made = spark.read.schema(ROW).parquet(staged).withColumn("prefix", F.substring(F.sha2("key", 256), 1, 1))
     for name, which in (("replies", "response IS NOT NULL"), ("rejected", "response IS NULL")):
         made.where(which).hint("rebalance", "prefix").write.mode("append").partitionBy("prefix").parquet(f"{cache}/{name}")
     calls = made.agg(F.coalesce(F.sum("calls"), F.lit(0))).first()[0]

@@ -58,5 +58,5 @@ query("r06_retriggers", "SELECT key, ts_s, step FROM (SELECT key, done, t + 2160
 query("r07_link_refresh", "SELECT key, greatest(t, e - 600) AS ts_s, url FROM (SELECT *, lead(t) OVER (PARTITION BY key ORDER BY t) AS nxt FROM l) WHERE e > 0 AND (nxt IS NULL OR greatest(t, e - 600) < nxt)",
       ctes="l AS (SELECT key, publish_s AS t, max(concat(source, CAST(event_id AS STRING))) AS url, max(CASE WHEN key % 7 = 0 THEN 0 ELSE publish_s + 3600 * (key % 90) END) AS e FROM items GROUP BY 1, 2)")(
     lambda v: ordered.replayed(ordered.LinkRefresh(), v.items.groupBy("key", c("publish_s").alias("ts_s")).agg(F.max(F.concat("source", c("event_id").cast("string"))).alias("url"), F.max(F.when(c("key") % 7 == 0, 0).otherwise(c("publish_s") + 3600 * (c("key") % 90))).alias("expires_s"))))
-query("r10_silence", "SELECT key, t + 1801 AS ts_s, t AS since_s FROM (SELECT key % 5 AS key, publish_s AS t, lead(publish_s) OVER (PARTITION BY key % 5 ORDER BY publish_s) AS nxt FROM items WHERE source <> 'error') WHERE nxt IS NULL OR nxt - t > 1800")(
+query("r10_silence", "SELECT key, t + 1801 AS ts_s, t AS since_s FROM (SELECT key % 5 AS key, publish_s AS t, lead(publish_s) OVER (PARTITION BY key % 5 ORDER BY publish_s) AS nxt FROM items WHERE source <> 'error') WHERE nxt IS NULL OR t + 1801 < nxt")(
     lambda v: ordered.replayed(ordered.Silence(1800), v.items.select((c("key") % 5).alias("key"), c("publish_s").alias("ts_s"), (c("source") == "error").cast("int").alias("kind"))))
