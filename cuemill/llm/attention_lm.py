@@ -44,12 +44,14 @@ COLUMNS = {"q": slice(0, WIDTH), "k": slice(WIDTH, 2 * WIDTH), "v1": slice(2 * W
 @dataclass
 class AttentionModel:
     """One head. place: row of each id; kind: class of each id; inside: log10 share of each id in its class. p["q"], "k",
-    "v1" and "e" become views of one table, so that an input's row is fetched once."""
+    "v1" and "e" become views of one table, so that an input's row is fetched once. follow, if given, holds what the row before
+    tells: what it adds to the logits of classes, and a row's log10 share in its class after it, in place of its share there."""
 
     place: np.ndarray
     kind: np.ndarray
     inside: np.ndarray
     p: dict[str, np.ndarray]
+    follow: tuple[np.ndarray, np.ndarray] | None = None
 
     def __post_init__(self) -> None:
         self.table, self.p = _one_table(self.p)
@@ -92,6 +94,8 @@ class AttentionModel:
         h = mixed + rows[STEP:, COLUMNS["e"]].reshape(n, STEP, WIDTH)
         logits = h.reshape(n * STEP, WIDTH) @ p["c"]
         logits += p["b"]
+        if self.follow is not None:
+            logits += self.follow[0][inputs[1:].ravel()]
         return (logits, h, mixed, w, z, q, kw, vw) if keep else logits
 
     def log10_of(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -118,6 +122,8 @@ class AttentionModel:
                 np.exp(logits, out=logits)
                 total = (logits @ ones)[valid]
                 score = (picked - np.log(total)) / np.log(10) + self.inside[goal]
+                if self.follow is not None:
+                    score += self.follow[1][part[1:].ravel()[valid], self.place[goal]]
                 out[start:stop] += np.bincount(owner, score, stop - start)
             start = stop
         return out
@@ -171,6 +177,31 @@ def new_model(counts: np.ndarray, pairs: np.ndarray, seed: int = 5) -> Attention
     return AttentionModel(place, kind, inside, {k: v.astype(np.float32) for k, v in p.items()})
 
 
+def following(model: AttentionModel, counts: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each row tells of the next, from pairs (IDS + 2, IDS + 2) of a row and the one after it: (what it adds to the logits of
+    classes, what it adds to the log10 share of each row in its class).
+
+    Both are shares among pairs, mixed with shares among all ids by the number of different rows that were seen to follow: the
+    more of them, the likelier one not seen yet. A row that nothing was seen to follow adds nothing."""
+    kind = np.full(IDS + 1, CLASSES - 1)
+    kind[model.place] = model.kind
+    all_ids = np.bincount(model.place, counts + 0.5, IDS + 1)
+    by_class = np.bincount(kind, all_ids, CLASSES)
+    overall, inside = by_class / by_class.sum(), all_ids / by_class[kind]
+    some = overall > 0
+    logits = np.zeros((IDS + 2, CLASSES), np.float32)
+    share = np.zeros((IDS + 2, IDS + 1), np.float32)
+    for row in np.nonzero(pairs[:, : IDS + 1].any(axis=1))[0]:
+        after = pairs[row, : IDS + 1]
+        n, kinds = np.bincount(kind, after, CLASSES), np.bincount(kind, after > 0, CLASSES)
+        new = kinds.sum()
+        # The bias of classes is a logit of its own: only what the row changes is added.
+        logits[row, some] = np.log((n + new * overall)[some] / (after.sum() + new)) - np.log(overall[some])
+        new = np.maximum(kinds, 1)
+        share[row] = np.log10((after + new[kind] * inside) / (n + new)[kind]) - np.log10(inside)
+    return logits, share
+
+
 class Trainer:
     """Adam steps on batches of windows. Rows of inputs that a batch does not have, and their moments, stay as they are."""
 
@@ -288,14 +319,16 @@ def train_attention(encoded: DataFrame, rounds: int = ROUNDS) -> AttentionModel:
     trains a copy over its texts and the copies are averaged by ids seen, in tasks: the driver gets one sum of fixed size.
     Copies grow in number with the partitions, of LEAST_IDS each or more. Without texts the model is untrained, which is a model all the same."""
     encoded = encoded.where("train").select("ids")
-    tables = _id_tables(encoded)
-    model = new_model(*tables)
-    encoded = encoded.coalesce(max(1, int(tables[0].sum()) // LEAST_IDS))  # partitions side by side, if they are small
+    counts, pairs = _id_tables(encoded)
+    frequent = CLASSES - 1
+    model = new_model(counts, np.column_stack([pairs[:frequent].T, pairs[frequent:].sum(axis=0)]))
+    model.follow = following(model, counts, pairs)
+    encoded = encoded.coalesce(max(1, int(counts.sum()) // LEAST_IDS))  # partitions side by side, if they are small
     shape = {k: v.shape for k, v in model.p.items()}
     spark = encoded.sparkSession
     chunk = 4096
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((model.place, model.kind, model.inside, model.p))
+        shared = spark.sparkContext.broadcast((model.place, model.kind, model.inside, model.p, (model.follow[0], None)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import copy
@@ -332,35 +365,53 @@ def train_attention(encoded: DataFrame, rounds: int = ROUNDS) -> AttentionModel:
             size = int(np.prod(s))
             p[k] = mean[at : at + size].reshape(s).astype(np.float32)
             at += size
-        model = AttentionModel(model.place, model.kind, model.inside, p)
+        model = AttentionModel(model.place, model.kind, model.inside, p, model.follow)
     return model
 
 
 def _id_tables(encoded: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of each id, and of the rows after each of the CLASSES - 1 most frequent ids (the last column: others),
-    over all of encoded(ids)."""
+    """Counts of each id, and (IDS + 2, IDS + 2) of the row of an id and of the one after it, over all of encoded(ids).
+
+    A task sends what it counted once, cut in parts that are summed side by side: the driver gets one table of fixed size."""
 
     def totals(add: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+        chunk = 1 << 16
+
+        def sent(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for c in range(0, len(total), chunk):
+                some = np.nonzero(total[c : c + chunk])[0]
+                if len(some):
+                    yield pa.RecordBatch.from_pydict({"chunk": [c], "at": [some.astype("<u2").tobytes()], "n": [total[c : c + chunk][some].tobytes()]})
+
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(size, np.int64)
             for batch in (part for whole in batches for part in common.slices(whole, 0)):
                 texts = _numbers(batch.column(0))
                 total += np.bincount(np.concatenate([add(ids) for ids in texts]), minlength=size)
-            some = np.nonzero(total)[0]
-            yield pa.RecordBatch.from_pydict({"id": pa.array(some, pa.int64()), "n": pa.array(total[some], pa.int64())})
+            yield from sent(total)
 
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for c, at, n in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                    parts.setdefault(c, np.zeros(chunk, np.int64))[np.frombuffer(at, "<u2")] += np.frombuffer(n, np.int64)
+            for c, total in parts.items():
+                for batch in sent(total):
+                    yield batch.set_column(0, "chunk", pa.array([c], pa.int64()))
+
+        what = "chunk bigint, at binary, n binary"
+        counted = encoded.select("ids").mapInArrow(common.lean(count), what).repartition(SUMS, "chunk").mapInArrow(common.lean(merge), what)
         out = np.zeros(size, np.int64)
-        counted = encoded.select("ids").mapInArrow(common.lean(count), "id bigint, n bigint")
-        for r in counted.groupBy("id").agg(F.sum("n").alias("n")).collect():
-            out[r["id"]] = r["n"]
+        for r in counted.collect():  # as many rows as the table has parts
+            out[r["chunk"] + np.frombuffer(bytes(r["at"]), "<u2").astype(np.int64)] = np.frombuffer(bytes(r["n"]), np.int64)
         return out
 
     counts = totals(lambda ids: ids, VOCABULARY)
     order = np.lexsort((np.arange(VOCABULARY), -counts))
     row = np.full(VOCABULARY, IDS, np.int64)
     row[order[:IDS]] = np.arange(IDS)
-    pairs = totals(lambda ids: row[ids[1:]] * CLASSES + np.minimum(row[ids[:-1]], CLASSES - 1), (IDS + 2) * CLASSES)
-    return counts, pairs.astype(float).reshape(IDS + 2, CLASSES)
+    side = IDS + 2
+    return counts, totals(lambda ids: row[ids[:-1]] * side + row[ids[1:]], side * side).astype(float).reshape(side, side)
 
 
 # ---- the word base
@@ -518,7 +569,8 @@ def score_corpus(docs: DataFrame, held: int = 1, tokenizer: str = TOKENIZER) ->
 
     Training documents are those whose crc32(doc_id as text) mod 5 is not `held`; a null doc_id trains. Null and empty
     texts are one token, the end. The model scores the ids of a whole text and its end. Rows that repeat doc_id and
-    text score alike. Without training documents counts are zero and the model is untrained; base_score is then what
+    text score alike. Copies of the model are trained by partition, so where rows are dealt out otherwise, on another cluster or with
+    another size of splits, scores differ by a little; base_score does not. Without training documents counts are zero and the model is untrained; base_score is then what
     the smoothing gives with V = 0."""
     common.small_batches(docs.sparkSession)
     rows = _keyed(docs, held)
@@ -534,7 +586,7 @@ def score_corpus(docs: DataFrame, held: int = 1, tokenizer: str = TOKENIZER) ->
     model = train_attention(encoded)
     n = int(counts.sum()) + int(rare["n"] or 0) + ends
     v = int((counts > 0).sum()) + int(rare["v"] or 0) + (ends > 0)
-    shared = docs.sparkSession.sparkContext.broadcast((model.place, model.kind, model.inside, model.p))
+    shared = docs.sparkSession.sparkContext.broadcast((model.place, model.kind, model.inside, model.p, model.follow))
     end_id, end_log = 2, float(np.log10(ends + 0.5))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,11 @@ def slow_log10(model, ids):
         w = np.exp(p["k"][keys] @ q + p["near"][back])
         h = (w[:, None] * p["v1"][keys][:, :-1]).sum(0) / w.sum() + p["e"][rows[t + step]]
         z = h @ p["c"] + p["b"]
-        total += (z[model.kind[goal]] - np.log(np.exp(z).sum())) / np.log(10) + model.inside[goal]
+        share = model.inside[goal]
+        if model.follow is not None:
+            z = z + model.follow[0][rows[t + step]]
+            share += model.follow[1][rows[t + step], model.place[goal]]
+        total += (z[model.kind[goal]] - np.log(np.exp(z).sum())) / np.log(10) + share
     return total
 
 
@@ -62,8 +66,49 @@ def test_it_is_a_probability():
     assert np.bincount(model.kind, share) == pytest.approx(np.ones(attention_lm.CLASSES))
 
 
-def test_gradients_against_differences():
-    model, rng = small_model(), np.random.default_rng(2)
+def following_model():
+    """A model that knows what rows follow others: of each of 300 rows, some 20."""
+    model, rng = small_model(), np.random.default_rng(4)
+    pairs = np.zeros((attention_lm.IDS + 2, attention_lm.IDS + 2))
+    pairs[rng.integers(0, 300, 6000), rng.integers(0, attention_lm.IDS + 1, 6000)] += rng.integers(1, 9, 6000)
+    counts = np.zeros(attention_lm.VOCABULARY, int)
+    counts[np.nonzero(model.place < attention_lm.IDS)[0]] = 1 + rng.integers(0, 50, attention_lm.IDS)
+    size = np.bincount(model.kind, counts + 0.5, attention_lm.CLASSES)
+    model.inside, model.p["b"] = np.log10((counts + 0.5) / size[model.kind]), np.log(size / size.sum()).astype(np.float32)
+    model.follow = attention_lm.following(model, counts, pairs)
+    return model, counts, pairs
+
+
+def test_what_follows_a_row():
+    model, counts, pairs = following_model()
+    logits, share = model.follow
+    kind = np.full(attention_lm.IDS + 1, attention_lm.CLASSES - 1)
+    kind[model.place] = model.kind
+    for row in (0, 7, 299, 300, attention_lm.IDS + 1):
+        whole = 10.0 ** (model.inside + share[row, model.place])
+        assert np.bincount(model.kind, whole) == pytest.approx(np.ones(attention_lm.CLASSES), rel=1e-4)
+        chance = np.exp(model.p["b"] + logits[row])
+        assert chance.sum() == pytest.approx(1, rel=1e-4)
+        seen = pairs[row, : attention_lm.IDS + 1]
+        if not seen.any():
+            assert not logits[row].any() and not share[row].any()
+            continue
+        c = kind[seen.argmax()]
+        n, new, own = seen[kind == c].sum(), (seen[kind == c] > 0).sum(), seen.max()
+        ids = np.nonzero(model.place == seen.argmax())[0]
+        inside = (10.0 ** model.inside[ids]).sum()
+        assert (10.0 ** (model.inside[ids] + share[row, seen.argmax()])).sum() == pytest.approx((own + new * inside) / (n + new), rel=1e-4)
+        first = np.exp(model.p["b"][c])
+        assert chance[c] == pytest.approx((n + (seen > 0).sum() * first) / (seen.sum() + (seen > 0).sum()), rel=1e-4)
+    rng = np.random.default_rng(1)
+    frequent = np.nonzero(model.place < 400)[0]
+    texts = [rng.choice(frequent, n) for n in (1, 16, 17, 200)]
+    assert model.log10_of(texts) == pytest.approx([slow_log10(model, t) for t in texts], rel=1e-4)
+
+
+@pytest.mark.parametrize("make", [small_model, lambda: following_model()[0]])
+def test_gradients_against_differences(make):
+    model, rng = make(), np.random.default_rng(2)
     ids = [rng.integers(0, attention_lm.VOCABULARY, 40)]
     for name in ("e", "q", "k", "v1", "c", "b", "near"):
         trainer = attention_lm.Trainer(model, rate=0.0)
@@ -131,6 +176,28 @@ def test_all_training_documents_count_and_train(spark, monkeypatch):
     assert sum(got[i]["score"] for i in held) > before.sum() * 0.85
 
 
+def test_pairs_of_rows_and_scores_by_a_plain_loop(spark, monkeypatch):
+    docs = documents(spark)
+    models, tables = [], []
+    train, count = attention_lm.train_attention, attention_lm._id_tables
+    monkeypatch.setattr(attention_lm, "train_attention", lambda encoded: models.append(train(encoded)) or models[-1])
+    monkeypatch.setattr(attention_lm, "_id_tables", lambda encoded: tables.append(count(encoded)) or tables[-1])
+    got = attention_lm.score_corpus(docs).collect()
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    ids = [np.frombuffer(b, "<u4").astype(int) for b in packing_hist.WordEncoder().encode_all([t for _, t in rows])]
+    pairs = np.zeros((attention_lm.IDS + 2,) * 2)
+    for (i, _), x in zip(rows, ids, strict=True):
+        if i is None or zlib.crc32(str(i).encode()) % 5 != 1:
+            np.add.at(pairs, (models[0].place[x[:-1]], models[0].place[x[1:]]), 1)
+    assert (tables[0][1] == pairs).all() and pairs.any()
+    short = [(i, x) for (i, _), x in zip(rows, ids, strict=True) if len(x) < 400]
+    want = sorted((str(i), slow_log10(models[0], np.append(x, 2))) for i, x in short)
+    size = Counter(str(i) for i, _ in rows)
+    once = [(i, s) for i, s in want if size[i] == 1]
+    score = {str(r["doc_id"]): r["score"] for r in got}
+    assert len(once) > 3 and [score[i] for i, _ in once] == pytest.approx([s for _, s in once], rel=1e-3)
+
+
 def test_queries_are_registered():
     numbers = {int(n.split("_")[0][2:]) for n in registry.QUERIES}
     assert numbers == set(range(1, 14)) and len(registry.QUERIES) == 13
