@@ -13,8 +13,10 @@ from . import common
 
 #: Vectors that a block of lists holds, and queries that are worked on against it at once.
 BLOCK, AT_ONCE = 8192, 128
-#: Bytes of the queries that every task holds at a time.
+#: Bytes of the queries that a task holds at a time.
 QUERY_BYTES = 32 << 20
+#: Blocks that a part of the vectors has, or more; tasks that a pass has at most, each working on one cell after another.
+PART_BLOCKS, MOST_TASKS = 4, 16384
 
 
 def nra_top(
@@ -23,12 +25,11 @@ def nra_top(
     """(place of the query, vector, score) of the k best of the vectors for each query, ties to smaller ids, the query's own
     id left out. bar: scores that k other vectors reach for each query; vectors below them may be left out.
 
-    A list for each dimension holds the vectors by their component; a query reads it from the top where its weight is
-    positive, from the bottom where negative. After a depth of all lists a vector's score lies between what is read of
-    it plus the worst that each other list can give, and that plus the value each other list stands at. A query stops
-    when no vector outside its best k by lower bound has an upper bound over the k-th lower bound, or when none reaches its
-    bar. Each depth is four times the one before. Vectors that may still qualify then have their scores resolved: their
-    remaining components are summed up."""
+    A list for each dimension holds the vectors by their component, and is read from both ends. After a depth of all lists
+    what a vector has not shown yet lies between the two places where its list stands: its score is known but for a
+    radius, which gives the lower and the upper bound. A query stops when no vector outside its best k by lower bound
+    has an upper bound over the k-th lower bound, or when none reaches its bar. Each depth is eight times the one before. Vectors
+    that may still qualify then have their scores resolved: their remaining components are summed up."""
     n, d = vectors.shape
     order = np.argsort(vectors, axis=0, kind="stable")
     rank = np.empty((n, d), np.int32)
@@ -44,22 +45,28 @@ def nra_top(
     lo, hi = np.searchsorted(vid[by_id], qid, "left"), np.searchsorted(vid[by_id], qid, "right")
     own = [by_id[a:b] for a, b in zip(lo, hi, strict=True)]  # the places of each query's own rows
     while len(open_):
-        top, low = rank >= n - depth, rank < depth
-        # What a vector adds for positive and for negative weights: its component if read, else a bound of it.
-        for_plus = np.where(top, vectors, rising[0]), np.where(top, vectors, rising[n - depth])
-        for_minus = np.where(low, vectors, rising[-1]), np.where(low, vectors, rising[depth - 1])
+        whole = 2 * depth >= n  # the readers from both ends have met
+        if not whole:
+            read = (rank < depth) | (rank >= n - depth)
+            below, above = rising[depth - 1], rising[n - depth]  # where the lists stand
+            middle, radius = np.where(read, vectors, (below + above) / 2), np.where(read, 0, (above - below) / 2)
         still: list[np.ndarray] = []
         for s in range(0, len(open_), AT_ONCE):
             q = open_[s : s + AT_ONCE]
-            lower = plus[q] @ for_plus[0].T + minus[q] @ for_minus[0].T
-            upper = plus[q] @ for_plus[1].T + minus[q] @ for_minus[1].T
+            if whole:
+                lower = queries[q] @ vectors.T
+                upper = lower.copy()
+            else:
+                lower, spread = queries[q] @ middle.T, np.abs(queries[q]) @ radius.T
+                upper = lower + spread
+                lower -= spread
             for i, at in enumerate(q):
                 lower[i, own[at]] = upper[i, own[at]] = -np.inf
             m = min(k, n)
             least = np.maximum(np.partition(lower, n - m, axis=1)[:, n - m], bar[q])
             may = upper >= least[:, None]
             few = may.sum(axis=1) <= max(4 * k, 64)
-            ready = few | (depth >= n)
+            ready = few | whole
             for i in np.nonzero(ready)[0]:
                 at = np.nonzero(may[i] & (upper[i] > -np.inf))[0]
                 score = vectors[at] @ queries[q[i]]
@@ -67,17 +74,18 @@ def nra_top(
                 out += [(int(q[i]), int(vid[at[b]]), int(score[b])) for b in best if score[b] >= bar[q[i]]]
             still.append(q[~ready])
         open_ = np.concatenate(still) if still else open_[:0]
-        depth = min(n, depth * 4)
+        depth = min(n, depth * 8)
     return out
 
 
 class Best:
-    """The k best vectors so far of each query of one length, over blocks of vectors as they come."""
+    """The k best vectors so far of each query of one length, over blocks of vectors as they come. bar: scores that k other
+    vectors are known to reach, for each query."""
 
-    def __init__(self, queries: np.ndarray, qid: np.ndarray, k: int, block: int) -> None:
+    def __init__(self, queries: np.ndarray, qid: np.ndarray, bar: np.ndarray, k: int, block: int) -> None:
         self.queries, self.qid, self.k, self.block = queries, qid, k, block
         self.top: list[list[tuple]] = [[] for _ in qid]  # (-score, vector)
-        self.bar = np.full(len(qid), -np.inf)
+        self.bar = bar.copy()
         self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
@@ -119,42 +127,87 @@ def whole_components(column: str = "embedding", scale: int = 256):
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, block: int = BLOCK, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score) of vectors(vec_id, v array<double> of whole numbers).
 
-    Queries are the rows whose id is divisible by `every`; candidates are all rows but those of the query's id. Queries
-    go to all tasks, `query_bytes` of them at a time, and each task reads its vectors block by block: a query's k best of
-    the blocks before are the bar that a block has to reach. Vectors are not shuffled; a task gives k rows a query at most.
-    Null ids and null vectors take no part; vectors of other lengths are compared with their own kind only; rows that repeat
-    an id and vector count once."""
+    Queries are the rows whose id is divisible by `every`; candidates are all rows but those of the query's id. Queries are
+    dealt into blocks of `query_bytes` or so, vectors into parts of some blocks, both by hash, and a cell is a block of
+    queries with a part of the vectors: a task gets a cell's queries, then streams its vectors. A first pass is over one part;
+    a query's k-th best there is its bar in all other cells. Nothing but sizes comes to the driver, and a cell gives k rows a
+    query at most. Null ids and null vectors take no part; vectors of other lengths are compared with their own kind only;
+    rows that repeat an id and vector count once."""
     usable = vectors.where("vec_id is not null and v is not null").select(F.col("vec_id").cast("bigint"), "v").dropDuplicates()
     usable = common.cut(usable)
-    asked = usable.where(F.col("vec_id") % every == 0)
-    sizes = usable.agg(F.count("*").alias("n"), F.sum(F.when(F.col("vec_id") % every == 0, 8 * F.size("v") + 16)).alias("b")).first()
-    some = usable.coalesce(max(1, sizes["n"] // block))  # partitions side by side, if they are small
+    is_query = F.col("vec_id") % every == 0
+    sizes = usable.agg(F.count("*").alias("n"), F.sum(F.when(is_query, 8 * F.size("v") + 16)).alias("b")).first()
+    across = max(1, -(-(sizes["b"] or 0) // query_bytes))
+    # Queries go to each part and vectors to each block of queries: no more parts than make both shuffles alike.
+    down = max(1, min(-(-sizes["n"] // (PART_BLOCKS * block)), every * across))
+    dealt = usable.select(
+        "vec_id", "v", F.pmod(F.xxhash64(F.lit(3), "vec_id", "v"), F.lit(across)).cast("int").alias("q"), F.pmod(F.xxhash64(F.lit(4), "vec_id", "v"), F.lit(down)).cast("int").alias("part")
+    )
+    asked = dealt.where(is_query).select("vec_id", "v", "q", F.lit(float("-inf")).alias("bar"))
+    first = _best_of_cells(asked, dealt.where("part = 0"), across, range(1), k, block)
+    if down == 1:
+        return first
+    first = common.cut(first)
+    bars = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("reached"))
+    asked = asked.drop("bar").join(bars, "vec_id", "left").select("vec_id", "v", "q", F.coalesce("reached", F.lit(float("-inf"))).alias("bar"))
+    others = _best_of_cells(asked, dealt.where("part > 0"), across, range(1, down), k, block)
+    return _ranked(first.unionByName(others).drop("rank"), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _best_of_cells(asked: DataFrame, vectors: DataFrame, across: int, parts: range, k: int, block: int) -> DataFrame:
+    """Ranked rows of the k best of vectors(vec_id, v, part) for asked(vec_id, v, q, bar), parts being numbers of parts."""
     schema = "query_id bigint, vec_id bigint, score bigint"
     arrow = common.arrow_schema(schema)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    chunks = max(1, -(-(sizes["b"] or 0) // query_bytes))
-    out = None
-    for c in range(chunks):
-        held = asked.where(F.pmod(F.xxhash64(F.lit(3), "vec_id", "v"), F.lit(chunks)) == c).toArrow()  # some query_bytes
-        shared = usable.sparkSession.sparkContext.broadcast(list(_by_length(held.column("vec_id"), held.column("v"))))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = {d: Best(v, ids, k, block) for d, ids, v in shared.value}
-            for batch in batches:
-                for d, ids, v in _by_length(batch.column(0), batch.column(1)):
-                    if d in own:
-                        own[d].add(v, ids)
-            for kind in own.values():
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        cell, held, kinds = None, [], None  # held: the cell's queries; kinds: by length, once vectors come
+
+        def close() -> Iterator[pa.RecordBatch]:
+            for kind in (kinds or {}).values():
                 rows = kind.rows()
                 for at in range(0, len(rows), 1 << 16):
                     columns = zip(*rows[at : at + (1 << 16)], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-        found = some.mapInArrow(common.lean(run), schema)
-        found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-        found = common.cut(found) if chunks > 1 else found
-        out = found if out is None else out.unionByName(found)
-    return out
+        for batch in batches:
+            key = np.stack([batch.column(i).to_numpy() for i in (0, 1, 2)])
+            edges = [0, *(np.nonzero((np.diff(key) != 0).any(axis=0))[0] + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if hi == lo:
+                    continue
+                if cell != (now := (int(key[0, lo]), int(key[1, lo]))):
+                    yield from close()
+                    cell, held, kinds = now, [], None
+                own = batch.slice(lo, hi - lo)
+                if not key[2, lo]:
+                    held.append(own)
+                    continue
+                if kinds is None:
+                    kinds = {}
+                    queries = pa.Table.from_batches(held) if held else own.slice(0, 0)
+                    length = pc.list_value_length(queries.column(4)).to_numpy()
+                    for d, ids, v in _by_length(queries.column(3), queries.column(4)):
+                        kinds[d] = Best(v, ids, queries.column(5).to_numpy()[length == d], k, block)
+                for d, ids, v in _by_length(own.column(3), own.column(4)):
+                    if d in kinds:
+                        kinds[d].add(v, ids)
+        yield from close()
+
+    to_parts = F.explode(F.sequence(F.lit(parts[0]), F.lit(parts[-1]))).alias("part")
+    to_blocks = F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("q")
+    sent = asked.select("q", to_parts, F.lit(0).alias("kind"), "vec_id", "v", "bar").unionByName(
+        vectors.select(to_blocks, "part", F.lit(1).alias("kind"), "vec_id", "v", F.lit(0.0).alias("bar"))
+    )
+    tasks = min(across * len(parts), MOST_TASKS)
+    cells = sent.repartition(tasks, "q", "part").sortWithinPartitions("q", "part", "kind")
+    return _ranked(cells.mapInArrow(common.lean(run), schema), k)
 
 
 def _by_length(ids: pa.Array | pa.ChunkedArray, vectors: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

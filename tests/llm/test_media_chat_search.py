@@ -199,6 +199,19 @@ def check_top(got, v):
     assert got == want
 
 
+def test_cells_of_ids_with_several_vectors(spark):
+    """Ids that repeat with other vectors and lengths, over one cell and many: the k best rows of all of an id's vectors."""
+    rng = np.random.default_rng(9)
+    rows = {(int(i) % 130, tuple(rng.integers(-3, 4, 3 + int(i) % 2 * 2).tolist())) for i in range(600)}
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id bigint, v array<double>")
+    want = []
+    for q in (0, 50, 100):
+        found = [(-sum(a * b for a, b in zip(x, y, strict=True)), j) for i, x in rows if i == q for j, y in rows if j != q and len(x) == len(y)]
+        want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(sorted(found)[:5])]
+    for block, query_bytes in ((4, 100), (16, 300), (4096, 1 << 20)):
+        assert sorted(map(tuple, topk_nra.top_k(df, block=block, query_bytes=query_bytes).collect())) == sorted(want)
+
+
 def test_bars_leave_out_what_cannot_reach_them():
     rng = np.random.default_rng(6)
     v = np.floor(256 * rng.normal(size=(3000, 16)))
