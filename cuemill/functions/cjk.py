@@ -16,14 +16,13 @@ CJK = "一-鿿㐀-䶿぀-ヿ"
 HALF_TO_FULL = {",": "，", ";": "；", ":": "：", "?": "？", "!": "！", "(": "（", ")": "）"}
 # What punctuation rules leave alone. Links end at Chinese, at full-width marks and before closing marks.
 _LINK = rf"[^\s{CJK}，。！？；：、（）「」『』“”‘’]+(?<![,.;:!?])"
-_SPANS = "|".join(
-    (
-        rf"(?:(?<![a-zA-Z])|\G)[a-zA-Z][a-zA-Z0-9+.\-]*+://{_LINK}",
-        rf"www\.{_LINK}",
-        r"(?:(?<![\w.\-+])|\G)[\w.\-+]++@[\w.\-]+\.\w+",
-        r"(?:(?<!\d)|\G)\d+(?:[,:.]\d+)+%?",
-        r"(?:(?<![A-Za-z])|\G)[A-Za-z]++(?:[,:;?!()][ ]?[A-Za-z]++)+",
-    )
+#: (whether a text may hold such spans, their pattern): most texts hold few kinds, and each costs time at every character.
+_SPANS = (
+    (lambda t: F.contains(t, F.lit("://")), rf"(?=[a-zA-Z])(?:(?<![a-zA-Z])|\G)[a-zA-Z][a-zA-Z0-9+.\-]*+://{_LINK}"),
+    (lambda t: F.contains(t, F.lit("www.")), rf"www\.{_LINK}"),
+    (lambda t: F.contains(t, F.lit("@")), r"(?:(?<![\w.\-+])|\G)[\w.\-+]++@[\w.\-]+\.\w+"),
+    (lambda t: t.rlike(r"(?U)[,:.](?<=\d.)\d"), r"(?=\d)(?:(?<!\d)|\G)\d+(?:[,:.]\d+)+%?"),
+    (lambda t: t.rlike(r"[,:;?!()](?<=[A-Za-z].)[ ]?[A-Za-z]"), r"(?=[A-Za-z])(?:(?<![A-Za-z])|\G)[A-Za-z]++(?:[,:;?!()][ ]?[A-Za-z]++)+"),
 )
 # Chinese digits, units within ten thousand, and greater units.
 _DIGITS, _UNITS, _GREAT = "零〇一二两三四五六七八九", "十百千", "万亿"
@@ -41,18 +40,31 @@ def _woven(free: Column, between: Column) -> Column:
     return F.array_join(F.zip_with(free, F.concat(between, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
 
 
-def _around(text: Column, spans: str, change: Callable[[Column], Column]) -> Column:
-    """change(text) but for the matches of `spans`. While it runs, each of them is one placeholder; one that the text has
-    itself is a match too, so any number of spans and any text come back whole."""
-    pattern = f"(?U){_HOLD}|{spans}"
-    return _woven(F.split(change(F.regexp_replace(text, pattern, _HOLD)), _HOLD), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+def _around(text: Column, spans: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """change(text) but for the matches of spans(text), a pattern or an empty text. While it runs, each of them is one
+    placeholder; one that the text has itself is a match too, so any number of spans and any text come back whole."""
+
+    def changed(t: Column, pattern: Column) -> Column:
+        some = (pattern != "") | F.contains(t, F.lit(_HOLD))
+        pattern = F.concat(F.lit(f"(?U){_HOLD}"), pattern)
+        held = F.when(some, F.regexp_replace(t, pattern, F.lit(_HOLD))).otherwise(t)
+        kept = F.when(some, F.regexp_extract_all(t, pattern, F.lit(0))).otherwise(F.array().cast("array<string>"))
+        return _woven(F.split(change(held), _HOLD), kept)
+
+    return X.once(text, lambda t: X.once(spans(t), lambda pattern: changed(t, pattern)))
+
+
+def _by_rules(text: Column, rules: tuple[tuple[str, str, str], ...]) -> Column:
+    """text after rules(needs, pattern, to) in order; one whose `needs` the text lacks has no match, and is passed over."""
+    table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("needs", "pattern", "to"), r)]) for r in rules])
+    return F.aggregate(table, text, lambda t, r: F.when(F.contains(t, r["needs"]), F.regexp_replace(t, r["pattern"], r["to"])).otherwise(t))
 
 
 def convert_script(text: Column, singles: dict[str, str], protect: tuple[str, ...] = ()) -> Column:
     """Characters by the mapping, but for protected terms, longest first."""
     terms = [re.sub(r"([^\w\s])", r"\\\1", t) for t in sorted(protect, key=lambda t: (-len(t), t)) if t]
     change = (lambda c: F.translate(c, "".join(singles), "".join(singles.values()))) if singles else (lambda c: c)
-    return _around(text, "|".join(terms), change) if terms else change(text)
+    return _around(text, lambda t: F.lit("".join(f"|{x}" for x in terms)), change) if terms else change(text)
 
 
 def _paired_quotes(marks: Column) -> Column:
@@ -70,6 +82,9 @@ def _paired_quotes(marks: Column) -> Column:
             F.when((mark == "“") | ((mark == "”") & (a["curly"] > 0)), F.translate(F.when(inside, F.translate(mark, "“”", "『』")).otherwise(mark), "“”", "「」"))
             .otherwise(F.translate(mark, "‘’", "『』"))
         )
+        return X.once(new, lambda new: written(a, mark, new))
+
+    def written(a: Column, mark: Column, new: Column) -> Column:
         opens, closes = new.isin("「", "『"), new.isin("」", "』") & (a["open"] > 0)
         whole = closes & (a["open"] == 1) & (new == "』") & (F.substring(a["out"], a["outer"], F.lit(1)) == "『")
         return F.struct(
@@ -84,54 +99,51 @@ def _paired_quotes(marks: Column) -> Column:
 
 def _corner_quotes(t: Column) -> Column:
     """Straight double quotes in pairs to corner marks, if the text is Chinese and their number is even; then the others."""
-    pieces = F.split(t, '"')
-    turn = F.transform(pieces, lambda x, i: F.concat(F.when(i == 0, "").when(i % 2 == 1, "「").otherwise("」"), x))
-    t = F.when(t.rlike(f"[{CJK}]") & (F.size(pieces) % 2 == 1), F.array_join(turn, "")).otherwise(t)
-    marks = F.regexp_extract_all(t, F.lit(_QUOTE), F.lit(0))
-    return F.when(F.size(marks) == 0, t).otherwise(_woven(F.split(t, _QUOTE), F.split(_paired_quotes(marks), "")))
+    turn = lambda pieces: F.transform(pieces, lambda x, i: F.concat(F.when(i == 0, "").when(i % 2 == 1, "「").otherwise("」"), x))
+    even = lambda t: X.once(F.split(t, '"'), lambda p: F.when(F.size(p) % 2 == 1, F.array_join(turn(p), "")).otherwise(t))
+    straight = X.once(t, lambda t: F.when(F.contains(t, F.lit('"')) & t.rlike(f"[{CJK}]"), even(t)).otherwise(t))
+    marks = lambda t: F.split(_paired_quotes(F.regexp_extract_all(t, F.lit(_QUOTE), F.lit(0))), "")
+    # Single corner marks stay as they are where there are no others.
+    return X.once(straight, lambda t: F.when(t.rlike("[‘-”『-』]"), _woven(F.split(t, _QUOTE), marks(t))).otherwise(t))
+
+
+#: Marks beside Chinese.
+_WIDTH = tuple((half, f"{re.escape(half)}(?:(?<=[{CJK}].)|(?=[{CJK}]))", full) for half, full in HALF_TO_FULL.items())
+#: Repeated marks. Three stops or more are an ellipsis, others are one; of mixed ones the first stays.
+_FOLDS = (
+    ("。。。", "。。。+", "……"), ("...", r"\.\.\.+(?![a-zA-Z0-9/])", "……"), ("、、、", "、、、+", "……"), ("………", "………+", "……"),
+    *((2 * m, f"{m}{m}+", m) for m in "！？，；：。"), ("!!", "!!+", "！"), ("??", r"\?\?+", "？"), ("！", "！[！？!?]+", "！"), ("？", "？[！？!?]+", "？"),
+)
+#: No blanks beside full-width marks, one between scripts; line breaks stay.
+_SPACES = (
+    ("", "[ \t](?:(?<=[，。！？；：、（「『].)[ \t]*+|[ \t]*+(?=[，。！？；：、）」』]))", ""), ("\t", f"(?<=[{CJK}])[ \t]+(?=[A-Za-z0-9])", " "),
+    ("\t", f"(?<=[A-Za-z0-9])[ \t]+(?=[{CJK}])", " "), ("  ", "[ \t][ \t]+", " "), ("\t", "[ \t][ \t]+", " "),
+)
 
 
 def _full_width(t: Column) -> Column:
     """Marks beside Chinese, and one that ends a text with Chinese."""
-    for half, full in HALF_TO_FULL.items():
-        h = re.escape(half)
-        t = F.regexp_replace(t, f"(?<=[{CJK}]){h}|{h}(?=[{CJK}])", full)
-    chinese, last = t.rlike(f"[{CJK}]"), t
-    for half in ",;:?!":
-        last = F.regexp_replace(last, re.escape(half) + "$", HALF_TO_FULL[half])
-    return F.when(chinese, last).otherwise(t)
-
-
-def _folded(t: Column) -> Column:
-    """Repeated marks: three stops or more are an ellipsis, others are one; of mixed ones the first stays."""
-    # Which runs of marks fold to which mark.
-    for pattern, to in (
-        (r"。{3,}|\.{3,}(?![a-zA-Z0-9/])|、{3,}", "……"), ("…{2,}", "……"), (r"([！？，；：。])\1+", "$1"), ("!{2,}", "！"), (r"\?{2,}", "？"),
-        ("([！？])[！？!?]+", "$1"),
-    ):
-        t = F.regexp_replace(t, pattern, to)
-    return t
-
-
-def _spaced(t: Column) -> Column:
-    """No blanks beside full-width marks, one between scripts; line breaks stay."""
-    # Where blanks go, and where one stays.
-    for pattern, to in (
-        ("[ \t]+([，。！？；：、）」』])", "$1"), ("([，。！？；：、（「『])[ \t]+", "$1"), (f"(?<=[{CJK}])[ \t]+(?=[A-Za-z0-9])", " "),
-        (f"(?<=[A-Za-z0-9])[ \t]+(?=[{CJK}])", " "), ("[ \t]{2,}", " "),
-    ):
-        t = F.regexp_replace(t, pattern, to)
-    return t
+
+    def ended(t: Column) -> Column:
+        last = t
+        for half in ",;:?!":
+            last = F.regexp_replace(last, re.escape(half) + "$", HALF_TO_FULL[half])
+        # A line break may come behind the end: two characters at most.
+        return F.when(F.right(t, F.lit(3)).rlike("[,;:?!]$") & t.rlike(f"[{CJK}]"), last).otherwise(t)
+
+    return X.once(_by_rules(t, _WIDTH), ended)
 
 
 def trimmed(t: Column) -> Column:
-    return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+    ends = lambda t: F.concat(F.left(t, F.lit(1)), F.right(t, F.lit(1)))
+    return X.once(t, lambda t: F.when(ends(t).rlike(r"(?U)\s"), F.regexp_replace(t, r"(?U)^\s+|\s+$", "")).otherwise(t))
 
 
 def normalize_cjk_punct(text: Column) -> Column:
     """Corner quotes in pairs, full-width marks beside Chinese, runs folded, blanks put right. Links, addresses, numbers and
     English phrases are left alone, and so is what does not pair. Null stays null."""
-    return trimmed(_around(text, _SPANS, lambda t: _spaced(_folded(_full_width(_corner_quotes(t))))))
+    spans = lambda t: F.concat(*[F.when(may(t), f"|{pattern}").otherwise("") for may, pattern in _SPANS])
+    return trimmed(_around(text, spans, lambda t: _by_rules(_full_width(_corner_quotes(t)), _FOLDS + _SPACES)))
 
 
 def normalize_cues(cues: DataFrame, singles: dict[str, str] | None = None, protect: tuple[str, ...] = ()) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +37,12 @@ DEFAULT_PARTITION = 207
 CLOSERS = "\"'」』）)》】]}”’ "
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is worked out once a row however often `use` names it. A column named twice is written, and
+    worked out, twice, so rules on top of each other would take time by the product of their uses."""
+    return F.transform(F.array(value), lambda x: use(x))[0]
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 

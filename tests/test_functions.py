@@ -100,6 +100,36 @@ def test_punctuation(spark):
     assert {PUNCTUATION[i][0]: n for i, n in got.items()} == dict(PUNCTUATION)
 
 
+def uses(df, name):
+    """How often the optimized plan works with a column of the input."""
+    import re
+
+    return len(re.findall(rf"\b{name}#", df._jdf.queryExecution().optimizedPlan().toString()))
+
+
+def test_punctuation_reads_its_text_once(spark):
+    """A rule that names its text twice is worked out twice, and rules on top of each other by the product. Beside the scan's
+    own, the plan has one use of the text, and of each span's rules one or two."""
+    rows = spark.range(3).select(F.concat(F.lit("字,"), F.col("id").cast("string")).alias("raw")).localCheckpoint().toDF("raw")
+    df = rows.select(cjk.normalize_cjk_punct(F.col("raw")).alias("t")).select(F.length("t").alias("n"), F.sha2("t", 256).alias("h"))
+    assert uses(df, "raw") <= 3
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") < 20
+    assert [r["n"] for r in df.collect()] == [3, 3, 3]
+
+
+PASSED_OVER = [
+    # rules whose marks a text lacks are passed over, those it has are not: tabs, breaks behind the end, mixed marks, dots
+    ("字\tA", "字 A"), ("A\t字", "A 字"), ("A\tB", "A\tB"), ("A\t\tB", "A B"), ("字  ，  好", "字，好"), ("，\t。 x", "，。x"), ("字A?\r\nA", "字A?\r\nA"), ("字A.....b", "字A…….b"),
+    ("字!？", "字！"), ("好。！？。。。", "好。！……"), ("a,b字,c", "a,b字，c"), ("1:2:3字:", "1:2:3字："), ("\u3000字\x85", "字"), ("\u2003", ""),
+]
+
+
+def test_rules_passed_over_have_no_match(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PASSED_OVER)], "i int, t string")
+    got = {r["i"]: r["n"] for r in rows.select("i", cjk.normalize_cjk_punct(F.col("t")).alias("n")).collect()}
+    assert {PASSED_OVER[i][0]: n for i, n in got.items()} == dict(PASSED_OVER)
+
+
 def test_quotes_keep_their_number_and_settle(spark):
     """Over random texts: quote marks stay quote marks in their places, a second pass changes nothing more in texts whose marks
     pair, and links come back whole."""
