@@ -26,7 +26,7 @@ query("p27_parse_copy_reply", "SELECT doc_id, concat('t', CAST(doc_id AS STRING)
         F.when(c("doc_id") % 2 == 0, F.lit("d")).otherwise(F.lit('say "no"')), F.lit('", "tags": ["a", "b"]} y'))).alias("r")).where("r IS NOT NULL").select("doc_id", "r.title", "r.descr", F.array_join("r.tags", ",").alias("tags")))
 query("s03_items_from_space_api", "SELECT concat('bilibili_api:', id) AS id, publish_s, author FROM items WHERE key % 5 > 0")(
     lambda v: S.from_space_api(v.items.select(F.to_json(F.struct(F.when(c("key") % 5 > 0, 0).otherwise(-1).alias("code"), F.struct(F.struct(F.array(F.struct(c("id").alias("bvid"), c("publish_s").alias("created"), "author")).alias("vlist")).alias("list")).alias("data"))).alias("payload"), F.lit(1).alias("fetched_s"))).select("id", "publish_s", "author"))
-query("t19_best_stream", "SELECT video_id, person AS kind, max(sharpness * 100000 + frame_no) % 100000 AS url FROM frames GROUP BY video_id, person")(
+query("t19_best_stream", "SELECT video_id, person AS kind, frame_no AS url FROM (SELECT *, row_number() OVER (PARTITION BY video_id, person ORDER BY sharpness DESC, frame_no DESC) AS r FROM frames) WHERE r = 1")(
     lambda v: S.best_stream(v.frames.select("video_id", c("person").alias("kind"), c("sharpness").alias("bandwidth"), c("frame_no").alias("url"))))
 query("g04_resolve_overlaps", "SELECT video_id, CAST(para_id AS INTEGER) AS para_id, start2, end2 FROM done", ctes="src AS (SELECT video_id, para_id, start_ms * 2 AS start2, end_ms * 2 + 30000 AS end2 FROM clips), " + OVER.format(m=10000))(
     lambda v: P.resolve_overlaps(v.clips.select("video_id", "para_id", (c("start_ms") * 2).alias("start2"), (c("end_ms") * 2 + 30000).alias("end2")), 5000))

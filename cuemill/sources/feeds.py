@@ -227,7 +227,7 @@ def from_portal(raw: DataFrame, keyword: str, noise: str = NOISE, signal: str =
 
 
 def best_stream(streams: DataFrame) -> DataFrame:
-    """streams(video_id, kind, bandwidth, url): the widest of each kind."""
+    """streams(video_id, kind, bandwidth, url): the widest of each kind; of equal ones the last url."""
     return streams.groupBy("video_id", "kind").agg(F.max_by("url", F.struct("bandwidth", "url")).alias("url"))
 
 

@@ -43,6 +43,16 @@ def test_query(spark, duck, name):
         assert rows == sorted(tuple(map(plain, r)) for r in want.select(*[f'"{c}"' for c in columns]).fetchall())
 
 
+def test_best_stream_of_many_parts(spark, tmp_path):
+    """Keys beyond 100,000, and equal widths."""
+    spark.read.parquet(f"{FOLDER}/part.parquet").selectExpr("*", "explode(array(0L, 99950L, 1000000L)) AS more").selectExpr("* EXCEPT (p_partkey, more)", "p_partkey + more AS p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    got = catalog.QUERIES["t19_best_stream"](spark, str(tmp_path)).select("video_id", "kind", "url").collect()
+    want = con.sql(catalog.ORACLES["t19_best_stream"]).select("video_id", "kind", "url").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and max(r["url"] for r in got) >= 1000000
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
