@@ -195,13 +195,16 @@ def clean_title(title: Column, platform: str = "bilibili", singles: dict[str, st
 
     hard = 80 if platform == "bilibili" else 55
     t = cjk.normalize_cjk_punct(cjk.convert_script(cjk.trimmed(F.coalesce(title, F.lit(""))), singles or {}))
-    t = F.regexp_replace(t, r"(?U)\s+", " ")
-    warns = F.array(
-        F.when(F.length(t) > hard, F.lit("truncated")),
-        F.when((F.length(t) <= hard) & (F.length(t) > soft), F.lit("long")) if platform == "bilibili" else F.lit(None).cast("string"),
-        F.when(t == "", F.lit("empty")),
-    )
-    return F.struct(F.substring(t, 1, hard).alias("title"), F.array_compact(warns).alias("warnings"))
+
+    def cut(t: Column) -> Column:
+        warns = F.array(
+            F.when(F.length(t) > hard, F.lit("truncated")),
+            F.when((F.length(t) <= hard) & (F.length(t) > soft), F.lit("long")) if platform == "bilibili" else F.lit(None).cast("string"),
+            F.when(t == "", F.lit("empty")),
+        )
+        return F.struct(F.substring(t, 1, hard).alias("title"), F.array_compact(warns).alias("warnings"))
+
+    return once(F.regexp_replace(t, r"(?U)\s+", " "), cut)
 
 
 def clean_tags(tags: Column, longest: int = 20, most: int = 10, default: str = "财经", singles: dict[str, str] | None = None) -> Column:

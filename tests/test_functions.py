@@ -249,3 +249,11 @@ def test_titles_and_tags_with_warnings(spark):
     assert v(X.clean_tags(tags(*[f"t{i}" for i in range(12)], "长" * 21))) == ([f"t{i}" for i in range(10)], ["cut", "too_many"])
     assert v(X.clean_tags(tags(" ", ","))) == (["财经"], ["empty"]) and v(X.clean_tags(F.lit(None).cast("array<string>"))) == (["财经"], ["empty"])
 
+
+def test_titles_are_cleaned_once(spark):
+    """Title and warnings come of one cleaning, not of one each."""
+    rows = spark.range(3).select(F.concat(F.lit("字,"), F.col("id").cast("string")).alias("raw")).localCheckpoint().toDF("raw")
+    df = rows.select(X.clean_title(F.col("raw")).alias("t")).select("t.title", F.array_join("t.warnings", ",").alias("w"))
+    assert uses(df, "raw") <= 3
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") < 24
+    assert [tuple(r) for r in df.collect()] == [(f"字，{i}", "") for i in range(3)]
