@@ -183,16 +183,16 @@ def _value(core: Column) -> Column:
         counted = add(F.transform(places, lambda p: F.greatest(F.lit(1), digit(F.left(p, F.lit(1)))) * F.pow(F.lit(10.0), F.instr(F.lit(_UNITS), F.right(p, F.lit(1))))))
         rest = F.regexp_extract(g, f"([{_DIGITS}])[{_GREAT}]?$", 1)
         times = F.when(g.endswith("亿"), 1e8).when(g.endswith("万"), 1e4).otherwise(1.0)
-        return (counted + F.when(rest == "", 0).otherwise(digit(rest))) * times
+        return (counted + X.once(rest, lambda r: F.when(r == "", 0).otherwise(digit(r)))) * times
 
     groups = F.regexp_extract_all(named, F.lit(f"[^{_GREAT}]*[{_GREAT}]|[^{_GREAT}]+$"), F.lit(0))
     return F.when(core.rlike(r"^\d"), core.try_cast("double")).otherwise(add(F.transform(groups, group)))
 
 
 def _token(span: Column) -> Column:
-    core = F.regexp_extract(span, _CORE, 0)
     kind = F.when(span.startswith("百分之") | span.rlike("[%％]$"), "PCT:").when(span.endswith("倍"), "X:").otherwise("N:")
-    return F.concat(kind, _value(F.when(span.startswith("百分之"), F.regexp_extract(F.substring(span, 4, 1 << 20), _CORE, 0)).otherwise(core)).cast("string"))
+    core = F.regexp_extract(F.when(span.startswith("百分之"), F.substring(span, 4, 1 << 20)).otherwise(span), _CORE, 0)
+    return F.concat(kind, X.once(core, _value).cast("string"))
 
 
 def number_tokens(text: Column) -> Column:
@@ -210,10 +210,10 @@ def untraceable_numbers(title: Column, source: Column) -> Column:
 def strip_tokens(title: Column, bad: Column) -> Column:
     """title without the numbers whose tokens are in bad; marks and blanks that are left side by side become one comma, and
     go at the ends."""
-    spans = F.regexp_extract_all(title, F.lit(_NUMBER), F.lit(0))
+    spans = lambda t: F.regexp_extract_all(t, F.lit(_NUMBER), F.lit(0))
+    kept = lambda t: X.once(bad, lambda bad: F.transform(spans(t), lambda s: F.when(F.array_contains(bad, _token(s)), "").otherwise(s)))
     # Fixed values below: the marks that separate the parts of a title.
-    kept = F.transform(spans, lambda s: F.when(F.array_contains(bad, _token(s)), "").otherwise(s))
-    out = F.regexp_replace(_woven(F.split(title, _NUMBER), kept), r"(?U)[，,、\s]{2,}", "，")
+    out = F.regexp_replace(X.once(title, lambda t: _woven(F.split(t, _NUMBER), kept(t))), r"(?U)[，,、\s]{2,}", "，")
     return F.regexp_replace(out, r"(?U)^[，,、\s]+|[，,、\s]+$", "")
 
 
@@ -223,18 +223,20 @@ def finalize_titles(rows: DataFrame, safe: str, n: int = 24) -> DataFrame:
     safe phrase. Then whole words of n characters."""
     speaker, blank = F.col("speaker"), F.lit("")
     has = lambda t: X.title_has_speaker(t, speaker)
-    led = lambda t: F.when(has(t), t).when(t == "", speaker).otherwise(F.concat(speaker, F.lit("："), t))
-    good = lambda t: has(t) & (F.size(untraceable_numbers(t, F.col("source"))) == 0) & X.title_residue_ok(t, speaker)
-    names = [f"__{k}" for k in ("full", "cut", "other", "best")]
-    full, cut, other, best = names
-    r = rows.withColumn(full, led(F.coalesce("title", blank)))
-    r = r.withColumn(cut, strip_tokens(F.col(full), untraceable_numbers(F.col(full), F.col("source"))))
-    r = r.withColumn(other, normalize_cjk_punct(led(F.coalesce("suggestion", blank))))
-    r = r.withColumn(other, led(strip_tokens(F.col(other), untraceable_numbers(F.col(other), F.col("source")))))
-    fallback = F.when(good(F.col(other)), F.col(other)).otherwise(F.concat(speaker, F.lit(safe)))
-    traced = F.size(untraceable_numbers(F.col(full), F.col("source"))) == 0
-    r = r.withColumn(best, F.when(traced, F.col(full)).when(good(F.col(cut)), F.col(cut)).otherwise(fallback))
-    return r.withColumn("final_title", X.truncate_words(F.col(best), n)).drop(*names)
+    led = lambda t: X.once(t, lambda t: F.when(has(t), t).when(t == "", speaker).otherwise(F.concat(speaker, F.lit("："), t)))
+    names = [f"__{k}" for k in ("known", "full", "bad", "cut", "other", "best")]
+    known, full, bad, cut, other, best = map(F.col, names)
+    lacks = lambda t: F.array_except(number_tokens(t), known)
+    good = lambda t: X.once(t, lambda t: has(t) & (F.size(lacks(t)) == 0) & X.title_residue_ok(t, speaker))
+    # Later steps are made for the rows that earlier ones leave open: they are null in others.
+    r = rows.withColumn("__known", number_tokens(F.col("source"))).withColumn("__full", led(F.coalesce("title", blank)))
+    r = r.withColumn("__bad", lacks(full))
+    r = r.withColumn("__best", F.when(F.size(bad) == 0, full)).withColumn("__cut", F.when(best.isNull(), strip_tokens(full, bad)))
+    r = r.withColumn("__best", F.when(best.isNull(), F.when(good(cut), cut)).otherwise(best))
+    r = r.withColumn("__other", F.when(best.isNull(), normalize_cjk_punct(led(F.coalesce("suggestion", blank)))))
+    r = r.withColumn("__other", F.when(best.isNull(), led(strip_tokens(other, lacks(other)))))
+    r = r.withColumn("__best", F.when(best.isNotNull(), best).when(good(other), other).otherwise(F.concat(speaker, F.lit(safe))))
+    return r.withColumn("final_title", X.truncate_words(best, n)).drop(*names)
 
 
 def split_text(t: str, n: int = 24) -> list[str]:

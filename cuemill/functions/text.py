@@ -153,7 +153,10 @@ _SILENT = r"(?U)[「」『』（）()《》【】\"'“”‘’，,。.！!？?
 def title_residue_ok(title: Column, speaker: Column) -> Column:
     """Whether what is left of a title reads as one: no empty or open pair, no odd or empty straight quotes, no dangling or
     doubled mark, and two characters at least besides the speaker and marks. Empty titles do not."""
-    title = F.coalesce(title, F.lit(""))
+    return once(F.coalesce(title, F.lit("")), lambda t: _residue_ok(t, speaker))
+
+
+def _residue_ok(title: Column, speaker: Column) -> Column:
     count = lambda mark: F.regexp_count(title, F.lit("\\" + mark if mark in "()" else mark))
     bad = title.rlike(_DANGLING) | title.rlike(_DOUBLED)
     for pair in _PAIRS:
@@ -170,7 +173,7 @@ def title_has_speaker(title: Column, speaker: Column) -> Column:
     """Whether a title names the speaker, or a part of the name. Without a speaker, it does."""
     speaker = F.coalesce(speaker, F.lit(""))
     parts = F.filter(F.split(speaker, r"(?U)[·・\s]+"), lambda p: F.length(p) > 0)
-    return F.contains(title, speaker) | F.exists(parts, lambda p: F.contains(title, p))
+    return once(title, lambda t: F.contains(t, speaker) | F.exists(parts, lambda p: F.contains(t, p)))
 
 
 def truncate_words(title: Column, n: int) -> Column:

@@ -257,3 +257,14 @@ def test_titles_are_cleaned_once(spark):
     assert uses(df, "raw") <= 3
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") < 24
     assert [tuple(r) for r in df.collect()] == [(f"字，{i}", "") for i in range(3)]
+
+
+def test_final_titles_work_out_each_step_once(spark):
+    """A title's numbers, what is left of it and the suggestion are columns of their own, made where earlier ones fail."""
+    rows = spark.range(3).select(F.concat(F.lit("涨三倍"), F.col("id").cast("string")).alias("title"), F.lit("甲").alias("speaker"), F.lit("没有").alias("source"), F.lit("谈，耐心").alias("suggestion")).localCheckpoint()
+    df = cjk.finalize_titles(rows, "谈投资")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 30 and plan.count("regexp_extract_all") < 80
+    assert [r["final_title"] for r in df.collect()] == ["甲：谈，耐心"] * 3
+    assert uses(rows.select(X.title_residue_ok(F.col("title"), F.lit("甲"))), "title") <= 3
+    assert uses(rows.select(cjk.strip_tokens(F.col("title"), F.array(F.lit("X:3.0")))), "title") <= 3
