@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,19 @@ PARTS = 192
 VOCABULARY = 49408
 #: Windows that are worked out at once.
 AT_ONCE = 192
+#: Inputs whose logits are worked out at once.
+ROWS_AT_ONCE = 768
+#: Rows that occur more often in a batch are summed one by one, which bears on speed alone.
+MANY = 24
 
 
 # ---- the model
 
 
+#: (STEP, 2 * STEP): how far back each key of a window is from each query, and whether it comes no later.
+BACK = np.arange(STEP)[:, None] + STEP - np.arange(2 * STEP)
+SEEN, BACK = (BACK >= 0).astype(np.float32), np.clip(BACK, 0, 2 * STEP - 1)
+ONES, ROWS = np.ones(2 * max(STEP, CLASSES), np.float32), np.arange(ROWS_AT_ONCE)
 #: Columns of the table of rows: queries, keys, values and a column of ones beside them, and what passes by attention.
 COLUMNS = {"q": slice(0, WIDTH), "k": slice(WIDTH, 2 * WIDTH), "v1": slice(2 * WIDTH, 3 * WIDTH + 1), "e": slice(3 * WIDTH + 1, 4 * WIDTH + 1)}
 
@@ -55,6 +64,7 @@ class AttentionModel:
 
     def __post_init__(self) -> None:
         self.table, self.p = _one_table(self.p)
+        self.rooms = _Rooms()
 
     def windows(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of the inputs, (n + 1, STEP), and the targets and owners of windows, (n, STEP), owner -1 for none.
@@ -76,33 +86,49 @@ class AttentionModel:
             at += b * STEP
         return source[:-1].reshape(-1, STEP), target.reshape(-1, STEP), own.reshape(-1, STEP)
 
-    def forward(self, inputs: np.ndarray, keep: bool = False):
-        """Class logits of all windows but the first block's: inputs (n + 1, STEP) give (n, STEP, CLASSES)."""
-        p = self.p
-        n = len(inputs) - 1
-        rows = self.table[inputs.ravel()]
-        keys, values = rows[:, COLUMNS["k"]], rows[:, COLUMNS["v1"]]
-        kw = np.lib.stride_tricks.sliding_window_view(keys, (2 * STEP, WIDTH))[::STEP, 0]
-        vw = np.lib.stride_tricks.sliding_window_view(values, (2 * STEP, WIDTH + 1))[::STEP, 0]
+    def forward(self, inputs: np.ndarray, near: np.ndarray) -> Forward:
+        """What attention makes of all windows but the first block's, from inputs (n + 1, STEP). near: causal_weights(). Everything
+        lies in room that the next call takes again."""
+        n, room = len(inputs) - 1, self.rooms
+        flat = inputs.ravel()
+        rows = self.table.take(flat, axis=0, out=room("rows", len(flat), self.table.shape[1]), mode="clip")
         q = rows[STEP:, COLUMNS["q"]].reshape(n, STEP, WIDTH)
-        w = np.matmul(q, kw.transpose(0, 2, 1))
+        kw, vw = _overlapping(rows, COLUMNS["k"]), _overlapping(rows, COLUMNS["v1"])
+        turned = room("turned", n, WIDTH + 1, 2 * STEP)  # products of many small matrices are faster without transposed ones
+        turned[:, :WIDTH] = kw.transpose(0, 2, 1)
+        w = np.matmul(q, turned[:, :WIDTH], out=room("w", n, STEP, 2 * STEP))
         np.exp(np.clip(w, -20, 20, out=w), out=w)
-        w *= causal_weights(p["near"])
-        summed = np.matmul(w, vw)
-        z = summed[..., WIDTH:]
-        mixed = summed[..., :WIDTH] / z
-        h = mixed + rows[STEP:, COLUMNS["e"]].reshape(n, STEP, WIDTH)
-        logits = h.reshape(n * STEP, WIDTH) @ p["c"]
-        logits += p["b"]
+        w *= near
+        flat_w = w.reshape(n * STEP, 2 * STEP)
+        flat_w *= (1 / (flat_w @ ONES[: 2 * STEP]))[:, None]  # the shares that attention gives
+        mixed = np.matmul(w, vw[..., :WIDTH], out=room("mixed", n, STEP, WIDTH)).reshape(n * STEP, WIDTH)
+        h = room("h", n * STEP, WIDTH + 1)
+        np.add(mixed, rows[STEP:, COLUMNS["e"]], out=h[:, :WIDTH])
+        h[:, WIDTH] = 1
+        return Forward(h, mixed, w, q, kw, vw)
+
+    def last(self) -> np.ndarray:
+        """The last layer, with its bias below."""
+        return np.concatenate([self.p["c"], self.p["b"][None]])
+
+    def classes(self, h: np.ndarray, rows: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class logits of inputs' rows, of which forward() made h; exp of these, and its sums. Logits whose exp is too large or
+        too small are first lowered by the largest of their row."""
+        logits = np.matmul(h, last, out=self.rooms("logits", len(h), CLASSES))
+        out = self.rooms("exp", len(h), CLASSES)
         if self.follow is not None:
-            logits += self.follow[0][inputs[1:].ravel()]
-        return (logits, h, mixed, w, z, q, kw, vw) if keep else logits
+            logits += self.follow[0].take(rows, axis=0, out=out, mode="clip")
+        with np.errstate(over="ignore", invalid="ignore"):
+            total = np.exp(logits, out=out) @ ONES[:CLASSES]
+        if not (total.min() > 1e-30 and total.max() < 1e30):
+            logits -= logits.max(axis=1, keepdims=True)
+            total = np.exp(logits, out=out) @ ONES[:CLASSES]
+        return logits, out, total
 
     def log10_of(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each array of ids. Texts go through in runs of bounded size."""
         out = np.zeros(len(texts))
-        ones = np.ones(CLASSES, np.float32)
-        start = 0
+        start, near, last = 0, causal_weights(self.p["near"]), self.last()
         while start < len(texts):
             stop, size = start, 0
             while stop < len(texts) and (stop == start or size < 1 << 15):
@@ -113,33 +139,65 @@ class AttentionModel:
                 part = inputs[at : at + AT_ONCE + 1]
                 if len(part) < 2:
                     break
-                logits = self.forward(part)
+                h, flat = self.forward(part, near).h, part[1:].ravel()
                 goal = target[at + 1 : at + len(part)].ravel()
                 owner = own[at + 1 : at + len(part)].ravel()
-                valid = np.nonzero(owner >= 0)[0]
-                goal, owner = goal[valid], owner[valid]
-                picked = logits[valid, self.kind[goal]]
-                np.exp(logits, out=logits)
-                total = (logits @ ones)[valid]
-                score = (picked - np.log(total)) / np.log(10) + self.inside[goal]
+                kind, chance = self.kind[goal], np.empty(len(h))
+                for lo in range(0, len(h), ROWS_AT_ONCE):
+                    some = slice(lo, lo + ROWS_AT_ONCE)
+                    logits, _, total = self.classes(h[some], flat[some], last)
+                    chance[some] = logits[ROWS[: len(total)], kind[some]] - np.log(total)
+                score = chance / np.log(10) + self.inside[goal]
                 if self.follow is not None:
-                    score += self.follow[1][part[1:].ravel()[valid], self.place[goal]]
+                    score += self.follow[1].ravel()[flat * self.follow[1].shape[1] + self.place[goal]]
+                valid = owner >= 0
+                owner, score = owner[valid], score[valid]
                 out[start:stop] += np.bincount(owner, score, stop - start)
             start = stop
         return out
 
 
+class Forward(NamedTuple):
+    """What AttentionModel.forward() works out: h has a column of ones at its end, w are shares, kw and vw keys and values of
+    windows."""
+
+    h: np.ndarray
+    mixed: np.ndarray
+    w: np.ndarray
+    q: np.ndarray
+    kw: np.ndarray
+    vw: np.ndarray
+
+
+class _Rooms:
+    """Arrays by name that are written again and again: the system hands out pages for new ones each time."""
+
+    def __init__(self) -> None:
+        self.kept: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, n: int, *shape: int) -> np.ndarray:
+        """(n, *shape) numbers, with what was last written there."""
+        if name not in self.kept or len(self.kept[name]) < n:
+            self.kept[name] = np.zeros((n, *shape), np.float32)
+        return self.kept[name][:n]
+
+
 def _one_table(p: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """The arrays of COLUMNS side by side, and p with views of that table in their place."""
     table = np.concatenate([p[k] for k in COLUMNS], axis=1, dtype=np.float32)
     return table, {k: table[:, COLUMNS[k]] if k in COLUMNS else v for k, v in p.items()}
 
 
+def _overlapping(rows: np.ndarray, columns: slice) -> np.ndarray:
+    """Columns of contiguous rows (n * STEP + STEP, any) by window, (n, 2 * STEP, width): its own block of rows and the one
+    before, without copies."""
+    line, size = rows.strides
+    return np.ndarray((len(rows) // STEP - 1, 2 * STEP, columns.stop - columns.start), rows.dtype, rows, columns.start * size, (STEP * line, line, size))
+
+
 def causal_weights(near: np.ndarray) -> np.ndarray:
     """(STEP, 2 * STEP): exp of the bias of each distance back, zero for keys after the query."""
-    i, j = np.arange(STEP)[:, None] + STEP, np.arange(2 * STEP)
-    back = i - j
-    return np.where(back >= 0, np.exp(near[np.clip(back, 0, 2 * STEP - 1)]), 0).astype(np.float32)
+    return np.exp(near)[BACK] * SEEN
 
 
 def new_model(counts: np.ndarray, pairs: np.ndarray, seed: int = 5) -> AttentionModel:
@@ -221,44 +279,98 @@ class Trainer:
         n = int(valid.sum())
         if not n:
             return
-        p = self.model.p
-        d, h, mixed, w, z, q, kw, vw = self.model.forward(inputs, keep=True)
-        d -= d.max(axis=1, keepdims=True)
-        np.exp(d, out=d)
-        d *= (valid / (n * d.sum(axis=1)))[:, None].astype(np.float32)
-        d[np.nonzero(valid)[0], self.model.kind[target[valid]]] -= np.float32(1 / n)
-        grad = {"c": h.reshape(-1, WIDTH).T @ d, "b": d.sum(axis=0)}
-        dh = (d @ p["c"].T).reshape(h.shape)
-        w /= z  # the shares that attention gives
-        ds = np.matmul(dh, vw[..., :WIDTH].transpose(0, 2, 1))
-        ds -= (dh * mixed).sum(axis=2, keepdims=True)
-        ds *= w
-        i, j = np.arange(STEP)[:, None] + STEP, np.arange(2 * STEP)
-        back = np.clip(i - j, 0, 2 * STEP - 1)
-        grad["near"] = np.bincount(back.ravel(), ds.sum(axis=0).ravel(), 2 * STEP).astype(np.float32)
-        # By position: an input is a key and a value of its own window and the next, and a query of its own.
-        of = np.zeros((*inputs.shape, self.model.table.shape[1]), np.float32)
-        for name, by in (("k", np.matmul(ds.transpose(0, 2, 1), q)), ("v1", np.matmul(w.transpose(0, 2, 1), dh))):
-            part = of[..., COLUMNS[name]][..., :WIDTH]
-            part[1:] = by[:, STEP:]
-            part[:-1] += by[:, :STEP]
-        of[1:, :, COLUMNS["q"]] = np.matmul(ds, kw)
-        of[1:, :, COLUMNS["e"]] = dh
-        flat = inputs.ravel().astype(np.int16)
-        order = np.argsort(flat, kind="stable")
-        edges = np.concatenate([[0], np.nonzero(np.diff(flat[order]))[0] + 1])
-        rows = flat[order[edges]]
-        summed = np.add.reduceat(of.reshape(len(flat), -1)[order], edges, axis=0)
+        model, room = self.model, self.model.rooms
+        weights = causal_weights(model.p["near"]), model.last()
+        last, near = np.zeros_like(weights[1]), np.zeros((STEP, 2 * STEP), np.float32)
+        of = room("of", *inputs.shape, model.table.shape[1])
+        of[0] = 0
+        for at in range(0, len(inputs) - 1, AT_ONCE):  # what fits the cache
+            end = min(at + AT_ONCE, len(inputs) - 1)
+            cut = slice(at * STEP, end * STEP)
+            more = self._gradients(inputs[at : end + 1], *weights, target[cut], valid[cut] / n, of[at : end + 1])
+            last += more[0]
+            near += more[1]
+        grad = {"c": last[:-1], "b": last[-1], "near": np.bincount(BACK.ravel(), near.ravel(), 2 * STEP).astype(np.float32)}
+        rows, summed = self._by_row(inputs.ravel(), of.reshape(inputs.size, -1))
         self.step += 1
         self.seen += n
         for name, g in grad.items():
-            self._adam(p[name], self.m[name], self.v[name], slice(None), g)
-        self._adam(self.model.table, self.m_table, self.v_table, rows, summed)
+            self._adam(model.p[name], self.m[name], self.v[name], g)
+        held = [x.take(rows, axis=0, out=room(f"held{k}", *summed.shape), mode="clip") for k, x in enumerate((model.table, self.m_table, self.v_table))]
+        self._adam(*held, summed)
+        model.table[rows], self.m_table[rows], self.v_table[rows] = held
+
+    def _gradients(self, inputs: np.ndarray, near: np.ndarray, last: np.ndarray, target: np.ndarray, factor: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients of the last layer and of the bias by query and key. Those of inputs, by position, go to `of`, where the
+        first block's are added to: an input is a key and a value of its own window and the next, and a query of its own."""
+        model, room = self.model, self.model.rooms
+        h, mixed, w, q, kw, vw = model.forward(inputs, near)
+        # dh, and beside it what its product with the mixture takes from each key: values have a column of ones there.
+        dh, flat, kind = room("dh", *h.shape), inputs[1:].ravel(), model.kind[target]
+        grad, turned = np.zeros_like(last), np.ascontiguousarray(last[:-1].T)
+        for lo in range(0, len(h), ROWS_AT_ONCE):
+            some = slice(lo, lo + ROWS_AT_ONCE)
+            _, d, total = model.classes(h[some], flat[some], last)
+            # Gradients of logits but for a factor by row, which is left to narrower arrays.
+            scale = (factor[some] / total).astype(np.float32)[:, None]
+            d[ROWS[: len(d)], kind[some]] -= total
+            grad += np.multiply(h[some], scale, out=room("scaled", *h[some].shape)).T @ d
+            np.matmul(d, turned, out=dh[some, :WIDTH])
+            dh[some] *= scale
+        np.negative(np.einsum("ij,ij->i", dh[:, :WIDTH], mixed), out=dh[:, WIDTH])
+        each = dh.reshape(-1, STEP, WIDTH + 1)
+        turned = room("turned", len(each), WIDTH + 1, 2 * STEP)
+        np.copyto(turned, vw.transpose(0, 2, 1))
+        ds = np.matmul(each, turned, out=room("ds", *w.shape))
+        ds *= w
+        each = each[..., :WIDTH]
+        for name, by, what in (("k", ds, q), ("v1", w, each)):
+            part = of[..., COLUMNS[name]][..., :WIDTH]
+            np.matmul(by[..., STEP:].transpose(0, 2, 1), what, out=part[1:])
+            part[:-1] += np.matmul(by[..., :STEP].transpose(0, 2, 1), what, out=room("before", *q.shape))
+        np.matmul(ds, kw, out=of[1:, :, COLUMNS["q"]])
+        of[1:, :, COLUMNS["e"]] = each
+        return grad, ds.sum(axis=0)
 
-    def _adam(self, weights: np.ndarray, m: np.ndarray, v: np.ndarray, rows, grad: np.ndarray) -> None:
-        mean, square = m[rows] + 0.1 * (grad - m[rows]), v[rows] + 0.01 * (grad * grad - v[rows])
-        m[rows], v[rows] = mean, square
-        weights[rows] -= self.rate / (1 - 0.9**self.step) * mean / (np.sqrt(square / (1 - 0.99**self.step)) + 1e-7)
+    def _by_row(self, flat: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The different rows in flat, and the sums of `of` over each.
+
+        Those that occur most come first, so that the k-th of each lie side by side and are added at once."""
+        flat = flat.astype(np.int16)
+        order = np.argsort(flat, kind="stable")
+        edges = np.concatenate([[0], np.nonzero(np.diff(flat[order]))[0] + 1, [len(flat)]])
+        size = np.diff(edges)
+        rows = flat[order[edges[:-1]]]
+        first = np.argsort(-size, kind="stable")
+        rows, start, size = rows[first], edges[first], size[first]
+        many = int((size > MANY).sum())  # summed by themselves
+        count = len(rows) - np.searchsorted(size[::-1], np.arange(int(size[many:].max(initial=0))), side="right")
+        which = [order[lo : lo + c] for lo, c in zip(start[:many].tolist(), size[:many].tolist(), strict=True)]
+        which += [order[start[many:c] + k] for k, c in enumerate(count.tolist())]
+        dealt = of.take(np.concatenate(which), axis=0, out=self.model.rooms("dealt", *of.shape), mode="clip")
+        out, ones, at = self.model.rooms("summed", len(rows), of.shape[1]), np.ones(int(size[0]), np.float32), 0
+        for k, w in enumerate(which):
+            part, at = dealt[at : at + len(w)], at + len(w)
+            if k < many:
+                np.matmul(ones[: len(w)], part, out=out[k])
+            elif k == many:
+                out[many:] = part
+            else:
+                out[many : many + len(w)] += part
+        return rows, out
+
+    def _adam(self, weights: np.ndarray, m: np.ndarray, v: np.ndarray, grad: np.ndarray) -> None:
+        """A step of weights, in place; grad is used up."""
+        m *= 0.9
+        m += 0.1 * grad
+        v *= 0.99
+        v += np.multiply(np.square(grad, out=grad), 0.01, out=grad)
+        by = np.sqrt(v, out=grad)
+        by *= 1 / np.sqrt(1 - 0.99**self.step)
+        by += 1e-7
+        np.divide(m, by, out=by)
+        by *= self.rate / (1 - 0.9**self.step)
+        weights -= by
 
 
 def _ids(encoder: WordEncoder, texts: list) -> list[np.ndarray]:

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -125,6 +126,42 @@ def test_gradients_against_differences(make):
         assert (up - down) / 0.04 == pytest.approx(grad[place], rel=0.05)
 
 
+def test_logits_beyond_what_exp_holds():
+    model, rng = small_model(), np.random.default_rng(6)
+    texts = [rng.integers(0, attention_lm.VOCABULARY, n) for n in (3, 40)]
+    want, bias = model.log10_of(texts), model.p["b"].copy()
+    for shift in (150, -150):
+        model.p["b"][:] = bias + shift
+        assert model.log10_of(texts) == pytest.approx(want, rel=1e-4)
+
+
+def test_a_step_takes_no_new_room():
+    trainer, rng = attention_lm.Trainer(following_model()[0]), np.random.default_rng(7)
+    texts = [rng.integers(0, attention_lm.VOCABULARY, 3000)]
+    inputs, target, own = trainer.model.windows(texts)
+    step = lambda: trainer.update(inputs, target[1:].ravel(), own[1:].ravel() >= 0)
+    step()
+    tracemalloc.start()
+    step()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1 << 20  # one array of logits is 0.8 MB
+
+
+def test_a_step_is_the_same_however_it_is_cut(monkeypatch):
+    rng, got = np.random.default_rng(8), []
+    texts = [np.concatenate([rng.integers(0, attention_lm.VOCABULARY, n), np.full(n, 3)]) for n in (1, 16, 90, 200)]
+    for at_once, rows, many in ((192, 768, 24), (1, 16, 1), (5, 30, 10_000), (192, 768, 0)):
+        for name, value in (("AT_ONCE", at_once), ("ROWS_AT_ONCE", rows), ("MANY", many)):
+            monkeypatch.setattr(attention_lm, name, value)
+        trainer = attention_lm.Trainer(following_model()[0], rate=0.0)
+        trainer.learn(texts)
+        got.append(trainer.m | {"scores": trainer.model.log10_of(texts)})
+    for other in got[1:]:
+        for name, whole in got[0].items():
+            assert other[name] == pytest.approx(whole, rel=1e-3, abs=1e-6 * float(np.abs(whole).max()))
+
+
 def test_training_lowers_the_loss():
     model = small_model()
     pattern = np.array([5, 9, 77, 5, 9, 1234] * 40)
